@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tactigrid.llm import quality_rules
+from tactigrid.llm import mixing, packing, quality_rules
 from tactigrid.llm.common import read_table
 
 
@@ -16,8 +16,20 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document; see llm.mixing."""
+    return mixing.mix(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece's place in the packed sequences; see llm.packing."""
+    import public_tokenizers
+
+    return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_quality_rules,)}
+    return {f.__name__: f for f in (op4_packing, op5_mixing, op7_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
