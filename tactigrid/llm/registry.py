@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tactigrid.llm import mixing, packing, quality_rules
+from tactigrid.llm import minhash, mixing, packing, quality_rules
 from tactigrid.llm.common import read_table
 
 
@@ -16,6 +16,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document; see llm.minhash."""
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document; see llm.mixing."""
     return mixing.mix(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -29,7 +34,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_packing, op5_mixing, op7_quality_rules)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op4_packing, op5_mixing, op7_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
