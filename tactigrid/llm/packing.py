@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 from itertools import accumulate
 
 import numpy as np
@@ -33,14 +35,19 @@ from tactigrid.llm.common import checkpointed, small_arrow_batches
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker keeps; beyond that it starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
+
+
+#: Characters that end a pre-token after a letter or digit and never join the next; the apostrophe can.
+_TAIL = b".,;:!?)*#$%&|>-\"]}"
 
 
 class WordIds(dict):
     """Ids of a word between ASCII white space, as little-endian 32-bit bytes; filled batch by batch.
 
     The vocabulary's pre-tokeniser drops white space and never joins across it, so ids of a text are those of its
-    words in order.
+    words in order. It also parts a letter or digit from the punctuation that follows, and ignores case: a new word's ids
+    are then those of its lower-cased beginning and of its tail, which are looked up first.
     """
 
     def __init__(self, path: str) -> None:
@@ -53,11 +60,32 @@ class WordIds(dict):
     def learn(self, texts: list[list[bytes]]) -> None:
         if len(self) > CACHED_WORDS:
             self.clear()
-        new = list(set().union(*texts).difference(self))
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for word, encoded in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self[word] = np.asarray(encoded.ids, "<u4").tobytes()
+        new = set().union(*texts).difference(self)
+        parts: dict[bytes, tuple[bytes, bytes]] = {}
+        for word in new:
+            core = word.rstrip(_TAIL)
+            if core and b"<|" not in word and (core[-1:].isalnum() or core[-1] >= 128 and core.decode()[-1].isalpha()):
+                lower = core.lower()
+                if lower != word:
+                    parts[word] = (lower, word[len(core) :])
+        known = set().union(*parts.values()).union(new.difference(parts)).difference(self)
+        known.discard(b"")
+        self._encode(list(known))
+        self[b""] = b""
+        for word, (core, tail) in parts.items():
+            self[word] = self[core] + self[tail]
+
+    def _encode(self, words: list[bytes]) -> None:
+        for k in range(0, len(words), 20_000):
+            some = words[k : k + 20_000]
+            for word, encoded in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+                self[word] = array("I", encoded.ids).tobytes()
+
+
+@cache
+def word_ids(path: str) -> WordIds:
+    """Shared by the tasks that one worker process runs."""
+    return WordIds(path)
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -66,7 +94,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     end = np.asarray([end_id], "<u4").tobytes()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, part = WordIds(vocabulary), TaskContext.get().partitionId()
+        ids_of, part = word_ids(vocabulary), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):

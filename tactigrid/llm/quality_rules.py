@@ -20,7 +20,9 @@ from tactigrid.llm.common import WHITE_SPACE, checkpointed, join_small
 
 #: Character classes of the histogram, in this order; the last holds what no other has (mostly lower-case letters).
 CLASSES = ("upper", "digit", "mark", "symbol", "space", "other")
-SYMBOLS = r"[#*$%&|<>]+"
+SYMBOLS = r"#*$%&|<>"
+#: Words without any of these are marks that stand alone; the word histogram has one bin for all of them.
+LETTERS = r"[\p{L}\p{N}]"
 #: Key of the reference that is made of all documents.
 ANY = "*"
 
@@ -33,65 +35,57 @@ class QualityParams:
     max_repeat_percent: int = 50
     #: Words of at most so many code points may be common words.
     short_word: int = 4
-    common_words: int = 20
+    common_words: int = 16
     #: A language needs so many words in all documents for a reference of its own.
     min_reference_words: int = 2000
     min_chars: int = 100
     min_compared_words: int = 50
-    max_class_distance: float = 0.25
-    max_word_distance: float = 0.45
+    max_class_distance: float = 0.27
+    max_word_distance: float = 0.38
 
 
-def _kept_length(text: Column, others: str) -> Column:
-    return F.length(F.regexp_replace(text, others, "")).cast("long")
-
-
-def _class_counts(text: Column, words: Column) -> Column:
-    """Histogram over CLASSES as an array of longs."""
+def _class_counts(text: Column, words: Column, residue: Column) -> Column:
+    """Histogram over CLASSES as an array of longs. residue: the text without white space and lower-case letters."""
     total = F.length(text).cast("long")
     space = total - F.length(F.array_join(words, ""))
-    upper = _kept_length(text, r"[^\p{Lu}]+")
-    digit = _kept_length(text, r"[^0-9]+")
-    mark = _kept_length(text, r"[^.,;:!?'\"()\-]+")
-    symbol = total - _kept_length(text, SYMBOLS)
+    upper, digit, mark, symbol = (F.length(F.regexp_replace(residue, f"[^{c}]+", "")).cast("long") for c in (r"\p{Lu}", "0-9", r".,;:!?'\"()\-", SYMBOLS))
     return F.array(upper, digit, mark, symbol, space, total - upper - digit - mark - symbol - space)
 
 
-def with_words(docs: DataFrame) -> DataFrame:
-    """Add text_ (never null), words_ and classes_."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("text_", text).withColumn("words_", F.array_remove(F.split("text_", WHITE_SPACE), "")).withColumn("classes_", _class_counts(F.col("text_"), F.col("words_")))
+def with_words(docs: DataFrame, params: QualityParams) -> DataFrame:
+    """Add text_ (never null), words_, classes_ and short_ (the short words in lower case)."""
+    df = docs.withColumn("text_", F.coalesce(F.col("text"), F.lit("")))
+    df = df.withColumn("words_", F.array_remove(F.split("text_", WHITE_SPACE), "")).withColumn("residue_", F.regexp_replace("text_", r"[\p{Ll}\x20\x09-\x0D]+", ""))
+    short = F.transform(F.filter("words_", lambda w: F.length(w) <= params.short_word), lambda w: F.lower(w))
+    return df.withColumn("classes_", _class_counts(F.col("text_"), F.col("words_"), F.col("residue_"))).withColumn("short_", short)
 
 
 def references(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
-    """One row per language and one for all: ref_lang, common array<string>, word_ref array<double> (one more: the rest), class_ref array<double>."""
-    base = with_words(docs.select(F.coalesce("lang", F.lit(ANY)).alias("lang"), "text"))
-    short = F.filter(F.transform("words_", lambda w: F.lower(w)), lambda w: F.length(w) <= params.short_word)
-    counted = base.select(
-        "lang",
-        F.explode(
-            F.concat(
-                F.transform(short, lambda w: F.struct(F.lit("w").alias("kind"), w.alias("key"), F.lit(1).cast("long").alias("n"))),
-                F.array(
-                    F.struct(F.lit("n").alias("kind"), F.lit("").alias("key"), F.size("words_").cast("long").alias("n")),
-                    *(F.struct(F.lit("c").alias("kind"), F.lit(c).alias("key"), F.col("classes_")[i].alias("n")) for i, c in enumerate(CLASSES)),
-                ),
-            )
-        ).alias("e"),
+    """One row per language and one for all: ref_lang, common array<string>, word_ref array<double> (two more: lone marks and the rest), class_ref array<double>."""
+    base = with_words(docs.select(F.coalesce("lang", F.lit(ANY)).alias("lang"), "text"), params)
+    # One row per short word (one with a null key if there are none); a document's other counts go with its first row.
+    counted = base.select("lang", "classes_", F.size("words_").cast("long").alias("n_words"), F.posexplode_outer("short_").alias("pos", "key"))
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    sums = counted.groupBy("lang", "key").agg(
+        F.count("key").alias("n"),
+        F.sum(F.when(first, F.col("n_words"))).alias("words"),
+        *(F.sum(F.when(first, F.col("classes_")[i])).alias(c) for i, c in enumerate(CLASSES)),
     )
-    sums = checkpointed(counted.groupBy("lang", "e.kind", "e.key").agg(F.sum("e.n").alias("n")))
-    sums = sums.where(F.col("lang") != ANY).unionByName(sums.groupBy(F.lit(ANY).alias("lang"), "kind", "key").agg(F.sum("n").alias("n")))
-    totals = sums.where("kind = 'n'").groupBy("lang").agg(F.sum("n").alias("words")).where(F.col("words") >= params.min_reference_words)
+    sums = checkpointed(sums)
+    measures = ("n", "words", *CLASSES)
+    all_ = sums.groupBy("key").agg(*(F.sum(c).alias(c) for c in measures)).select(F.lit(ANY).alias("lang"), "key", *measures)
+    sums = sums.where(F.col("lang") != ANY).unionByName(all_)
+    lone = F.sum(F.when(~F.col("key").rlike(LETTERS), F.col("n")).otherwise(0)).alias("lone")
+    totals = sums.groupBy("lang").agg(lone, *(F.sum(c).alias(c) for c in measures[1:])).where(F.col("words") >= params.min_reference_words)
     ranked = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
-    top = sums.where("kind = 'w'").where(F.col("key").rlike(r"\p{L}")).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= params.common_words)
+    top = sums.where(F.col("key").rlike(LETTERS)).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= params.common_words)
     top = top.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("rank", "key", "n"))).alias("top"))
-    classes = sums.where("kind = 'c'").groupBy("lang").agg(*(F.sum(F.when(F.col("key") == c, F.col("n")).otherwise(0)).alias(c) for c in CLASSES))
     chars = sum((F.col(c) for c in CLASSES), F.lit(0))
     covered = F.aggregate("top", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    return totals.join(top, "lang").join(classes, "lang").select(
+    return totals.join(top, "lang").select(
         F.col("lang").alias("ref_lang"),
         F.transform("top", lambda x: x["key"]).alias("common"),
-        F.concat(F.transform("top", lambda x: x["n"] / F.col("words")), F.array((F.col("words") - covered) / F.col("words"))).alias("word_ref"),
+        F.concat(F.transform("top", lambda x: x["n"] / F.col("words")), F.array(F.col("lone") / F.col("words"), (F.col("words") - F.col("lone") - covered) / F.col("words"))).alias("word_ref"),
         F.array(*(F.col(c) / chars for c in CLASSES)).alias("class_ref"),
     )
 
@@ -106,49 +100,50 @@ def _js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (longs), words_ and classes_."""
-    df = with_words(docs)
+def measure(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
+    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (longs), short_ and classes_."""
+    df = with_words(docs, params)
     lines = F.filter(F.split("text_", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("n_words", F.size("words_").cast("long")).withColumn("lines_", lines)
-    windows = F.when(F.col("n_words") >= 3, F.sequence(F.lit(0), F.size("words_") - 3)).otherwise(F.array().cast("array<int>"))
-    window_hash = lambda i: F.struct(F.xxhash64(F.col("words_")[i], F.col("words_")[i + 1], F.col("words_")[i + 2]).alias("h"), i.alias("i"))
-    df = df.withColumn("sorted_", F.array_sort(F.transform(windows, window_hash)))
+    numbers = F.when(F.col("n_words") >= 3, F.sequence(F.lit(0), F.size("words_") - 3)).otherwise(F.array().cast("array<int>"))
+    df = df.withColumn("windows_", F.transform(numbers, lambda i: F.xxhash64(F.col("words_")[i], F.col("words_")[i + 1], F.col("words_")[i + 2])))
+    some = F.size(F.array_distinct("windows_")) < F.size("windows_")
+    df = df.withColumn("sorted_", F.when(some, F.sort_array(F.transform("windows_", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     s, last = F.col("sorted_"), F.size("sorted_") - 1
     repeated = F.filter(s, lambda x, j: ((j > 0) & (s[F.greatest(j - 1, F.lit(0))]["h"] == x["h"])) | ((j < last) & (s[F.least(j + 1, last)]["h"] == x["h"])))
-    places = F.array_sort(F.transform(repeated, lambda x: x["i"]))
+    places = F.sort_array(F.transform(repeated, lambda x: x["i"]))
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(places, start, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")))
     return df.select(
         *docs.columns,
-        "words_",
+        "short_",
         "classes_",
         "n_words",
         F.length(F.array_join("words_", "")).cast("long").alias("word_chars"),
         F.col("classes_")[CLASSES.index("symbol")].alias("n_symbols"),
         (F.size("lines_") - F.size(F.array_distinct("lines_"))).cast("long").alias("n_dup_lines"),
-        covered["n"].alias("n_repeat_words"),
+        F.coalesce(covered["n"], F.lit(0)).alias("n_repeat_words"),
     )
 
 
 def apply_rules(docs: DataFrame, params: QualityParams = QualityParams(), refs: DataFrame | None = None) -> DataFrame:
     """docs with the measures, base_failed, class_distance, word_distance (null where there is nothing to compare) and kept."""
-    clash = {"text_", "words_", "classes_", "lines_", "sorted_", "common", "word_ref", "class_ref", "ref_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance", "hits_"}
+    clash = {"text_", "words_", "residue_", "short_", "classes_", "lines_", "windows_", "sorted_", "common", "word_ref", "class_ref", "ref_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance", "hits_", "lone_"}
     docs = docs.drop(*(c for c in docs.columns if c in clash))
     refs = checkpointed(references(docs, params)) if refs is None else refs
     own = refs.select("ref_lang").where(F.col("ref_lang") != ANY).withColumn("has_own_", F.lit(True))
     keyed = join_small(docs, own.withColumnRenamed("ref_lang", "lang"), "lang", "left").withColumn("ref_lang", F.when(F.col("has_own_"), F.col("lang")).otherwise(ANY)).drop("has_own_")
-    df = join_small(measure(keyed), refs, "ref_lang", "left")
-    hits = F.filter("words_", lambda w: F.array_contains("common", F.lower(w)))
-    df = df.withColumn("hits_", F.transform(hits, lambda w: F.lower(w)))
+    df = join_small(measure(keyed, params), refs, "ref_lang", "left")
+    df = df.withColumn("hits_", F.filter("short_", lambda w: F.array_contains("common", w)))
+    df = df.withColumn("lone_", F.size(F.filter("short_", lambda w: ~w.rlike(LETTERS))))
     total = F.aggregate("classes_", F.lit(0).cast("long"), lambda a, x: a + x)
     class_p = F.transform("classes_", lambda c: c / total)
-    word_p = F.concat(F.transform("common", lambda c: F.size(F.filter("hits_", lambda w: w == c)) / F.col("n_words")), F.array((F.col("n_words") - F.size("hits_")) / F.col("n_words")))
+    word_p = F.concat(F.transform("common", lambda c: (F.size("hits_") - F.size(F.array_remove("hits_", c))) / F.col("n_words")), F.array(F.col("lone_") / F.col("n_words"), (F.col("n_words") - F.size("hits_") - F.col("lone_")) / F.col("n_words")))
     compared = F.col("common").isNotNull() & (F.col("n_words") >= params.min_compared_words) & (F.col("word_chars") >= params.min_chars)
     df = df.withColumn("class_distance", F.when(compared, _js_distance(class_p, F.col("class_ref")))).withColumn("word_distance", F.when(compared, _js_distance(word_p, F.col("word_ref"))))
     failed = (F.col("n_words") < params.min_words) | (100 * F.col("n_repeat_words") > params.max_repeat_percent * F.col("n_words"))
     odd = F.coalesce((F.col("class_distance") > params.max_class_distance) | (F.col("word_distance") > params.max_word_distance), F.lit(False))
-    return df.withColumn("base_failed", failed).withColumn("kept", ~failed & ~odd).drop("words_", "classes_", "hits_", "common", "word_ref", "class_ref", "ref_lang")
+    return df.withColumn("base_failed", failed).withColumn("kept", ~failed & ~odd).drop("short_", "classes_", "hits_", "lone_", "common", "word_ref", "class_ref", "ref_lang")
 
 
 def kept_documents(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
