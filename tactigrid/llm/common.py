@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tactigrid.session import checkpointed, ship_package
+
+__all__ = ["WHITE_SPACE", "checkpointed", "join_small", "python_ready", "read_table"]
+
 #: Words are maximal runs of anything but these six characters.
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -16,24 +19,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_arrow_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 32) -> None:
-    """Bound what one Arrow batch holds, so that a Python worker's memory doesn't follow the text length."""
+def python_ready(spark: SparkSession, rows: int = 2000, megabytes: int = 32) -> None:
+    """Executors can import this package, and an Arrow batch is bounded: a worker's memory doesn't follow the text length."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back: lineage ends there, a lost executor costs nothing.
-
-    The folder is the one the cluster names in spark.checkpoint.dir. Only a session without one (tests) gets a
-    temporary folder.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
-
-
 def join_small(big: DataFrame, small: DataFrame, on: str | Sequence[str], how: str, rows: int = 20_000) -> DataFrame:
     """Join with a broadcast if the checkpointed side is counted to have at most `rows` rows, else by shuffle."""
     count = small.limit(rows + 1).count()

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tactigrid.llm.common import checkpointed, join_small, small_arrow_batches
+from tactigrid.llm.common import checkpointed, join_small, python_ready
 
 
 @dataclass(frozen=True)
@@ -56,7 +56,7 @@ class Source:
 
 def _sizes(docs: DataFrame, keep_text: bool) -> DataFrame:
     """docs' columns, source_, size, part and row of the task that read it, and start: words of its source before it in that task."""
-    small_arrow_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     columns = docs.columns if keep_text else ["doc_id"]
     picked = docs.select(*columns, F.col("source").cast("string").alias("source_"), F.col("text").cast("string").alias("text_"))
     schema = docs.select(*columns).schema

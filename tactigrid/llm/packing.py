@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tactigrid.llm.common import checkpointed, small_arrow_batches
+from tactigrid.llm.common import checkpointed, python_ready
 
 CAPACITY = 4096
 END_ID = 1
@@ -90,7 +90,7 @@ def word_ids(path: str) -> WordIds:
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, and where the row was made: part and rank within part and length."""
-    small_arrow_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     end = np.asarray([end_id], "<u4").tobytes()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
