@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tactigrid.llm import impact_search, minhash, mixing, packing, quality_rules
+from tactigrid.llm import empirical_bayes, impact_search, language, minhash, mixing, packing, quality_rules
 from tactigrid.llm.common import read_table
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; see llm.language."""
+    return language.identify(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence, site posteriors and verdict of every document; see llm.empirical_bayes."""
+    return empirical_bayes.score(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and divergence of every document; see llm.quality_rules."""
     measured = quality_rules.apply_rules(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
@@ -54,7 +64,7 @@ WHERE rank <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_impact_search, op4_packing, op5_mixing, op7_quality_rules)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_impact_search, op4_packing, op5_mixing, op6_language_id, op7_quality_rules, op8_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
