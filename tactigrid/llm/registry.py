@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tactigrid.llm import empirical_bayes, impact_search, language, minhash, mixing, packing, quality_rules
+from tactigrid.llm import chat, empirical_bayes, html_text, impact_search, language, licenses, minhash, mixing, packing, quality_rules
 from tactigrid.llm.common import read_table
 
 
@@ -48,6 +48,21 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; see llm.html_text."""
+    return html_text.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of every conversation as canonical JSON, in order; see llm.chat."""
+    return chat.format_chats(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence paragraphs of every document; see llm.licenses."""
+    return licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 OP2_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q
@@ -64,7 +79,7 @@ WHERE rank <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_impact_search, op4_packing, op5_mixing, op6_language_id, op7_quality_rules, op8_quality_classifier)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_impact_search, op3_html_text, op4_packing, op5_mixing, op6_language_id, op7_quality_rules, op8_quality_classifier, op9_chat_format, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
