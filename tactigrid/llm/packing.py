@@ -35,15 +35,15 @@ from tactigrid.llm.common import checkpointed, python_ready
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker keeps; beyond that it starts anew.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 1_500_000
 
 
 #: Characters that end a pre-token after a letter or digit and never join the next; the apostrophe can.
 _TAIL = b".,;:!?)*#$%&|>-\"]}"
 
 
-class WordIds(dict):
-    """Ids of a word between ASCII white space, as little-endian 32-bit bytes; filled batch by batch.
+class WordIds:
+    """Ids of words between ASCII white space, as little-endian 32-bit bytes; `known` is filled batch by batch.
 
     The vocabulary's pre-tokeniser drops white space and never joins across it, so ids of a text are those of its
     words in order. It also parts a letter or digit from the punctuation that follows, and ignores case: a new word's ids
@@ -51,35 +51,66 @@ class WordIds(dict):
     """
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.known: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        new = set().union(*texts).difference(self)
-        parts: dict[bytes, tuple[bytes, bytes]] = {}
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.word_end[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+
+    def _words(self, text: bytes) -> list[bytes]:
+        return (text if b"<|" in text else text.lower()).split()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text."""
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        words = [self._words(t) for t in texts]
+        found = [list(map(self.known.get, own)) for own in words]
+        missing = [[k for k, ids in enumerate(own) if ids is None] for own in found]
+        self._learn({own[k] for own, places in zip(words, missing, strict=True) for k in places})
+        for own, ids, places in zip(words, found, missing, strict=True):
+            for k in places:
+                ids[k] = self.known[own[k]]
+        return [b"".join(ids) for ids in found]
+
+    def _learn(self, new: set[bytes]) -> None:
+        known = self.known
+        cut, whole = [], []
         for word in new:
             core = word.rstrip(_TAIL)
-            if core and b"<|" not in word and (core[-1:].isalnum() or core[-1] >= 128 and core.decode()[-1].isalpha()):
-                lower = core.lower()
-                if lower != word:
-                    parts[word] = (lower, word[len(core) :])
-        known = set().union(*parts.values()).union(new.difference(parts)).difference(self)
-        known.discard(b"")
-        self._encode(list(known))
-        self[b""] = b""
-        for word, (core, tail) in parts.items():
-            self[word] = self[core] + self[tail]
+            if len(core) == len(word) or not core or b"<|" in word or not (core[-1:].isalnum() or core[-1] >= 128 and core.decode()[-1].isalpha()):
+                whole.append(word)
+            else:
+                cut.append((word, core, word[len(core) :]))
+        whole += {part for _, core, tail in cut for part in (core, tail)}.difference(known, whole)
+        self._encode(whole)
+        for word, core, tail in cut:
+            known[word] = known[core] + known[tail]
 
     def _encode(self, words: list[bytes]) -> None:
-        for k in range(0, len(words), 20_000):
-            some = words[k : k + 20_000]
-            for word, encoded in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self[word] = array("I", encoded.ids).tobytes()
+        """Words of letters only are one pre-token each, whose last id is marked as a word end: they are encoded as one text."""
+        texts = [w.decode() for w in words]
+        letters = [k for k, t in enumerate(texts) if t.isalpha()]
+        others = [k for k, t in enumerate(texts) if not t.isalpha()]
+        for k in range(0, len(letters), 2000):
+            some = letters[k : k + 2000]
+            ids = np.asarray(self.tokenizer.encode(" ".join([texts[i] for i in some]), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.word_end[ids]) + 1
+            if len(ends) != len(some):
+                others += some
+                continue
+            data, low = ids.tobytes(), 0
+            for i, high in zip(some, (4 * ends).tolist(), strict=True):
+                self.known[words[i]] = data[low:high]
+                low = high
+        for k in range(0, len(others), 20_000):
+            some = others[k : k + 20_000]
+            for i, encoded in zip(some, self.tokenizer.encode_batch_fast([texts[i] for i in some], add_special_tokens=False), strict=True):
+                self.known[words[i]] = array("I", encoded.ids).tobytes()
 
 
 @cache
@@ -99,11 +130,10 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 some = batch.slice(k, 500)
-                words = [(t or b"").split() for t in some.column("text").cast(pa.binary()).to_pylist()]
-                ids_of.learn(words)
+                encoded = ids_of.encode([t or b"" for t in some.column("text").cast(pa.binary()).to_pylist()])
                 out: list[tuple] = []
-                for doc_id, own in zip(some.column("doc_id").to_pylist(), words, strict=True):
-                    data = b"".join([*map(ids_of.__getitem__, own), end])
+                for doc_id, ids in zip(some.column("doc_id").to_pylist(), encoded, strict=True):
+                    data = ids + end
                     for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                         cut = data[at : at + 4 * capacity]
                         n = len(cut) // 4
