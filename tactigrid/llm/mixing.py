@@ -192,7 +192,8 @@ def _plan(docs: DataFrame, params: MixParams, keep_text: bool) -> tuple[DataFram
     sized = join_small(sized.withColumn("key_", F.coalesce(F.concat(F.lit("="), "source_"), F.lit("null"))).drop("source_"), base.withColumn("key_", F.coalesce(F.concat(F.lit("="), "source_"), F.lit("null"))).drop("source_"), ["part", "key_"], "inner").drop("key_")
     placed = sized.withColumn("begin", F.col("base") + F.col("start")).drop("base", "start")
     cut = placed.where("size > 0").select("part", "row", "source_index", "begin", "size", "block_words", F.explode(F.sequence(F.expr("begin div block_words"), F.expr("(begin + size - 1) div block_words"))).alias("block"))
-    used = cut.join(drawn_blocks(spark, sources, params), ["source_index", "block"]).select(
+    # Spark guesses the drawn blocks from the few rows of the shards that make them and would broadcast them; they grow with the input.
+    used = cut.join(drawn_blocks(spark, sources, params).hint("merge"), ["source_index", "block"]).select(
         "part",
         "row",
         "times",
