@@ -126,6 +126,13 @@ def measure(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFra
     )
 
 
+def _fenced(df: DataFrame, name: str) -> Column:
+    """The column, as an expression that Spark can't push a filter through: that would compute the words once per use of a word."""
+    here = F.monotonically_increasing_id()
+    kind = dict(df.dtypes)[name]
+    return F.col(name) & (here >= 0) if kind == "boolean" else F.col(name) + F.least(here, F.lit(0)).cast(kind)
+
+
 def apply_rules(docs: DataFrame, params: QualityParams = QualityParams(), refs: DataFrame | None = None) -> DataFrame:
     """docs with the measures, base_failed, class_distance, word_distance (null where there is nothing to compare) and kept."""
     clash = {"text_", "words_", "residue_", "short_", "classes_", "lines_", "windows_", "sorted_", "common", "word_ref", "class_ref", "ref_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance", "hits_", "lone_"}
@@ -143,7 +150,8 @@ def apply_rules(docs: DataFrame, params: QualityParams = QualityParams(), refs:
     df = df.withColumn("class_distance", F.when(compared, _js_distance(class_p, F.col("class_ref")))).withColumn("word_distance", F.when(compared, _js_distance(word_p, F.col("word_ref"))))
     failed = (F.col("n_words") < params.min_words) | (100 * F.col("n_repeat_words") > params.max_repeat_percent * F.col("n_words"))
     odd = F.coalesce((F.col("class_distance") > params.max_class_distance) | (F.col("word_distance") > params.max_word_distance), F.lit(False))
-    return df.withColumn("base_failed", failed).withColumn("kept", ~failed & ~odd).drop("short_", "classes_", "hits_", "lone_", "common", "word_ref", "class_ref", "ref_lang")
+    df = df.withColumn("base_failed", failed).withColumn("kept", ~failed & ~odd)
+    return df.select(*docs.columns, *(_fenced(df, c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")))
 
 
 def kept_documents(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
