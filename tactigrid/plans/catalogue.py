@@ -1,19 +1,688 @@
-"""Every named query of the grid engine with its SQL."""
+"""Every named query of the grid engine with its SQL.
+
+Each runs over whole tables: frames from all embeddings (8x8 whole numbers), all events (72x48 splats) or all line
+items. Floats are rounded for comparison.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from tactigrid.functions import colour, kernels, matrices
+from tactigrid.operators import components, distance, fit, metrics, mixture, stencil, strokes
+from tactigrid.plans import sql
+from tactigrid.sources import capture, frames
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(text: str | None = None) -> Callable[[Query], Query]:
+    def add(function: Query) -> Query:
+        _QUERIES[function.__name__] = function
+        if text:
+            _SQL[function.__name__] = text
+        return function
 
+    return add
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _r(column: Column | str, digits: int = 6) -> Column:
+    """Rounded, and never -0.0."""
+    name = column if isinstance(column, str) else None
+    c = F.col(column) if name else column
+    out = F.round(c, digits) + F.lit(0.0)
+    return out.alias(name) if name else out
+
+
+def _big(name: str) -> Column:
+    return F.col(name).cast("long").alias(name)
+
+
+def _e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.embedding_pixels(spark, sf_dir)
+
+
+def _t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.touch_pixels(spark, sf_dir)
+
+
+_KEY = ("f", "x", "y")
+_EXT, _ZERO = ("extend", "extend"), ("zero", "zero")
+_G09, _G10 = kernels.gaussian(5, 0.9), kernels.gaussian(5, 1.0)
+
+# ---- pointwise
+
+
+@_query(f"WITH {sql.E} SELECT f, x, y, round(1 - (v + 60) / 120e0, 6) + 0e0 AS v FROM e")
+def frames_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _e(spark, sf_dir).select(*_KEY, _r(1 - (F.col("v") + 60) / 120).alias("v"))
+
+
+@_query(f"WITH {sql.E} SELECT f, x, 7 - y AS y, 7 - y AS tx, x AS ty, v FROM e")
+def frames_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flipped = F.col("h") - 1 - F.col("y")
+    return _e(spark, sf_dir).select("f", "x", flipped.alias("y"), flipped.alias("tx"), F.col("x").alias("ty"), "v")
+
+
+@_query("SELECT CAST(year(l_shipdate) AS BIGINT) AS f, CAST(l_orderkey % 72 AS INTEGER) AS x, CAST(l_partkey % 48 AS INTEGER) AS y, round(sum(l_quantity), 2) AS v FROM lineitem GROUP BY ALL")
+def grid_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.quantity_pixels(spark, sf_dir).where("v > 0").select(*_KEY, _r("v", 2))
+
+
+@_query(f"WITH {sql.E} SELECT f, min(v) AS v_min, max(v) AS v_max, CAST(sum(v) AS BIGINT) AS v_sum, round(avg(v), 6) + 0e0 AS v_avg FROM e GROUP BY f")
+def image_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _e(spark, sf_dir).groupBy("f").agg(F.min("v").alias("v_min"), F.max("v").alias("v_max"), F.sum("v").alias("v_sum"), _r(F.avg("v")).alias("v_avg"))
+
+
+# ---- stencils
+
+
+def _smoothing(steps: str, table: str) -> str:
+    return f"WITH {sql.E}, {steps} SELECT f, x, y, round(v, 6) + 0e0 AS v FROM {table}"
+
+
+_SMOOTH = sql.convolve("s", "e", {"v": ("v", _G09)}, _EXT)
+_PRE = f"{sql.E}, {_SMOOTH}, {sql.floor_removed('p', 's')}"
+
+
+@_query(_smoothing(_SMOOTH, "s"))
+def smooth_5x5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stencil.smooth(_e(spark, sf_dir), ["v"], 0.9).select(*_KEY, _r("v"))
+
+
+@_query(_smoothing(f"{_SMOOTH}, {sql.floor_removed('p', 's')}", "p"))
+def smooth_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stencil.preprocess(_e(spark, sf_dir)).select(*_KEY, _r("v"))
+
+
+@_query(_smoothing(f"{sql.floor_removed('n', 'e')}, {sql.convolve('p', 'n', {'v': ('v', _G09)}, _EXT)}", "p"))
+def floor_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stencil.preprocess(_e(spark, sf_dir), floor_first=True).select(*_KEY, _r("v"))
+
+
+def _border(name: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return stencil.convolve(_e(spark, sf_dir), [stencil.Stencil("v", "s", kernels.BINOMIAL_5)], name).select(*_KEY, _big("s"))
+
+    run.__name__ = f"border_{name}"
+    _query(f"WITH {sql.E}, {sql.convolve('o', 'e', {'s': ('v', kernels.BINOMIAL_5)}, stencil.BORDERS[name])} SELECT f, x, y, CAST(s AS BIGINT) AS s FROM o")(run)
+
+
+for _name in stencil.BORDERS:
+    _border(_name)
+
+_GRAD = sql.convolve("g", "e", {"gx": ("v", kernels.SOBEL_X), "gy": ("v", kernels.SOBEL_Y)}, _ZERO, ("v",))
+_TENSOR = f"{_GRAD}, t0 AS (SELECT f, x, y, v, gx * gx AS sxx, gx * gy AS sxy, gy * gy AS syy FROM g)"
+_SOFT_TENSOR = f"{_TENSOR}, " + sql.convolve("t", "t0", {f"s{k}": (f"s{k}", _G10) for k in ("xx", "xy", "yy")}, _EXT, ("v",))
+_SOBEL_2 = {"hxx": ("v", kernels.SOBEL_XX), "hxy": ("v", kernels.SOBEL_XY), "hyy": ("v", kernels.SOBEL_YY)}
+_HESS = sql.convolve("h0", "e", _SOBEL_2, _ZERO, ("v",))
+_SOFT_HESS = f"{_HESS}, " + sql.convolve("h", "h0", {f"h{k}": (f"h{k}", _G10) for k in ("xx", "xy", "yy")}, _EXT, ("v",))
+
+
+@_query(f"WITH {sql.E}, {_GRAD} SELECT f, x, y, CAST(gx AS BIGINT) AS gx, CAST(gy AS BIGINT) AS gy FROM g")
+def sobel_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stencil.gradient(_e(spark, sf_dir)).select(*_KEY, _big("gx"), _big("gy"))
+
+
+@_query(f"WITH {sql.E}, {_GRAD} SELECT f, x, y, round(sqrt(CAST(gx * gx + gy * gy AS DOUBLE)), 6) AS magnitude FROM g")
+def gradient_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stencil.gradient(_e(spark, sf_dir)).select(*_KEY, _r(matrices.norm(F.col("gx"), F.col("gy"))).alias("magnitude"))
+
+
+def _three(prefix: str, table: str, exact: bool) -> str:
+    shape = "CAST({0} AS BIGINT) AS {0}" if exact else "round({0}, 6) + 0e0 AS {0}"
+    return f"SELECT f, x, y, {', '.join(shape.format(prefix + k) for k in ('xx', 'xy', 'yy'))} FROM {table}"
+
+
+@_query(f"WITH {sql.E}, {_TENSOR} {_three('s', 't0', True)}")
+def structure_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stencil.structure_tensor(_e(spark, sf_dir)).select(*_KEY, *(_big(f"s{k}") for k in ("xx", "xy", "yy")))
+
+
+@_query(f"WITH {sql.E}, {_SOFT_TENSOR} {_three('s', 't', False)}")
+def structure_tensor_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stencil.structure_tensor(_e(spark, sf_dir), 1.0).select(*_KEY, *(_r(f"s{k}") for k in ("xx", "xy", "yy")))
+
+
+@_query(f"WITH {sql.E}, {_HESS} {_three('h', 'h0', True)}")
+def hessian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stencil.hessian(_e(spark, sf_dir)).select(*_KEY, *(_big(f"h{k}") for k in ("xx", "xy", "yy")))
+
+
+@_query(f"WITH {sql.E}, {_SOFT_HESS} {_three('h', 'h', False)}")
+def hessian_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stencil.hessian(_e(spark, sf_dir), 1.0).select(*_KEY, *(_r(f"h{k}") for k in ("xx", "xy", "yy")))
+
+
+@_query(f"WITH {sql.E}, {sql.convolve('w', 'e', {'hxx': ('v', kernels.WIDE_XX), 'hxy': ('v', kernels.WIDE_XY), 'hyy': ('v', kernels.WIDE_YY)}, _ZERO)} {_three('h', 'w', True)}")
+def hessian_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stencil.hessian(_e(spark, sf_dir), wide=True).select(*_KEY, *(_big(f"h{k}") for k in ("xx", "xy", "yy")))
+
+
+@_query(
+    f"WITH {sql.E}, {sql.convolve('g', 'e', {'gx': ('v', kernels.SOBEL_X), 'gy': ('v', kernels.SOBEL_Y)}, ('mirror', 'mirror'))}"
+    " SELECT f, x, y, CAST(gx AS BIGINT) AS gx, CAST(gy AS BIGINT) AS gy FROM g"
+)
+def gradient_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stencil.gradient(_e(spark, sf_dir), "mirror").select(*_KEY, _big("gx"), _big("gy"))
+
+
+# ---- scalar maths
+
+_EIG = f"{_SOFT_TENSOR}, {sql.eigen('q', 't', 's', 'e1', 'e2', 'v, sxx, sxy, syy, ')}"
+
+
+def _tensor_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stencil.with_eigenvalues(stencil.structure_tensor(_e(spark, sf_dir), 1.0), "s", "e1", "e2")
+
+
+@_query(f"WITH {sql.E}, {_EIG} SELECT f, x, y, round(e1, 5) + 0e0 AS e1, round(e2, 5) + 0e0 AS e2 FROM q")
+def eigenvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tensor_roots(spark, sf_dir).select(*_KEY, _r("e1", 5), _r("e2", 5))
+
+
+@_query(f"WITH {sql.E}, {_SOFT_HESS}, {sql.eigen('q', 'h', 'h', 'k1', 'k2', 'v, ')} SELECT f, x, y, round(greatest(k1, 0e0) + greatest(k2, 0e0), 5) + 0e0 AS ridge FROM q")
+def ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = stencil.with_eigenvalues(stencil.hessian(_e(spark, sf_dir), 1.0), "h", "k1", "k2")
+    return d.select(*_KEY, _r(matrices.ridge(F.col("k1"), F.col("k2")), 5).alias("ridge"))
+
+
+@_query(f"WITH {sql.E}, {_HESS} SELECT f, x, y, CAST(hxx + hyy AS BIGINT) AS curvature FROM h0")
+def curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stencil.hessian(_e(spark, sf_dir)).select(*_KEY, matrices.trace(F.col("hxx"), F.col("hyy")).cast("long").alias("curvature"))
+
+
+@_query(f"WITH {sql.E}, {_EIG}, o AS (SELECT *, CASE WHEN e1 + e2 <> 0 THEN (e1 - e2) / (e1 + e2) ELSE 1e0 END AS c FROM q) SELECT f, x, y, round(c, 6) + 0e0 AS coherence, round(1 - c * c, 6) + 0e0 AS rotation FROM o")
+def coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _tensor_roots(spark, sf_dir).withColumn("coherence", matrices.coherence(F.col("e1"), F.col("e2")))
+    return d.select(*_KEY, _r("coherence"), _r(1 - F.col("coherence") * F.col("coherence")).alias("rotation"))
+
+
+@_query(f"WITH {sql.E}, {_TENSOR}, o AS (SELECT f, x, y, CAST(sum(sxx) OVER n AS BIGINT) AS a, CAST(sum(sxy) OVER n AS BIGINT) AS b, CAST(sum(syy) OVER n AS BIGINT) AS c FROM t0 WINDOW n AS (PARTITION BY f, y)) SELECT f, x, y, abs(a * c - b * b) AS rot_det FROM o")
+def rot_det(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = Window.partitionBy("f", "y")
+    d = stencil.structure_tensor(_e(spark, sf_dir)).select(*_KEY, *(F.sum(F.col(f"s{k}")).over(row).cast("long").alias(k) for k in ("xx", "xy", "yy")))
+    return d.select(*_KEY, F.abs(matrices.det(F.col("xx"), F.col("xy"), F.col("yy"))).alias("rot_det"))
+
+
+@_query(f"WITH {sql.E}, {_EIG} SELECT f, x, y, round(CASE WHEN abs(e1) + abs(e2) > 0 THEN abs(e1 * e2) / (abs(e1) + abs(e2)) ELSE 0e0 END, 5) + 0e0 AS rot_norm FROM q")
+def rot_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tensor_roots(spark, sf_dir).select(*_KEY, _r(matrices.rotation_norm(F.col("e1"), F.col("e2")), 5).alias("rot_norm"))
+
+
+_H_OF_P = (
+    sql.convolve("i0", "p", _SOBEL_2, _ZERO, ("v",)) + ", " + sql.convolve("i", "i0", {f"h{k}": (f"h{k}", _G10) for k in ("xx", "xy", "yy")}, _EXT, ("v",)) + ", " + sql.eigen("j", "i", "h", "k1", "k2", "v, ") + ", r AS (SELECT f, x, y, v, greatest(k1, 0e0) + greatest(k2, 0e0) AS ridge FROM j)"
+)
+
+
+@_query(f"WITH {_PRE}, {_H_OF_P} SELECT f, x, y, round(v - 1.5e0 * ridge, 5) + 0e0 AS objective FROM r")
+def objective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stencil.measures(stencil.preprocess(_e(spark, sf_dir))).select(*_KEY, _r("objective", 5))
+
+
+@_query(f"WITH {_PRE}, {_H_OF_P} SELECT f, x, y, round(1.1e0 * pow(v, 1.5e0) - 1.5e0 * pow(ridge, 0.5e0), 4) + 0e0 AS objective FROM r")
+def objective_pow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = stencil.measures(stencil.preprocess(_e(spark, sf_dir)))
+    return d.select(*_KEY, _r(stencil.powered_objective(F.col("v"), F.col("ridge"), 1.1, 1.5, 1.5, 0.5), 4).alias("objective"))
+
+
+@_query(f"WITH {sql.E} SELECT f, x, y, v > 7.5e0 AS blob FROM e")
+def binarise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _e(spark, sf_dir).select(*_KEY, (F.col("v") > 7.5).alias("blob"))
+
+
+@_query(
+    f"""WITH {sql.E}, {_TENSOR}, {sql.eigen("q", "t0", "s", "e1", "e2", "sxx, sxy, syy, ")},
+o AS (SELECT *, CASE WHEN abs(sxx - e1) > abs(syy - e1) THEN -sxy ELSE syy - e1 END AS a, CASE WHEN abs(sxx - e1) > abs(syy - e1) THEN sxx - e1 ELSE -sxy END AS b FROM q)
+SELECT f, x, y, round(CASE WHEN sqrt(a * a + b * b) > 0 THEN a / sqrt(a * a + b * b) ELSE 1e0 END, 5) + 0e0 AS vx, round(CASE WHEN sqrt(a * a + b * b) > 0 THEN b / sqrt(a * a + b * b) ELSE 0e0 END, 5) + 0e0 AS vy FROM o"""
+)
+def eigenvectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = stencil.with_eigenvalues(stencil.structure_tensor(_e(spark, sf_dir)), "s", "e1", "e2")
+    vx, vy = matrices.eigenvector(F.col("sxx"), F.col("sxy"), F.col("syy"), F.col("e1"))
+    return d.select(*_KEY, _r(vx, 5).alias("vx"), _r(vy, 5).alias("vy"))
+
+
+@_query(
+    f"""WITH {sql.E}, {_TENSOR}, o AS (SELECT f, x, y, CAST(sxx + 1 AS DOUBLE) AS a, CAST(sxy AS DOUBLE) AS b, CAST(syy + 1 AS DOUBLE) AS c FROM t0)
+SELECT f, x, y, round(c / (a * c - b * b), 9) + 0e0 AS ixx, round(-b / (a * c - b * b), 9) + 0e0 AS ixy, round(a / (a * c - b * b), 9) + 0e0 AS iyy FROM o WHERE abs(a * c - b * b) > 1e-20"""
+)
+def matrix_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = lambda k, n: (F.col(k) + n).cast("double")
+    d = stencil.structure_tensor(_e(spark, sf_dir)).select(*_KEY, matrices.inverse(one("sxx", 1), one("sxy", 0), one("syy", 1)).alias("i")).where("i is not null")
+    return d.select(*_KEY, *(_r(F.col(f"i.{k}"), 9).alias(f"i{k}") for k in ("xx", "xy", "yy")))
+
+
+# ---- maxima
+
+
+def _maxima(name: str, threshold: float, text: str, connectivity: int = 8, ties: str = "first", inclusive: bool = False) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return stencil.local_maxima(_e(spark, sf_dir), "v", threshold, connectivity, ties, inclusive).select(*_KEY, "v")
+
+    run.__name__ = name
+    _query(f"WITH {sql.E} {sql.maxima('e', 'v', text, connectivity, ties)}")(run)
+
+
+_maxima("maxima_8", 5, "> 5")
+_maxima("maxima_4", 5, "> 5", 4)
+_maxima("maxima_tiebreak_last", 5, ">= 5", ties="last", inclusive=True)
+_maxima("maxima_no_tiebreak", 5, ">= 5", ties="all", inclusive=True)
+
+# ---- components
+
+
+def _labelled(spark: SparkSession, sf_dir: str, connectivity: int = 4) -> DataFrame:
+    """f, x, y, label, v: labels come from the same dense rows as the values, so nothing is joined."""
+    dense = frames.embedding_dense(spark, sf_dir)
+    px = dense.select("f", "w", "h", "px")
+    found = components.label_frames(px, 0.0, connectivity)
+    return frames.to_long(px).join(components_long(found), list(_KEY))
+
+
+def components_long(found: DataFrame) -> DataFrame:
+    return found.select("f", "w", F.posexplode("label").alias("i", "label")).select("f", (F.col("i") % F.col("w")).cast("int").alias("x"), F.expr("cast(i div w as int)").alias("y"), "label")
+
+
+_L4, _L8 = sql.labels("l", "e", "v > 0", 4), sql.labels("l", "e", "v > 0", 8)
+
+
+@_query(f"WITH RECURSIVE {sql.E}, {_L4} SELECT f, x, y, label FROM l")
+def labels_4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.label_pixels(frames.embedding_dense(spark, sf_dir), 0.0, 4)
+
+
+@_query(f"WITH RECURSIVE {sql.E}, {_L8} SELECT f, x, y, label FROM l")
+def labels_8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.label_pixels(frames.embedding_dense(spark, sf_dir), 0.0, 8)
+
+
+@_query(f"WITH RECURSIVE {sql.E}, {_L4} SELECT f, x, y, label FROM l WHERE label > 0")
+def labels_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.label_relational(_e(spark, sf_dir), 0.0, 4).select("f", F.col("x").cast("int").alias("x"), "y", "label")
+
+
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _tensor_roots(spark, sf_dir).select(*_KEY, "v", matrices.coherence(F.col("e1"), F.col("e2")).alias("coherence"))
+    peaks = stencil.local_maxima(_e(spark, sf_dir), "v", 5).select(*_KEY, F.lit(True).alias("is_max"))
+    labelled = components.label_pixels(frames.embedding_dense(spark, sf_dir), 0.0, 4)
+    return components.component_stats(d.join(labelled, list(_KEY)).join(peaks, list(_KEY), "left").withColumn("is_max", F.coalesce("is_max", F.lit(False))))
+
+
+_STATS = f"""{sql.E}, {_L4}, {_EIG}, m AS ({sql.maxima("e", "v", "> 5")}),
+o AS (SELECT f, x, y, CASE WHEN e1 + e2 <> 0 THEN (e1 - e2) / (e1 + e2) ELSE 1e0 END AS c FROM q),
+stats AS (
+  SELECT f, label, count(*) AS size, sum(l.v) AS volume, sum(1 - c * c) AS incoherence, count(m.v) AS maximas
+  FROM l JOIN o USING (f, x, y) LEFT JOIN m USING (f, x, y) WHERE label > 0 GROUP BY f, label
+)"""
+_LOGISTIC = "1 / (1 + exp(-{a} * {x} + {a} * {c}))"
+_ALPHA = "(-ln(({0} - 1) / -({0} + 1)) / {1})"
+_BY_SIZE = "(1 - " + _LOGISTIC.format(a=_ALPHA.format("0.9e0", "15e0"), x="size", c="40e0") + ")"
+_BY_MIX = _LOGISTIC.format(a=_ALPHA.format("0.9e0", "0.3e0"), x="(incoherence / size)", c="0.4e0")
+
+
+@_query(f"WITH RECURSIVE {_STATS} SELECT f, label, size, CAST(volume AS BIGINT) AS volume, round(incoherence, 5) + 0e0 AS incoherence, maximas FROM stats")
+def component_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(spark, sf_dir).select("f", "label", "size", _big("volume"), _r("incoherence", 5), "maximas")
+
+
+@_query(f"WITH RECURSIVE {_STATS} SELECT f, label, round(CASE WHEN maximas > 0 THEN {_BY_SIZE} * {_BY_MIX} ELSE 0e0 END, 6) + 0e0 AS score FROM stats")
+def component_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(spark, sf_dir).select("f", "label", _r(components.score(F.col("size"), F.col("incoherence"), F.col("maximas"))).alias("score"))
+
+
+@_query(f"WITH RECURSIVE {_STATS}, s AS (SELECT f, label, CASE WHEN maximas > 0 THEN 100e0 * incoherence / (size * size) / maximas ELSE 0e0 END + pow(2e0, -52) AS s FROM stats) SELECT f, label, round(s / (s + 1), 6) + 0e0 AS score FROM s")
+def component_score_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(spark, sf_dir).select("f", "label", _r(components.score_v1(F.col("size"), F.col("incoherence"), F.col("maximas"))).alias("score"))
+
+
+@_query(f"WITH RECURSIVE {sql.E}, {_L4} SELECT f, label, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax FROM l WHERE label > 0 GROUP BY f, label")
+def component_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.bounding_boxes(components.label_pixels(frames.embedding_dense(spark, sf_dir), 0.0, 4))
+
+
+@_query(f"WITH RECURSIVE {_STATS}, k AS (SELECT f, label, CASE WHEN maximas = 1 THEN 'F' ELSE 'O' END AS kind FROM stats) SELECT f, label, kind, kind || CAST(row_number() OVER (PARTITION BY f, kind ORDER BY label) - 1 AS VARCHAR) AS name FROM k")
+def finger_or_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.finger_or_object(_stats(spark, sf_dir)).select("f", "label", "kind", "name")
+
+
+# ---- distances: sources are the components of odd (included) or even (excluded) label, the cost is |v| / 100
+
+
+def _distances(spark: SparkSession, sf_dir: str, odd: int, limit: float = 0.5) -> DataFrame:
+    dense = frames.embedding_dense(spark, sf_dir)
+    both = dense.select("f", "w", "h", F.col("px").alias("px"))
+    labelled = _with_labels(both)
+    ready = labelled.select("f", "w", "h", F.transform("label", lambda v: ((v > 0) & (v % 2 == odd)).cast("int")).alias("source"), F.transform("label", lambda v: (v == 0).cast("int")).alias("mask"), F.transform("px", lambda v: F.abs(v) / 100).alias("cost"))
+    found = distance.distance_frames(ready, limit)
+    return found.select("f", "w", F.posexplode("distance").alias("i", "distance")).select("f", (F.col("i") % F.col("w")).cast("int").alias("x"), F.expr("cast(i div w as int)").alias("y"), "distance")
+
+
+def _with_labels(dense: DataFrame) -> DataFrame:
+    return dense.join(components.label_frames(dense, 0.0, 4).select("f", "label"), "f")
+
+
+def _distance_sql(name: str, odd: int) -> str:
+    return f"""{name}_reach(f, x, y, d) AS (
+  SELECT f, x, y, 0e0 FROM l WHERE label > 0 AND label % 2 = {odd}
+  UNION
+  SELECT b.f, b.x, b.y, r.d + abs(a.v) / 100e0 + 0.1e0 FROM {name}_reach r JOIN l a ON a.f = r.f AND a.x = r.x AND a.y = r.y
+  JOIN l b ON b.f = r.f AND abs(b.x - r.x) + abs(b.y - r.y) = 1 AND b.label = 0 WHERE r.d + abs(a.v) / 100e0 + 0.1e0 < 0.5e0
+), {name} AS (SELECT f, x, y, min(d) AS distance FROM {name}_reach GROUP BY f, x, y)"""
+
+
+_DIST = f"{sql.E}, {_L4}, {_distance_sql('d1', 1)}, {_distance_sql('d2', 0)}"
+
+
+@_query(f"WITH RECURSIVE {_DIST} SELECT f, x, y, round(distance, 6) + 0e0 AS distance FROM d1")
+def distance_included(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _distances(spark, sf_dir, 1).where("distance is not null").select(*_KEY, _r("distance"))
+
+
+@_query(f"WITH RECURSIVE {_DIST} SELECT f, x, y, round(distance, 6) + 0e0 AS distance FROM d2")
+def distance_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _distances(spark, sf_dir, 0).where("distance is not null").select(*_KEY, _r("distance"))
+
+
+def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inside = _distances(spark, sf_dir, 1).withColumnRenamed("distance", "d1")
+    outside = _distances(spark, sf_dir, 0).withColumnRenamed("distance", "d2")
+    joined = _e(spark, sf_dir).join(inside, list(_KEY)).join(outside, list(_KEY))
+    return joined.withColumn("weight", distance.soft_mask(F.col("d1"), F.col("d2")))
+
+
+_WEIGHTS = f"""{_DIST}, w AS (SELECT f, x, y, v, coalesce(exp(-pow(d1.distance, 2)), 0e0) AS wi, coalesce(exp(-pow(d2.distance, 2)), 0e0) AS we FROM l LEFT JOIN d1 USING (f, x, y) LEFT JOIN d2 USING (f, x, y)),
+ww AS (SELECT *, CASE WHEN wi + we > 0 THEN wi / (wi + we) ELSE 0e0 END AS weight, CASE WHEN wi + we > 0 THEN we / (wi + we) ELSE 0e0 END AS other FROM w)"""
+
+
+@_query(f"WITH RECURSIVE {_WEIGHTS} SELECT f, x, y, round(v * weight, 6) + 0e0 AS v FROM ww")
+def soft_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _weights(spark, sf_dir).select(*_KEY, _r(F.col("v") * F.col("weight")).alias("v"))
+
+
+@_query(f"WITH RECURSIVE {_WEIGHTS} SELECT f, x, y, 0 AS set_id, round(weight, 6) + 0e0 AS weight FROM ww UNION ALL SELECT f, x, y, 1, round(other, 6) + 0e0 FROM ww")
+def decomposition_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = _distances(spark, sf_dir, 1).withColumn("set_id", F.lit(0)).unionByName(_distances(spark, sf_dir, 0).withColumn("set_id", F.lit(1)))
+    return distance.decomposition_weights(sets).select(*_KEY, "set_id", _r("weight"))
+
+
+@_query(f"WITH RECURSIVE {_WEIGHTS} SELECT f, round(avg(pow(v * weight + v * other - v, 2)), 5) + 0e0 AS mse FROM ww GROUP BY f")
+def reconstruction_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = _distances(spark, sf_dir, 1).withColumn("set_id", F.lit(0)).unionByName(_distances(spark, sf_dir, 0).withColumn("set_id", F.lit(1)))
+    pixels = _e(spark, sf_dir)
+    parts = distance.decomposition_weights(sets).join(pixels, list(_KEY)).select(*_KEY, (F.col("v") * F.col("weight")).alias("v"))
+    return mixture.reconstruction_error(parts, pixels).select("f", _r("mse", 5))
+
+
+# ---- moments and mixtures
+
+
+@_query(
+    f"""WITH RECURSIVE {sql.E}, {_L4}, s AS (SELECT f, label, CAST(sum(v) AS DOUBLE) AS w, max(v) AS w_max, CAST(sum(v * x) AS DOUBLE) AS sx, CAST(sum(v * y) AS DOUBLE) AS sy, CAST(sum(v * x * x) AS DOUBLE) AS sxx, CAST(sum(v * y * y) AS DOUBLE) AS syy, CAST(sum(v * x * y) AS DOUBLE) AS sxy FROM l WHERE label > 0 GROUP BY f, label),
+m AS (SELECT f, label, w_max, sx / w AS mean_x, sy / w AS mean_y, (sxx - sx * sx / w) / w AS vx, (syy - sy * sy / w) / w AS vy, (sxy - sx * sy / w) / w AS cv FROM s),
+n AS (SELECT *, sqrt(pow(vx - vy, 2) + 4 * pow(cv, 2)) AS root FROM m)
+SELECT f, label, w_max, round(mean_x, 6) + 0e0 AS mean_x, round(mean_y, 6) + 0e0 AS mean_y, round((vx + vy + root) / 2, 6) + 0e0 AS ev1, round((vx + vy - root) / 2, 6) + 0e0 AS ev2 FROM n"""
+)
+def cluster_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense = frames.embedding_dense(spark, sf_dir)
+    labelled = frames.together(frames.to_long(dense)).join(components.label_pixels(dense, 0.0, 4), list(_KEY))
+    return mixture.cluster_moments(labelled).select("f", "label", "w_max", _r("mean_x"), _r("mean_y"), _r("ev1"), _r("ev2"))
+
+
+@_query(
+    f"""WITH {sql.T}, m AS (SELECT f, sum(v) AS total, sum(v * x) / sum(v) AS mean_x, sum(v * y) / sum(v) AS mean_y FROM t GROUP BY f HAVING sum(v) > 0)
+SELECT f, round(any_value(mean_x), 5) + 0e0 AS mean_x, round(any_value(mean_y), 5) + 0e0 AS mean_y, round(sum(v * pow(x - mean_x, 2)) / any_value(total), 5) + 0e0 AS cov_xx,
+round(sum(v * (x - mean_x) * (y - mean_y)) / any_value(total), 5) + 0e0 AS cov_xy, round(sum(v * pow(y - mean_y, 2)) / any_value(total), 5) + 0e0 AS cov_yy FROM t JOIN m USING (f) GROUP BY f"""
+)
+def mle_mean_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = mixture.mean_and_covariance(_t(spark, sf_dir))
+    return d.select("f", *(_r(c, 5) for c in ("mean_x", "mean_y", "cov_xx", "cov_xy", "cov_yy")))
+
+
+@_query(f"WITH {sql.T} SELECT f, x, y, round(v, 6) + 0e0 AS v FROM t")
+def splat_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir).select(*_KEY, _r("v"))
+
+
+_START = "(VALUES (0, 20e0, 16e0, 150e0, 10e0, 90e0), (1, 52e0, 32e0, 150e0, -10e0, 90e0)) k(k, mx, my, cxx, cxy, cyy)"
+
+
+def _start(pixels: DataFrame) -> DataFrame:
+    rows = [(0, 20.0, 16.0, 150.0, 10.0, 90.0), (1, 52.0, 32.0, 150.0, -10.0, 90.0)]
+    each = F.array(*(F.struct(F.lit(k).alias("k"), *(F.lit(v).alias(n) for n, v in zip(("mx", "my", "cxx", "cxy", "cyy"), r, strict=True))) for k, *r in rows))
+    return pixels.select("f").distinct().select("f", F.inline(each))
+
+
+_DENSITY = "exp(-(cyy * pow(x - mx, 2) - 2 * cxy * (x - mx) * (y - my) + cxx * pow(y - my, 2)) / (cxx * cyy - cxy * cxy) / 2) / (2 * pi() * sqrt(cxx * cyy - cxy * cxy))"
+_MOMENTS = """s AS (SELECT f, k, sum(wv) AS n, sum(wv * x) AS sx, sum(wv * y) AS sy, sum(wv * x * x) AS sxx, sum(wv * x * y) AS sxy, sum(wv * y * y) AS syy FROM d GROUP BY f, k HAVING sum(wv) > 0)
+SELECT f, k, round(sx / n, 5) + 0e0 AS mx, round(sy / n, 5) + 0e0 AS my, round(sxx / n - sx / n * (sx / n), 4) + 0e0 AS cxx, round(sxy / n - sx / n * (sy / n), 4) + 0e0 AS cxy, round(syy / n - sy / n * (sy / n), 4) + 0e0 AS cyy FROM s"""
+
+
+def _step(spark: SparkSession, sf_dir: str, hard: bool) -> DataFrame:
+    pixels = _t(spark, sf_dir)
+    d = mixture.mixture_step(pixels, _start(pixels), hard)
+    return d.select("f", "k", _r("mx", 5), _r("my", 5), *(_r(c, 4) for c in ("cxx", "cxy", "cyy")))
+
+
+@_query(f"WITH {sql.T}, p AS (SELECT f, x, y, v, k, {_DENSITY} AS p FROM t CROSS JOIN {_START}), b AS (SELECT *, row_number() OVER (PARTITION BY f, x, y ORDER BY p DESC, k) AS rn FROM p), d AS (SELECT f, k, x, y, v AS wv FROM b WHERE rn = 1), {_MOMENTS}")
+def mixture_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _step(spark, sf_dir, True)
+
+
+@_query(f"WITH {sql.T}, p AS (SELECT f, x, y, v, k, {_DENSITY} AS p FROM t CROSS JOIN {_START}), b AS (SELECT *, sum(p) OVER (PARTITION BY f, x, y) AS total FROM p), d AS (SELECT f, k, x, y, v * CASE WHEN total > 1e-20 THEN p / total ELSE 0e0 END AS wv FROM b), {_MOMENTS}")
+def mixture_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _step(spark, sf_dir, False)
+
+
+def _loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = _t(spark, sf_dir)
+    params = pixels.select("f").distinct().select("f", F.lit(0.8).alias("c"), F.lit(30.5).alias("mx"), F.lit(20.25).alias("my"), F.lit(0.02).alias("pxx"), F.lit(0.004).alias("pxy"), F.lit(0.03).alias("pyy"))
+    return mixture.squared_loss(pixels, params)
+
+
+_LOSS = f"{sql.T}, a AS (SELECT f, v, x - 30.5e0 AS dx, y - 20.25e0 AS dy FROM t), b AS (SELECT *, exp(-(0.02e0 * dx * dx + 0.008e0 * dx * dy + 0.03e0 * dy * dy) / 2) AS e FROM a), r AS (SELECT *, 0.8e0 * e - v AS r FROM b)"
+
+
+@_query(f"WITH {_LOSS} SELECT f, round(sum(r * r), 5) + 0e0 AS loss FROM r GROUP BY f")
+def lsq_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loss(spark, sf_dir).select("f", _r("loss", 5))
+
+
+@_query(
+    f"WITH {_LOSS} SELECT f, round(2 * sum(r * e), 4) + 0e0 AS d_c, round(2 * sum(0.8e0 * r * e * (0.02e0 * dx + 0.004e0 * dy)), 4) + 0e0 AS d_mx, round(2 * sum(0.8e0 * r * e * (0.004e0 * dx + 0.03e0 * dy)), 4) + 0e0 AS d_my,"
+    " round(-sum(0.8e0 * r * e * dx * dx), 3) + 0e0 AS d_pxx, round(-sum(0.8e0 * r * e * dx * dy), 3) + 0e0 AS d_pxy, round(-sum(0.8e0 * r * e * dy * dy), 3) + 0e0 AS d_pyy FROM r GROUP BY f"
+)
+def lsq_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loss(spark, sf_dir).select("f", *(_r(c, 4) for c in ("d_c", "d_mx", "d_my")), *(_r(c, 3) for c in ("d_pxx", "d_pxy", "d_pyy")))
+
+
+# ---- fits: candidates are the maxima of the splatted frames
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pixels = _t(spark, sf_dir)
+    return fit.candidates(stencil.local_maxima(pixels, "v", 0.3)), pixels
+
+
+_SHARES = f"""{sql.T}, m AS MATERIALIZED ({sql.maxima("t", "v", "> 0.3e0")}),
+win AS (SELECT m.f, CAST(m.y * 72 + m.x AS BIGINT) AS c, t.x, t.y, t.v, t.x * 2 / 72e0 - 1 AS sx, t.y * 2 / 48e0 - 1 AS sy, m.x * 2 / 72e0 - 1 AS mx, m.y * 2 / 48e0 - 1 AS my FROM m JOIN t ON t.f = m.f AND t.x BETWEEN m.x - 5 AND m.x + 5 AND t.y BETWEEN m.y - 5 AND m.y + 5),
+g AS (SELECT *, exp(-(1296e0 * pow(sx - mx, 2) + 576e0 * pow(sy - my, 2)) / 2) AS g FROM win),
+sh AS (SELECT *, CASE WHEN sum(g) OVER (PARTITION BY f, x, y) > 0 THEN g / sum(g) OVER (PARTITION BY f, x, y) ELSE g END AS share FROM g)"""
+
+
+@_query(f"WITH {_SHARES} SELECT f, c, x, y, round(share, 6) + 0e0 AS share FROM sh")
+def responsibilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cands, pixels = _windows(spark, sf_dir)
+    return fit.responsibilities(fit.window_pixels(cands, pixels)).select("f", "c", "x", "y", _r("share"))
+
+
+def _powers(i: int, j: int) -> str:
+    return " * ".join(["1e0", *["sx"] * i, *["sy"] * j])
+
+
+_EQUATIONS = f"{_SHARES}, dd AS (SELECT f, c, sx, sy, v * share AS d FROM sh), eq AS (SELECT f, c, " + ", ".join([*(f"sum(d * d * {_powers(i, j)}) AS m{i}{j}" for i, j in fit.MOMENTS), *(f"sum(d * d * ln(d + pow(2e0, -52)) * {_powers(i, j)}) AS r{i}{j}" for i, j in fit.RIGHTS)]) + " FROM dd GROUP BY f, c)"
+_EQUATION_COLUMNS = [*(f"m{i}{j}" for i, j in fit.MOMENTS), *(f"r{i}{j}" for i, j in fit.RIGHTS)]
+
+
+@_query(f"WITH {_EQUATIONS} SELECT f, c, {', '.join(f'round({c}, 6) + 0e0 AS {c}' for c in _EQUATION_COLUMNS)} FROM eq")
+def normal_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cands, pixels = _windows(spark, sf_dir)
+    return fit.normal_equations(fit.responsibilities(fit.window_pixels(cands, pixels))).select("f", "c", *(_r(c) for c in _EQUATION_COLUMNS))
+
+
+@_query()
+def fit_one_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cands, pixels = _windows(spark, sf_dir)
+    d = fit.in_pixels(fit.iterate(cands, pixels))
+    return d.select("f", "c", "scale", "mx", "my", "pxx", "pxy", "pyy")
+
+
+@_query()
+def fit_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cands, pixels = _windows(spark, sf_dir)
+    return fit.accepted(fit.in_pixels(fit.iterate(cands, pixels))).select("f", "c", "scale", "mx", "my", "cov", "aspect")
+
+
+@_query()
+def touchpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit.touch_points(frames.to_dense(frames.splat(frames.touches(spark, sf_dir))))
+
+
+@_query()
+def ellipse_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.ellipses(touchpoints(spark, sf_dir), 48).select("f", "touch_id", "axis_1", "axis_2", "rotation", "aspect", "centre_x", "centre_y")
+
+
+@_query()
+def bfgs_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = frames.quantity_pixels(spark, sf_dir)
+    peak = pixels.groupBy("f").agg(F.max_by(F.struct("x", "y"), F.struct("v", -F.col("y"), -F.col("x"))).alias("p"), F.max("v").alias("top"))
+    scaled = pixels.join(peak.select("f", "top"), "f").withColumn("v", F.col("v") / F.col("top"))
+    start = peak.select("f", F.lit(1.0).alias("c"), F.col("p.x").cast("double").alias("mx"), F.col("p.y").cast("double").alias("my"), F.lit(0.05).alias("pxx"), F.lit(0.0).alias("pxy"), F.lit(0.05).alias("pyy"))
+    return mixture.least_squares_fit(scaled, start)
+
+
+# ---- colours
+
+
+def _colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = Window.partitionBy("f")
+    return _e(spark, sf_dir).withColumn("u", colour.normalised(F.col("v"), F.min("v").over(frame), F.max("v").over(frame)))
+
+
+def _rgb(d: DataFrame, rgb: tuple[Column, ...]) -> DataFrame:
+    return d.select(*_KEY, *(_r(c).alias(n) for c, n in zip(rgb, "rgb", strict=True)))
+
+
+_U = f"{sql.E}, ranges AS (SELECT *, min(v) OVER (PARTITION BY f) AS lo, max(v) OVER (PARTITION BY f) AS hi FROM e), u AS (SELECT f, x, y, least(greatest((v - lo) / CAST(CASE WHEN hi - lo <= 0 THEN 1 ELSE hi - lo END AS DOUBLE), 0e0), 1e0) AS u FROM ranges)"
+
+
+@_query(f"WITH {_U} SELECT f, x, y, round(u, 6) + 0e0 AS r, round(u, 6) + 0e0 AS g, round(u, 6) + 0e0 AS b FROM u")
+def colour_grayscale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _colours(spark, sf_dir)
+    return _rgb(d, colour.grayscale(F.col("u")))
+
+
+_HELIX = "round(least(greatest(u + a * ({0} * cos(phi) + {1} * sin(phi)), 0e0), 1e0), 6) + 0e0 AS {2}"
+
+
+@_query(f"WITH {_U}, h AS (SELECT *, 2 * pi() * (0.5e0 / 3 - 1.5e0 * u) AS phi, 1.2e0 * u * (1 - u) / 2 AS a FROM u) SELECT f, x, y, {_HELIX.format('-0.14861e0', '1.78277e0', 'r')}, {_HELIX.format('-0.29227e0', '-0.90649e0', 'g')}, {_HELIX.format('1.97294e0', '0e0', 'b')} FROM h")
+def colour_cubehelix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rgb(_colours(spark, sf_dir), colour.cubehelix(F.col("u")))
+
+
+_STOPS = colour.RAMPS["viridis"]
+
+
+def _ramp_sql(k: int, name: str) -> str:
+    values = "[" + ", ".join(f"{row[k]}e0" for row in _STOPS) + "]"
+    return f"round({values}[CAST(floor(u * {len(_STOPS) - 1}) AS BIGINT) + 1] * (1 - (u * {len(_STOPS) - 1} - floor(u * {len(_STOPS) - 1}))) + {values}[CAST(ceil(u * {len(_STOPS) - 1}) AS BIGINT) + 1] * (u * {len(_STOPS) - 1} - floor(u * {len(_STOPS) - 1})), 6) + 0e0 AS {name}"
+
+
+@_query(f"WITH {_U} SELECT f, x, y, {', '.join(_ramp_sql(k, n) for k, n in enumerate('rgb'))} FROM u")
+def colour_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rgb(_colours(spark, sf_dir), colour.table_map(F.col("u"), _STOPS))
+
+
+# ---- pen samples: events in order, pen down in clicks and purchases
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return events.select(
+        F.col("user_id").cast("string").alias("capture"),
+        F.lit("plain").alias("kind"),
+        F.row_number().over(order).cast("long").alias("pos"),
+        F.when(F.col("event_type").isin("click", "purchase"), 3).otherwise(1).alias("mode"),
+        (F.col("event_id") * 7 % 72).cast("int").alias("x"),
+        (F.col("event_id") * 13 % 48).cast("int").alias("y"),
+    )
+
+
+_STROKES = """s AS (SELECT CAST(user_id AS VARCHAR) AS capture, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, event_type IN ('click', 'purchase') AS down, CAST(event_id * 7 % 72 AS INTEGER) AS x, CAST(event_id * 13 % 48 AS INTEGER) AS y FROM events),
+a AS (SELECT *, CASE WHEN coalesce(lag(down) OVER (PARTITION BY capture ORDER BY pos), FALSE) AND NOT down THEN 1 ELSE 0 END AS ended FROM s),
+b AS (SELECT *, sum(ended) OVER (PARTITION BY capture ORDER BY pos) AS run FROM a),
+c AS (SELECT capture, pos, x, y, CAST(dense_rank() OVER (PARTITION BY capture ORDER BY run) AS INTEGER) AS stroke_id, CAST(row_number() OVER (PARTITION BY capture, run ORDER BY pos) - 1 AS INTEGER) AS seq FROM b WHERE down)"""
+
+
+@_query(f"WITH {_STROKES} SELECT capture, stroke_id, seq, pos, x, y FROM c")
+def stylus_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strokes.strokes(_samples(spark, sf_dir)).select("capture", "stroke_id", "seq", "pos", "x", "y")
+
+
+@_query(f"WITH {_STROKES} SELECT capture, stroke_id, count(*) AS n, string_agg(x || ',' || (-y), ' ' ORDER BY seq) AS points FROM c GROUP BY capture, stroke_id")
+def stroke_polyline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = strokes.polylines(strokes.strokes(_samples(spark, sf_dir)))
+    return d.select("capture", "stroke_id", "n", F.array_join(F.transform("points", lambda p: F.concat_ws(",", p["x"].cast("string"), p["y"].cast("string"))), " ").alias("points"))
+
+
+# ---- captures
+
+
+def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense = frames.embedding_dense(spark, sf_dir)
+    return capture.encode_frames(dense.withColumn("px", F.transform("px", lambda v: F.least(F.greatest(v + 128, F.lit(0)), F.lit(255)))))
+
+
+@_query(
+    f"WITH {sql.E}, n AS (SELECT *, 'capture-' || lpad(CAST(f // 64 AS VARCHAR), 8, '0') AS capture FROM e), o AS (SELECT capture, f, dense_rank() OVER (PARTITION BY capture ORDER BY f) - 1 AS frame, x, y, v FROM n)"
+    " SELECT capture, frame, x, y, CAST(least(greatest(v + 128, 0), 255) AS INTEGER) AS b FROM o"
+)
+def capture_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = capture.heatmaps(capture.reports(_captures(spark, sf_dir)))
+    cells = found.select("capture", F.col("f").alias("frame"), "w", F.posexplode("px").alias("i", "v"))
+    return cells.select("capture", "frame", (F.col("i") % F.col("w")).cast("int").alias("x"), F.expr("cast(i div w as int)").alias("y"), F.round((1 - F.col("v")) * 255).cast("int").alias("b"))
+
+
+@_query("WITH n AS (SELECT vec_id // 64 AS part, count(*) AS frames FROM embeddings GROUP BY ALL) SELECT 'capture-' || lpad(CAST(part AS VARCHAR), 8, '0') AS capture, CAST(3 AS INTEGER) AS level, 'data' AS kind, CAST(1 AS BIGINT) AS n FROM n")
+def parse_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = _captures(spark, sf_dir).withColumn("content", F.expr("substring(content, 1, length(content) - 1)"))
+    return capture.diagnostics(cut).groupBy("capture", "level", "kind").agg(F.count("*").alias("n"))
+
+
+# ---- metrics
+
+
+@_query("WITH d AS (SELECT event_type AS stage, event_id % 997 + 1 AS us FROM events) SELECT stage, count(us) AS n, CAST(sum(us) AS BIGINT) AS total_us, round(avg(us), 6) AS mean_us, round(var_samp(us), 4) AS var_us2, round(stddev_samp(us), 6) AS stddev_us, min(us) AS min_us, max(us) AS max_us FROM d GROUP BY stage")
+def stage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    d = metrics.stage_metrics(events.select(F.col("event_type").alias("stage"), (F.col("event_id") % 997 + 1).alias("us")))
+    return d.select("stage", "n", "total_us", _r("mean_us"), _r("var_us2", 4), _r("stddev_us"), "min_us", "max_us")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts of all splatted frames."""
+    return touchpoints(spark, sf_dir)
