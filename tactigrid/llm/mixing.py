@@ -235,15 +235,15 @@ def mixed_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFra
     placed, used = _plan(docs, params, True)
     runs = used.groupBy("part", "row").agg(F.collect_list(F.struct("from_word", "to_word", "times")).alias("runs_"))  # at most one per block of the document
     kept = placed.join(runs, ["part", "row"]).select(*docs.columns, "runs_")
-    schema = docs.schema
-    place = docs.columns.index("text")
+    schema, names = docs.schema, docs.columns
+    place = names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [cut_text(t, [(r["from_word"], r["to_word"], r["times"]) for r in runs]) for t, runs in zip(batch.column("text").to_pylist(), batch.column("runs_").to_pylist(), strict=True)]
-            columns = [batch.column(c) for c in docs.columns]
+            columns = [batch.column(c) for c in names]
             columns[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     mixed = kept.mapInArrow(cut, schema)
     return mixed.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else mixed
