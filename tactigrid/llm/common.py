@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tactigrid.session import checkpointed, ship_package
 
-__all__ = ["WHITE_SPACE", "checkpointed", "join_small", "python_ready", "read_table"]
+__all__ = ["WHITE_SPACE", "checkpointed", "join_small", "python_ready", "read_table", "shielded"]
 
 #: Words are maximal runs of anything but these six characters.
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
@@ -30,3 +30,9 @@ def join_small(big: DataFrame, small: DataFrame, on: str | Sequence[str], how: s
     """Join with a broadcast if the checkpointed side is counted to have at most `rows` rows, else by shuffle."""
     count = small.limit(rows + 1).count()
     return big.join(F.broadcast(small) if count <= rows else small, on, how)
+
+
+def shielded(docs: DataFrame, keep: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+    """docs with the columns beside keep under names that no operator uses, and the columns that restore the names and order."""
+    names = {c: c if c in keep else f"other{i}__" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), [F.col(n).alias(c) for c, n in names.items()]

@@ -34,7 +34,7 @@ from tactigrid.llm.graph import components
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _NIBBLES = 0x1111111111111111
 #: Words whose hashes a worker keeps; beyond that it starts anew.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 300_000
 
 
 @dataclass(frozen=True)

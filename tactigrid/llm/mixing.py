@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tactigrid.llm.common import checkpointed, join_small, python_ready
+from tactigrid.llm.common import checkpointed, join_small, python_ready, shielded
 
 
 @dataclass(frozen=True)
@@ -56,7 +56,7 @@ class Source:
 
 def _sizes(docs: DataFrame, keep_text: bool) -> DataFrame:
     """docs' columns, source_, size, part and row of the task that read it, and start: words of its source before it in that task."""
-    python_ready(docs.sparkSession)
+    python_ready(docs.sparkSession, rows=500)
     columns = docs.columns if keep_text else ["doc_id"]
     picked = docs.select(*columns, F.col("source").cast("string").alias("source_"), F.col("text").cast("string").alias("text_"))
     schema = docs.select(*columns).schema
@@ -232,6 +232,7 @@ def cut_text(text: str, runs: list[tuple[int, int, int]]) -> str:
 
 def mixed_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """The documents of which the mix takes words, with the columns of docs; text holds the words it takes, n_chars (if there) their length."""
+    docs, restored = shielded(docs, ("text", "source"))
     placed, used = _plan(docs, params, True)
     runs = used.groupBy("part", "row").agg(F.collect_list(F.struct("from_word", "to_word", "times")).alias("runs_"))  # at most one per block of the document
     kept = placed.join(runs, ["part", "row"]).select(*docs.columns, "runs_")
@@ -240,10 +241,14 @@ def mixed_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFra
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [cut_text(t, [(r["from_word"], r["to_word"], r["times"]) for r in runs]) for t, runs in zip(batch.column("text").to_pylist(), batch.column("runs_").to_pylist(), strict=True)]
+            runs = batch.column("runs_")
+            low, high, times = (runs.values.field(k).to_numpy() for k in ("from_word", "to_word", "times"))
+            ends = runs.offsets.to_pylist()
+            each = (list(zip(low[a:b].tolist(), high[a:b].tolist(), times[a:b].tolist(), strict=True)) for a, b in zip(ends, ends[1:], strict=False))
+            texts = [cut_text(t.as_py(), own) for t, own in zip(batch.column("text"), each, strict=True)]
             columns = [batch.column(c) for c in names]
             columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    mixed = kept.mapInArrow(cut, schema)
-    return mixed.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else mixed
+    mixed = kept.mapInArrow(cut, schema).select(*restored)
+    return mixed.withColumn("n_chars", F.length("text").cast(mixed.schema["n_chars"].dataType)) if "n_chars" in mixed.columns else mixed

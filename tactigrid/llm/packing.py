@@ -35,7 +35,7 @@ from tactigrid.llm.common import checkpointed, python_ready
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker keeps; beyond that it starts anew.
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 600_000
 
 
 #: Characters that end a pre-token after a letter or digit and never join the next; the apostrophe can.

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tactigrid.llm.common import WHITE_SPACE, checkpointed, join_small
+from tactigrid.llm.common import WHITE_SPACE, checkpointed, join_small, shielded
 
 #: Character classes of the histogram, in this order; the last holds what no other has (mostly lower-case letters).
 CLASSES = ("upper", "digit", "mark", "symbol", "space", "other")
@@ -134,7 +134,7 @@ def _fenced(df: DataFrame, name: str) -> Column:
 
 
 def apply_rules(docs: DataFrame, params: QualityParams = QualityParams(), refs: DataFrame | None = None) -> DataFrame:
-    """docs with the measures, base_failed, class_distance, word_distance (null where there is nothing to compare) and kept."""
+    """docs (without columns of the names that are added) with the measures, base_failed, class_distance, word_distance (null where there is nothing to compare) and kept."""
     clash = {"text_", "words_", "residue_", "short_", "classes_", "lines_", "windows_", "sorted_", "common", "word_ref", "class_ref", "ref_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance", "hits_", "lone_"}
     docs = docs.drop(*(c for c in docs.columns if c in clash))
     refs = checkpointed(references(docs, params)) if refs is None else refs
@@ -155,5 +155,6 @@ def apply_rules(docs: DataFrame, params: QualityParams = QualityParams(), refs:
 
 
 def kept_documents(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
-    """The rows that pass, with the columns that came in."""
-    return apply_rules(docs, params).where("kept").select(*docs.columns)
+    """The rows that pass, with the columns that came in (whatever their names)."""
+    plain, restored = shielded(docs, ("text", "lang"))
+    return apply_rules(plain, params).where("kept").select(*restored)
