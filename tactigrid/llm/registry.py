@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tactigrid.llm import chat, empirical_bayes, html_text, impact_search, language, licenses, minhash, mixing, packing, quality_rules
 from tactigrid.llm.common import read_table
@@ -23,7 +24,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and divergence of every document; see llm.quality_rules."""
     measured = quality_rules.apply_rules(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+    return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,77 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+OP1_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS shingle
+  FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.doc_id AND reach.root < links.b
+), roots AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN roots USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+OP7_SQL = """
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '*') AS lang, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), m AS (
+  SELECT doc_id, lang, w, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS symbols, length(regexp_replace(t, '[^\\p{Lu}]', '', 'g')) AS uppers,
+         length(regexp_replace(t, '[^0-9]', '', 'g')) AS digits, length(regexp_replace(t, '[^.,;:!?''"()-]', '', 'g')) AS marks,
+         length(t) - length(array_to_string(w, '')) AS spaces, length(t) AS total,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM w
+), x AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM m, unnest(range(1, n_words - 1)) u(i) WHERE n_words >= 3),
+rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM x) WHERE c > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, range(3) r(k) GROUP BY doc_id),
+measured AS (SELECT m.*, coalesce(covered.n, 0) AS n_repeat_words, len(lines) - len(list_distinct(lines)) AS n_dup_lines FROM m LEFT JOIN covered USING (doc_id)),
+tokens AS (SELECT doc_id, lang, lower(u.word) AS word FROM m, unnest(w) u(word) WHERE length(u.word) <= 4),
+both_langs AS (SELECT doc_id, lang FROM m WHERE lang <> '*' UNION ALL SELECT doc_id, '*' FROM m),
+ref AS (
+  SELECT b.lang, sum(n_words) AS words, [sum(uppers), sum(digits), sum(marks), sum(symbols), sum(spaces), sum(total - uppers - digits - marks - symbols - spaces)] AS c
+  FROM both_langs b JOIN m USING (doc_id) GROUP BY b.lang HAVING sum(n_words) >= 2000
+), counts AS (SELECT b.lang, word, count(*) AS n FROM both_langs b JOIN tokens t USING (doc_id) GROUP BY ALL),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM counts WHERE regexp_matches(word, '[\\p{L}\\p{N}]')) WHERE r <= 16),
+lone AS (SELECT lang, sum(n) AS n FROM counts WHERE NOT regexp_matches(word, '[\\p{L}\\p{N}]') GROUP BY lang),
+keyed AS (SELECT m.doc_id, CASE WHEN EXISTS (SELECT 1 FROM ref WHERE ref.lang = m.lang) THEN m.lang ELSE '*' END AS ref_lang FROM m),
+bins AS (
+  SELECT k.doc_id, 'c' AS kind, CAST([uppers, digits, marks, symbols, spaces, total - uppers - digits - marks - symbols - spaces][i] AS DOUBLE) / total AS p, CAST(c[i] AS DOUBLE) / list_sum(c) AS q
+  FROM keyed k JOIN m USING (doc_id) JOIN ref ON ref.lang = k.ref_lang, range(1, 7) r(i)
+  WHERE total > 0
+), hits AS (SELECT k.doc_id, t.word, count(*) AS n FROM keyed k JOIN tokens t USING (doc_id) GROUP BY ALL),
+known AS (
+  SELECT k.doc_id, CAST(coalesce(h.n, 0) AS DOUBLE) AS own, CAST(top.n AS DOUBLE) AS other
+  FROM keyed k JOIN top ON top.lang = k.ref_lang LEFT JOIN hits h ON h.doc_id = k.doc_id AND h.word = top.word
+  UNION ALL
+  SELECT k.doc_id, coalesce((SELECT sum(n) FROM hits h WHERE h.doc_id = k.doc_id AND NOT regexp_matches(h.word, '[\\p{L}\\p{N}]')), 0), coalesce(l.n, 0)
+  FROM keyed k LEFT JOIN lone l ON l.lang = k.ref_lang
+), every AS (
+  SELECT * FROM known
+  UNION ALL
+  SELECT k.doc_id, any_value(m.n_words) - sum(own), any_value(ref.words) - sum(other) FROM known k JOIN m USING (doc_id) JOIN keyed USING (doc_id) JOIN ref ON ref.lang = ref_lang GROUP BY k.doc_id
+), all_bins AS (
+  SELECT * FROM bins
+  UNION ALL
+  SELECT e.doc_id, 'w', own / n_words, other / words FROM every e JOIN m USING (doc_id) JOIN keyed USING (doc_id) JOIN ref ON ref.lang = ref_lang WHERE n_words > 0
+), js AS (
+  SELECT doc_id, kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS d FROM all_bins GROUP BY ALL
+), judged AS (
+  SELECT a.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE WHEN n_words >= 50 AND word_chars >= 100 THEN c.d END AS class_distance, CASE WHEN n_words >= 50 AND word_chars >= 100 THEN v.d END AS word_distance
+  FROM measured a LEFT JOIN js c ON c.doc_id = a.doc_id AND c.kind = 'c' LEFT JOIN js v ON v.doc_id = a.doc_id AND v.kind = 'w'
+)
+SELECT doc_id, n_words, word_chars, symbols AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(class_distance > 0.27 OR word_distance > 0.38, FALSE) AS kept, round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance
+FROM judged
+"""
+
 OP2_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q
@@ -83,4 +155,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_impact_search": OP2_SQL}
+    return {"op1_minhash_dedup": OP1_SQL, "op2_impact_search": OP2_SQL, "op7_quality_rules": OP7_SQL}
