@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tactigrid.session import checkpointed, ship_package
 
-__all__ = ["WHITE_SPACE", "checkpointed", "join_small", "python_ready", "read_table", "shielded"]
+__all__ = ["WHITE_SPACE", "checkpointed", "join_small", "python_ready", "read_table", "released", "shielded"]
 
 #: Words are maximal runs of anything but these six characters.
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
@@ -32,6 +33,12 @@ def join_small(big: DataFrame, small: DataFrame, on: str | Sequence[str], how: s
     return big.join(F.broadcast(small) if count <= rows else small, on, how)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle and checkpoint files that nothing refers to any more, before the next round writes its own."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shielded(docs: DataFrame, keep: Sequence[str]) -> tuple[DataFrame, list[Column]]:
     """docs with the columns beside keep under names that no operator uses, and the columns that restore the names and order."""
     names = {c: c if c in keep else f"other{i}__" for i, c in enumerate(docs.columns)}

@@ -46,7 +46,9 @@ _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Beginnings of class, id and role words that tell boilerplate, whole words that do, and beginnings that tell content.
 _BAD = re.compile("nav|menu|sidebar|foot|masthead|banner|advert|sponsor|promo|cookie|consent|gdpr|popup|modal|overlay|newsletter|subscri|signup|login|register|shar(?:e|ing)|social|comment|disqus|repl(?:y|ies)|respond|discuss|related|recommend|breadcrumb|pagin|pager|widget|toolbar|search|copyright|notice|alert|notif|disclaim|legal|hidden|complement|contentinfo|teaser|trending|popular|tagcloud|skip|upsell|donat|feedback|rating|review|tracking|toast|announce")
 _BAD_WHOLE = frozenset("ad ads adv side aside header top bottom tags tools form rail outbrain taboola gpt dfp links none cta".split())
-_GOOD = re.compile("article|content|post|entry|main|story|body|text|page|prose|blog|paragraph")
+_GOOD = re.compile("article|content|post|entry|main|story|body|text|prose|blog|paragraph")
+#: Of the whole words, those that only tell a place: beside a word that tells content they tell nothing.
+_PLACES = frozenset("side aside header top bottom".split())
 _BAD_TAGS = frozenset("nav footer aside form menu dialog".split())
 _GOOD_TAGS = frozenset(("article", "main"))
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -85,10 +87,12 @@ def _hint(attrs: str) -> int:
         for word in value.split():
             pieces = [p.lower() for p in _PIECES.findall(word)]
             whole = "".join(p for p in pieces if not p.isdigit())
-            if any(p in _BAD_WHOLE or _BAD.match(p) for p in pieces) or _BAD.match(whole):
+            if any((p in _BAD_WHOLE and p not in _PLACES) or _BAD.match(p) for p in pieces) or _BAD.match(whole):
                 return -1
             if any(_GOOD.match(p) for p in pieces):
                 found = 1
+            elif any(p in _PLACES for p in pieces):
+                return -1
     return found
 
 
@@ -181,7 +185,7 @@ def blocks(html: str) -> list[Block]:
         up = stack[-1]
         count += 1
         depth = up.depth + 1
-        hint = _hint(token["attrs"]) if token["attrs"] else 0
+        hint = _hint(token["attrs"]) if token["attrs"] and tag not in ("html", "body") else 0
         outer_header = tag == "header" and not up.good_tag
         bad_tag = tag in _BAD_TAGS or outer_header
         bad = depth if hint < 0 or bad_tag else up.bad

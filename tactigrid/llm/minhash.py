@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tactigrid.llm.common import checkpointed, python_ready
+from tactigrid.llm.common import checkpointed, python_ready, released
 from tactigrid.llm.graph import components
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -204,6 +204,7 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
 
     roots = None
     for turn in range(params.leader_rounds + 1):
+        released(docs.sparkSession)
         if turn == 0:
             pairs = sharing.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
         else:
@@ -229,6 +230,8 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
         elif not new.isEmpty():
             moved = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
             roots = checkpointed(moved.unionByName(new.join(roots.select("node"), "node", "left_anti")))
+    del shared, pairs, links, new
+    released(docs.sparkSession)
     found = classes.join(roots, F.col("id") == F.col("node"), "left").select("set_digest", F.coalesce("root", "id").alias("root"))
     out = made.select("doc_id", "n_shingles", "set_digest").join(found, "set_digest", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
