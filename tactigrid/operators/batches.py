@@ -26,8 +26,8 @@ def stacks(batch: pa.RecordBatch, columns: list[str]) -> Stacks:
         yield rows, arrays
 
 
-def map_pixels(function: Callable[..., np.ndarray], columns: list[str], target: str, kind: pa.DataType) -> Callable:
-    """For mapInArrow: (f, w, h, target) with the function's frame for each frame."""
+def map_pixels(function: Callable[..., np.ndarray], columns: list[str], target: str, kind: pa.DataType, carry: tuple[str, ...] = ()) -> Callable:
+    """For mapInArrow: (f, w, h, carried columns, target) with the function's frame for each frame."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -35,7 +35,7 @@ def map_pixels(function: Callable[..., np.ndarray], columns: list[str], target:
                 made = function(*arrays)
                 flat = pa.array(made.reshape(-1), kind)
                 offsets = np.arange(0, len(flat) + 1, made[0].size, dtype=np.int32)
-                keys = [batch.column(c).take(pa.array(rows)) for c in ("f", "w", "h")]
-                yield pa.RecordBatch.from_arrays([*keys, pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["f", "w", "h", target])
+                keys = [batch.column(c).take(pa.array(rows)) for c in ("f", "w", "h", *carry)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["f", "w", "h", *carry, target])
 
     return run

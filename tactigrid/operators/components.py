@@ -13,10 +13,11 @@ from tactigrid.session import checkpointed, ship_package
 
 
 def label_frames(frames: DataFrame, threshold: float = 0.0, connectivity: int = 4) -> DataFrame:
-    """Dense frames (f, w, h, px) to (f, w, h, label): one array of labels a frame, without an exchange."""
+    """Dense frames (f, w, h, px) to (f, w, h, px, label): one array of labels a frame, without an exchange."""
     ship_package(frames.sparkSession)
-    run = map_pixels(lambda v: dense.labels(v > threshold, connectivity), ["px"], "label", pa.int32())
-    return frames.select("f", "w", "h", "px").mapInArrow(run, "f long, w int, h int, label array<int>")
+    run = map_pixels(lambda v: dense.labels(v > threshold, connectivity), ["px"], "label", pa.int32(), ("px",))
+    kind = frames.schema["px"].dataType.simpleString()
+    return frames.select("f", "w", "h", "px").mapInArrow(run, f"f long, w int, h int, px {kind}, label array<int>")
 
 
 def label_pixels(frames: DataFrame, threshold: float = 0.0, connectivity: int = 4) -> DataFrame:

@@ -284,18 +284,6 @@ _maxima("maxima_no_tiebreak", 5, ">= 5", ties="all", inclusive=True)
 # ---- components
 
 
-def _labelled(spark: SparkSession, sf_dir: str, connectivity: int = 4) -> DataFrame:
-    """f, x, y, label, v: labels come from the same dense rows as the values, so nothing is joined."""
-    dense = frames.embedding_dense(spark, sf_dir)
-    px = dense.select("f", "w", "h", "px")
-    found = components.label_frames(px, 0.0, connectivity)
-    return frames.to_long(px).join(components_long(found), list(_KEY))
-
-
-def components_long(found: DataFrame) -> DataFrame:
-    return found.select("f", "w", F.posexplode("label").alias("i", "label")).select("f", (F.col("i") % F.col("w")).cast("int").alias("x"), F.expr("cast(i div w as int)").alias("y"), "label")
-
-
 _L4, _L8 = sql.labels("l", "e", "v > 0", 4), sql.labels("l", "e", "v > 0", 8)
 
 
@@ -362,18 +350,12 @@ def finger_or_object(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _distances(spark: SparkSession, sf_dir: str, odd: int, limit: float = 0.5) -> DataFrame:
-    dense = frames.embedding_dense(spark, sf_dir)
-    both = dense.select("f", "w", "h", F.col("px").alias("px"))
-    labelled = _with_labels(both)
+    labelled = components.label_frames(frames.embedding_dense(spark, sf_dir), 0.0, 4)
     ready = labelled.select("f", "w", "h", F.transform("label", lambda v: ((v > 0) & (v % 2 == odd)).cast("int")).alias("source"), F.transform("label", lambda v: (v == 0).cast("int")).alias("mask"), F.transform("px", lambda v: F.abs(v) / 100).alias("cost"))
     found = distance.distance_frames(ready, limit)
     return found.select("f", "w", F.posexplode("distance").alias("i", "distance")).select("f", (F.col("i") % F.col("w")).cast("int").alias("x"), F.expr("cast(i div w as int)").alias("y"), "distance")
 
 
-def _with_labels(dense: DataFrame) -> DataFrame:
-    return dense.join(components.label_frames(dense, 0.0, 4).select("f", "label"), "f")
-
-
 def _distance_sql(name: str, odd: int) -> str:
     return f"""{name}_reach(f, x, y, d) AS (
   SELECT f, x, y, 0e0 FROM l WHERE label > 0 AND label % 2 = {odd}

@@ -18,7 +18,11 @@ def to_dense(long: DataFrame, value: str = "v") -> DataFrame:
 
 
 def together(long: DataFrame) -> DataFrame:
-    """One exchange by frame; every operator of the engine keeps it."""
+    """One exchange by frame; every operator of the engine keeps it.
+
+    Joins of pixels, on (f, x, y), may then keep it too: Spark would else ask for a partitioning on all three.
+    """
+    long.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     return long.repartition("f")
 
 
