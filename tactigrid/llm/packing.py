@@ -34,8 +34,8 @@ from tactigrid.llm.common import checkpointed, python_ready
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a worker keeps; beyond that it starts anew.
-CACHED_WORDS = 600_000
+#: Words whose ids a worker keeps, in two generations: when the younger has half of them, the older goes.
+CACHED_WORDS = 900_000
 
 
 #: Characters that end a pre-token after a letter or digit and never join the next; the apostrophe can.
@@ -55,6 +55,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         suffix = self.tokenizer.model.end_of_word_suffix
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -66,8 +67,8 @@ class WordIds:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text."""
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
+        if len(self.known) > CACHED_WORDS // 2:
+            self.older, self.known = self.known, {}
         words = [self._words(t) for t in texts]
         found = [list(map(self.known.get, own)) for own in words]
         missing = [[k for k, ids in enumerate(own) if ids is None] for own in found]
@@ -79,14 +80,19 @@ class WordIds:
 
     def _learn(self, new: set[bytes]) -> None:
         known = self.known
+        for word in new.intersection(self.older):
+            known[word] = self.older[word]
         cut, whole = [], []
-        for word in new:
+        for word in new.difference(known):
             core = word.rstrip(_TAIL)
             if len(core) == len(word) or not core or b"<|" in word or not (core[-1:].isalnum() or core[-1] >= 128 and core.decode()[-1].isalpha()):
                 whole.append(word)
             else:
                 cut.append((word, core, word[len(core) :]))
-        whole += {part for _, core, tail in cut for part in (core, tail)}.difference(known, whole)
+        parts = {part for _, core, tail in cut for part in (core, tail)}.difference(known, whole)
+        for part in parts.intersection(self.older):
+            known[part] = self.older[part]
+        whole += parts.difference(known)
         self._encode(whole)
         for word, core, tail in cut:
             known[word] = known[core] + known[tail]
