@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tactigrid.functions.matrices import EPS, gaussian_like, inverse, larger_root, smaller_root
+from tactigrid.functions.matrices import EPS, gaussian_like, inverse, larger_root
 from tactigrid.operators import dense
 from tactigrid.operators.batches import stacks
 from tactigrid.session import ship_package
@@ -118,13 +118,16 @@ def in_pixels(cands: DataFrame) -> DataFrame:
 
 
 def accepted(cands: DataFrame, max_aspect: float = 2.0) -> DataFrame:
-    """Adds cov (struct) and aspect; drops singular, degenerate and elongated fits."""
-    d = cands.withColumn("cov", inverse(F.col("pxx"), F.col("pxy"), F.col("pyy")))
-    tr, det = F.col("cov.xx") + F.col("cov.yy"), F.col("cov.xx") * F.col("cov.yy") - F.col("cov.xy") * F.col("cov.xy")
-    d = d.withColumn("l1_", larger_root(tr, det)).withColumn("l2_", smaller_root(tr, det, F.col("l1_")))
-    d = d.withColumn("s1_", F.sqrt(F.abs("l1_"))).withColumn("s2_", F.sqrt(F.abs("l2_")))
-    aspect = F.when((F.col("s1_") > EPS) & (F.col("s2_") > EPS), F.greatest("s1_", "s2_") / F.least("s1_", "s2_"))
-    return d.withColumn("aspect", aspect).where(F.col("aspect") <= max_aspect).drop("l1_", "l2_", "s1_", "s2_")
+    """Adds cov (struct) and aspect; drops singular, degenerate and elongated fits.
+
+    The aspect is that of the precision, whose eigenvalues are the covariance's inverses: the filter stays a short expression.
+    """
+    tr, det = F.col("pxx") + F.col("pyy"), F.col("pxx") * F.col("pyy") - F.col("pxy") * F.col("pxy")
+    d = cands.withColumn("l1_", F.abs(larger_root(tr, det, 1e-40)))
+    d = d.withColumn("l2_", F.when(F.col("l1_") > 0, F.abs(det) / F.col("l1_")))
+    aspect = F.when((F.col("l1_") > EPS) & (F.col("l2_") > EPS), F.sqrt(F.greatest("l1_", "l2_") / F.least("l1_", "l2_")))
+    d = d.withColumn("aspect", aspect).where(F.col("aspect") <= max_aspect).drop("l1_", "l2_")
+    return d.withColumn("cov", inverse(F.col("pxx"), F.col("pxy"), F.col("pyy"), 1e-40)).where("cov is not null")
 
 
 def touch_points(frames: DataFrame) -> DataFrame:
