@@ -13,8 +13,8 @@ Queries are packed into blocks too, and each block of queries meets each group o
 the group: a stated query set against all rows, in blocks. Each meeting returns k rows per query; a window keeps the best.
 
 Defined results: vectors that are null, or hold nulls or non-finite components, take no part; shorter vectors count as
-padded with zeros; ties go to the smaller vec_id; repeated rows are candidates each; a null vec_id takes no part; a
-query never finds rows of its own vec_id; with fewer candidates than k, all are returned; other columns are ignored.
+padded with zeros; ties go to the smaller vec_id; repeated rows are candidates each; a null vec_id takes no part; scores
+beyond 64 bits are held at their limits; a query never finds rows of its own vec_id; with fewer candidates than k, all are returned; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -78,9 +78,9 @@ def packed(vectors: DataFrame, rows: int, key: str) -> DataFrame:
 
 
 def _exact(values: np.ndarray, query: np.ndarray) -> list[int]:
-    """Inner products as Python integers when doubles could round, else as whole doubles."""
+    """Inner products, by Python integers where doubles could round; held within 64 bits."""
     if values.size and float(np.abs(values).max(initial=0)) * float(np.abs(query).sum()) >= 2.0**53:
-        return [sum(int(a) * int(b) for a, b in zip(row, query, strict=True)) for row in values]
+        return [min(max(sum(int(a) * int(b) for a, b in zip(row, query, strict=True)), -(2**63)), 2**63 - 1) for row in values]
     return [int(x) for x in values @ query]
 
 

@@ -33,6 +33,8 @@ def test_equals_brute_force(spark, block):
 def test_odd_rows(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (None, [1.0, 1.0]), (5, [2.0]), (50, [-1.0, 0.5]), (6, [1e6, -1e6])]
     assert run(spark, rows) == brute(rows)
+    huge = run(spark, [(0, [3e38, 1.0]), (1, [3e38, -3e38]), (2, [-3e38, 0.0])])
+    assert [(r[2], r[3]) for r in huge] == [(1, 2**63 - 1), (2, -(2**63))]
     assert run(spark, rows[:1]) == [] and run(spark, []) == []
 
 
