@@ -35,7 +35,7 @@ from tactigrid.llm.common import checkpointed, python_ready
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker keeps, in two generations: when the younger has half of them, the older goes.
-CACHED_WORDS = 900_000
+CACHED_WORDS = 600_000
 
 
 #: Characters that end a pre-token after a letter or digit and never join the next; the apostrophe can.
@@ -127,15 +127,15 @@ def word_ids(path: str) -> WordIds:
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, and where the row was made: part and rank within part and length."""
-    python_ready(docs.sparkSession)
+    python_ready(docs.sparkSession, rows=1000)
     end = np.asarray([end_id], "<u4").tobytes()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, part = word_ids(vocabulary), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                some = batch.slice(k, 500)
+            for k in range(0, batch.num_rows, 250):
+                some = batch.slice(k, 250)
                 encoded = ids_of.encode([t or b"" for t in some.column("text").cast(pa.binary()).to_pylist()])
                 out: list[tuple] = []
                 for doc_id, ids in zip(some.column("doc_id").to_pylist(), encoded, strict=True):
@@ -145,7 +145,9 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
                         n = len(cut) // 4
                         out.append((doc_id, piece, at // 4, n, zlib.crc32(cut), part, int(seen[n])))
                         seen[n] += 1
+                del encoded
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "local_rank"])
+        ids_of.older = {}  # a worker that waits for its next task holds one generation only
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tokenise, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long")
 
