@@ -11,7 +11,7 @@
    bucket, once, in the first bucket that they share. So no link that could change a component is left out, and groups of copies never become all pairs.
 
 Chances to miss, at similarity 0.85 exactly: 1 - (1 - 0.85^6)^24 leaves 1.2e-5 of pairs without a shared band; the
-estimate has a standard error of 0.024 there and its cut lies 3 of them below.
+estimate has a standard error of 0.024 there and its cut lies 5 of them below, which leaves 2.2e-7.
 
 Defined results: see `near_duplicates`. Words are runs of anything but ASCII white space, A-Z lower-cased.
 """
@@ -47,7 +47,7 @@ class MinHashParams:
     #: Minima that are kept as 4 bits each; a multiple of 16, at least bands * rows.
     signature: int = 240
     #: Pairs with a lower estimate aren't confirmed.
-    least_estimate: float = 0.778
+    least_estimate: float = 0.72
     #: Rounds with one leader per bucket, before the round that takes all remaining pairs.
     leader_rounds: int = 3
     seed: int = 5

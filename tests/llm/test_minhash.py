@@ -84,6 +84,21 @@ def test_estimate_is_near_the_similarity(spark):
     assert row.select(minhash.estimate("a_", "b_", params).alias("e")).first()["e"] == pytest.approx(real, abs=0.1)
 
 
+def test_links_of_unlucky_signatures_are_kept(spark):
+    """Pairs of similarity 0.85 exactly whose estimate lies over three standard errors below."""
+    params, hashes = minhash.MinHashParams(), minhash.WordHashes()
+    rows = []
+    for k in range(2500):
+        base = [f"p{k}w{i}" for i in range(152)]
+        pair = [" ".join(base), " ".join(base[:140] + [f"p{k}x{i}" for i in range(12)])]
+        a, b = minhash._mixed(minhash.minima([minhash.shingle_set(t.encode(), hashes, 5) for t in pair], params)) & np.uint64(15)
+        if ((a == b).mean() - 1 / 16) / (1 - 1 / 16) < 0.778:
+            rows += [(2 * k, pair[0]), (2 * k + 1, pair[1])]
+    assert rows
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_graph_components(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "p long, q long"), "p", "q").collect()}
