@@ -12,7 +12,9 @@ A conversation is never collected: messages stay rows, and their position is a w
 Defined results, column `status`: `message` (no call, no result), `calls` (an assistant turn with calls), `result` (linked),
 `orphan` (a result whose call is missing; stays in its place), `duplicate` (a further result of an answered call, or a
 result in a turn after another with that identifier; stays in its place). If an identifier is called twice in a
-conversation, the first call owns it. A null text is null content, an empty one is empty; text that only looks like
+conversation, the first call owns it. A call without an id stays in its turn's calls, can't be answered and isn't valid; a
+turn none of whose calls has an id or a name is a message. Arguments that aren't parseable JSON are written as the string
+that they were, and aren't valid. A null text is null content, an empty one is empty; text that only looks like
 JSON is content. Null roles are written as null; rows with null conv_id are one conversation; equal turns are ordered by
 role and text; repeated rows are repeated messages; other columns are ignored; an empty table gives no rows.
 """
@@ -57,13 +59,15 @@ def format_chats(turns: DataFrame, tools: Tools = DEFAULT_TOOLS) -> DataFrame:
     calls = F.when((F.col("role") == "assistant") & looks, F.from_json("text", _CALLS))
     result = F.when((F.col("role") == "tool") & looks, F.from_json("text", _RESULT))
     parsed = rows.withColumn("c", calls).withColumn("r", result)
-    own_calls = F.filter(F.coalesce(F.col("c.tool_calls"), F.array().cast("array<struct<id:string,name:string,arguments:string>>")), lambda x: x["id"].isNotNull())
+    none = F.array().cast("array<struct<id:string,name:string,arguments:string>>")
+    given = F.coalesce(F.col("c.tool_calls"), none)
+    own_calls = F.when(F.exists(given, lambda x: x["id"].isNotNull() | x["name"].isNotNull()), given).otherwise(none)
     parsed = parsed.withColumn("calls", own_calls).withColumn("call_id", F.col("r.tool_call_id"))
-    arguments = lambda x: F.try_parse_json(x["arguments"])
-    parsed = parsed.withColumn("valid", F.when(F.size("calls") > 0, F.forall("calls", lambda x: _valid(x["name"], arguments(x), tools))))
+    arguments = lambda x: F.coalesce(F.try_parse_json(x["arguments"]), x["arguments"].cast("variant"))
+    parsed = parsed.withColumn("valid", F.when(F.size("calls") > 0, F.forall("calls", lambda x: x["id"].isNotNull() & _valid(x["name"], arguments(x), tools))))
 
     # The first call of an identifier, and the first result of it.
-    called = parsed.where(F.size("calls") > 0).select("conv_id", F.col("turn").alias("call_turn"), F.posexplode("calls").alias("call_index", "call"))
+    called = parsed.where(F.size("calls") > 0).select("conv_id", F.col("turn").alias("call_turn"), F.posexplode("calls").alias("call_index", "call")).where("call.id is not null")
     owner = called.groupBy("conv_id", F.col("call.id").alias("call_id")).agg(F.min(F.struct("call_turn", "call_index")).alias("owner"))
     results = parsed.where(F.col("call_id").isNotNull())
     first = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "text")).alias("first"))

@@ -32,6 +32,23 @@ def test_arguments_are_validated(spark):
     assert [r[8] for r in formatted(spark, rows)] == [v for _, v in cases] + [False]
 
 
+def test_calls_without_an_id_and_unparseable_arguments_are_kept(spark):
+    good, broken = {"query": "x"}, '{"query": "x'
+    rows = [
+        (1, 0, "assistant", call(("a", "search", good), (None, "search", {"query": "y"}))),
+        (1, 1, "tool", result("a", "A")),
+        (2, 0, "assistant", call(("a", "search", broken), ("b", "search", "plain"), ("c", "search", good))),
+        (3, 0, "assistant", call((None, "search", good))),
+        (4, 0, "assistant", call((None, None, good))),
+        (5, 0, "assistant", call(("a", "search", json.dumps(good)), ("b", "search", None))),
+    ]
+    got = formatted(spark, rows)
+    assert [(r[0], r[4], r[6], r[7], r[8]) for r in got] == [(1, "calls", 2, 1, False), (1, "result", 0, 0, None), (2, "calls", 3, 0, False), (3, "calls", 1, 0, False), (4, "message", 0, 0, None), (5, "calls", 2, 0, False)]
+    calls = {r[0]: [(x["id"], x["arguments"]) for x in json.loads(r[9])["tool_calls"]] for r in got if r[4] == "calls"}
+    assert calls == {1: [("a", good), (None, {"query": "y"})], 2: [("a", broken), ("b", "plain"), ("c", good)], 3: [(None, good)], 5: [("a", good), ("b", None)]}
+    assert json.loads(got[4][9])["content"] == rows[4][3]
+
+
 def test_canonical_json_sorts_nested_keys(spark):
     (r,) = formatted(spark, [(1, 0, "assistant", call(("a", "search", {"z": {"b": 1, "a": [{"d": 1, "c": 2}]}, "query": "é\n"})))])
     parsed = json.loads(r[9])
