@@ -5,8 +5,9 @@ weighted by (1 + log count) * idf and normalised. Every language has several cen
 training vectors; a document gets the language of the centroid with the largest cosine. If even that cosine is below
 what nearly all training documents of the language reach, the prediction is marked as rejected.
 
-The fit reads a bounded sample of the labelled rows it may use (`sample_per_language`, chosen by a hash of the id);
-prediction reads every whole text and nothing else.
+The fit learns every language that has labelled rows. It reads a bounded sample of those it may use
+(`sample_per_language`, chosen by a hash of the id), and fits each language in a task of its own; what reaches the driver
+is the centroids and one number per bucket. Prediction reads every whole text and nothing else.
 
 Defined results: a text that is null or has no letter is `und` with score 0 and rejected; without any training row all
 are `und`; repeated rows are predicted each; a null doc_id is never held out and never trains; other columns are ignored.
@@ -15,6 +16,7 @@ are `und`; repeated rows are predicted each; a null doc_id is never held out and
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tactigrid.llm.common import join_small, python_ready
+from tactigrid.llm.common import checkpointed, join_small, python_ready
 
 UNKNOWN = "und"
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -35,8 +37,6 @@ class LanguageParams:
     centroids: int = 4
     #: About so many training rows of each language are read.
     sample_per_language: int = 400
-    #: Languages beyond so many, by number of rows, are not learned.
-    languages: int = 200
     rounds: int = 8
     #: Share of training documents that fall below the rejection cosine.
     reject_share: float = 0.005
@@ -94,11 +94,8 @@ def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageM
     """docs: the rows that may be learned from, with doc_id, text and lang."""
     spark = docs.sparkSession
     python_ready(spark, rows=200)
-    usable = docs.where("lang is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.languages).collect()
-    if not counts:
-        return LanguageModel((), np.ones(params.buckets), np.empty((0, params.buckets)), np.empty(0))
-    share = spark.createDataFrame([(r["lang"], min(1.0, params.sample_per_language / r["count"])) for r in counts], "lang string, share double")
+    usable = docs.where("lang is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    share = checkpointed(usable.groupBy("lang").agg(F.least(F.lit(1.0), params.sample_per_language / F.count("*")).alias("share")))
     unit = (F.xxhash64("doc_id", F.lit(params.seed)).cast("double") / 2.0**64) + 0.5
     sample = join_small(usable, share, "lang", "inner").where(unit < F.col("share")).select("doc_id", "lang", "text")
     buckets = params.buckets
@@ -108,30 +105,44 @@ def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageM
             each = [ngram_counts(t or "", buckets) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array([e[0].astype(np.int32).tobytes() for e in each], pa.binary()), pa.array([e[1].astype(np.float32).tobytes() for e in each], pa.binary())], names=["doc_id", "lang", "found", "counts"])
 
-    rows = [r for r in sample.mapInArrow(count, "doc_id long, lang string, found binary, counts binary").collect() if r["found"]]  # bounded by the sample
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["found"])))
-    seen = np.zeros(params.buckets)
-    for r in rows:
-        seen[np.frombuffer(r["found"], np.int32)] += 1
-    idf = np.log((1 + len(rows)) / (1 + seen)) + 1
-    names = tuple(sorted({r["lang"] for r in rows}))
-    centroids, limits = [], []
-    for i, name in enumerate(names):
-        own = [r for r in rows if r["lang"] == name]
-        vectors = np.zeros((len(own), params.buckets), np.float32)
-        for j, r in enumerate(own):
-            found = np.frombuffer(r["found"], np.int32)
-            vectors[j, found] = _vector(found, np.frombuffer(r["counts"], np.float32).astype(float), idf)
-        centroids.append(_kmeans(vectors, params.centroids, params.rounds, np.random.default_rng((params.seed, i))))
-        limits.append(float(np.quantile((vectors @ centroids[-1].T).max(1), params.reject_share)))
-    return LanguageModel(names, idf, np.concatenate(centroids) if centroids else np.empty((0, params.buckets)), np.array(limits))
+    counted = checkpointed(sample.mapInArrow(count, "doc_id long, lang string, found binary, counts binary").where("length(found) > 0"))
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, rows = np.zeros(buckets, np.int64), 0
+        for batch in batches:
+            rows += batch.num_rows
+            for found in batch.column("found").to_pylist():
+                seen[np.frombuffer(found, np.int32)] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], rows))], names=["bucket", "n"])
+
+    sums = {r["bucket"]: r["n"] for r in counted.mapInArrow(documents, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # one per bucket
+    seen = np.zeros(buckets)
+    total = sums.pop(-1, 0)
+    seen[list(sums)] = list(sums.values())
+    idf = np.log((1 + total) / (1 + seen)) + 1
+
+    def learn(table: pa.Table) -> pa.Table:
+        name = table.column("lang")[0].as_py()
+        own = sorted(zip(table.column("doc_id").to_pylist(), table.column("found").to_pylist(), table.column("counts").to_pylist(), strict=True))
+        vectors = np.zeros((len(own), buckets), np.float32)
+        for j, (_, found, n) in enumerate(own):
+            at = np.frombuffer(found, np.int32)
+            vectors[j, at] = _vector(at, np.frombuffer(n, np.float32).astype(float), idf)
+        centroids = _kmeans(vectors, params.centroids, params.rounds, np.random.default_rng((params.seed, zlib.crc32(name.encode())))).astype(np.float32)
+        limit = float(np.quantile((vectors @ centroids.T).max(1), params.reject_share))
+        return pa.table({"lang": [name], "centroids": pa.array([centroids.tobytes()], pa.binary()), "limit": [limit]})
+
+    learned = sorted(counted.groupBy("lang").applyInArrow(learn, "lang string, centroids binary, limit double").collect(), key=lambda r: r["lang"])  # one row per language
+    centroids = np.frombuffer(b"".join(r["centroids"] for r in learned), np.float32).reshape(-1, buckets)
+    return LanguageModel(tuple(r["lang"] for r in learned), idf, centroids, np.array([r["limit"] for r in learned]))
 
 
 def predict(docs: DataFrame, model: LanguageModel, params: LanguageParams = LanguageParams()) -> DataFrame:
     """doc_id, lang_pred, score (cosine, 0 to 1), rejected."""
     python_ready(docs.sparkSession, rows=1000)
     names = np.array(model.names, object)
-    table = np.ascontiguousarray(model.centroids.T.astype(np.float32))  # buckets, languages x centroids
+    table = np.ascontiguousarray(model.centroids.T)  # buckets, languages x centroids
     idf, limits, k, buckets = model.idf, model.limits, params.centroids, params.buckets
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,3 +37,14 @@ def test_odd_rows(spark):
     nothing = language.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r["lang_pred"] for r in nothing} == {"und"}
     assert language.identify(df.limit(0)).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, chr(0x4E00 + i // 4) * 3, f"l{i // 4:03}") for i in range(4 * 230) if zlib.crc32(str(i).encode()) % 4 != 2]
+    names = {lang for _, _, lang in rows}
+    assert len(names) > 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert set(model.names) == names
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) / len(rows) > 0.95
