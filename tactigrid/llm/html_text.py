@@ -9,7 +9,9 @@ The regression is trained here, on labelled pages that a seeded generator in thi
 a query), and is the same at every run.
 
 Text in a block: character references decoded, runs of white space as one space, trimmed; blocks are joined by line
-ends in page order. Scripts, styles, comments, head and the insides of form controls are no blocks at all.
+ends in page order. Scripts, styles, comments, head, drawings, what stands in for media, templates and the insides of form
+controls are no blocks at all; formulas are text. Of these elements, one without an end tag of its own ends at its begin
+tag; only script, style, textarea and title run to the end of the page then, as in browsers.
 
 Defined results: null or empty html gives an empty text; broken markup (open tags, cut ends, stray '<') is read as far
 as it goes; repeated rows give repeated rows; other columns are ignored by `extract`. A page is read whole, whatever its
@@ -32,14 +34,18 @@ from pyspark.sql import functions as F
 
 from tactigrid.llm.common import python_ready
 
-# Fixed values of HTML: which elements hold no text of the page, have no end tag, or start a block.
-_RAW = "script|style|noscript|template|textarea|iframe|svg|canvas|object|select|title|button|math|audio|video"
+# Fixed values of HTML: which elements hold no text of the page (raw ones hold no elements either), have no end tag, or start a block.
+_RAW = "script|style|textarea|title"
+_HIDDEN = "noscript|template|iframe|svg|canvas|object|select|button|audio|video|annotation|annotation-xml"
+_HIDDEN_TAGS = frozenset(_HIDDEN.split("|"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img br".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img br math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPES = frozenset("ul ol dl table tbody thead tfoot div section article main body td th".split())
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*+(?:/>|>.*?(?:</(?P=raw)\s*>|\Z)|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)|(?P<text>[^<]++|<)", re.S | re.I)
+_ATTRS = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>]|\Z)[^>]*+(?:>.*?(?:</(?P=raw)(?=[\s/>])[^>]*+(?:>|\Z)|\Z)|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>{_ATTRS})>|</?[a-zA-Z][^>]*+(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)|(?P<text>[^<]++|<)", re.S | re.I)
+_HIDDEN_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea)(?=[\s/>]|\Z)[^>]*+(?:>.*?(?:</(?P=raw)(?=[\s/>])|\Z)|\Z)|<(?P<end>/?)(?P<hidden>{_HIDDEN})(?=[\s/>])(?:{_ATTRS}|[^>]*+)>", re.S | re.I)
 _HINTS = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -96,6 +102,34 @@ def _hint(attrs: str) -> int:
     return found
 
 
+def _hidden_ends(html: str) -> dict[int, int]:
+    """Where each hidden element that has an end tag of its own begins and ends."""
+    ends: dict[int, int] = {}
+    open_: dict[str, list[int]] = {}
+    for m in _HIDDEN_TAG.finditer(html):
+        if m["hidden"]:
+            tag = m["hidden"].lower()
+            if not m["end"]:
+                if tag != "svg" or not m[0].endswith("/>"):
+                    open_.setdefault(tag, []).append(m.start())
+            elif open_.get(tag):
+                ends[open_[tag].pop()] = m.end()
+    return ends
+
+
+def _tokens(html: str) -> Iterator[re.Match]:
+    """The tokens outside of hidden elements."""
+    ends, at = _hidden_ends(html), 0
+    while at < len(html):
+        for token in _TOKEN.finditer(html, at):
+            if to := ends.get(token.start()):
+                at = to
+                break
+            yield token
+        else:
+            return
+
+
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page in order."""
     found: list[Block] = []
@@ -137,7 +171,7 @@ def blocks(html: str) -> list[Block]:
             parts.clear()
         chars = link_chars = 0
 
-    for token in _TOKEN.finditer(html):
+    for token in _tokens(html):
         kind = token.lastgroup
         if kind == "text":
             if not head:
@@ -152,6 +186,8 @@ def blocks(html: str) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in _HIDDEN_TAGS:  # its end tag is missing, or it is one without a begin
+            continue
         if tag == "head":
             head = not token["end"]
             continue

@@ -26,6 +26,31 @@ def test_broken_pages(html, want):
     assert text(html) == want
 
 
+@pytest.mark.parametrize(
+    ("before", "inside"),
+    [
+        ('<svg class="icon"/>', ""),
+        ('<svg class="icon" />', '<svg><path d="M0"/><title/><text>no</text></svg>'),
+        ("<svg><svg>no</svg>no</svg>", ""),
+        ("<svg>", "<svg>no</svg>"),
+        ("<button class=menu>", "<button>no</button>"),
+        ("<select name=s>", ""),
+        ("<canvas id=c />", "<canvas>no</canvas>"),
+        ("<object/><math/><video>", '<button title="a > b">no</button>'),
+        ("<svg-icon name=x></svg-icon><title-bar></title-bar>", "<video-player></video-player><button-row></button-row><script-x></script-x>"),
+        ("<script>'<svg>'</script><!-- <button> -->", "<svg>no</svg ><script>no</script x>"),
+    ],
+)
+def test_hidden_elements_end_where_they_end(before, inside):
+    page = f"<html><body>{before}<article><p>First words of it, with more.</p>{inside}<p>Last words of it, with more.</p></article></body></html>"
+    assert text(page) == "First words of it, with more.\nLast words of it, with more."
+
+
+def test_formulas_are_text():
+    formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>no</annotation><annotation-xml>no</annotation-xml></semantics></math>"
+    assert text(f"<article><p>Let {formula} be given, and go on.</p></article>") == "Let x=2 be given, and go on."
+
+
 def test_table_pages_whole(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r["page_id"]: r for r in html_text.extract(pages).collect()}
