@@ -49,6 +49,8 @@ def label_relational(pixels: DataFrame, threshold: float = 0.0, connectivity: in
         state = new.select("f", "id", "root")
         if new.where("root != old").isEmpty():
             break
+    else:
+        raise RuntimeError(f"labels did not settle in {rounds} rounds")
     ranked = state.withColumn("label", F.dense_rank().over(Window.partitionBy("f").orderBy("root")))
     return runs.join(ranked, ["f", "id"]).select("f", F.explode(F.sequence("x1", "x2")).alias("x"), "y", F.col("label").cast("int").alias("label"))
 

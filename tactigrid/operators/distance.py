@@ -39,6 +39,8 @@ def distance_relational(pixels: DataFrame, limit: float = 6.0, step: float = 0.1
             break
         state = checkpointed(state.join(better, ["f", "x", "y"], "left_anti").unionByName(better))
         front = better
+    else:
+        raise RuntimeError(f"distances did not settle in {rounds} rounds")
     return state
 
 

@@ -237,3 +237,12 @@ def test_colours(spark):
     table = colour.table_map(F.col("u"), [(0, 0, 0), (1, 0.5, 0)])
     assert d.select(table[0].alias("r"), table[1].alias("g")).collect()[1] == (0.5, 0.25)
     assert len(colour.ramp(colour.RAMPS["viridis"])) == 256
+
+
+def test_relational_forms_raise_when_rounds_do_not_suffice(spark):
+    long = spark.createDataFrame([(0, x, y, 1.0, 3, 3) for x in range(3) for y in range(3)], "f long, x int, y int, v double, w int, h int")
+    with pytest.raises(RuntimeError, match="labels did not settle in 1 rounds"):
+        components.label_relational(long, 0.0, 4, rounds=1)
+    marked = spark.createDataFrame([(0, x, 0, x == 0, True, 0.5) for x in range(5)], "f long, x int, y int, source boolean, mask boolean, cost double")
+    with pytest.raises(RuntimeError, match="distances did not settle in 1 rounds"):
+        distance.distance_relational(marked, 6.0, rounds=1)
