@@ -133,7 +133,6 @@ def accepted(cands: DataFrame, max_aspect: float = 2.0) -> DataFrame:
 def touch_points(frames: DataFrame) -> DataFrame:
     """Dense frames (f, w, h, px) to f, touch_id, confidence, scale, mean, cov: the whole pipeline in one pass, without an exchange."""
     ship_package(frames.sparkSession)
-    frames.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     names = ["f", "touch_id", "confidence", "scale", "mean_x", "mean_y", "cov_xx", "cov_xy", "cov_yy"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
