@@ -8,9 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactigrid.session import checkpointed, ship_package
+from tactigrid.session import checkpointed, shared_folder, ship_package as python_ready
 
-__all__ = ["WHITE_SPACE", "checkpointed", "join_small", "python_ready", "read_table", "released", "shielded"]
+__all__ = ["WHITE_SPACE", "checkpointed", "join_small", "python_ready", "quoted", "read_table", "released", "shared_folder", "shielded"]
 
 #: Words are maximal runs of anything but these six characters.
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
@@ -20,17 +20,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def python_ready(spark: SparkSession, rows: int = 2000, megabytes: int = 32) -> None:
-    """Executors can import this package, and an Arrow batch is bounded: a worker's memory doesn't follow the text length."""
-    ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+def join_small(big: DataFrame, small: DataFrame, on: str | Sequence[str], how: str, rows: int = 20_000, megabytes: int = 8) -> DataFrame:
+    """Join with a broadcast if the checkpointed side is measured to have at most so many rows and bytes, else by shuffle."""
+    size = F.sum(sum((F.octet_length(F.to_json(F.struct(c))) for c in map(quoted, small.columns)), F.lit(0)))
+    count, bytes_ = small.limit(rows + 1).agg(F.count("*"), size).first()
+    return big.join(F.broadcast(small) if count <= rows and (bytes_ or 0) <= megabytes << 20 else small, on, how)
 
 
-def join_small(big: DataFrame, small: DataFrame, on: str | Sequence[str], how: str, rows: int = 20_000) -> DataFrame:
-    """Join with a broadcast if the checkpointed side is counted to have at most `rows` rows, else by shuffle."""
-    count = small.limit(rows + 1).count()
-    return big.join(F.broadcast(small) if count <= rows else small, on, how)
+def quoted(name: str) -> Column:
+    """The column of this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def released(spark: SparkSession) -> None:
@@ -42,4 +41,4 @@ def released(spark: SparkSession) -> None:
 def shielded(docs: DataFrame, keep: Sequence[str]) -> tuple[DataFrame, list[Column]]:
     """docs with the columns beside keep under names that no operator uses, and the columns that restore the names and order."""
     names = {c: c if c in keep else f"other{i}__" for i, c in enumerate(docs.columns)}
-    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), [F.col(n).alias(c) for c, n in names.items()]
+    return docs.select(*(quoted(c).alias(n) for c, n in names.items())), [F.col(n).alias(c) for c, n in names.items()]

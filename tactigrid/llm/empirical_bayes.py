@@ -12,7 +12,8 @@ Hosts are the `source` column, paths are `source` and `lang`. Sums are combined
 third of all rows is one row of sums.
 
 Defined results: null text is empty; null hosts or paths are one group of their own; without labels the evidence is the
-constant 0.5 and everything is kept; repeated label rows count once per row; a document without labels is scored like any
+constant 0.5 and everything is kept; labels of one id count once, by their majority (a tie is bad), and so do documents of
+one id in the fit; a document without labels is scored like any
 other; other columns are kept by `kept_documents` and ignored by `score`; an empty table gives no rows.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from tactigrid.llm.common import checkpointed, join_small, python_ready
+from tactigrid.llm.common import checkpointed, join_small, python_ready, quoted
 
 FEATURES = ("upper", "digit", "mark", "symbol", "space", "bar", "high_byte", "log_words", "word_length", "short_share", "repeat_words", "repeat_lines", "line_words")
 
@@ -100,10 +101,11 @@ def fit(features: np.ndarray, labels: np.ndarray, params: BayesParams = BayesPar
 
 def train(table: DataFrame, labels: DataFrame, params: BayesParams = BayesParams()) -> Logistic | None:
     """table: doc_id and features_ of all documents; labels: doc_id and quality."""
-    known = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg(F.col("quality").cast("int")) > 0.5).cast("int").alias("quality"))
     share = min(1.0, params.sample / max(1, known.count()))
     unit = (F.xxhash64("doc_id", F.lit(params.seed)).cast("double") / 2.0**64) + 0.5
-    rows = table.select("doc_id", "features_").join(known.where(unit < share), "doc_id").collect()  # bounded by the sample
+    chosen = table.select("doc_id", "features_").join(known.where(unit < share), "doc_id")
+    rows = chosen.groupBy("doc_id").agg(F.min(F.struct("features_", "quality")).alias("r")).select("doc_id", "r.*").collect()  # one row per chosen id: bounded by the sample
     rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["features_"]))
     return fit(np.array([r["features_"] for r in rows]).reshape(-1, len(FEATURES)), np.array([float(r["quality"]) for r in rows]), params)
 
@@ -168,4 +170,4 @@ def score(docs: DataFrame, labels: DataFrame, params: BayesParams = BayesParams(
 def kept_documents(docs: DataFrame, labels: DataFrame, params: BayesParams = BayesParams()) -> DataFrame:
     """The rows of docs that aren't rejected. Rows with one doc_id stay or go together; a null doc_id is kept."""
     gone = score(docs, labels, params).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))

@@ -405,7 +405,7 @@ def main_text(html: str, weights: np.ndarray, params: CutParams = CutParams()) -
 
 def extract(pages: DataFrame, params: CutParams = CutParams()) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    python_ready(pages.sparkSession, rows=500)
+    python_ready(pages.sparkSession)
     weights = block_weights()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -132,7 +132,7 @@ def block_top(values: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.
 def top_k(vectors: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: of every query, its best k other rows."""
     spark = vectors.sparkSession
-    python_ready(spark, rows=2000)
+    python_ready(spark)
     whole = quantised(vectors, params.scale)
     n = whole.count()
     groups = max(1, min(-(-n // params.block_rows), 100_000))
@@ -141,7 +141,7 @@ def top_k(vectors: DataFrame, params: SearchParams = SearchParams()) -> DataFram
     asked = whole.where(F.col("vec_id") % params.query_every == 0).dropDuplicates(["vec_id", "q"])
     blocks = checkpointed(packed(asked.withColumn("part", F.lit(0).cast("long")).coalesce(max(1, groups // 8)), params.query_rows, "part"))
     spread = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"), *(F.col(c).alias(f"q_{c}") for c in ("n", "dims", "ids", "values")))
-    python_ready(spark, rows=4)
+    python_ready(spark)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[bytes, np.ndarray] = {}  # k-th best score so far of the queries of a block, in this task

@@ -93,7 +93,7 @@ def _kmeans(vectors: np.ndarray, k: int, rounds: int, rng: np.random.Generator)
 def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageModel:
     """docs: the rows that may be learned from, with doc_id, text and lang."""
     spark = docs.sparkSession
-    python_ready(spark, rows=200)
+    python_ready(spark)
     usable = docs.where("lang is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     share = checkpointed(usable.groupBy("lang").agg(F.least(F.lit(1.0), params.sample_per_language / F.count("*")).alias("share")))
     unit = (F.xxhash64("doc_id", F.lit(params.seed)).cast("double") / 2.0**64) + 0.5
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageM
 
 def predict(docs: DataFrame, model: LanguageModel, params: LanguageParams = LanguageParams()) -> DataFrame:
     """doc_id, lang_pred, score (cosine, 0 to 1), rejected."""
-    python_ready(docs.sparkSession, rows=1000)
+    python_ready(docs.sparkSession)
     names = np.array(model.names, object)
     table = np.ascontiguousarray(model.centroids.T)  # buckets, languages x centroids
     idf, limits, k, buckets = model.idf, model.limits, params.centroids, params.buckets

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tactigrid.llm.common import checkpointed, python_ready, released
+from tactigrid.llm.common import checkpointed, python_ready, quoted, released
 from tactigrid.llm.graph import components
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -153,7 +153,7 @@ def estimate(a: str, b: str, params: MinHashParams) -> Column:
 
 def confirmed(pairs: DataFrame, texts: DataFrame, params: MinHashParams) -> DataFrame:
     """Of the pairs (a, b), those whose full sets are similar enough. texts: id, text."""
-    python_ready(pairs.sparkSession, rows=500)
+    python_ready(pairs.sparkSession)
     left, right = (texts.select(F.col("id").alias(k), F.col("text").alias(f"{k}_text")) for k in "ab")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,4 +240,4 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
 def kept_documents(docs: DataFrame, params: MinHashParams = MinHashParams()) -> DataFrame:
     """docs without those that are linked, directly or through others, with a document of a smaller doc_id."""
     gone = near_duplicates(docs, params).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))

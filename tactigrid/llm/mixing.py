@@ -1,12 +1,13 @@
 """Mix sources to target weights.
 
-The words of a source, document after document, are packed into blocks of a fixed length. The mix has slots; a shard is
-a run of slots. How many of a shard's slots each source gets is drawn from the multinomial of the target weights given
-the totals (so that each source's total is the one that its target asks for): the tree of halvings of all shards is
-walked down to the shard, with a multivariate hypergeometric draw seeded by the place in the tree at each turn. So any
-shard can be made alone, again, and anywhere, and always turns out the same. Slot j of a source takes the block that
-the source's pseudorandom permutation (a keyed Feistel network with cycle walking) has at j modulo the number of
-blocks. Drawn blocks join the documents by source and block index.
+The words of a source, document after document, are packed into blocks of a fixed length; the last one holds what is left.
+The mix has slots; a shard is a run of slots. How many of a shard's slots each source gets is drawn from the multinomial of
+the target weights given the totals (so that each source's total is the one that its target asks for): the tree of
+halvings of all shards is walked down, with a multivariate hypergeometric draw seeded by the place in the tree at each
+node, by one sampler whatever the numbers. So any shard can be made alone, again, and anywhere, and always turns out the
+same. Slot j of a source takes the block that the source's pseudorandom permutation (a keyed Feistel network with cycle
+walking) has at j modulo the number of blocks. Drawn blocks join the documents by source and block index. A source's last
+slot takes as many words of its block as are still missing, so its target is met to the word.
 
 Sizes: offsets of documents in their source are counted in two levels, within a task and over the tasks, so a source
 with a third of all rows is never gathered. What reaches the driver is one row per source.
@@ -19,6 +20,7 @@ table gives no rows; rows that repeat are documents of their own; other columns
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,9 +39,7 @@ class MixParams:
     #: The mix has so many times the words of all documents, and at most so many times those of a source.
     share: float = 1.5
     repeats: int = 2
-    #: Longest block; a source of few words has shorter ones, so that it has about `least_blocks`.
     block_words: int = 64
-    least_blocks: int = 512
     shard_slots: int = 8192
     seed: int = 17
 
@@ -49,14 +49,17 @@ class Source:
     name: str | None
     size: int
     target: float
-    block: int
+    #: Words that the mix takes: the target, rounded.
+    words: int
     blocks: int
     slots: int
+    #: Words of its block that the last slot takes.
+    last: int
 
 
 def _sizes(docs: DataFrame, keep_text: bool) -> DataFrame:
     """docs' columns, source_, size, part and row of the task that read it, and start: words of its source before it in that task."""
-    python_ready(docs.sparkSession, rows=500)
+    python_ready(docs.sparkSession)
     columns = docs.columns if keep_text else ["doc_id"]
     picked = docs.select(*columns, F.col("source").cast("string").alias("source_"), F.col("text").cast("string").alias("text_"))
     schema = docs.select(*columns).schema
@@ -101,58 +104,109 @@ def targets(sizes: list[int], params: MixParams = MixParams()) -> list[float]:
 
 def sources_of(totals: dict[str | None, int], params: MixParams = MixParams()) -> list[Source]:
     names = sorted((n for n in totals if n is not None)) + [None] * (None in totals)
-    found = []
-    for name, target in zip(names, targets([totals[n] for n in names], params), strict=True):
-        size = totals[name]
-        block = max(1, min(params.block_words, size // params.least_blocks))
-        blocks = -(-size // block)
-        found.append(Source(name, size, target, block, blocks, min(params.repeats * blocks, round(target * blocks / size)) if size else 0))
-    return found
+    return [_source(i, n, totals[n], t, params) for i, (n, t) in enumerate(zip(names, targets([totals[n] for n in names], params), strict=True))]
+
+
+def _source(index: int, name: str | None, size: int, target: float, params: MixParams) -> Source:
+    """How many slots, in the order of the permutation, have the words of the target."""
+    if not size:
+        return Source(name, 0, target, 0, 0, 0, 0)
+    length = params.block_words
+    blocks, words = -(-size // length), round(target)
+    passes, rest = divmod(words, size)
+    short = blocks * length - size  # what the tail block lacks
+    tail = place_of(blocks - 1, blocks, source_key(index, params))
+    slots, last = 0, 0
+    if rest:
+        slots = -(-rest // length)
+        before = (slots - 1) * length - (short if tail < slots - 1 else 0)
+        if rest - before > (length - short if tail == slots - 1 else length):
+            before += length - short if tail == slots - 1 else length
+            slots += 1
+        last = rest - before
+    return Source(name, size, target, words, blocks, passes * blocks + slots, last or length)
 
 
 def _seeded(*place: int) -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(hashlib.blake2b(repr(place).encode(), digest_size=16).digest(), "little"))
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
+    """How many good ones are among `drawn` of good + bad.
+
+    By inversion of the distribution within 12 standard deviations of its mode (what lies beyond has less than 1e-30), its
+    probabilities by their ratios. Exact to the rounding of doubles for all numbers below 2^53, whatever their size.
+    """
+    low, high = max(0, drawn - bad), min(good, drawn)
+    if low == high:
+        return low
+    total = good + bad
+    mode = min(max((good + 1) * (drawn + 1) // (total + 2), low), high)
+    reach = 64 + int(12 * (drawn / total * good * (bad / total) * ((total - drawn) / max(1, total - 1))) ** 0.5)
+    up = np.arange(mode, min(high, mode + reach), dtype=float)
+    down = np.arange(mode, max(low, mode - reach), -1, dtype=float)
+    rise = np.cumsum(np.log((good - up) / (up + 1)) + np.log((drawn - up) / (bad - drawn + up + 1)))
+    fall = np.cumsum(np.log(down / (good - down + 1)) + np.log((bad - drawn + down) / (drawn - down + 1)))
+    sums = np.cumsum(np.exp(np.concatenate([fall[::-1], [0.0], rise])))
+    return mode - len(fall) + min(int(np.searchsorted(sums, rng.random() * sums[-1], "right")), len(sums) - 1)
+
+
 def _first_part(counts: np.ndarray, slots: int, seed: tuple[int, ...]) -> np.ndarray:
     """How many of `slots` of the sum(counts) shuffled slots belong to each source."""
-    total = int(counts.sum())
-    if total < 500_000_000:
-        return _seeded(*seed).multivariate_hypergeometric(counts, slots, method="marginals")
-    whole = np.array([int(c) * slots // total for c in counts.tolist()], np.int64)  # too many for the sampler: it draws the rest only
-    spare = np.minimum(counts - whole, 1)
-    return whole + _seeded(*seed).multivariate_hypergeometric(spare, min(slots - int(whole.sum()), int(spare.sum())), method="marginals")
+    rng, rest, out = _seeded(*seed), int(counts.sum()), np.zeros(len(counts), np.int64)
+    for i, n in enumerate(counts.tolist()):
+        rest -= n
+        out[i] = hypergeometric(rng, n, rest, slots)
+        slots -= int(out[i])
+    return out
 
 
-def shard_counts(shard: int, shards: int, slots: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first slot, number of slots) of each source in this shard."""
+def shard_counts(first: int, last: int, shards: int, slots: np.ndarray, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(shard, sources, first slot and number of slots of each) of the shards from first up to last; sources without slots are left out."""
     total = int(slots.sum())
     bound = lambda k: k * total // shards
-    low, high, counts, first = 0, shards, slots.astype(np.int64), np.zeros(len(slots), np.int64)
-    while high - low > 1:
+
+    def walk(low: int, high: int, own: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
+        if high - low == 1:
+            yield low, own, begin, counts
+            return
         middle = (low + high) // 2
         left = _first_part(counts, bound(middle) - bound(low), (seed, low, high))
-        if shard < middle:
-            counts, high = left, middle
-        else:
-            first, counts, low = first + left, counts - left, middle
-    return first, counts
+        for a, b, begins, part in ((low, middle, begin, left), (middle, high, begin + left, counts - left)):
+            if a < last and b > first:
+                some = part > 0
+                yield from walk(a, b, own[some], begins[some], part[some])
+
+    own = np.flatnonzero(slots)
+    yield from walk(0, shards, own, np.zeros(len(own), np.int64), slots[own].astype(np.int64))
+
+
+def source_key(index: int, params: MixParams) -> int:
+    return params.seed * 1_000_003 + index
+
+
+def _network(size: int, key: int) -> tuple[np.uint64, np.uint64, np.ndarray]:
+    """Bits and mask of a half, and the keys of the rounds."""
+    half = max(1, ((size - 1).bit_length() + 1) // 2)
+    return np.uint64(half), np.uint64((1 << half) - 1), _seeded(key, size).integers(0, 2**63, 6).astype(np.uint64)
+
+
+def _mixed(right: np.ndarray, key: np.uint64, mask: np.uint64) -> np.ndarray:
+    mixed = (right + key) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed >> np.uint64(40)) & mask
 
 
 def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
     """Images of index under a pseudorandom permutation of range(size)."""
-    half = max(1, ((size - 1).bit_length() + 1) // 2)
-    mask = np.uint64((1 << half) - 1)
-    keys = _seeded(key, size).integers(0, 2**63, 6).astype(np.uint64)
+    half, mask, keys = _network(size, key)
 
     def rounds(x: np.ndarray) -> np.ndarray:
-        left, right = x >> np.uint64(half), x & mask
+        left, right = x >> half, x & mask
         for k in keys:
-            mixed = (right + k) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
-            mixed *= np.uint64(0xBF58476D1CE4E5B9)
-            left, right = right, left ^ ((mixed >> np.uint64(40)) & mask)
-        return (left << np.uint64(half)) | right
+            left, right = right, left ^ _mixed(right, k, mask)
+        return (left << half) | right
 
     x = rounds(index.astype(np.uint64))
     while (out := np.flatnonzero(x >= size)).size:
@@ -160,23 +214,39 @@ def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def place_of(image: int, size: int, key: int) -> int:
+    """The index that `permuted` takes to image: its rounds backwards."""
+    half, mask, keys = _network(size, key)
+    x = np.array([image], np.uint64)
+    while True:
+        left, right = x >> half, x & mask
+        for k in keys[::-1]:
+            left, right = right ^ _mixed(left, k, mask), left
+        x = (left << half) | right
+        if x[0] < size:
+            return int(x[0])
+
+
 def drawn_blocks(spark, sources: list[Source], params: MixParams) -> DataFrame:
-    """source_index, block, times: how often the mix takes each block that it takes."""
+    """source_index, block, words (of its beginning), times: how often the mix takes each block that it takes."""
     slots = np.array([s.slots for s in sources], np.int64)
-    blocks = [s.blocks for s in sources]
+    blocks, last = [s.blocks for s in sources], [s.last for s in sources]
     shards = max(1, -(-int(slots.sum()) // params.shard_slots))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard in batch.column(0).to_pylist():
-                first, counts = shard_counts(shard, shards, slots, params.seed)
-                for i in np.flatnonzero(counts):
-                    place = np.arange(first[i], first[i] + counts[i])
-                    block = permuted(place % blocks[i], blocks[i], params.seed * 1_000_003 + int(i))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(block), i, np.int32)), pa.array(block)], names=["source_index", "block"])
+            wanted = batch.column(0).to_numpy()  # a run of shards
+            for _, own, first, counts in shard_counts(int(wanted[0]), int(wanted[-1]) + 1, shards, slots, params.seed):
+                made = []
+                for i, begin, n in zip(own.tolist(), first.tolist(), counts.tolist(), strict=True):
+                    place = np.arange(begin, begin + n)
+                    words = np.where(place == slots[i] - 1, last[i], params.block_words)
+                    made.append((np.full(n, i, np.int32), permuted(place % blocks[i], blocks[i], source_key(i, params)), words))
+                if made:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made, strict=True)], names=["source_index", "block", "words"])
 
     made = spark.range(0, shards, 1, min(shards, 4 * spark.sparkContext.defaultParallelism))
-    return made.mapInArrow(draw, "source_index int, block long").groupBy("source_index", "block").agg(F.count("*").alias("times"))
+    return made.mapInArrow(draw, "source_index int, block long, words long").groupBy("source_index", "block", "words").agg(F.count("*").alias("times"))
 
 
 def _plan(docs: DataFrame, params: MixParams, keep_text: bool) -> tuple[DataFrame, DataFrame]:
@@ -185,22 +255,23 @@ def _plan(docs: DataFrame, params: MixParams, keep_text: bool) -> tuple[DataFram
     sized = checkpointed(_sizes(docs, keep_text))
     by_part = checkpointed(sized.groupBy("part", "source_").agg(F.sum("size").alias("n")))
     sources = sources_of({r["source_"]: r["n"] for r in by_part.groupBy("source_").agg(F.sum("n").alias("n")).collect()}, params)
-    listed = spark.createDataFrame([(i, s.name, s.size, s.target, s.block, s.blocks) for i, s in enumerate(sources)], "source_index int, source_name string, source_size long, target double, block_words int, blocks long")
+    listed = spark.createDataFrame([(i, s.name, s.size, s.target) for i, s in enumerate(sources)], "source_index int, source_name string, source_size long, target double")
     earlier = Window.partitionBy("source_").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = by_part.select("part", "source_", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     base = checkpointed(base.join(listed, base["source_"].eqNullSafe(listed["source_name"])).drop("source_name"))
     sized = join_small(sized.withColumn("key_", F.coalesce(F.concat(F.lit("="), "source_"), F.lit("null"))).drop("source_"), base.withColumn("key_", F.coalesce(F.concat(F.lit("="), "source_"), F.lit("null"))).drop("source_"), ["part", "key_"], "inner").drop("key_")
     placed = sized.withColumn("begin", F.col("base") + F.col("start")).drop("base", "start")
-    cut = placed.where("size > 0").select("part", "row", "source_index", "begin", "size", "block_words", F.explode(F.sequence(F.expr("begin div block_words"), F.expr("(begin + size - 1) div block_words"))).alias("block"))
+    length = params.block_words
+    cut = placed.where("size > 0").select("part", "row", "source_index", "begin", "size", F.explode(F.sequence(F.expr(f"begin div {length}"), F.expr(f"(begin + size - 1) div {length}"))).alias("block"))
     # Spark guesses the drawn blocks from the few rows of the shards that make them and would broadcast them; they grow with the input.
     used = cut.join(drawn_blocks(spark, sources, params).hint("merge"), ["source_index", "block"]).select(
         "part",
         "row",
         "times",
-        F.greatest(F.col("block") * F.col("block_words") - F.col("begin"), F.lit(0)).alias("from_word"),
-        F.least((F.col("block") + 1) * F.col("block_words") - F.col("begin"), F.col("size")).alias("to_word"),
+        F.greatest(F.col("block") * length - F.col("begin"), F.lit(0)).alias("from_word"),
+        F.least(F.col("block") * length + F.col("words") - F.col("begin"), F.col("size")).alias("to_word"),
     )
-    return placed, used
+    return placed, used.where("to_word > from_word")
 
 
 def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
@@ -211,22 +282,20 @@ def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
 
 
 def cut_text(text: str, runs: list[tuple[int, int, int]]) -> str:
-    """The words [from, to) of every run with the white space between them, in text order; once more, after a line end, what is taken twice."""
-    import re
-
+    """The words [from, to) of every run with the white space between them, in text order; once more, after a line end, what is taken again."""
     ends = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    taken = np.zeros(len(ends) + 1, np.int64)
+    for low, high, times in runs:
+        taken[low] += times
+        taken[high] -= times
+    taken = np.cumsum(taken)
     out = []
-    for turn in range(max(t for _, _, t in runs)):
-        merged: list[list[int]] = []
-        for low, high in sorted((low, high) for low, high, times in runs if times > turn):
-            if merged and merged[-1][1] == low:
-                merged[-1][1] = high
-            else:
-                merged.append([low, high])
-        if merged == [[0, len(ends)]]:
+    for turn in range(int(taken.max())):
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], (taken > turn).astype(np.int8)]))).tolist()
+        if edges == [0, len(ends)]:
             out.append(text)
         else:
-            out += [text[ends[low][0] : ends[high - 1][1]] for low, high in merged]
+            out += [text[ends[low][0] : ends[high - 1][1]] for low, high in zip(edges[::2], edges[1::2], strict=True)]
     return "\n".join(out)
 
 

@@ -1,11 +1,12 @@
 """Pack token sequences of documents into as few sequences of a fixed capacity as possible.
 
 A document's ids are cut into pieces of at most the capacity. The plan is made from the histogram of piece lengths,
-which has at most `capacity` entries whatever the corpus: going down from the longest length, a gap is filled exactly
-by one, two or three available lengths that sum to it (looked up in the availability index by their complement) as
-often as all of them last; where no such combination is left, the residual gap takes the best fitting length again and
-again. Each step uses up at least one length, so the plan has a few thousand rows at most. Every piece then gets its
-rank among the pieces of its length, and the rank decides its place: ranks are dealt to plan rows in order.
+which has at most `capacity` entries whatever the corpus. An index holds, for every sum, how many combinations of one, two
+and three available lengths have it under the counts that are left. Going down from the longest length, the index is
+looked up at a gap's exact complement, and the combination found fills the gap as often as all of its lengths last; where
+no such combination is left, the residual gap takes the best fitting length again and again. Each step uses up at least
+one length, so the plan has a few thousand rows at most. Every piece then gets its rank among the pieces of its length,
+and the rank decides its place: ranks are dealt to plan rows in order.
 
 Ranks are counted in two levels (within a task, then over the tasks), so that a length that a third of all pieces have
 is never gathered in one task. Pieces are written to the shared checkpoint folder before they are ranked: what a
@@ -17,12 +18,15 @@ packed once each; other columns are ignored. The texts are never cut before they
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +45,19 @@ CACHED_WORDS = 600_000
 #: Characters that end a pre-token after a letter or digit and never join the next; the apostrophe can.
 _TAIL = b".,;:!?)*#$%&|>-\"]}"
 
+# How the vocabulary whose words can be looked up one by one prepares a text.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
 
 class WordIds:
     """Ids of words between ASCII white space, as little-endian 32-bit bytes; `known` is filled batch by batch.
 
     The vocabulary's pre-tokeniser drops white space and never joins across it, so ids of a text are those of its
     words in order. It also parts a letter or digit from the punctuation that follows, and ignores case: a new word's ids
-    are then those of its lower-cased beginning and of its tail, which are looked up first.
+    are then those of its lower-cased beginning and of its tail, which are looked up first. A beginning whose last
+    character is, once normalised, no letter or digit (some decompose) isn't parted. A vocabulary that prepares texts in
+    another way gets whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -57,16 +67,32 @@ class WordIds:
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-        suffix = self.tokenizer.model.end_of_word_suffix
+        shape = json.loads(Path(path).read_text())
+        splits = (shape.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.by_word = shape.get("normalizer") == _NORMALIZER and splits[0].get("pattern") == {"Regex": _SPLIT} and all(p["type"] == "ByteLevel" and not p["add_prefix_space"] for p in splits[1:])
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.word_end[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.parts_after: dict[str, bool] = {}
 
     def _words(self, text: bytes) -> list[bytes]:
         return (text if b"<|" in text else text.lower()).split()
 
+    def _ends_word(self, core: bytes) -> bool:
+        """Whether what follows the beginning is a pre-token of its own."""
+        if core[-1] < 128:
+            return core[-1:].isalnum()
+        last = core.decode()[-1]
+        if (found := self.parts_after.get(last)) is None:
+            normal = self.tokenizer.normalizer.normalize_str(last)
+            found = self.parts_after[last] = all(unicodedata.category(c)[0] in "LN" for c in last + normal)
+        return found
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text."""
+        if not self.by_word:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
         if len(self.known) > CACHED_WORDS // 2:
             self.older, self.known = self.known, {}
         words = [self._words(t) for t in texts]
@@ -85,7 +111,7 @@ class WordIds:
         cut, whole = [], []
         for word in new.difference(known):
             core = word.rstrip(_TAIL)
-            if len(core) == len(word) or not core or b"<|" in word or not (core[-1:].isalnum() or core[-1] >= 128 and core.decode()[-1].isalpha()):
+            if len(core) == len(word) or not core or b"<|" in word or not self._ends_word(core):
                 whole.append(word)
             else:
                 cut.append((word, core, word[len(core) :]))
@@ -127,7 +153,7 @@ def word_ids(path: str) -> WordIds:
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, and where the row was made: part and rank within part and length."""
-    python_ready(docs.sparkSession, rows=1000)
+    python_ready(docs.sparkSession)
     end = np.asarray([end_id], "<u4").tobytes()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,66 +178,95 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tokenise, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long")
 
 
-def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, how many sequences have them), using exactly the pieces that counts has."""
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        left[length] += n
-    plan: list[tuple[tuple[int, ...], int]] = []
+class SumIndex:
+    """How many combinations of one, two and three of the pieces that are left have each sum, by lengths.
 
-    def use(lengths: tuple[int, ...]) -> None:
-        need = np.bincount(lengths, minlength=capacity + 1)
-        times = int((left[need > 0] // need[need > 0]).min())
-        left[:] -= times * need
-        plan.append((lengths, times))
+    combinations[k][s] counts the multisets of k lengths that sum to s and that the counts allow. They are the coefficients
+    of a product with one factor a length, so a length whose count passes 3, 2, 1 or 0 changes them by a few shifted
+    differences; nothing is ever searched for.
+    """
 
-    def pair(total: int) -> tuple[int, ...]:
-        """The longest available length with its complement to total."""
-        if total < 2:
+    def __init__(self, counts: dict[int, int], capacity: int) -> None:
+        self.left = np.zeros(capacity + 1, np.int64)
+        self.combinations = [np.zeros(capacity + 1, np.int64) for _ in range(4)]
+        self.combinations[0][0] = 1
+        for length, n in counts.items():
+            self.add(length, n)
+
+    def add(self, length: int, n: int) -> None:
+        before, self.left[length] = min(3, int(self.left[length])), self.left[length] + n
+        after = min(3, int(self.left[length]))
+        if before == after:
+            return
+        for sign, level in ((-1, before), (1, after)):
+            made = [self.combinations[0]]
+            for k in (1, 2, 3):  # divide by the old factor, multiply by the new one
+                own = self.combinations[k].copy()
+                for use in range(1, min(k, level) + 1):
+                    if use * length < len(own):
+                        own[use * length :] += sign * (made if sign < 0 else self.combinations)[k - use][: len(own) - use * length]
+                made.append(own)
+            self.combinations = made
+
+    def single(self, total: int) -> tuple[int, ...]:
+        return (total,) if self.combinations[1][total] else ()
+
+    def pair(self, total: int) -> tuple[int, ...]:
+        """The pair with the longest length."""
+        if not self.combinations[2][total]:
             return ()
         first = np.arange(total - 1, (total - 1) // 2, -1)
-        second = total - first
-        found = np.flatnonzero((left[first] > 0) & (left[second] > (first == second)))
-        return (int(first[found[0]]), int(second[found[0]])) if len(found) else ()
-
-    def exact(gap: int) -> tuple[int, ...]:
-        if left[gap] > 0:
-            return (gap,)
-        if two := pair(gap):
-            return two
-        for longest in np.flatnonzero(left[: gap - 1] > 0)[::-1]:
-            if 3 * longest < gap:
-                break
-            left[longest] -= 1
-            two = pair(gap - int(longest))
-            left[longest] += 1
-            if two:
-                return (int(longest), *two)
-        return ()
+        found = int(np.argmax((self.left[first] > 0) & (self.left[total - first] > (first == total - first))))
+        return int(first[found]), int(total - first[found])
+
+    def triple(self, total: int) -> tuple[int, ...]:
+        """The triple with the longest length: its complement is looked up among the pairs."""
+        if not self.combinations[3][total]:
+            return ()
+        longest = np.arange(total - 2, (total - 1) // 3, -1)
+        for first in longest[(self.left[longest] > 0) & (self.combinations[2][total - longest] > 0)].tolist():
+            self.add(first, -1)
+            rest = self.pair(total - first)
+            self.add(first, 1)
+            if rest:
+                return first, *rest
+        raise AssertionError("the index counts a triple that isn't there")
 
+    def exact(self, gap: int) -> tuple[int, ...]:
+        """A combination of up to three lengths that fills the gap; the one of fewest lengths."""
+        return self.single(gap) or self.pair(gap) or self.triple(gap)
+
+    def best(self, gap: int) -> int:
+        """The longest length that fits, 0 if none does."""
+        fits = np.flatnonzero(self.left[1 : gap + 1] > 0)
+        return int(fits[-1]) + 1 if len(fits) else 0
+
+
+def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths of a sequence, how many sequences have them), using exactly the pieces that counts has."""
+    index = SumIndex(counts, capacity)
+    plan: list[tuple[tuple[int, ...], int]] = []
     for length in range(capacity, 0, -1):
-        while left[length] > 0:
-            left[length] -= 1
-            gap, chosen = capacity - length, [length]
-            if gap and (rest := exact(gap)):
+        while index.left[length] > 0:
+            chosen, gap = [length], capacity - length
+            index.add(length, -1)
+            while gap:
+                rest = index.exact(gap)
+                if not rest:
+                    best = index.best(gap)
+                    rest = (best,) if best else ()
+                if not rest:
+                    break
+                for r in rest:
+                    index.add(r, -1)
                 chosen += rest
-            else:
-                taken: list[int] = []
-                while gap > 0 and len(fits := np.flatnonzero(left[1 : gap + 1] > 0)):
-                    best = int(fits[-1]) + 1
-                    left[best] -= 1
-                    taken.append(best)
-                    gap -= best
-                    if gap and (rest := exact(gap)):
-                        taken += rest
-                        for r in rest:
-                            left[r] -= 1
-                        gap = 0
-                for t in taken:
-                    left[t] += 1
-                chosen += taken
-            left[length] += 1
-            use(tuple(chosen))
+                gap -= sum(rest)
+            need = np.bincount(chosen, minlength=capacity + 1)
+            used = np.flatnonzero(need)
+            times = 1 + int((index.left[used] // need[used]).min())
+            for r in used.tolist():
+                index.add(r, -int(need[r]) * (times - 1))
+            plan.append((tuple(chosen), times))
     return plan
 
 

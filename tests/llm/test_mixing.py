@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -16,16 +18,70 @@ def test_permutations(size):
     assert sorted(mixing.permuted(np.arange(size), size, 5).tolist()) == list(range(size))
 
 
+def test_permutations_backwards():
+    for size in (1, 2, 3, 17, 1000):
+        images = mixing.permuted(np.arange(size), size, 5)
+        assert [mixing.place_of(int(x), size, 5) for x in images] == list(range(size))
+
+
+def shards_of(low, high, shards, slots, seed):
+    out = {}
+    for shard, own, first, counts in mixing.shard_counts(low, high, shards, slots, seed):
+        out[shard] = ({int(i): (int(f), int(n)) for i, f, n in zip(own, first, counts, strict=True)})
+    return out
+
+
 def test_shards_add_up_and_are_the_same_again():
     slots = np.array([50, 3, 0, 947])
-    parts = [mixing.shard_counts(k, 7, slots, 17) for k in range(7)]
-    assert sum(c for _, c in parts).tolist() == slots.tolist()
-    for k in range(1, 7):
-        assert (parts[k][0] == parts[k - 1][0] + parts[k - 1][1]).all()
-    assert (mixing.shard_counts(4, 7, slots, 17)[1] == parts[4][1]).all()
-    assert abs(int(parts[0][1].sum()) - 1000 / 7) < 1
-    big = np.array([3_000_000_000, 5_000_000_000])
-    assert sum(mixing.shard_counts(k, 3, big, 1)[1] for k in range(3)).tolist() == big.tolist()
+    parts = shards_of(0, 7, 7, slots, 17)
+    assert sorted(parts) == list(range(7))
+    at = {0: 0, 1: 0, 3: 0}
+    for k in range(7):
+        for i, (first, n) in parts[k].items():
+            assert first == at[i] and n > 0
+            at[i] += n
+    assert at == {0: 50, 1: 3, 3: 947}
+    assert shards_of(4, 5, 7, slots, 17) == {4: parts[4]} and shards_of(2, 6, 7, slots, 17) == {k: parts[k] for k in range(2, 6)}
+    assert abs(sum(n for _, n in parts[0].values()) - 1000 / 7) < 1
+
+
+@pytest.mark.parametrize("total", [499_999_000, 500_001_000, 10**13])
+def test_large_draws_spread_as_small_ones(total):
+    """Of 800 draws, mean and standard deviation are those of the distribution, whatever the population."""
+    if total == 10**13:
+        draws = [mixing.hypergeometric(np.random.default_rng(k), 3 * 10**12, total - 3 * 10**12, 10**6) for k in range(200)]
+        n, good = 10**6, 3 * 10**12
+    else:
+        n, good = total // 2, total // 3
+        draws = [mixing.hypergeometric(np.random.default_rng(k), good, total - good, n) for k in range(200)]
+    p = good / total
+    sd = (n * p * (1 - p) * (total - n) / (total - 1)) ** 0.5
+    assert abs(np.mean(draws) - n * p) < 5 * sd / 200**0.5
+    assert abs(np.std(draws) / sd - 1) < 0.2
+
+
+def test_small_draws_have_the_right_frequencies():
+    rng, want = np.random.default_rng(1), [math.comb(6, k) * math.comb(9, 5 - k) / math.comb(15, 5) for k in range(6)]
+    seen = np.bincount([mixing.hypergeometric(rng, 6, 9, 5) for _ in range(4000)], minlength=6) / 4000
+    assert np.abs(seen - want).max() < 0.03
+    assert mixing.hypergeometric(rng, 5, 0, 3) == 3 and mixing.hypergeometric(rng, 0, 5, 3) == 0 and mixing.hypergeometric(rng, 2, 3, 5) == 2
+
+
+def test_drawn_blocks_against_every_slot_by_hand(spark):
+    """The joined blocks are those that walking slot by slot through all permutations takes."""
+    params = mixing.MixParams(block_words=8, shard_slots=16)
+    sources = mixing.sources_of({"a": 1001, "b": 77, "c": 5, None: 0, "d": 640}, params)
+    want = {}
+    for i, s in enumerate(sources):
+        words = 0
+        for j in range(s.slots):
+            block = int(mixing.permuted(np.array([j % s.blocks]), s.blocks, mixing.source_key(i, params))[0])
+            taken = s.last if j == s.slots - 1 else 8
+            want[(i, block, taken)] = want.get((i, block, taken), 0) + 1
+            words += min(taken, s.size - 8 * block)
+        assert words == s.words == round(s.target)
+    got = {(r["source_index"], r["block"], r["words"]): r["times"] for r in mixing.drawn_blocks(spark, sources, params).collect()}
+    assert got == want
 
 
 def rows_of(spark, seed=0):
@@ -50,7 +106,7 @@ def test_mix_against_direct_counts(spark):
         by_target.setdefault((r["source_size"], r["target"]), []).append(r["taken"])
     assert set(by_target) == {(totals[s], want[s]) for s in order}
     for (size, target), taken in by_target.items():
-        assert sum(taken) == pytest.approx(target, rel=0.01, abs=2)
+        assert sum(taken) == round(target)
     again = mixing.mix(df).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
     assert mixing.mix(df.limit(0)).count() == 0

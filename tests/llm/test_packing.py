@@ -1,3 +1,4 @@
+import itertools
 import zlib
 from collections import Counter, defaultdict
 
@@ -60,6 +61,45 @@ def test_plan_uses_every_piece_once(counts):
     assert set(table[:, 0].tolist()) == set(counts)
 
 
+def test_every_letter_and_digit_before_punctuation():
+    """Words are parted only where the tokenizer parts them, whatever their last character."""
+    ids, tokenizer = packing.WordIds(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    assert ids.by_word
+    some = [chr(c) for c in range(128, 0x110000) if chr(c).isalnum()]
+    for tail in (".", "|", ",\""):
+        words = [f"a{c}{tail}" for c in some]
+        want = [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        got = ids.encode([w.encode() for w in words])
+        assert [w for w, a, b in zip(words, want, got, strict=True) if a != b] == []
+
+
+def test_other_vocabularies_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids, tokenizer = packing.WordIds(path), Tokenizer.from_file(path)
+    assert not ids.by_word
+    text = "Some words,  with spaces. And\nlines"
+    assert ids.encode([text.encode()]) == [np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+
+
+def test_index_of_sums_against_all_combinations():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        counts = {int(k): int(rng.integers(1, 5)) for k in rng.integers(1, 20, 6)}
+        index = packing.SumIndex(counts, 40)
+        for _ in range(8):
+            k = int(rng.choice(list(counts)))
+            change = int(rng.integers(-index.left[k], 3))
+            index.add(k, change)
+            left = Counter({n: int(index.left[n]) for n in counts})
+            for size in (1, 2, 3):
+                sums = Counter(sum(c) for c in itertools.combinations_with_replacement(sorted(counts), size) if all(left[n] >= m for n, m in Counter(c).items()))
+                assert {s: n for s, n in enumerate(index.combinations[size].tolist()) if n} == {s: n for s, n in sums.items() if s <= 40}
+            for gap in range(1, 41):
+                found = index.exact(gap)
+                assert bool(found) == any(index.combinations[size][gap] for size in (1, 2, 3))
+                assert not found or (sum(found) == gap and all(left[n] >= m for n, m in Counter(found).items()))
+
+
 def test_exact_complements_are_found():
     assert packing.plan_sequences({3000: 1, 1096: 1}) == [((3000, 1096), 1)]
     assert sorted(packing.plan_sequences({3000: 1, 600: 1, 496: 1})[0][0]) == [496, 600, 3000]
