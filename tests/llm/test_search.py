@@ -41,11 +41,36 @@ def test_odd_rows(spark):
 def test_stops_only_on_proof():
     rng = np.random.default_rng(3)
     values, queries = rng.integers(-200, 200, (500, 8)).astype(float), rng.integers(-200, 200, (7, 8)).astype(float)
+    values[40:80] = values[40]
+    queries[3] = 0
     ids = np.arange(500)
-    for spare in (0, 32):
-        params = impact_search.SearchParams(spare=spare)
-        got = impact_search.block_top(values, ids, queries, np.arange(7), np.full(7, -np.inf), params)
+    for spare, levels in ((0, 32), (32, 32), (0, 3)):
+        params = impact_search.SearchParams(spare=spare, levels=levels)
+        got, read = impact_search.block_top(values, impact_search.Postings.of(values, levels), ids, queries, np.arange(7), np.full(7, -np.inf), params)
+        assert 0 < read < 7 * values.size
         for i, found in enumerate(got):
             scores = values @ queries[i]
             want = sorted((-s, j) for j, s in enumerate(scores) if j != i)[:5]
             assert found == [(-s, j) for s, j in want]
+
+
+def test_segments_hold_every_posting_once_in_order():
+    rng = np.random.default_rng(4)
+    values = np.column_stack([rng.integers(-9, 9, 300), np.zeros(300), rng.integers(-(2**40), 2**40, 300)]).astype(float)
+    index = impact_search.Postings.of(values, 32)
+    for d in range(3):
+        assert sorted(index.rows[d].tolist()) == list(range(300)) and (np.diff(index.values[d]) >= 0).all()
+        assert (values[index.rows[d], d] == index.values[d]).all()
+        assert index.begins[d, 0] == 0 and index.begins[d, -1] == 300 and (np.diff(index.begins[d]) >= 0).all()
+
+
+def test_sparse_rows_read_few_postings():
+    """Where impacts are skewed, most postings are never read."""
+    rng = np.random.default_rng(5)
+    values = np.where(rng.random((4000, 64)) < 0.05, rng.integers(50, 255, (4000, 64)), rng.integers(0, 3, (4000, 64))).astype(float)
+    queries = np.where(rng.random((20, 64)) < 0.1, rng.integers(50, 255, (20, 64)), 0).astype(float)
+    params = impact_search.SearchParams()
+    got, read = impact_search.block_top(values, impact_search.Postings.of(values, 32), np.arange(4000), queries, np.full(20, -1), np.full(20, -np.inf), params)
+    assert read < 0.5 * (queries != 0).sum() * 4000
+    for found, q in zip(got, queries, strict=True):
+        assert found == [(-s, j) for s, j in sorted((-s, j) for j, s in enumerate(values @ q))[:5]]
