@@ -19,6 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,13 @@ from pyspark.sql import functions as F
 from tactigrid.llm.common import checkpointed, join_small, python_ready
 
 UNKNOWN = "und"
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+@lru_cache(maxsize=1)
+def _no_letters() -> re.Pattern:
+    """Runs of anything but letters: of what Python takes for word characters, those that aren't letters are added one by one."""
+    others = "".join(c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    return re.compile(rf"[\W\d_{others}]+")
 
 
 @dataclass(frozen=True)
@@ -53,7 +60,7 @@ class LanguageModel:
 
 def ngram_counts(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, counts) of the n-grams of a text; (empty, empty) without letters."""
-    letters = _NO_LETTERS.sub(" ", text.lower()).strip()
+    letters = _no_letters().sub(" ", text.lower()).strip()
     if not letters:
         return np.empty(0, np.int64), np.empty(0)
     points = np.frombuffer(f" {letters} ".encode("utf-32-le"), np.uint32).astype(np.uint64)

@@ -1,12 +1,15 @@
 """Rule-based quality filter: surface rules, then divergence from what is usual in the document's language.
 
 Everything is built from DataFrame functions. Two scans of the text: one gathers, per language, how often each
-character class and each short word occurs in all documents; the other measures every document and compares its
-histograms with those of its language by the Jensen-Shannon distance (base 2, so 0 to 1).
-
-Defined results: null text counts as empty; an empty text has no words, fails the base rules and isn't kept; null or
-rare languages are compared with the reference of all documents; rows repeat as they are given; other columns are
-ignored by `measure` and kept by `apply_rules`. No group is ever collected: references are sums, one row a language.
+character class and each word occurs in all documents; the other measures every document and compares its
+histograms with those of its language by the Jensen-Shannon distance (base 2, so 0 to 1). The word histogram has a bin for
+each of the language's most common words, one for marks that stand alone, and one for all other words.
+
+Defined results: null text counts as empty; an empty text has no words, fails the base rules and isn't kept; null
+languages, and those too rare for a reference, are compared with the reference of all documents; rows repeat as they are
+given; other columns are ignored by `measure` and kept by `kept_documents` (whatever their names) and `apply_rules`
+(but for those named as what it adds, or ending in an underscore as its temporary ones: ADDED and TEMPORARY). Words of
+3-word windows are compared by a 64-bit hash of the three. No group is ever collected: references are sums, one row a language.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tactigrid.llm.common import WHITE_SPACE, checkpointed, join_small, shielded
+from tactigrid.llm.common import WHITE_SPACE, checkpointed, join_small, quoted, shielded
 
 #: Character classes of the histogram, in this order; the last holds what no other has (mostly lower-case letters).
 CLASSES = ("upper", "digit", "mark", "symbol", "space", "other")
@@ -25,6 +28,8 @@ SYMBOLS = r"#*$%&|<>"
 LETTERS = r"[\p{L}\p{N}]"
 #: Key of the reference that is made of all documents.
 ANY = "*"
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")
+TEMPORARY = ("text_", "words_", "residue_", "lower_", "classes_", "lines_", "windows_", "sorted_", "common_", "word_ref_", "class_ref_", "ref_lang_", "hits_", "lone_", "has_own_")
 
 
 @dataclass(frozen=True)
@@ -33,15 +38,13 @@ class QualityParams:
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    #: Words of at most so many code points may be common words.
-    short_word: int = 4
-    common_words: int = 16
+    common_words: int = 20
     #: A language needs so many words in all documents for a reference of its own.
     min_reference_words: int = 2000
     min_chars: int = 100
     min_compared_words: int = 50
     max_class_distance: float = 0.27
-    max_word_distance: float = 0.38
+    max_word_distance: float = 0.35
 
 
 def _class_counts(text: Column, words: Column, residue: Column) -> Column:
@@ -52,41 +55,37 @@ def _class_counts(text: Column, words: Column, residue: Column) -> Column:
     return F.array(upper, digit, mark, symbol, space, total - upper - digit - mark - symbol - space)
 
 
-def with_words(docs: DataFrame, params: QualityParams) -> DataFrame:
-    """Add text_ (never null), words_, classes_ and short_ (the short words in lower case)."""
+def with_words(docs: DataFrame) -> DataFrame:
+    """Add text_ (never null), words_, classes_ and lower_ (the words in lower case)."""
     df = docs.withColumn("text_", F.coalesce(F.col("text"), F.lit("")))
-    df = df.withColumn("words_", F.array_remove(F.split("text_", WHITE_SPACE), "")).withColumn("residue_", F.regexp_replace("text_", r"[\p{Ll}\x20\x09-\x0D]+", ""))
-    short = F.transform(F.filter("words_", lambda w: F.length(w) <= params.short_word), lambda w: F.lower(w))
-    return df.withColumn("classes_", _class_counts(F.col("text_"), F.col("words_"), F.col("residue_"))).withColumn("short_", short)
+    words = lambda t: F.array_remove(F.split(t, WHITE_SPACE), "")
+    df = df.withColumn("words_", words(F.col("text_"))).withColumn("residue_", F.regexp_replace("text_", r"[\p{Ll}\x20\x09-\x0D]+", ""))
+    return df.withColumn("classes_", _class_counts(F.col("text_"), F.col("words_"), F.col("residue_"))).withColumn("lower_", words(F.lower("text_")))
 
 
 def references(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
-    """One row per language and one for all: ref_lang, common array<string>, word_ref array<double> (two more: lone marks and the rest), class_ref array<double>."""
-    base = with_words(docs.select(F.coalesce("lang", F.lit(ANY)).alias("lang"), "text"), params)
-    # One row per short word (one with a null key if there are none); a document's other counts go with its first row.
-    counted = base.select("lang", "classes_", F.size("words_").cast("long").alias("n_words"), F.posexplode_outer("short_").alias("pos", "key"))
+    """One row per language and one for all: ref_lang_, common_ array<string>, word_ref_ array<double> (two more: lone marks and the rest), class_ref_ array<double>."""
+    base = with_words(docs.select(F.coalesce("lang", F.lit(ANY)).alias("lang"), "text"))
+    # One row per word (one with a null key if there are none); a document's other counts go with its first row.
+    counted = base.select("lang", "classes_", F.posexplode_outer("lower_").alias("pos", "key"))
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0
-    sums = counted.groupBy("lang", "key").agg(
-        F.count("key").alias("n"),
-        F.sum(F.when(first, F.col("n_words"))).alias("words"),
-        *(F.sum(F.when(first, F.col("classes_")[i])).alias(c) for i, c in enumerate(CLASSES)),
-    )
+    sums = counted.groupBy("lang", "key").agg(F.count("key").alias("n"), *(F.sum(F.when(first, F.col("classes_")[i])).alias(c) for i, c in enumerate(CLASSES)))
     sums = checkpointed(sums)
-    measures = ("n", "words", *CLASSES)
+    measures = ("n", *CLASSES)
     all_ = sums.groupBy("key").agg(*(F.sum(c).alias(c) for c in measures)).select(F.lit(ANY).alias("lang"), "key", *measures)
     sums = sums.where(F.col("lang") != ANY).unionByName(all_)
     lone = F.sum(F.when(~F.col("key").rlike(LETTERS), F.col("n")).otherwise(0)).alias("lone")
-    totals = sums.groupBy("lang").agg(lone, *(F.sum(c).alias(c) for c in measures[1:])).where(F.col("words") >= params.min_reference_words)
+    totals = sums.groupBy("lang").agg(lone, F.sum("n").alias("words"), *(F.sum(c).alias(c) for c in CLASSES)).where(F.col("words") >= params.min_reference_words)
     ranked = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
     top = sums.where(F.col("key").rlike(LETTERS)).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= params.common_words)
     top = top.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("rank", "key", "n"))).alias("top"))
     chars = sum((F.col(c) for c in CLASSES), F.lit(0))
     covered = F.aggregate("top", F.lit(0).cast("long"), lambda a, x: a + x["n"])
     return totals.join(top, "lang").select(
-        F.col("lang").alias("ref_lang"),
-        F.transform("top", lambda x: x["key"]).alias("common"),
-        F.concat(F.transform("top", lambda x: x["n"] / F.col("words")), F.array(F.col("lone") / F.col("words"), (F.col("words") - F.col("lone") - covered) / F.col("words"))).alias("word_ref"),
-        F.array(*(F.col(c) / chars for c in CLASSES)).alias("class_ref"),
+        F.col("lang").alias("ref_lang_"),
+        F.transform("top", lambda x: x["key"]).alias("common_"),
+        F.concat(F.transform("top", lambda x: x["n"] / F.col("words")), F.array(F.col("lone") / F.col("words"), (F.col("words") - F.col("lone") - covered) / F.col("words"))).alias("word_ref_"),
+        F.array(*(F.col(c) / chars for c in CLASSES)).alias("class_ref_"),
     )
 
 
@@ -100,9 +99,9 @@ def _js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
-def measure(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (longs), short_ and classes_."""
-    df = with_words(docs, params)
+def measure(docs: DataFrame) -> DataFrame:
+    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (longs), lower_ and classes_."""
+    df = with_words(docs)
     lines = F.filter(F.split("text_", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("n_words", F.size("words_").cast("long")).withColumn("lines_", lines)
     numbers = F.when(F.col("n_words") >= 3, F.sequence(F.lit(0), F.size("words_") - 3)).otherwise(F.array().cast("array<int>"))
@@ -115,8 +114,8 @@ def measure(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFra
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(places, start, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")))
     return df.select(
-        *docs.columns,
-        "short_",
+        *map(quoted, docs.columns),
+        "lower_",
         "classes_",
         "n_words",
         F.length(F.array_join("words_", "")).cast("long").alias("word_chars"),
@@ -134,24 +133,24 @@ def _fenced(df: DataFrame, name: str) -> Column:
 
 
 def apply_rules(docs: DataFrame, params: QualityParams = QualityParams(), refs: DataFrame | None = None) -> DataFrame:
-    """docs (without columns of the names that are added) with the measures, base_failed, class_distance, word_distance (null where there is nothing to compare) and kept."""
-    clash = {"text_", "words_", "residue_", "short_", "classes_", "lines_", "windows_", "sorted_", "common", "word_ref", "class_ref", "ref_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance", "hits_", "lone_"}
-    docs = docs.drop(*(c for c in docs.columns if c in clash))
+    """docs (without columns named in ADDED and TEMPORARY) with the measures, base_failed, class_distance, word_distance (null where there is nothing to compare) and kept."""
+    docs = docs.drop(*(c for c in docs.columns if c in (*ADDED, *TEMPORARY)))
     refs = checkpointed(references(docs, params)) if refs is None else refs
-    own = refs.select("ref_lang").where(F.col("ref_lang") != ANY).withColumn("has_own_", F.lit(True))
-    keyed = join_small(docs, own.withColumnRenamed("ref_lang", "lang"), "lang", "left").withColumn("ref_lang", F.when(F.col("has_own_"), F.col("lang")).otherwise(ANY)).drop("has_own_")
-    df = join_small(measure(keyed, params), refs, "ref_lang", "left")
-    df = df.withColumn("hits_", F.filter("short_", lambda w: F.array_contains("common", w)))
-    df = df.withColumn("lone_", F.size(F.filter("short_", lambda w: ~w.rlike(LETTERS))))
+    own = refs.select(F.col("ref_lang_").alias("lang")).where(F.col("lang") != ANY).withColumn("has_own_", F.lit(True))
+    keyed = join_small(docs, own, "lang", "left").withColumn("ref_lang_", F.when(F.col("has_own_"), F.col("lang")).otherwise(ANY)).drop("has_own_")
+    df = join_small(measure(keyed), refs, "ref_lang_", "left")
+    df = df.withColumn("hits_", F.filter("lower_", lambda w: F.array_contains("common_", w)))
+    # A word that begins with a letter of ASCII is none; only the others are searched.
+    df = df.withColumn("lone_", F.size(F.filter("lower_", lambda w: ~((w >= "a") & (w < "{")) & ~w.rlike(LETTERS))))
     total = F.aggregate("classes_", F.lit(0).cast("long"), lambda a, x: a + x)
     class_p = F.transform("classes_", lambda c: c / total)
-    word_p = F.concat(F.transform("common", lambda c: (F.size("hits_") - F.size(F.array_remove("hits_", c))) / F.col("n_words")), F.array(F.col("lone_") / F.col("n_words"), (F.col("n_words") - F.size("hits_") - F.col("lone_")) / F.col("n_words")))
-    compared = F.col("common").isNotNull() & (F.col("n_words") >= params.min_compared_words) & (F.col("word_chars") >= params.min_chars)
-    df = df.withColumn("class_distance", F.when(compared, _js_distance(class_p, F.col("class_ref")))).withColumn("word_distance", F.when(compared, _js_distance(word_p, F.col("word_ref"))))
+    word_p = F.concat(F.transform("common_", lambda c: (F.size("hits_") - F.size(F.array_remove("hits_", c))) / F.col("n_words")), F.array(F.col("lone_") / F.col("n_words"), (F.col("n_words") - F.size("hits_") - F.col("lone_")) / F.col("n_words")))
+    compared = F.col("common_").isNotNull() & (F.col("n_words") >= params.min_compared_words) & (F.col("word_chars") >= params.min_chars)
+    df = df.withColumn("class_distance", F.when(compared, _js_distance(class_p, F.col("class_ref_")))).withColumn("word_distance", F.when(compared, _js_distance(word_p, F.col("word_ref_"))))
     failed = (F.col("n_words") < params.min_words) | (100 * F.col("n_repeat_words") > params.max_repeat_percent * F.col("n_words"))
     odd = F.coalesce((F.col("class_distance") > params.max_class_distance) | (F.col("word_distance") > params.max_word_distance), F.lit(False))
     df = df.withColumn("base_failed", failed).withColumn("kept", ~failed & ~odd)
-    return df.select(*docs.columns, *(_fenced(df, c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")))
+    return df.select(*map(quoted, docs.columns), *(_fenced(df, c).alias(c) for c in ADDED))
 
 
 def kept_documents(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:

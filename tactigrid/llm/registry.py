@@ -96,13 +96,13 @@ WITH w AS (
 rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM x) WHERE c > 1),
 covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, range(3) r(k) GROUP BY doc_id),
 measured AS (SELECT m.*, coalesce(covered.n, 0) AS n_repeat_words, len(lines) - len(list_distinct(lines)) AS n_dup_lines FROM m LEFT JOIN covered USING (doc_id)),
-tokens AS (SELECT doc_id, lang, lower(u.word) AS word FROM m, unnest(w) u(word) WHERE length(u.word) <= 4),
+tokens AS (SELECT doc_id, lang, lower(u.word) AS word FROM m, unnest(w) u(word)),
 both_langs AS (SELECT doc_id, lang FROM m WHERE lang <> '*' UNION ALL SELECT doc_id, '*' FROM m),
 ref AS (
   SELECT b.lang, sum(n_words) AS words, [sum(uppers), sum(digits), sum(marks), sum(symbols), sum(spaces), sum(total - uppers - digits - marks - symbols - spaces)] AS c
   FROM both_langs b JOIN m USING (doc_id) GROUP BY b.lang HAVING sum(n_words) >= 2000
 ), counts AS (SELECT b.lang, word, count(*) AS n FROM both_langs b JOIN tokens t USING (doc_id) GROUP BY ALL),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM counts WHERE regexp_matches(word, '[\\p{L}\\p{N}]')) WHERE r <= 16),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM counts WHERE regexp_matches(word, '[\\p{L}\\p{N}]')) WHERE r <= 20),
 lone AS (SELECT lang, sum(n) AS n FROM counts WHERE NOT regexp_matches(word, '[\\p{L}\\p{N}]') GROUP BY lang),
 keyed AS (SELECT m.doc_id, CASE WHEN EXISTS (SELECT 1 FROM ref WHERE ref.lang = m.lang) THEN m.lang ELSE '*' END AS ref_lang FROM m),
 bins AS (
@@ -131,7 +131,7 @@ known AS (
   FROM measured a LEFT JOIN js c ON c.doc_id = a.doc_id AND c.kind = 'c' LEFT JOIN js v ON v.doc_id = a.doc_id AND v.kind = 'w'
 )
 SELECT doc_id, n_words, word_chars, symbols AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT coalesce(class_distance > 0.27 OR word_distance > 0.38, FALSE) AS kept, round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance
+       NOT base_failed AND NOT coalesce(class_distance > 0.27 OR word_distance > 0.35, FALSE) AS kept, round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance
 FROM judged
 """
 
