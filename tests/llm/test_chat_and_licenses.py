@@ -1,5 +1,9 @@
 import json
-import re
+import math
+import textwrap
+
+import numpy as np
+import pytest
 
 from tactigrid.llm import chat, licenses
 
@@ -93,15 +97,75 @@ def test_notices_of_the_table(spark):
 def test_unknown_text_and_held_out_notices():
     model = licenses.fit()
     for text in (*licenses.NEAR_MISSES, "Der Hund kommt mit.", "The quick brown fox."):
-        assert not [r for r in licenses.classify(text.encode(), model) if r[5]], text
+        assert not [r for r in licenses.classify(text.encode(), model) if r[6]], text
     for text, family in (("This file is licensed under the Apache License 2.0", "Apache-2.0"), ("Code released under the MIT license, see LICENSE.", "MIT"), ("licensed under a Creative Commons Attribution-ShareAlike 3.0 license", "CC-BY-SA"), ("Subject to the Mozilla Public License 2.0", "MPL-2.0"), ("GNU Affero General Public License v3 or later applies", "AGPL")):
-        assert [r[1] for r in licenses.classify(text.encode(), model)] == [family], text
+        assert [r[2] for r in licenses.classify(text.encode(), model)] == [family], text
+
+
+WRAPPED = {
+    "MIT": licenses.TEMPLATES["MIT"][3],
+    "ISC": licenses.TEMPLATES["ISC"][1],
+    "BSD": licenses.TEMPLATES["BSD"][6],
+    "GPL-3.0": licenses.TEMPLATES["GPL-3.0"][1],
+    "EPL-2.0": licenses.TEMPLATES["EPL-2.0"][0],
+    "Apache-2.0": licenses.TEMPLATES["Apache-2.0"][2],
+}
+
+
+@pytest.mark.parametrize("family", WRAPPED)
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_wrapped_notices_are_one_paragraph(family, mark):
+    lines = textwrap.wrap(WRAPPED[family], 70)
+    text = "Oulen ba regi.\n\n" + "".join(f"{mark}{x}\n" for x in lines) + f"{mark}\nNoru te vaki so lemi.\n"
+    confirmed = [r for r in licenses.classify(text.encode(), licenses.fit()) if r[6]]
+    assert {r[2] for r in confirmed} == {family} and confirmed[0][0] >= 2 and sum(r[1] for r in confirmed) > 0.5 * len(lines)
+
+
+#: Notices of licences that neither the families nor the examples of others hold.
+UNSEEN = (
+    "Licensed under the Academic Free License version 3.0.",
+    "This software is governed by the CeCILL license under French law and abiding by the rules of distribution of free software.",
+    "This file is part of the toolkit and may be distributed under the terms of the Q Public License.",
+    "Made available under the Open Database License.",
+    "This work is placed under the terms of the GNU Free Documentation License, Version 1.3.",
+    "Use is subject to the terms of the Oracle Technology Network agreement.",
+    "Released under the Ruby license, with exceptions listed below.",
+    "Covered by the Educational Community License, version 1.0.",
+)
+
+
+def test_unseen_licences_are_confirmed_as_nothing():
+    model = licenses.fit()
+    found = [r for t in UNSEEN for r in licenses.classify(t.encode(), model)]
+    assert not [r for r in found if r[6]]
+    assert sum(r[2] == licenses.UNKNOWN for r in found) >= 2
+
+
+def test_probabilities_are_calibrated_on_held_out_examples():
+    params, model = licenses.LicenseParams(), licenses.fit()
+    rows = [(licenses.probabilities(licenses.words_of(t.encode()), model), f) for t, f in licenses._examples(params, 7)]
+    top = np.array([p.max() for p, _ in rows])
+    right = np.array([model.families[int(p.argmax())] == f for p, f in rows])
+    bins = np.digitize(top, [0.5, 0.7, 0.8, 0.9, 0.95])
+    error = sum(abs(top[bins == b].mean() - right[bins == b].mean()) * (bins == b).mean() for b in np.unique(bins))
+    assert right.mean() > 0.9 and error < 0.06
 
 
-def test_gate_changes_nothing():
+def test_probabilities_equal_a_direct_softmax():
     model = licenses.fit()
-    assert all(not re.fullmatch(r"[a-z]{1,2}", w.decode()) or w not in licenses._STOP for w in model.anchors)
-    assert licenses.classify(b"of the and to", model) == []
+    words = licenses.words_of(b"Released under the MIT License, and more.")
+    grams = {(w,) for w in words} | set(zip(words, words[1:], strict=False))
+    known = [g for g in grams if g in model.vocabulary]
+    share = math.sqrt(sum(w in model.known or w in licenses._STOP for w in words) / len(words))
+    z = [sum(model.weights[model.vocabulary[g], k] for g in known) * share / math.sqrt(len(known)) + model.weights[-1, k] for k in range(len(model.families))]
+    e = [math.exp(x / model.temperature) for x in z]
+    assert licenses.probabilities(words, model).tolist() == pytest.approx([x / sum(e) for x in e])
+
+
+def test_long_text_is_read_whole():
+    text = "Oulen ba regi the of.\n" * 200_000 + "Released under the MIT License."
+    assert [(r[0], r[2]) for r in licenses.classify(text.encode(), licenses.fit())] == [(200_000, "MIT")]
+    assert licenses.classify(b"of the and to", licenses.fit()) == []
 
 
 def test_odd_documents(spark):
