@@ -149,10 +149,19 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 5
 """
 
+#: Of tables without tool turns; any turn that looks like one is an error.
+OP9_SQL = """
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS position, turn, role,
+       CASE WHEN role IN ('assistant', 'tool') AND ltrim(text) LIKE '{%' THEN error('a turn may hold calls or a result') ELSE 'message' END AS status,
+       CAST(NULL AS VARCHAR) AS call_id, CAST(0 AS INTEGER) AS n_calls, CAST(0 AS INTEGER) AS n_answered, CAST(NULL AS BOOLEAN) AS valid,
+       '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS json
+FROM conversations
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_minhash_dedup, op2_impact_search, op3_html_text, op4_packing, op5_mixing, op6_language_id, op7_quality_rules, op8_quality_classifier, op9_chat_format, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": OP1_SQL, "op2_impact_search": OP2_SQL, "op7_quality_rules": OP7_SQL}
+    return {"op1_minhash_dedup": OP1_SQL, "op2_impact_search": OP2_SQL, "op7_quality_rules": OP7_SQL, "op9_chat_format": OP9_SQL}

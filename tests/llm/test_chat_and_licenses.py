@@ -59,6 +59,76 @@ def test_canonical_json_sorts_nested_keys(spark):
     assert json.dumps(parsed, sort_keys=True, separators=(",", ":"), ensure_ascii=False) == r[9]
 
 
+def test_nothing_that_was_given_is_lost(spark):
+    big = 12345678901234567890123456789012345678901234567890
+    rows = [
+        (1, 0, "assistant", json.dumps({"note": {"b": 1, "a": 2}, "content": None, "tool_calls": [{"type": "function", "id": "a", "name": "search", "arguments": {"query": "x"}}]})),
+        (1, 1, "tool", json.dumps({"tool_call_id": "a", "name": "n", "content": {"z": [1, {"y": 2, "x": None}], "a": 1.5}})),
+        (2, 0, "assistant", json.dumps({"tool_calls": [{"id": "a", "name": "search", "arguments": json.dumps({"query": "x", "limit": big})}]})),
+        (3, 0, "assistant", '{"tool_calls": [{"id": "a", "name": "search", "arguments": "{\\"query\\": 1, \\"query\\": 2}"}]}'),
+        (4, 0, "assistant", '{"tool_calls": [{"id": "a", "name": "search", "arguments": {"query": 1, "query": 2}}]}'),
+        (5, 0, "assistant", '{"role": "user", "tool_calls": [{"id": "a", "name": "search", "arguments": {}}]}'),
+        (6, 0, "assistant", json.dumps({"tool_calls": [{"id": "a", "name": "search", "arguments": {"limit": big}}]})),
+    ]
+    got = {(r[0], r[2]): r for r in formatted(spark, rows)}
+    assert got[(1, 0)][9] == '{"content":null,"note":{"a":2,"b":1},"role":"assistant","tool_calls":[{"arguments":{"query":"x"},"id":"a","name":"search","type":"function"}]}'
+    assert got[(1, 1)][9] == '{"content":{"a":1.5,"z":[1,{"x":null,"y":2}]},"name":"n","role":"tool","tool_call_id":"a"}' and got[(1, 1)][4] == "result"
+    assert json.loads(got[(2, 0)][9])["tool_calls"][0]["arguments"] == json.dumps({"query": "x", "limit": big}) and got[(2, 0)][8] is False
+    assert json.loads(got[(3, 0)][9])["tool_calls"][0]["arguments"] == '{"query": 1, "query": 2}'
+    for c in (4, 5, 6):
+        assert got[(c, 0)][4] == "message" and json.loads(got[(c, 0)][9]) == {"content": rows[c][3], "role": "assistant"}
+
+
+def test_nested_schemas(spark):
+    cases = [({"query": "x", "filters": [{"field": "a", "values": ["b"]}, {"field": "c"}]}, True), ({"query": "x", "filters": [{"values": ["b"]}]}, False), ({"query": "x", "filters": [{"field": "a", "values": [1]}]}, False), ({"query": "x", "filters": []}, True), ({"query": None}, False)]
+    rows = [(i, 0, "assistant", call(("a", "search", a))) for i, (a, _) in enumerate(cases)] + [(50, 0, "assistant", call(("a", "weather", {"city": "x", "unit": "celsius"}))), (51, 0, "assistant", call(("a", "weather", {"city": "x", "unit": "kelvin"})))]
+    assert [r[8] for r in formatted(spark, rows)] == [v for _, v in cases] + [True, False]
+
+
+def direct(rows):
+    """(conv, position, turn, status, call_id, n_answered), message by message."""
+    out = []
+    for conv in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1], r[2], r[3]))
+        owner, first, placed = {}, {}, []
+        for _, turn, role, text in own:
+            if role == "assistant" and text.startswith("{"):
+                for k, c in enumerate(json.loads(text)["tool_calls"]):
+                    owner.setdefault(c["id"], (turn, k))
+            if role == "tool":
+                first.setdefault(json.loads(text)["tool_call_id"], (turn, text))
+        for _, turn, role, text in own:
+            if role == "tool":
+                i = json.loads(text)["tool_call_id"]
+                status = "orphan" if i not in owner else "result" if first[i] == (turn, text) else "duplicate"
+                key = (owner[i][0], 1, owner[i][1]) if status == "result" else (turn, 2, 0)
+                placed.append((key, role, text, turn, status, i, 0))
+            elif role == "assistant" and text.startswith("{"):
+                placed.append(((turn, 0, 0), role, text, turn, "calls", None, sum(owner[i][0] == turn and i in first for i in owner)))
+            else:
+                placed.append(((turn, 0, 0), role, text, turn, "message", None, 0))
+        out += [(conv, n, turn, status, i, answered) for n, (_, _, _, turn, status, i, answered) in enumerate(sorted(placed))]
+    return sorted(out, key=str)
+
+
+def test_many_conversations_against_direct_linking(spark):
+    """Calls, results before and after them, repeated identifiers and rows, and one conversation with a third of all rows."""
+    rng, rows = np.random.default_rng(8), []
+    for conv in [*range(60), *[7] * 40]:
+        base = 0 if conv != 7 else 100 * len(rows)
+        for turn in range(12):
+            kind, ids = rng.random(), [f"c{int(rng.integers(8))}-{base}" for _ in range(2)]
+            if kind < 0.3:
+                rows.append((conv, base + turn, "assistant", call(*((i, "search", {"query": "x"}) for i in dict.fromkeys(ids)))))
+            elif kind < 0.6:
+                rows.append((conv, base + turn, "tool", result(ids[0], f"r{int(rng.integers(3))}")))
+            else:
+                rows.append((conv, base + turn, "user", f"u{int(rng.integers(3))}"))
+    rows += rows[5:9]  # repeated rows
+    got = formatted(spark, rows)
+    assert sorted(((r[0], r[1], r[2], r[4], r[5], r[7]) for r in got), key=str) == direct(rows)
+
+
 def test_table_against_direct_json(spark):
     turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     got = chat.format_chats(turns).collect()
@@ -75,6 +145,7 @@ def test_table_against_direct_json(spark):
 
 def test_odd_turns(spark):
     got = formatted(spark, [(None, None, None, None), (1, 0, "assistant", "{not json"), (1, 0, "assistant", "{not json"), (1, 1, "tool", ""), (2, 0, "tool", result("a", "first")), (2, 1, "assistant", call(("a", "search", {"query": "q"})))])
+    assert len(formatted(spark, [(1, 0, "user", "x" * 3_000_000)])[0][9]) == 3_000_000 + len('{"content":"","role":"user"}')
     assert [r[9] for r in got if r[0] is None] == ['{"content":null,"role":null}']
     assert [r[4] for r in got if r[0] == 1] == ["message"] * 3
     assert [(r[4], r[2]) for r in got if r[0] == 2] == [("calls", 1), ("result", 0)]
