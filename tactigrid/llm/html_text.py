@@ -1,12 +1,14 @@
 """Main text of web pages by minimum cut.
 
-A page is read into text blocks with their place in the element tree. A logistic regression gives each block the
+A page is read into text blocks with their place in the element tree. A logistic regression over what a block's text is
+like (links, length, punctuation), which element it is in, and whole words of class, id and role gives each block the
 probability of being content; the costs of calling it content or boilerplate become capacities to the two terminals.
 Blocks that follow each other, and blocks with one parent, are joined by edges that weigh less the further apart the
 blocks are in the tree. The minimum cut (by maximum flow along shortest augmenting paths) parts content from boilerplate.
 
 The regression is trained here, on labelled pages that a seeded generator in this module writes (never on the pages of
-a query), and is the same at every run.
+a query), and is the same at every run. Class words and elements of these pages are often missing, and sometimes wrong, so
+that no single word of the markup decides.
 
 Text in a block: character references decoded, runs of white space as one space, trimmed; blocks are joined by line
 ends in page order. Scripts, styles, comments, head, drawings, what stands in for media, templates and the insides of form
@@ -15,13 +17,14 @@ tag; only script, style, textarea and title run to the end of the page then, as
 
 Defined results: null or empty html gives an empty text; broken markup (open tags, cut ends, stray '<') is read as far
 as it goes; repeated rows give repeated rows; other columns are ignored by `extract`. A page is read whole, whatever its
-length.
+length and depth: memory and time grow with the number of its tags and blocks.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -49,57 +52,54 @@ _HIDDEN_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea)(?=
 _HINTS = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
-#: Beginnings of class, id and role words that tell boilerplate, whole words that do, and beginnings that tell content.
-_BAD = re.compile("nav|menu|sidebar|foot|masthead|banner|advert|sponsor|promo|cookie|consent|gdpr|popup|modal|overlay|newsletter|subscri|signup|login|register|shar(?:e|ing)|social|comment|disqus|repl(?:y|ies)|respond|discuss|related|recommend|breadcrumb|pagin|pager|widget|toolbar|search|copyright|notice|alert|notif|disclaim|legal|hidden|complement|contentinfo|teaser|trending|popular|tagcloud|skip|upsell|donat|feedback|rating|review|tracking|toast|announce")
-_BAD_WHOLE = frozenset("ad ads adv side aside header top bottom tags tools form rail outbrain taboola gpt dfp links none cta".split())
-_GOOD = re.compile("article|content|post|entry|main|story|body|text|prose|blog|paragraph")
-#: Of the whole words, those that only tell a place: beside a word that tells content they tell nothing.
-_PLACES = frozenset("side aside header top bottom".split())
+# Whole words of class, id and role that are common for boilerplate, and for content; words that only tell a place.
+_BAD = frozenset("nav navbar navigation menu menus sidebar footer masthead banner banners advert adverts advertisement advertising ad ads adv sponsor sponsors sponsored promo promos promotion cookie cookies consent gdpr popup popover modal overlay newsletter subscribe subscription signup login signin register share sharing social comment comments commentlist respond replies disqus related recommended recommendations breadcrumb breadcrumbs pagination pager widget widgets toolbar search searchform copyright colophon notice notices alert alerts notification notifications disclaimer legal complementary contentinfo teaser teasers trending popular tagcloud skip upsell donate feedback rating ratings tracking toast tools form outbrain taboola gpt dfp links cta discussion".split())
+_GOOD = frozenset("article articles content contents post posts entry main story body text prose blog paragraph".split())
+_PLACES = frozenset("side aside header top bottom head foot rail".split())
 _BAD_TAGS = frozenset("nav footer aside form menu dialog".split())
 _GOOD_TAGS = frozenset(("article", "main"))
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
-@dataclass
+@dataclass(slots=True)
 class _Element:
     tag: str
-    number: int
     depth: int
-    bad: int  # depth of the nearest ancestor or self that tells boilerplate, 0 if none
+    bad: int  # depth of the nearest ancestor or self whose words tell boilerplate, 0 if none
     good: int
     bad_tag: bool
     good_tag: bool
     linked: bool
-    parents: tuple[int, ...]
+    hidden: bool
+    #: The nearest block element above, itself for what is none, and that one's parent.
+    block: _Element | None = field(default=None, repr=False)
+    parent: _Element | None = field(default=None, repr=False)
+    level: int = 0  # block elements above
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     text: str
     features: list[float]
-    parents: tuple[int, ...] = field(repr=False)
+    place: _Element = field(repr=False)
 
 
 @lru_cache(maxsize=20_000)
-def _hint(attrs: str) -> int:
-    """-1, 0 or 1 for what class, id and role say."""
-    found = 0
+def _hint(attrs: str) -> tuple[int, bool]:
+    """-1, 0 or 1 for what class, id and role say, and whether the element is hidden."""
+    good = bad = place = False
     for name, value in _HINTS.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name in ("hidden", "aria-hidden", "style"):
             if name == "hidden" or value == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return -1
+                return -1, True
             continue
         for word in value.split():
-            pieces = [p.lower() for p in _PIECES.findall(word)]
-            whole = "".join(p for p in pieces if not p.isdigit())
-            if any((p in _BAD_WHOLE and p not in _PLACES) or _BAD.match(p) for p in pieces) or _BAD.match(whole):
-                return -1
-            if any(_GOOD.match(p) for p in pieces):
-                found = 1
-            elif any(p in _PLACES for p in pieces):
-                return -1
-    return found
+            pieces = {p.lower() for p in _PIECES.findall(word)} | {word.lower()}
+            bad |= not pieces.isdisjoint(_BAD)
+            good |= not pieces.isdisjoint(_GOOD)
+            place |= not pieces.isdisjoint(_PLACES)
+    return (-1 if bad else 1 if good else -1 if place else 0), False
 
 
 def _hidden_ends(html: str) -> dict[int, int]:
@@ -133,8 +133,9 @@ def _tokens(html: str) -> Iterator[re.Match]:
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page in order."""
     found: list[Block] = []
-    root = _Element("", 0, 0, 0, 0, False, False, False, (0,))
-    stack, count = [root], 0
+    root = _Element("", 0, 0, 0, False, False, False, False)
+    root.block = root
+    stack, open_ = [root], Counter()
     parts: list[str] = []
     chars = link_chars = 0
     head = False
@@ -143,8 +144,8 @@ def blocks(html: str) -> list[Block]:
         nonlocal chars, link_chars
         if parts:
             text = " ".join(unescape("".join(parts)).split())
-            if text:
-                own = next((e for e in reversed(stack) if e.tag not in _INLINE), root)
+            if text and not stack[-1].hidden:
+                own = stack[-1].block
                 n = text.count(" ") + 1
                 tag = own.tag
                 found.append(
@@ -152,25 +153,29 @@ def blocks(html: str) -> list[Block]:
                         text,
                         [
                             float(own.bad_tag),
-                            float(own.bad > 0),
-                            float(own.good_tag),
-                            float(own.good > 0),
                             float(own.bad > own.good),
+                            float(own.good_tag),
                             float(own.good > own.bad),
                             link_chars / max(1, chars),
                             min(math.log1p(n), 5.0) / 5,
                             float(text[-1] in ".!?:;…\"'”»)"),
                             float(tag in _HEADINGS),
                             float(tag in ("p", "blockquote", "pre")),
+                            float(tag in ("", "html", "body")),
                             float(tag in ("li", "td", "th", "dd", "dt")),
                             min(1.0, 5 * sum(text.count(c) for c in ",.;") / n),
                         ],
-                        own.parents,
+                        own,
                     )
                 )
             parts.clear()
         chars = link_chars = 0
 
+    def close(k: int) -> None:
+        for e in stack[k:]:
+            open_[e.tag] -= 1
+        del stack[k:]
+
     for token in _tokens(html):
         kind = token.lastgroup
         if kind == "text":
@@ -202,34 +207,41 @@ def blocks(html: str) -> list[Block]:
             if tag in _VOID:
                 continue
         if token["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag in _INLINE and stack[k].tag not in _INLINE:
-                    break
+            if open_[tag]:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == tag:
+                        close(k)
+                        break
+                    if tag in _INLINE and stack[k].tag not in _INLINE:
+                        break
             continue
         if tag not in _INLINE:
             shut = _CLOSES.get(tag, ())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p" or stack[k].tag in shut:
-                    del stack[k:]
-                    if not shut:
+            if open_["p"] or any(open_[t] for t in shut):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == "p" or stack[k].tag in shut:
+                        close(k)
+                        if not shut:
+                            break
+                    elif stack[k].tag in _SCOPES:
                         break
-                elif stack[k].tag in _SCOPES:
-                    break
         up = stack[-1]
-        count += 1
         depth = up.depth + 1
-        hint = _hint(token["attrs"]) if token["attrs"] and tag not in ("html", "body") else 0
-        outer_header = tag == "header" and not up.good_tag
-        bad_tag = tag in _BAD_TAGS or outer_header
-        bad = depth if hint < 0 or bad_tag else up.bad
-        good = depth if (hint > 0 and not bad_tag) or tag in _GOOD_TAGS else up.good
-        linked = up.linked or tag == "a"
-        parents = up.parents if tag in _INLINE else (*up.parents, count)
-        stack.append(_Element(tag, count, depth, bad, good, up.bad_tag and tag not in _GOOD_TAGS or bad_tag, up.good_tag or tag in _GOOD_TAGS, linked, parents))
+        hint, hidden = _hint(token["attrs"]) if token["attrs"] and tag not in ("html", "body") else (0, False)
+        bad_tag = tag in _BAD_TAGS or tag == "header" and not up.good_tag and hint <= 0
+        bad = depth if hint < 0 and tag not in _GOOD_TAGS else up.bad
+        good = depth if hint > 0 else up.good
+        here = _Element(tag, depth, bad, good, up.bad_tag and tag not in _GOOD_TAGS or bad_tag, up.good_tag or tag in _GOOD_TAGS, up.linked or tag == "a", up.hidden or hidden)
+        if tag in _INLINE:
+            here.block = up.block
+        else:
+            here.block, here.parent, here.level = here, up.block, up.block.level + 1
+        stack.append(here)
+        open_[tag] += 1
     flush()
+    alone = len({id(b.place.parent) for b in found}) == 1  # nothing of the page stands elsewhere
+    for b in found:
+        b.features.append(float(alone))
     return found
 
 
@@ -280,19 +292,22 @@ def min_cut(excess: list[float], edges: list[tuple[int, int, float]]) -> list[bo
 @dataclass(frozen=True)
 class CutParams:
     #: Weights of edges between neighbours in the page and between neighbours under one parent.
-    adjacency: float = 0.9
-    siblings: float = 0.9
+    adjacency: float = 2.0
+    siblings: float = 1.0
     #: A block's probability stays this far from 0 and 1.
     doubt: float = 0.01
 
 
-def _tree_distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    common = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        common += 1
-    return len(a) + len(b) - 2 * common
+def _tree_distance(a: _Element, b: _Element) -> int:
+    """Steps between two block elements over their nearest common ancestor; between neighbours, no more than the tags between them."""
+    steps = 0
+    while a is not b:
+        if a.level >= b.level:
+            a = a.parent
+        else:
+            b = b.parent
+        steps += 1
+    return steps
 
 
 def content(found: list[Block], weights: np.ndarray, params: CutParams = CutParams()) -> list[bool]:
@@ -304,8 +319,8 @@ def content(found: list[Block], weights: np.ndarray, params: CutParams = CutPara
     edges, last = [], {}
     for i, b in enumerate(found):
         if i:
-            edges.append((i - 1, i, params.adjacency / (1 + max(0, _tree_distance(found[i - 1].parents, b.parents) - 2))))
-        group = b.parents[:-1]
+            edges.append((i - 1, i, params.adjacency / (1 + max(0, _tree_distance(found[i - 1].place, b.place) - 2))))
+        group = id(b.place.parent)
         if group in last and last[group] < i - 1:
             edges.append((last[group], i, params.siblings / (1 + math.log(i - last[group]))))
         last[group] = i
@@ -369,7 +384,28 @@ def _training_pages(seed: int = 23, pages: int = 300) -> Iterator[str]:
                 out.append(bad(pick(["advert", "links", "notice"])))
         return "".join(out)
 
+    def unmarked(page: str) -> str:
+        """With some class words and elements taken away, and some class words that are wrong."""
+        if rng.random() < 0.3:
+            return page
+        share = rng.random() * 0.8
+
+        def renamed(m: re.Match) -> str:
+            if rng.random() > share:
+                return m[0]
+            return f'{m[1]}="{pick(sorted(_BAD | _GOOD)) if rng.random() < 0.1 else words(1, 2)}"'
+
+        page = re.sub(r'(class|id|role)="[^"]*"', renamed, page)
+        for tag in ("nav", "footer", "aside", "header", "section", "article", "main"):
+            if rng.random() < share / 2:
+                page = re.sub(rf"<(/?){tag}\b", r"<\1div", page)
+        return page
+
     for _ in range(pages):
+        if rng.random() < 0.1:  # text with nothing around it
+            between = pick(["<div></div>", "<p>"])
+            yield between + between.join("\ue000" + pick([sentence(3, 25), words(1, 12)]) for _ in range(int(rng.integers(1, 6))))
+            continue
         shell, inside = pick([("<article>%s</article>", True), ('<main><article class="post">%s</article></main>', True), ("<main>%s</main>", True), ('<div class="content">%s</div>', False), ('<div id="post-7" class="entry">%s</div>', False), ('<div class="page"><div class="story">%s</div></div>', False), ("<div>%s</div>", False), ("%s", False)])
         body = good(inside)
         if rng.random() < 0.3:
@@ -377,7 +413,7 @@ def _training_pages(seed: int = 23, pages: int = 300) -> Iterator[str]:
         main = shell % body
         before = "".join(bad(k) for k in ("head", "links", "notice", "advert") if rng.random() < 0.5)
         after = "".join(bad(k) for k in ("links", "comments", "advert", "form", "notice", "foot") if rng.random() < 0.45)
-        yield f"<html><head><title>{words(2, 5)}</title></head><body>{before}{main}{after}</body></html>"
+        yield unmarked(f"<html><head><title>{words(2, 5)}</title></head><body>{before}{main}{after}</body></html>")
 
 
 @lru_cache(maxsize=1)
