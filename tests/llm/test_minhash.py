@@ -99,6 +99,32 @@ def test_links_of_unlucky_signatures_are_kept(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i, _ in rows}
 
 
+def test_links_inside_a_template_are_found_without_leaders(spark):
+    """Texts over one template share buckets and aren't linked, but for some pairs; no leader meets these."""
+    rng, rows = np.random.default_rng(6), []
+    template = words(rng, 210)
+    for i in range(120):
+        own = [f"d{i}w{k}" for k in range(90)]
+        rows.append((i, " ".join(template + own)))
+        if i % 30 == 0:
+            rows.append((1000 + i, " ".join(template + own[:84] + [f"e{k}" for k in range(6)])))
+    want, _ = brute(rows)
+    assert sum(i != c for i, c in want.items()) == 4
+    for rounds in (1, 3):
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), minhash.MinHashParams(leader_rounds=rounds)).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_rare_shingles_keep_every_link_and_make_few_pairs(spark):
+    rng, rows = np.random.default_rng(7), []
+    template = words(rng, 150)
+    for i in range(60):
+        rows.append((i, i, " ".join(template + [f"d{i // 2}w{k}" for k in range(60)] + [f"x{i}"])))
+    df = spark.createDataFrame(rows, "id long, root long, text string")
+    got = {tuple(r) for r in minhash._rare_pairs(df, minhash.MinHashParams()).collect()}
+    assert got >= {(i, i + 1) for i in range(0, 60, 2)} and len(got) < 60
+
+
 def test_graph_components(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "p long, q long"), "p", "q").collect()}
