@@ -18,6 +18,12 @@ def gaussian(size: int, sigma: float) -> Factors:
     return gaussian_factor(size, sigma), gaussian_factor(size, sigma)
 
 
+def truncated_gaussian(sigma: float, truncate: float = 4.0) -> Factors:
+    """Cut at so many sigmas, as array libraries do."""
+    size = 2 * int(truncate * sigma + 0.5) + 1
+    return gaussian(size, sigma)
+
+
 # First and second order Sobel factors, and the 5-tap ones of the wider second derivatives.
 SOBEL_X: Factors = ([1, 0, -1], [1, 2, 1])
 SOBEL_Y: Factors = ([1, 2, 1], [1, 0, -1])

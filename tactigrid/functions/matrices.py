@@ -46,6 +46,28 @@ def smaller_root(tr: Column, d: Column, first: Column, eps: float = EPS) -> Colu
     return F.when((F.abs(d) <= eps) | (first == 0), F.lit(0.0)).otherwise(d / first)
 
 
+def quadratic_roots(a: Column, b: Column, c: Column, eps: float = EPS) -> tuple[Column, Column]:
+    """Real roots of a r^2 + b r + c, the larger in magnitude first; one root twice where a is (nearly) 0, nulls where there is none."""
+    root = F.sqrt(b * b - 4 * a * c)
+    q = -(b + F.when(b >= 0, root).otherwise(-root)) / 2
+    line = F.when(F.abs(b) > eps, -c / b)
+    real, curved = b * b - 4 * a * c >= 0, F.abs(a) > eps
+    first = F.when(curved & real, q / a).when(~curved, line)
+    second = F.when(curved & real, F.when(F.abs(q) > eps, c / q).otherwise(0.0)).when(~curved, line)
+    return first, second
+
+
+def packed(scale: Column, mx: Column, my: Column, pxx: Column, pxy: Column, pyy: Column) -> Column:
+    """Scale, mean and the four elements of the precision as one array of 7."""
+    return F.array(scale, mx, my, pxx, pxy, pxy, pyy)
+
+
+def unpacked(vector: Column) -> Column:
+    """struct(scale, mx, my, pxx, pxy, pyy) of an array of 7; the two off-diagonal elements are averaged."""
+    at = lambda i: F.element_at(vector, i + 1)
+    return F.struct(at(0).alias("scale"), at(1).alias("mx"), at(2).alias("my"), at(3).alias("pxx"), ((at(4) + at(5)) / 2).alias("pxy"), at(6).alias("pyy"))
+
+
 def eigenvalues(xx: Column, xy: Column, yy: Column) -> tuple[Column, Column]:
     first = larger_root(trace(xx, yy), det(xx, xy, yy))
     return first, smaller_root(trace(xx, yy), det(xx, xy, yy), first)

@@ -12,21 +12,24 @@ from tactigrid.operators.batches import map_pixels
 from tactigrid.session import checkpointed, ship_package
 
 
-def label_frames(frames: DataFrame, threshold: float = 0.0, connectivity: int = 4) -> DataFrame:
-    """Dense frames (f, w, h, px) to (f, w, h, px, label): one array of labels a frame, without an exchange."""
+def label_frames(frames: DataFrame, threshold: float = 0.0, connectivity: int = 4, inclusive: bool = False, down: int = 1) -> DataFrame:
+    """Dense frames (f, w, h, px) to (f, w, h, px, label): one array of labels a frame, without an exchange.
+
+    inclusive: pixels at the threshold are foreground. down = 2 steps over the next row (see `dense.labels`).
+    """
     ship_package(frames.sparkSession)
-    run = map_pixels(lambda v: dense.labels(v > threshold, connectivity), ["px"], "label", pa.int32(), ("px",))
+    run = map_pixels(lambda v: dense.labels(v >= threshold if inclusive else v > threshold, connectivity, down), ["px"], "label", pa.int32(), ("px",))
     kind = frames.schema["px"].dataType.simpleString()
     return frames.select("f", "w", "h", "px").mapInArrow(run, f"f long, w int, h int, px {kind}, label array<int>")
 
 
-def label_pixels(frames: DataFrame, threshold: float = 0.0, connectivity: int = 4) -> DataFrame:
+def label_pixels(frames: DataFrame, threshold: float = 0.0, connectivity: int = 4, inclusive: bool = False, down: int = 1) -> DataFrame:
     """Long form: f, x, y, label."""
-    found = label_frames(frames, threshold, connectivity)
+    found = label_frames(frames, threshold, connectivity, inclusive, down)
     return found.select("f", "w", F.posexplode("label").alias("i", "label")).select("f", (F.col("i") % F.col("w")).cast("int").alias("x"), F.expr("cast(i div w as int)").alias("y"), "label")
 
 
-def label_relational(pixels: DataFrame, threshold: float = 0.0, connectivity: int = 4, rounds: int = 200) -> DataFrame:
+def label_relational(pixels: DataFrame, threshold: float = 0.0, connectivity: int = 4, rounds: int = 10_000) -> DataFrame:
     """The same from long pixels by joins: runs along x, overlaps of neighbouring rows, least run propagated to all.
 
     For frames too large for one task; a round is one job, written to the checkpoint folder.
@@ -74,6 +77,17 @@ def score_v1(size: Column, incoherence: Column, maximas: Column, scale: float =
     return s / (s + 1)
 
 
+def scored_pixels(labelled: DataFrame, scores: DataFrame) -> DataFrame:
+    """Adds to pixels (f, label) their component's score from (f, label, score): 0 for background and for scores that are no number."""
+    joined = labelled.join(scores.select("f", "label", F.col("score").alias("score_")), ["f", "label"], "left")
+    return joined.withColumn("score", F.when((F.col("label") > 0) & ~F.isnan("score_"), F.coalesce("score_", F.lit(0.0))).otherwise(0.0)).drop("score_")
+
+
+def score_sets(scores: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """Adds set_id: 0 for scores above the threshold, 1 for those up to it, null for what is no number (in neither set)."""
+    return scores.withColumn("set_id", F.when(F.isnan("score"), F.lit(None)).when(F.col("score") > threshold, 0).otherwise(1))
+
+
 def bounding_boxes(labelled: DataFrame) -> DataFrame:
     return labelled.where("label > 0").groupBy("f", "label").agg(F.min("x").alias("xmin"), F.max("x").alias("xmax"), F.min("y").alias("ymin"), F.max("y").alias("ymax"))
 

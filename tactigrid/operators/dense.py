@@ -43,13 +43,16 @@ def eigenvalues(xx: np.ndarray, xy: np.ndarray, yy: np.ndarray) -> tuple[np.ndar
         return first, np.where((np.abs(det) <= EPS32) | (first == 0), 0.0, det / first)
 
 
-def labels(mask: np.ndarray, connectivity: int = 4) -> np.ndarray:
-    """1..n per frame, in raster order of each component's first pixel; 0 is background."""
+def labels(mask: np.ndarray, connectivity: int = 4, down: int = 1) -> np.ndarray:
+    """1..n per frame, in raster order of each component's first pixel; 0 is background.
+
+    down = 2 is the flood fill that steps over the next row: a component is then what its first pixel reaches.
+    """
     n, h, w = mask.shape
     none = h * w
     own = np.broadcast_to(np.arange(none).reshape(1, h, w), mask.shape)
     root = np.where(mask, own, none)
-    steps = [(-1, 0), (1, 0), (0, -1), (0, 1)] + ([(-1, -1), (-1, 1), (1, -1), (1, 1)] if connectivity == 8 else [])
+    steps = [(-down, 0), (1, 0), (0, -1), (0, 1)] + ([(-1, -1), (-1, 1), (1, -1), (1, 1)] if connectivity == 8 else [])
     while True:
         low = root
         for dy, dx in steps:
@@ -75,13 +78,14 @@ def local_maxima(a: np.ndarray, threshold: float) -> np.ndarray:
     return found
 
 
-def distances(source: np.ndarray, mask: np.ndarray, cost: np.ndarray, limit: float, step: float = 0.1) -> np.ndarray:
-    """Least sum of (cost of the pixel left + step) from a source, over 4-neighbour paths in the mask, if below limit."""
+def distances(source: np.ndarray, mask: np.ndarray, cost: np.ndarray, limit: float, step: float = 0.1, connectivity: int = 4) -> np.ndarray:
+    """Least sum of (cost of the pixel left + step * length) from a source, over paths in the mask, if below limit."""
     d = np.where(source, 0.0, FAR)
     open_ = mask & ~source
+    near = [(-1, 0), (1, 0), (0, -1), (0, 1)] + ([(-1, -1), (-1, 1), (1, -1), (1, 1)] if connectivity == 8 else [])
     while True:
-        leave = d + cost + step
-        low = np.minimum.reduce([shifted(leave, dy, dx, FAR) for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1))])
+        left = d + cost
+        low = np.minimum.reduce([shifted(left, dy, dx, FAR) + step * (2**0.5 if dy and dx else 1.0) for dy, dx in near])
         better = open_ & (low < d) & (low < limit)
         if not better.any():
             return d
@@ -103,55 +107,69 @@ def component_scores(lab: np.ndarray, value: np.ndarray, coherence: np.ndarray,
     return out
 
 
-def _system(x: np.ndarray, y: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Normal equations of the weighted quadratic; symmetric because the mixed monomial carries its factor 2 on both sides."""
-    phi = np.stack([x * x, 2 * x * y, y * y, x, y, np.ones_like(x)])
-    weight = d * d
-    return (phi * weight) @ phi.T, phi @ (weight * np.log(d + np.finfo(float).eps))
-
-
 def fit_gaussians(data: np.ndarray, peaks: list[tuple[int, int]], window: int = 11, rounds: int = 3) -> list[tuple[float, np.ndarray, np.ndarray] | None]:
-    """(scale, mean (x, y), precision 2x2) of each peak (x, y) of one frame, None where a solve failed; all peaks are fitted jointly."""
+    """(scale, mean (x, y), precision 2x2) of each peak (x, y) of one frame, None where a fit failed; all peaks are fitted jointly.
+
+    All windows are one array, and all systems are solved at once. A window's coordinates are taken from its peak, in units
+    of its half size: the solution is the same in any, and these keep the systems well conditioned.
+    """
     h, w = data.shape
     half = (window - 1) // 2
-    scale = np.array([2 / w, 2 / h])
-    boxes = [(max(x - half, 0), min(x + half, w - 1), max(y - half, 0), min(y + half, h - 1)) for x, y in peaks]
-    grids = [np.meshgrid(np.arange(a, b + 1) * scale[0] - 1, np.arange(c, d + 1) * scale[1] - 1) for a, b, c, d in boxes]
-    fits: list = [(1.0, np.array(p, float) * scale - 1, np.diag(1 / scale**2)) for p in peaks]
+    at = np.array(peaks, float)
+    near = np.arange(-half, half + 1)
+    dy, dx = (g.ravel() for g in np.meshgrid(near, near, indexing="ij"))
+    x, y = np.array(peaks)[:, :1] + dx, np.array(peaks)[:, 1:] + dy
+    inside = (x >= 0) & (x < w) & (y >= 0) & (y < h)
+    cell = np.where(inside, y * w + x, 0)
+    value = np.where(inside, data.ravel()[cell], 0.0)
+    u, v = dx / half, dy / half
+    phi = np.stack([u * u, 2 * u * v, v * v, u, v, np.ones_like(u)])
+    # Parameters in window units: a peak's first guess is a unit Gaussian of pixels.
+    scale, mean = np.ones(len(at)), np.zeros((len(at), 2))
+    precision = np.tile(np.diag([half**2, half**2]).astype(float), (len(at), 1, 1))
+    alive = np.ones(len(at), bool)
     for _ in range(rounds):
-        total = np.zeros_like(data)
-        shares: list = [None] * len(fits)
-        for i, fit in enumerate(fits):
-            if fit is None:
-                continue
-            dx, dy = grids[i][0] - fit[1][0], grids[i][1] - fit[1][1]
-            shares[i] = fit[0] * np.exp(-(fit[2][0, 0] * dx * dx + 2 * fit[2][0, 1] * dx * dy + fit[2][1, 1] * dy * dy) / 2)
-            a, b, c, d = boxes[i]
-            total[c : d + 1, a : b + 1] += shares[i]
-        for i, fit in enumerate(fits):
-            if fit is None:
-                continue
-            a, b, c, d = boxes[i]
-            part = total[c : d + 1, a : b + 1]
-            share = np.where(part > 0, shares[i] / np.where(part > 0, part, 1), shares[i])
-            matrix, right = _system(grids[i][0].ravel(), grids[i][1].ravel(), (share * data[c : d + 1, a : b + 1]).ravel())
-            fits[i] = _solved(matrix, right)
-    return [f and (f[0], (f[1] + 1) / scale, f[2] * np.outer(scale, scale)) for f in fits]
-
-
-def _solved(matrix: np.ndarray, right: np.ndarray) -> tuple[float, np.ndarray, np.ndarray] | None:
-    try:
-        chi = np.linalg.solve(matrix, right)
-    except np.linalg.LinAlgError:
-        return None
-    precision = -2 * np.array([[chi[0], chi[1]], [chi[1], chi[2]]])
-    det = precision[0, 0] * precision[1, 1] - precision[0, 1] ** 2
-    if not np.isfinite(chi).all() or abs(det) <= EPS64:
-        return None
-    mean = np.array([precision[1, 1] * chi[3] - precision[0, 1] * chi[4], precision[0, 0] * chi[4] - precision[0, 1] * chi[3]]) / det
-    with np.errstate(over="ignore"):
-        scale = float(np.exp(chi[5] + mean @ precision @ mean / 2))
-    return (scale, mean, precision) if np.isfinite(scale) and np.isfinite(mean).all() else None
+        own = np.flatnonzero(alive)
+        if not len(own):
+            break
+        eu, ev = u - mean[own, :1], v - mean[own, 1:]
+        p = precision[own]
+        with np.errstate(over="ignore", invalid="ignore"):
+            like = scale[own, None] * np.exp(-(p[:, 0, 0, None] * eu * eu + 2 * p[:, 0, 1, None] * eu * ev + p[:, 1, 1, None] * ev * ev) / 2)
+        usable = np.isfinite(like).all(1)  # a fit that diverged is given up
+        alive[own[~usable]] = False
+        own, like = own[usable], np.where(inside[own[usable]], like[usable], 0.0)
+        total = np.bincount(cell[own].ravel(), like.ravel(), h * w)[cell[own]]
+        d = np.where(total > 0, like / np.where(total > 0, total, 1), like) * value[own]
+        weight = d * d
+        matrix = np.einsum("an,pn,bn->pab", phi, weight, phi)
+        right = np.einsum("an,pn->pa", phi, weight * np.log(d + np.finfo(float).eps))
+        usable, chi = solved(matrix, right)
+        alive[own[~usable]] = False
+        own = own[usable]
+        p = -2 * np.stack([np.stack([chi[:, 0], chi[:, 1]], -1), np.stack([chi[:, 1], chi[:, 2]], -1)], -2)
+        det = p[:, 0, 0] * p[:, 1, 1] - p[:, 0, 1] ** 2
+        with np.errstate(all="ignore"):
+            m = np.stack([p[:, 1, 1] * chi[:, 3] - p[:, 0, 1] * chi[:, 4], p[:, 0, 0] * chi[:, 4] - p[:, 0, 1] * chi[:, 3]], -1) / det[:, None]
+            size = np.exp(chi[:, 5] + np.einsum("pa,pab,pb->p", m, p, m) / 2)
+        good = (np.abs(det) > EPS64) & np.isfinite(size) & np.isfinite(m).all(1)
+        alive[own[~good]] = False
+        scale[own[good]], mean[own[good]], precision[own[good]] = size[good], m[good], p[good]
+    return [(float(scale[i]), at[i] + mean[i] * half, precision[i] / half**2) if alive[i] else None for i in range(len(at))]
+
+
+def solved(matrix: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the symmetric systems have a solution, their solutions), scaled to a unit diagonal."""
+    size = np.sqrt(np.maximum(np.einsum("nii->ni", matrix), 0))
+    usable = (size > 0).all(1) & np.isfinite(matrix).all((1, 2)) & np.isfinite(right).all(1)
+    unit = matrix[usable] / size[usable][:, :, None] / size[usable][:, None, :]
+    good = np.abs(np.linalg.det(unit)) > 1e-300 if len(unit) else np.zeros(0, bool)
+    found = usable.copy()
+    found[usable] = good
+    chi = np.linalg.solve(unit[good], (right[found] / size[found])[:, :, None])[:, :, 0] / size[found] if good.any() else np.empty((0, matrix.shape[-1]))
+    finite = np.isfinite(chi).all(1)
+    found[np.flatnonzero(found)[~finite]] = False
+    return found, chi[finite]
 
 
 def touch_points(frames: np.ndarray, include: float = 0.6, limit: float = 6.0, peak: float = 0.05, max_aspect: float = 2.0) -> list[list[tuple[float, float, float, float, float, float, float]]]:

@@ -6,6 +6,7 @@ cell and equi-joined with the pixels, never matched by a range condition. Coordi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tactigrid.functions.matrices import EPS, gaussian_like, inverse, larger_root
 from tactigrid.operators import dense
 from tactigrid.operators.batches import stacks
-from tactigrid.session import ship_package
+from tactigrid.session import checkpointed, ship_package
 
 MOMENTS = [(i, j) for i in range(5) for j in range(5) if i + j <= 4]
 RIGHTS = [(i, j) for i in range(3) for j in range(3) if i + j <= 2]
@@ -69,15 +70,22 @@ def _power(i: int, j: int) -> Column:
     return out
 
 
-def normal_equations(shared: DataFrame) -> DataFrame:
-    """Per candidate: moments m_ij = sum d^2 x^i y^j and r_ij = sum d^2 ln(d + eps) x^i y^j, d = v * share."""
-    d = shared.withColumn("d", F.col("v") * F.col("share")).withColumn("dd", F.col("d") * F.col("d")).withColumn("dl", F.col("dd") * F.log(F.col("d") + LOG_EPS))
+def normal_equations(shared: DataFrame, weighted: bool = True, least: float | None = None) -> DataFrame:
+    """Per candidate: moments m_ij = sum d^2 x^i y^j and r_ij = sum d^2 ln(d + eps) x^i y^j, d = v * share.
+
+    Not weighted: with 1 instead of d^2. least: cells with a smaller d are left out, and ln d needs no eps.
+    """
+    d = shared.withColumn("d", F.col("v") * F.col("share"))
+    if least is not None:
+        d = d.where(F.col("d") >= least)
+    d = d.withColumn("dd", F.col("d") * F.col("d") if weighted else F.lit(1.0))
+    d = d.withColumn("dl", F.col("dd") * F.log(F.col("d") + (LOG_EPS if least is None else 0.0)))
     aggs = [F.sum(F.col("dd") * _power(i, j)).alias(f"m{i}{j}") for i, j in MOMENTS]
     return d.groupBy("f", "c").agg(*aggs, *(F.sum(F.col("dl") * _power(i, j)).alias(f"r{i}{j}") for i, j in RIGHTS))
 
 
 def parameters(equations: DataFrame) -> DataFrame:
-    """f, c, scale, mx, my, pxx, pxy, pyy (rescaled coordinates) from the symmetric 6x6 systems, solved in batches; candidates with a singular system or precision are dropped."""
+    """f, c, scale, mx, my, pxx, pxy, pyy (in the equations' coordinates) from the symmetric 6x6 systems, solved in batches; candidates with a singular system or precision are dropped."""
     ship_package(equations.sparkSession)
     moments, rights = [f"m{i}{j}" for i, j in MOMENTS], [f"r{i}{j}" for i, j in RIGHTS]
     names = ["scale", "mx", "my", "pxx", "pxy", "pyy"]
@@ -87,12 +95,8 @@ def parameters(equations: DataFrame) -> DataFrame:
             at = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in moments + rights}
             matrix = np.stack([np.stack([s * t * at[f"m{i + k}{j + n}"] for k, n, t in _BASIS], -1) for i, j, s in _BASIS], -2)
             right = np.stack([s * at[f"r{i}{j}"] for i, j, s in _BASIS], -1)
-            size = np.sqrt(np.einsum("nii->ni", matrix))  # scaled to a unit diagonal
-            usable = (size > 0).all(1) & np.isfinite(matrix).all((1, 2)) & np.isfinite(right).all(1)
-            unit = matrix[usable] / size[usable][:, :, None] / size[usable][:, None, :]
-            good = np.abs(np.linalg.det(unit)) > 1e-300
-            rows = np.flatnonzero(usable)[good]
-            q = (np.linalg.solve(unit[good], (right[rows] / size[rows])[:, :, None])[:, :, 0] / size[rows] if len(rows) else np.empty((0, 6))).T
+            solved, chi = dense.solved(matrix, right)
+            rows, q = np.flatnonzero(solved), chi.T
             pxx, pxy, pyy = -2 * q[0], -2 * q[1], -2 * q[2]
             det = pxx * pyy - pxy * pxy
             with np.errstate(all="ignore"):
@@ -105,10 +109,78 @@ def parameters(equations: DataFrame) -> DataFrame:
     return equations.select("f", "c", *moments, *rights).mapInArrow(run, "f long, c long, " + ", ".join(f"{n} double" for n in names))
 
 
-def iterate(cands: DataFrame, pixels: DataFrame) -> DataFrame:
-    """One iteration in columns: candidates with their new parameters; failed ones are gone."""
-    new = parameters(normal_equations(responsibilities(window_pixels(cands, pixels))))
-    return cands.select("f", "c", "w", "h", "xmin", "xmax", "ymin", "ymax").join(new, ["f", "c"])
+def _from_window(cx: Column, cy: Column, unit: float) -> dict[str, Column]:
+    """Parameters in units from a window's centre, in pixels."""
+    return {"mx": cx + F.col("mx") * unit, "my": cy + F.col("my") * unit, "pxx": F.col("pxx") / unit**2, "pxy": F.col("pxy") / unit**2, "pyy": F.col("pyy") / unit**2}
+
+
+def iterate(cands: DataFrame, pixels: DataFrame, unit: float = 5.0) -> DataFrame:
+    """One iteration in columns: candidates with their new parameters; failed ones are gone.
+
+    The systems are set up in coordinates from the window's centre: the solution is the same in any, and these keep the
+    systems well conditioned.
+    """
+    shared = responsibilities(window_pixels(cands, pixels))
+    cx, cy = (F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2
+    new = parameters(normal_equations(shared.withColumn("sx", (F.col("x") - cx) / unit).withColumn("sy", (F.col("y") - cy) / unit)))
+    moved = cands.select("f", "c", "w", "h", "xmin", "xmax", "ymin", "ymax").join(new, ["f", "c"])
+    return _rescaled(moved.withColumns(_from_window(cx, cy, unit)))
+
+
+def _rescaled(cands: DataFrame) -> DataFrame:
+    """From pixels to the frame's coordinates in [-1, 1)."""
+    sx, sy = F.lit(2.0) / F.col("w"), F.lit(2.0) / F.col("h")
+    return cands.withColumns({"mx": F.col("mx") * sx - 1, "my": F.col("my") * sy - 1, "pxx": F.col("pxx") / (sx * sx), "pxy": F.col("pxy") / (sx * sy), "pyy": F.col("pyy") / (sy * sy)})
+
+
+def area(cands: DataFrame, delta: int) -> DataFrame:
+    """Windows about the rounded mean (halves to even), cut at the frame: xmin, xmax, ymin, ymax (inclusive); those without a cell are gone."""
+    px, py = F.rint("mx").cast("int"), F.rint("my").cast("int")
+    cut = {"xmin": F.greatest(px - delta, F.lit(0)), "xmax": F.least(px + delta, F.col("w") - 1), "ymin": F.greatest(py - delta, F.lit(0)), "ymax": F.least(py + delta, F.col("h") - 1)}
+    return cands.withColumns(cut).where("xmin <= xmax and ymin <= ymax")
+
+
+def data_maps(cands: DataFrame, pixels: DataFrame, delta: int) -> DataFrame:
+    """One row per candidate and cell of its area, with share: its density over the sum of the candidates whose areas hold the cell, 0 where that is 0."""
+    cells = area(cands, delta).select("*", F.explode(F.sequence("xmin", "xmax")).alias("x")).select("*", F.explode(F.sequence("ymin", "ymax")).alias("y"))
+    d = cells.join(pixels.select("f", "x", "y", "v"), ["f", "x", "y"])
+    size = F.sqrt(F.col("pxx") * F.col("pyy") - F.col("pxy") * F.col("pxy")) / (2 * math.pi)
+    d = d.withColumn("g", size * gaussian_like(F.col("pxx"), F.col("pxy"), F.col("pyy"), F.col("x") - F.col("mx"), F.col("y") - F.col("my")))
+    total = F.sum("g").over(Window.partitionBy("f", "x", "y"))
+    return d.withColumn("total_", total).withColumn("share", F.when(F.col("total_") != 0, F.col("g") / F.col("total_")).otherwise(0.0)).drop("total_")
+
+
+def refit(cands: DataFrame, pixels: DataFrame, delta: int = 2, weighted: bool = True, least: float = 1e-20) -> DataFrame:
+    """One round with windows about the current means: candidates (f, c, w, h, scale, mx, my, pxx, pxy, pyy in pixels) to new ones.
+
+    Singular systems, and results that aren't positive definite, are dropped.
+    """
+    shared = data_maps(cands, pixels, delta)
+    cx, cy, unit = F.rint("mx"), F.rint("my"), float(max(1, delta))
+    moved = shared.withColumn("sx", (F.col("x") - cx) / unit).withColumn("sy", (F.col("y") - cy) / unit)
+    new = parameters(normal_equations(moved, weighted, least))
+    centres = cands.select("f", "c", "w", "h", cx.alias("cx_"), cy.alias("cy_"))
+    d = centres.join(new, ["f", "c"]).withColumns(_from_window(F.col("cx_"), F.col("cy_"), unit)).drop("cx_", "cy_")
+    return d.where((F.col("pxx") * F.col("pyy") - F.col("pxy") * F.col("pxy") > 0) & (F.col("pxx") + F.col("pyy") > 0))
+
+
+def fit_multi(cands: DataFrame, pixels: DataFrame, rounds: int = 3, delta: int = 3, weighted: bool = True) -> DataFrame:
+    """Joint fit whose windows follow the means; a round is written to the checkpoint folder."""
+    for _ in range(rounds):
+        cands = checkpointed(refit(cands, pixels, delta, weighted))
+    return cands
+
+
+def starts(maxima: DataFrame) -> DataFrame:
+    """From maxima (f, x, y, w, h): unit Gaussians in pixels, for `refit`."""
+    return maxima.select("f", (F.col("y") * F.col("w") + F.col("x")).cast("long").alias("c"), "w", "h", F.lit(1.0).alias("scale"), F.col("x").cast("double").alias("mx"), F.col("y").cast("double").alias("my"), F.lit(1.0).alias("pxx"), F.lit(0.0).alias("pxy"), F.lit(1.0).alias("pyy"))
+
+
+def with_confidence(points: DataFrame, scored: DataFrame) -> DataFrame:
+    """Adds to fits (f, w, h, mx, my) the score of the pixel under the mean, cut at the frame; scored: f, x, y, score."""
+    place = lambda m, n: F.least(F.greatest(F.col(m).cast("int"), F.lit(0)), F.col(n) - 1)
+    d = points.withColumn("x", place("mx", "w")).withColumn("y", place("my", "h"))
+    return d.join(scored.select("f", "x", "y", F.col("score").alias("confidence")), ["f", "x", "y"], "left").drop("x", "y")
 
 
 def in_pixels(cands: DataFrame) -> DataFrame:

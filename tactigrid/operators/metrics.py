@@ -13,11 +13,19 @@ def stage_metrics(durations: DataFrame) -> DataFrame:
     return durations.groupBy("stage").agg(F.count("us").alias("n"), F.sum("us").alias("total_us"), F.avg("us").alias("mean_us"), F.var_samp("us").alias("var_us2"), F.stddev_samp("us").alias("stddev_us"), F.min("us").alias("min_us"), F.max("us").alias("max_us"))
 
 
-def ellipses(points: DataFrame, height: int | None = None) -> DataFrame:
-    """From mean and cov: half axes, rotation, aspect, and the centre with y flipped if a height is given."""
+def ellipses(points: DataFrame, height: int | None = None, sigmas: float = 1.0) -> DataFrame:
+    """From mean and cov: half axes (times sigmas), rotation, aspect, and the centre with y flipped if a height is given."""
     xx, xy, yy = F.col("cov.xx"), F.col("cov.xy"), F.col("cov.yy")
     e1, e2 = eigenvalues(xx, xy, yy)
     vx, vy = eigenvector(xx, xy, yy, e1)
-    a, b = F.sqrt(F.abs(e1)), F.sqrt(F.abs(e2))
+    a, b = sigmas * F.sqrt(F.abs(e1)), sigmas * F.sqrt(F.abs(e2))
     y = (height - 1) - F.col("mean.y") if height else F.col("mean.y")
     return points.select("*", a.alias("axis_1"), b.alias("axis_2"), F.atan2(vx, vy).alias("rotation"), F.when(F.least(a, b) > 0, F.greatest(a, b) / F.least(a, b)).alias("aspect"), F.col("mean.x").alias("centre_x"), y.alias("centre_y"))
+
+
+def overlay(found: DataFrame, cross: float = 1.0) -> DataFrame:
+    """What is drawn over a frame, one row per segment, from ellipses: kind (`axis_1`, `axis_2`, `cross_x`, `cross_y`), its ends and the contact's label."""
+    cx, cy, turn = F.col("centre_x"), F.col("centre_y"), F.col("rotation")
+    ends = {"axis_1": (F.col("axis_1") * F.sin(turn), F.col("axis_1") * F.cos(turn)), "axis_2": (F.col("axis_2") * F.cos(turn), -F.col("axis_2") * F.sin(turn)), "cross_x": (F.lit(cross), F.lit(0.0)), "cross_y": (F.lit(0.0), F.lit(cross))}
+    segment = F.array(*(F.struct(F.lit(k).alias("kind"), (cx - dx).alias("x1"), (cy - dy).alias("y1"), (cx + dx).alias("x2"), (cy + dy).alias("y2")) for k, (dx, dy) in ends.items()))
+    return found.select(*(c for c in found.columns if c in ("f", "touch_id")), F.inline(segment))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tactigrid.session import ship_package
+from tactigrid.session import checkpointed, ship_package
 
 CONTACT = "mean_x double, mean_y double, vx double, vy double, cv double"
 
@@ -66,6 +66,16 @@ def mixture_step(pixels: DataFrame, params: DataFrame, hard: bool, least: float
     return s.select("f", "k", mx.alias("mx"), my.alias("my"), (F.col("sxx") / F.col("n") - mx * mx).alias("cxx"), (F.col("sxy") / F.col("n") - mx * my).alias("cxy"), (F.col("syy") / F.col("n") - my * my).alias("cyy"))
 
 
+def mixture_rounds(pixels: DataFrame, params: DataFrame, rounds: int, hard: bool = False, real: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(parameters after the last round, one row per round, f and k with the errors): against the real parameters, or else against the round before. A round is written to the checkpoint folder."""
+    told = None
+    for turn in range(1, rounds + 1):
+        new = checkpointed(mixture_step(pixels, params, hard))
+        one = errors(new, params if real is None else real).select(F.lit(turn).alias("round"), "*")
+        told, params = one if told is None else told.unionByName(one), new
+    return params, told
+
+
 def errors(found: DataFrame, real: DataFrame) -> DataFrame:
     """Per (f, k): L2 norm of the mean's error and infinity norm (largest row sum) of the covariance's."""
     d = found.alias("a").join(real.alias("b"), ["f", "k"])
@@ -73,9 +83,15 @@ def errors(found: DataFrame, real: DataFrame) -> DataFrame:
     return d.select("f", "k", F.hypot(e["mx"], e["my"]).alias("mean_error"), F.greatest(F.abs(e["cxx"]) + F.abs(e["cxy"]), F.abs(e["cxy"]) + F.abs(e["cyy"])).alias("cov_error"))
 
 
-def squared_loss(pixels: DataFrame, params: DataFrame) -> DataFrame:
-    """Least-squares loss of c * exp(-q / 2) against the pixels and its gradients; params: f, c, mx, my, pxx, pxy, pyy."""
-    d = pixels.select("f", "x", "y", "v").join(params, "f").withColumn("dx", F.col("x") - F.col("mx")).withColumn("dy", F.col("y") - F.col("my"))
+def squared_loss(pixels: DataFrame, params: DataFrame, delta: int | None = None) -> DataFrame:
+    """Least-squares loss of c * exp(-q / 2) against the pixels and its gradients; params: f, c, mx, my, pxx, pxy, pyy.
+
+    delta: only over the cells that are so near to the rounded mean (halves to even) in x and y.
+    """
+    d = pixels.select("f", "x", "y", "v").join(params, "f")
+    if delta is not None:
+        d = d.where((F.abs(F.col("x") - F.rint("mx")) <= delta) & (F.abs(F.col("y") - F.rint("my")) <= delta))
+    d = d.withColumn("dx", F.col("x") - F.col("mx")).withColumn("dy", F.col("y") - F.col("my"))
     d = d.withColumn("e", F.exp(-(F.col("pxx") * F.col("dx") ** 2 + 2 * F.col("pxy") * F.col("dx") * F.col("dy") + F.col("pyy") * F.col("dy") ** 2) / 2)).withColumn("r", F.col("c") * F.col("e") - F.col("v"))
     re = F.col("r") * F.col("e")
     gx, gy = F.col("pxx") * F.col("dx") + F.col("pxy") * F.col("dy"), F.col("pxy") * F.col("dx") + F.col("pyy") * F.col("dy")
@@ -116,26 +132,40 @@ def minimise(function, x: np.ndarray, rounds: int = 60, tolerance: float = 1e-8)
     return x
 
 
-def least_squares_fit(pixels: DataFrame, start: DataFrame) -> DataFrame:
-    """One Gaussian per frame by BFGS from start (f, c, mx, my, pxx, pxy, pyy); a frame's pixels are one group."""
-    ship_package(pixels.sparkSession)
-
-    def fit(group: pd.DataFrame) -> Iterator[pd.DataFrame] | pd.DataFrame:
-        x, y, v = (group[c].to_numpy(float) for c in ("x", "y", "v"))
+def least_squares_fit(pixels: DataFrame, start: DataFrame, delta: int | None = None) -> DataFrame:
+    """Gaussians of each frame jointly by BFGS from start (f, k, c, mx, my, pxx, pxy, pyy, a row per Gaussian) to the same with the frame's loss.
 
-        def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
-            dx, dy = x - p[1], y - p[2]
+    A frame is one group of pixels. delta: only over the cells that are so near to one of the rounded start means.
+    """
+    ship_package(pixels.sparkSession)
+    names = ["c", "mx", "my", "pxx", "pxy", "pyy"]
+
+    def fit(group: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        given = given.sort_values("k")
+        if not len(given) or not len(group):
+            return pd.DataFrame(columns=["f", "k", *names, "loss"])
+        x, y, v = (group[n].to_numpy(float) for n in ("x", "y", "v"))
+        first = given[names].to_numpy(float)
+        if delta is not None:
+            near = np.any([(np.abs(x - np.rint(m[1])) <= delta) & (np.abs(y - np.rint(m[2])) <= delta) for m in first], axis=0)
+            x, y, v = x[near], y[near], v[near]
+
+        def loss(flat: np.ndarray) -> tuple[float, np.ndarray]:
+            p = flat.reshape(-1, 6)[:, :, None]
+            dx, dy = x - p[:, 1], y - p[:, 2]
             with np.errstate(over="ignore", invalid="ignore"):
-                e = np.exp(-(p[3] * dx * dx + 2 * p[4] * dx * dy + p[5] * dy * dy) / 2)
-                r = p[0] * e - v
-                re = p[0] * r * e
-                return float(r @ r), np.array([2 * (r @ e), 2 * re @ (p[3] * dx + p[4] * dy), 2 * re @ (p[4] * dx + p[5] * dy), -re @ (dx * dx), -2 * re @ (dx * dy), -re @ (dy * dy)])
-
-        first = group.iloc[0]
-        p = minimise(loss, first[["c", "mx", "my", "pxx", "pxy", "pyy"]].to_numpy(float))
-        return pd.DataFrame([[int(first["f"]), *p, loss(p)[0]]], columns=["f", "c", "mx", "my", "pxx", "pxy", "pyy", "loss"])
-
-    return pixels.select("f", "x", "y", "v").join(start, "f").groupBy("f").applyInPandas(fit, "f long, c double, mx double, my double, pxx double, pxy double, pyy double, loss double")
+                e = np.exp(-(p[:, 3] * dx * dx + 2 * p[:, 4] * dx * dy + p[:, 5] * dy * dy) / 2)
+                r = (p[:, 0] * e).sum(0) - v
+                re = p[:, 0] * r * e
+                slopes = [2 * (r * e).sum(1), 2 * (re * (p[:, 3] * dx + p[:, 4] * dy)).sum(1), 2 * (re * (p[:, 4] * dx + p[:, 5] * dy)).sum(1), -(re * dx * dx).sum(1), -2 * (re * dx * dy).sum(1), -(re * dy * dy).sum(1)]
+                return float(r @ r), np.stack(slopes, 1).ravel()
+
+        p = minimise(loss, first.ravel())
+        out = pd.DataFrame(p.reshape(-1, 6), columns=names)
+        return pd.concat([given[["f", "k"]].reset_index(drop=True), out], axis=1).assign(loss=loss(p)[0])
+
+    many = start if "k" in start.columns else start.withColumn("k", F.lit(0))
+    return pixels.select("f", "x", "y", "v").groupBy("f").cogroup(many.select(F.col("f").alias("f"), "k", *names).groupBy("f")).applyInPandas(fit, "f long, k int, " + ", ".join(f"{n} double" for n in (*names, "loss")))
 
 
 def reconstruction_error(parts: DataFrame, pixels: DataFrame) -> DataFrame:

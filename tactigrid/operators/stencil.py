@@ -94,18 +94,23 @@ def gradient(df: DataFrame, border: str = "zero") -> DataFrame:
     return convolve(df, [Stencil("v", "gx", kernels.SOBEL_X), Stencil("v", "gy", kernels.SOBEL_Y)], border)
 
 
-def structure_tensor(df: DataFrame, sigma: float | None = None) -> DataFrame:
-    """Adds sxx, sxy, syy, smoothed if sigma is given."""
+def blur(df: DataFrame, columns: Sequence[str], sigma: float) -> DataFrame:
+    """The smoothing of array libraries: cut at 4 sigmas, frames reflected at their edges."""
+    return convolve(df, [Stencil(c, c, kernels.truncated_gaussian(sigma)) for c in columns], "mirror")
+
+
+def structure_tensor(df: DataFrame, sigma: float | None = None, smoothing=None) -> DataFrame:
+    """Adds sxx, sxy, syy, smoothed (by `smooth`, or another function of df, columns and sigma) if sigma is given."""
     g = gradient(df)
     t = g.select(*df.columns, (F.col("gx") * F.col("gx")).alias("sxx"), (F.col("gx") * F.col("gy")).alias("sxy"), (F.col("gy") * F.col("gy")).alias("syy"))
-    return smooth(t, ["sxx", "sxy", "syy"], sigma) if sigma else t
+    return (smoothing or smooth)(t, ["sxx", "sxy", "syy"], sigma) if sigma else t
 
 
-def hessian(df: DataFrame, sigma: float | None = None, border: str = "zero", wide: bool = False) -> DataFrame:
+def hessian(df: DataFrame, sigma: float | None = None, border: str = "zero", wide: bool = False, smoothing=None) -> DataFrame:
     """Adds hxx, hxy, hyy, smoothed if sigma is given."""
     xx, xy, yy = (kernels.WIDE_XX, kernels.WIDE_XY, kernels.WIDE_YY) if wide else (kernels.SOBEL_XX, kernels.SOBEL_XY, kernels.SOBEL_YY)
     t = convolve(df, [Stencil("v", "hxx", xx), Stencil("v", "hxy", xy), Stencil("v", "hyy", yy)], border)
-    return smooth(t, ["hxx", "hxy", "hyy"], sigma) if sigma else t
+    return (smoothing or smooth)(t, ["hxx", "hxy", "hyy"], sigma) if sigma else t
 
 
 def with_eigenvalues(df: DataFrame, prefix: str, first: str, second: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tactigrid.functions import colour, kernels, matrices
 from tactigrid.operators import components, distance, fit, metrics, mixture, stencil, strokes
 from tactigrid.plans import sql
+from tactigrid.session import checkpointed
 from tactigrid.sources import capture, frames
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -211,11 +212,41 @@ def coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(*_KEY, _r("coherence"), _r(1 - F.col("coherence") * F.col("coherence")).alias("rotation"))
 
 
-@_query(f"WITH {sql.E}, {_TENSOR}, o AS (SELECT f, x, y, CAST(sum(sxx) OVER n AS BIGINT) AS a, CAST(sum(sxy) OVER n AS BIGINT) AS b, CAST(sum(syy) OVER n AS BIGINT) AS c FROM t0 WINDOW n AS (PARTITION BY f, y)) SELECT f, x, y, abs(a * c - b * b) AS rot_det FROM o")
+# Frames of hundredths, as floats.
+_ES = f"{sql.E}, es AS (SELECT f, x, y, v / 100e0 AS v FROM e)"
+_BLUR = kernels.truncated_gaussian(1.0)
+_MIR = ("mirror", "mirror")
+
+
+def _es(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _e(spark, sf_dir).withColumn("v", F.col("v") / 100)
+
+
+def _blurred_tensor(name: str, source: str) -> str:
+    grad = sql.convolve(f"{name}g", source, {"gx": ("v", kernels.SOBEL_X), "gy": ("v", kernels.SOBEL_Y)}, _ZERO, ("v",))
+    return f"{grad}, {name}0 AS (SELECT f, x, y, v, gx * gx AS sxx, gx * gy AS sxy, gy * gy AS syy FROM {name}g), " + sql.convolve(name, f"{name}0", {f"s{k}": (f"s{k}", _BLUR) for k in ("xx", "xy", "yy")}, _MIR, ("v",))
+
+
+@_query(f"WITH {_ES}, {_blurred_tensor('t', 'es')} {_three('s', 't', False)}")
+def blurred_structure_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stencil.structure_tensor(_es(spark, sf_dir), 1.0, stencil.blur).select(*_KEY, *(_r(f"s{k}") for k in ("xx", "xy", "yy")))
+
+
+@_query(f"WITH {_ES}, {sql.convolve('h0', 'es', _SOBEL_2, _ZERO, ('v',))}, {sql.convolve('h', 'h0', {f'h{k}': (f'h{k}', _BLUR) for k in ('xx', 'xy', 'yy')}, _MIR, ('v',))} {_three('h', 'h', False)}")
+def blurred_hessian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stencil.hessian(_es(spark, sf_dir), 1.0, smoothing=stencil.blur).select(*_KEY, *(_r(f"h{k}") for k in ("xx", "xy", "yy")))
+
+
+@_query(_smoothing(sql.convolve("s", "e", {"v": ("v", kernels.gaussian(3, 0.9))}, _EXT), "s"))
+def smooth_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stencil.smooth(_e(spark, sf_dir), ["v"], 0.9, 3).select(*_KEY, _r("v"))
+
+
+@_query(f"WITH {_ES}, {sql.floor_removed('n', 'es')}, {sql.convolve('b', 'n', {'v': ('v', _BLUR)}, _MIR)}, {_blurred_tensor('t', 'b')} SELECT f, x, y, round(abs(sxx * syy - sxy * sxy), 6) + 0e0 AS rot_det FROM t")
 def rot_det(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = Window.partitionBy("f", "y")
-    d = stencil.structure_tensor(_e(spark, sf_dir)).select(*_KEY, *(F.sum(F.col(f"s{k}")).over(row).cast("long").alias(k) for k in ("xx", "xy", "yy")))
-    return d.select(*_KEY, F.abs(matrices.det(F.col("xx"), F.col("xy"), F.col("yy"))).alias("rot_det"))
+    """Determinant of the smoothed structure tensor at each pixel, after removal of the floor and smoothing."""
+    d = stencil.structure_tensor(stencil.blur(stencil.remove_floor(_es(spark, sf_dir)), ["v"], 1.0), 1.0, stencil.blur)
+    return d.select(*_KEY, _r(F.abs(matrices.det(F.col("sxx"), F.col("sxy"), F.col("syy")))).alias("rot_det"))
 
 
 @_query(f"WITH {sql.E}, {_EIG} SELECT f, x, y, round(CASE WHEN abs(e1) + abs(e2) > 0 THEN abs(e1 * e2) / (abs(e1) + abs(e2)) ELSE 0e0 END, 5) + 0e0 AS rot_norm FROM q")
@@ -302,6 +333,26 @@ def labels_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.label_relational(_e(spark, sf_dir), 0.0, 4).select("f", F.col("x").cast("int").alias("x"), "y", "label")
 
 
+@_query(f"WITH RECURSIVE {sql.E}, {sql.labels('l', 'e', 'v >= 10', 4)} SELECT f, x, y, label FROM l")
+def labels_inclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.label_pixels(frames.embedding_dense(spark, sf_dir), 10.0, 4, inclusive=True)
+
+
+@_query(
+    f"""WITH RECURSIVE {sql.E}, fg AS (SELECT f, x, y, y * 8 + x AS p FROM e WHERE v >= 10),
+reach(f, x, y, root) AS (
+  SELECT f, x, y, p FROM fg
+  UNION
+  SELECT b.f, b.x, b.y, r.root FROM reach r JOIN fg b ON b.f = r.f AND ((abs(b.x - r.x) = 1 AND b.y = r.y) OR (b.x = r.x AND b.y - r.y IN (-1, 2)))
+), firsts AS (SELECT f, x, y, min(root) AS root FROM reach GROUP BY f, x, y),
+ranked AS (SELECT f, x, y, CAST(dense_rank() OVER (PARTITION BY f ORDER BY root) AS INTEGER) AS label FROM firsts)
+SELECT f, x, y, coalesce(label, 0) AS label FROM e LEFT JOIN ranked USING (f, x, y)"""
+)
+def labels_over_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flood fill that steps over the next row."""
+    return components.label_pixels(frames.embedding_dense(spark, sf_dir), 10.0, 4, inclusive=True, down=2)
+
+
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _tensor_roots(spark, sf_dir).select(*_KEY, "v", matrices.coherence(F.col("e1"), F.col("e2")).alias("coherence"))
     peaks = stencil.local_maxima(_e(spark, sf_dir), "v", 5).select(*_KEY, F.lit(True).alias("is_max"))
@@ -378,6 +429,109 @@ def distance_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _distances(spark, sf_dir, 0).where("distance is not null").select(*_KEY, _r("distance"))
 
 
+def _distance_pixels(found: DataFrame) -> DataFrame:
+    return found.select("f", "w", F.posexplode("distance").alias("i", "distance")).select("f", (F.col("i") % F.col("w")).cast("int").alias("x"), F.expr("cast(i div w as int)").alias("y"), "distance")
+
+
+@_query(f"WITH RECURSIVE {sql.E}, {_L4}, cells AS (SELECT f, x, y, label, abs(v) / 100e0 AS cost, label = 0 AS mask FROM l), {sql.shortest('d', 'cells', 'label % 2 = 1', 1.5, 8)} SELECT f, x, y, round(d, 6) + 0e0 AS distance FROM d")
+def distance_8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over eight neighbours, diagonal steps costing the root of two."""
+    labelled = components.label_frames(frames.embedding_dense(spark, sf_dir), 0.0, 4)
+    ready = labelled.select("f", "w", "h", F.transform("label", lambda v: (v % 2 == 1).cast("int")).alias("source"), F.transform("label", lambda v: (v == 0).cast("int")).alias("mask"), F.transform("px", lambda v: F.abs(v) / 100).alias("cost"))
+    return _distance_pixels(distance.distance_frames(ready, 1.5, connectivity=8)).where("distance is not null").select(*_KEY, _r("distance"))
+
+
+@_query(f"WITH RECURSIVE {sql.E}, {_L4}, cells AS (SELECT f, x, y, label, abs(v) / 100e0 AS cost, v > -20 AND label = 0 AS mask FROM l), {sql.shortest('d', 'cells', 'label % 2 = 1', 1.5, 4)} SELECT f, x, y, round(d, 6) + 0e0 AS distance FROM d")
+def distance_through_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a mask that holds the chosen components themselves; they stay at 0."""
+    labelled = frames.together(frames.to_long(frames.embedding_dense(spark, sf_dir))).join(components.label_pixels(frames.embedding_dense(spark, sf_dir), 0.0, 4), list(_KEY))
+    marked = distance.masks(labelled.withColumn("v", F.col("v") + 20), F.col("label") % 2 == 1, with_sources=True).withColumn("cost", F.abs(F.col("v") - 20) / 100)
+    dense_ = frames.to_dense_columns(marked, ["source", "mask", "cost"]).select("f", "w", "h", *(F.transform(c, lambda v: v.cast("double")).alias(c) for c in ("source", "mask", "cost")))
+    return _distance_pixels(distance.distance_frames(dense_, 1.5)).where("distance is not null").select(*_KEY, _r("distance"))
+
+
+# ---- the contact pipeline in columns, on frames of hundredths: score sets, distances at the ridge's cost, soft filter, peaks
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stencil.measures(stencil.preprocess(_es(spark, sf_dir)))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(pixels with their measures, label and their component's score; scores of the components)."""
+    measured = _measured(spark, sf_dir)
+    labelled = components.label_pixels(frames.to_dense(measured, "objective"), 0.0, 4)
+    pixels = measured.join(labelled, list(_KEY))
+    peaks = stencil.local_maxima(measured, "v", 0.05).select(*_KEY, F.lit(True).alias("is_max"))
+    inside = pixels.withColumn("coherence", matrices.coherence(F.col("e1"), F.col("e2"))).join(peaks, list(_KEY), "left").withColumn("is_max", F.coalesce("is_max", F.lit(False)))
+    scores = components.component_stats(inside).withColumn("score", components.score(F.col("size"), F.col("incoherence"), F.col("maximas")))
+    return components.scored_pixels(pixels, scores), scores
+
+
+_PRE_S = f"{_ES}, {sql.convolve('s', 'es', {'v': ('v', _G09)}, _EXT)}, {sql.floor_removed('p', 's')}"
+_PIPE = (
+    f"{_PRE_S}, {_H_OF_P}, {sql.convolve('pg', 'p', {'gx': ('v', kernels.SOBEL_X), 'gy': ('v', kernels.SOBEL_Y)}, _ZERO, ('v',))}, "
+    "pt0 AS (SELECT f, x, y, v, gx * gx AS sxx, gx * gy AS sxy, gy * gy AS syy FROM pg), "
+    + sql.convolve("pt", "pt0", {f"s{k}": (f"s{k}", _G10) for k in ("xx", "xy", "yy")}, _EXT, ("v",))
+    + f", {sql.eigen('pq', 'pt', 's', 'e1', 'e2', '')}, po AS (SELECT f, x, y, r.v, ridge, r.v - 1.5e0 * ridge AS o, e1, e2 FROM r JOIN pq USING (f, x, y)), {sql.labels('pl', 'po', 'o > 0', 4)}, pm AS ({sql.maxima('p', 'v', '> 0.05e0')}), "
+    "pc AS (SELECT f, x, y, po.v, ridge, e1, e2, label, CASE WHEN e1 + e2 <> 0 THEN (e1 - e2) / (e1 + e2) ELSE 1e0 END AS c FROM po JOIN pl USING (f, x, y)), "
+    "stats AS (SELECT f, label, count(*) AS size, sum(1 - c * c) AS incoherence, count(pm.v) AS maximas FROM pc LEFT JOIN pm USING (f, x, y) WHERE label > 0 GROUP BY f, label), "
+    f"scores AS (SELECT f, label, CASE WHEN maximas > 0 THEN {_BY_SIZE} * {_BY_MIX} ELSE 0e0 END AS score FROM stats)"
+)
+
+
+@_query(f"WITH RECURSIVE {_PIPE} SELECT f, label, round(score, 6) + 0e0 AS score, CASE WHEN score > 0.6e0 THEN 0 ELSE 1 END AS set_id FROM scores")
+def pipeline_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.score_sets(_scored(spark, sf_dir)[1]).select("f", "label", _r("score"), "set_id")
+
+
+@_query(f"WITH RECURSIVE {_PIPE} SELECT f, x, y, label, round(CASE WHEN label > 0 THEN coalesce(score, 0e0) ELSE 0e0 END, 6) + 0e0 AS score FROM pc LEFT JOIN scores USING (f, label)")
+def pipeline_pixel_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir)[0].select(*_KEY, "label", _r("score"))
+
+
+def _set_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """f, x, y, v, inside, outside: distances from the components of either set."""
+    pixels = _scored(spark, sf_dir)[0].withColumn("cost", distance.contact_cost(F.col("ridge"), F.col("e1"), F.col("e2")))
+    high = F.col("score") > 0.6
+    pixels = pixels.withColumn("mask", ((F.col("v") > 0) & (F.col("label") == 0)).cast("int")).withColumn("inc", ((F.col("label") > 0) & high).cast("int")).withColumn("exc", ((F.col("label") > 0) & ~high).cast("int"))
+    dense_ = checkpointed(frames.to_dense_columns(pixels, ["v", "mask", "cost", "inc", "exc"]))  # read three times
+    for source, target in (("inc", "inside"), ("exc", "outside")):
+        found = distance.distance_frames(dense_.select("f", "w", "h", F.col(source).alias("source"), "mask", "cost"))
+        dense_ = dense_.join(found.select("f", F.col("distance").alias(target)), "f")
+    cells = dense_.select("f", "w", F.posexplode(F.arrays_zip("v", "inside", "outside")).alias("i", "c"))
+    return cells.select("f", (F.col("i") % F.col("w")).cast("int").alias("x"), F.expr("cast(i div w as int)").alias("y"), "c.*", "w", F.lit(8).alias("h"))
+
+
+_SETS = (
+    f"{_PIPE}, cells AS (SELECT f, x, y, v, label, 9 * ridge + greatest(e1, 0e0) + greatest(e2, 0e0) AS cost, v > 0 AND label = 0 AS mask, label > 0 AND coalesce(score, 0e0) > 0.6e0 AS inc, label > 0 AND NOT coalesce(score, 0e0) > 0.6e0 AS exc FROM pc LEFT JOIN scores USING (f, label)), "
+    f"inner_cells AS MATERIALIZED (SELECT f, x, y, cost, mask, inc FROM cells), outer_cells AS MATERIALIZED (SELECT f, x, y, cost, mask, exc AS inc FROM cells), {sql.shortest('da', 'inner_cells', 'inc', 6.0)}, {sql.shortest('db', 'outer_cells', 'inc', 6.0)}"
+)
+
+
+@_query(f"WITH RECURSIVE {_SETS} SELECT f, x, y, round(da.d, 6) + 0e0 AS inside, round(db.d, 6) + 0e0 AS outside FROM cells LEFT JOIN da USING (f, x, y) LEFT JOIN db USING (f, x, y)")
+def pipeline_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _set_distances(spark, sf_dir).select(*_KEY, _r("inside"), _r("outside"))
+
+
+_FILTERED = f"{_SETS}, ww AS (SELECT f, x, y, v, coalesce(exp(-pow(da.d, 2)), 0e0) AS wi, coalesce(exp(-pow(db.d, 2)), 0e0) AS we FROM cells LEFT JOIN da USING (f, x, y) LEFT JOIN db USING (f, x, y)), fl AS MATERIALIZED (SELECT f, x, y, v * CASE WHEN wi + we > 0 THEN wi / (wi + we) ELSE 0e0 END AS v FROM ww)"
+
+
+def _filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _set_distances(spark, sf_dir)
+    return d.select(*_KEY, (F.col("v") * distance.soft_mask(F.col("inside"), F.col("outside"))).alias("v"), "w", "h")
+
+
+@_query(f"WITH RECURSIVE {_FILTERED} SELECT f, x, y, round(v, 6) + 0e0 AS v FROM fl")
+def pipeline_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filtered(spark, sf_dir).select(*_KEY, _r("v"))
+
+
+@_query(f"WITH RECURSIVE {_FILTERED}, k AS ({sql.maxima('fl', 'v', '> 0.05e0')}) SELECT f, x, y, round(v, 6) + 0e0 AS v FROM k")
+def pipeline_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stencil.local_maxima(_filtered(spark, sf_dir), "v", 0.05).select(*_KEY, _r("v"))
+
+
 def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside = _distances(spark, sf_dir, 1).withColumnRenamed("distance", "d1")
     outside = _distances(spark, sf_dir, 0).withColumnRenamed("distance", "d2")
@@ -415,12 +569,13 @@ def reconstruction_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH RECURSIVE {sql.E}, {_L4}, s AS (SELECT f, label, CAST(sum(v) AS DOUBLE) AS w, max(v) AS w_max, CAST(sum(v * x) AS DOUBLE) AS sx, CAST(sum(v * y) AS DOUBLE) AS sy, CAST(sum(v * x * x) AS DOUBLE) AS sxx, CAST(sum(v * y * y) AS DOUBLE) AS syy, CAST(sum(v * x * y) AS DOUBLE) AS sxy FROM l WHERE label > 0 GROUP BY f, label),
 m AS (SELECT f, label, w_max, sx / w AS mean_x, sy / w AS mean_y, (sxx - sx * sx / w) / w AS vx, (syy - sy * sy / w) / w AS vy, (sxy - sx * sy / w) / w AS cv FROM s),
 n AS (SELECT *, sqrt(pow(vx - vy, 2) + 4 * pow(cv, 2)) AS root FROM m)
-SELECT f, label, w_max, round(mean_x, 6) + 0e0 AS mean_x, round(mean_y, 6) + 0e0 AS mean_y, round((vx + vy + root) / 2, 6) + 0e0 AS ev1, round((vx + vy - root) / 2, 6) + 0e0 AS ev2 FROM n"""
+SELECT f, label, w_max, round(mean_x, 6) + 0e0 AS mean_x, round(mean_y, 6) + 0e0 AS mean_y, round((vx + vy + root) / 2, 6) + 0e0 AS ev1, round((vx + vy - root) / 2, 6) + 0e0 AS ev2,
+(vx + vy - root) / 2 > 0 AS is_contact, CASE WHEN (vx + vy - root) / 2 > 1e-9 THEN round(CASE WHEN turn > pi() THEN turn - pi() WHEN turn < 0 THEN turn + pi() ELSE turn END, 5) + 0e0 END AS angle FROM (SELECT *, pi() - atan2(vx + cv - (vx + vy - root) / 2, vy + cv - (vx + vy - root) / 2) AS turn FROM n)"""
 )
 def cluster_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     dense = frames.embedding_dense(spark, sf_dir)
     labelled = frames.together(frames.to_long(dense)).join(components.label_pixels(dense, 0.0, 4), list(_KEY))
-    return mixture.cluster_moments(labelled).select("f", "label", "w_max", _r("mean_x"), _r("mean_y"), _r("ev1"), _r("ev2"))
+    return mixture.cluster_moments(labelled).select("f", "label", "w_max", _r("mean_x"), _r("mean_y"), _r("ev1"), _r("ev2"), "is_contact", F.when(F.col("ev2") > 1e-9, _r(F.col("angle"), 5)).alias("angle"))
 
 
 @_query(
@@ -468,10 +623,24 @@ def mixture_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _step(spark, sf_dir, False)
 
 
-def _loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+_TWO = f"{sql.T}, z0 AS (SELECT DISTINCT f, k.* FROM c, {_START})" + "".join(
+    f", p{n} AS (SELECT t.f, x, y, v, k, {_DENSITY} AS p FROM t JOIN z{n - 1} z ON z.f = t.f), d{n} AS (SELECT f, k, x, y, v * CASE WHEN sum(p) OVER w > 1e-20 THEN p / sum(p) OVER w ELSE 0e0 END AS wv FROM p{n} WINDOW w AS (PARTITION BY f, x, y)), s{n} AS (SELECT f, k, sum(wv) AS n, sum(wv * x) AS sx, sum(wv * y) AS sy, sum(wv * x * x) AS sxx, sum(wv * x * y) AS sxy, sum(wv * y * y) AS syy FROM d{n} GROUP BY f, k HAVING sum(wv) > 0), z{n} AS (SELECT f, k, sx / n AS mx, sy / n AS my, sxx / n - sx / n * (sx / n) AS cxx, sxy / n - sx / n * (sy / n) AS cxy, syy / n - sy / n * (sy / n) AS cyy FROM s{n})"
+    for n in (1, 2)
+)
+_ERRORS = " UNION ALL ".join(f"SELECT {n} AS round, a.f, a.k, round(sqrt(pow(b.mx - a.mx, 2) + pow(b.my - a.my, 2)), 4) + 0e0 AS mean_error, round(greatest(abs(b.cxx - a.cxx) + abs(b.cxy - a.cxy), abs(b.cxy - a.cxy) + abs(b.cyy - a.cyy)), 3) + 0e0 AS cov_error FROM z{n} a JOIN z{n - 1} b USING (f, k)" for n in (1, 2))
+
+
+@_query(f"WITH {_TWO} {_ERRORS}")
+def mixture_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two soft rounds; errors of each against the round before."""
+    pixels = _t(spark, sf_dir)
+    return mixture.mixture_rounds(pixels, _start(pixels), 2)[1].select("round", "f", "k", _r("mean_error", 4), _r("cov_error", 3))
+
+
+def _loss(spark: SparkSession, sf_dir: str, delta: int | None = None) -> DataFrame:
     pixels = _t(spark, sf_dir)
     params = pixels.select("f").distinct().select("f", F.lit(0.8).alias("c"), F.lit(30.5).alias("mx"), F.lit(20.25).alias("my"), F.lit(0.02).alias("pxx"), F.lit(0.004).alias("pxy"), F.lit(0.03).alias("pyy"))
-    return mixture.squared_loss(pixels, params)
+    return mixture.squared_loss(pixels, params, delta)
 
 
 _LOSS = f"{sql.T}, a AS (SELECT f, v, x - 30.5e0 AS dx, y - 20.25e0 AS dy FROM t), b AS (SELECT *, exp(-(0.02e0 * dx * dx + 0.008e0 * dx * dy + 0.03e0 * dy * dy) / 2) AS e FROM a), r AS (SELECT *, 0.8e0 * e - v AS r FROM b)"
@@ -490,6 +659,11 @@ def lsq_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _loss(spark, sf_dir).select("f", *(_r(c, 4) for c in ("d_c", "d_mx", "d_my")), *(_r(c, 3) for c in ("d_pxx", "d_pxy", "d_pyy")))
 
 
+@_query(f"WITH {_LOSS.replace('FROM t)', 'FROM t WHERE abs(x - 30) <= 4 AND abs(y - 20) <= 4)')} SELECT f, round(sum(r * r), 6) + 0e0 AS loss, round(2 * sum(r * e), 5) + 0e0 AS d_c FROM r GROUP BY f")
+def lsq_loss_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loss(spark, sf_dir, 4).select("f", _r("loss"), _r("d_c", 5))
+
+
 # ---- fits: candidates are the maxima of the splatted frames
 
 
@@ -524,17 +698,69 @@ def normal_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.normal_equations(fit.responsibilities(fit.window_pixels(cands, pixels))).select("f", "c", *(_r(c) for c in _EQUATION_COLUMNS))
 
 
-@_query()
+def _moments_sql(name: str, source: str, weight: str, log: str) -> str:
+    return f"{name} AS (SELECT f, c, " + ", ".join([*(f"sum({weight} * {_powers(i, j)}) AS m{i}{j}" for i, j in fit.MOMENTS), *(f"sum({weight} * {log} * {_powers(i, j)}) AS r{i}{j}" for i, j in fit.RIGHTS)]) + f" FROM {source} GROUP BY f, c)"
+
+
+_CX, _CY = "((greatest(c % 72 - 5, 0) + least(c % 72 + 5, 71)) / 2e0)", "((greatest(c // 72 - 5, 0) + least(c // 72 + 5, 47)) / 2e0)"
+_ONE = f"{_SHARES}, dc AS (SELECT f, c, (x - {_CX}) / 5e0 AS sx, (y - {_CY}) / 5e0 AS sy, v * share AS d FROM sh), {_moments_sql('eqc', 'dc', 'd * d', 'ln(d + pow(2e0, -52))')}, {sql.solve('q', 'eqc', fit._BASIS, 'f, c', '')}, {sql.gaussian('g1', 'q', 'f, c', _CX, _CY, 5.0)}"
+_FIT_COLUMNS = "round(log_scale, 4) + 0e0 AS log_scale, round(mx, 4) + 0e0 AS mx, round(my, 4) + 0e0 AS my, round(pxx, 5) + 0e0 AS pxx, round(pxy, 5) + 0e0 AS pxy, round(pyy, 5) + 0e0 AS pyy"
+
+
+def _fit_columns(d: DataFrame) -> list[Column]:
+    return [_r(F.log("scale"), 4).alias("log_scale"), _r("mx", 4), _r("my", 4), _r("pxx", 5), _r("pxy", 5), _r("pyy", 5)]
+
+
+@_query(f"WITH {_ONE} SELECT f, c, {_FIT_COLUMNS} FROM g1")
 def fit_one_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
     cands, pixels = _windows(spark, sf_dir)
     d = fit.in_pixels(fit.iterate(cands, pixels))
-    return d.select("f", "c", "scale", "mx", "my", "pxx", "pxy", "pyy")
+    return d.select("f", "c", *_fit_columns(d))
 
 
-@_query()
+_ROOT_P = "((pxx + pyy + CASE WHEN pxx + pyy >= 0 THEN sqrt(greatest(pow(pxx + pyy, 2) - 4 * (pxx * pyy - pxy * pxy), 0e0)) ELSE -sqrt(greatest(pow(pxx + pyy, 2) - 4 * (pxx * pyy - pxy * pxy), 0e0)) END) / 2)"
+
+
+@_query(
+    f"WITH {_ONE}, ev AS (SELECT *, abs({_ROOT_P}) AS l1, abs(pxx * pyy - pxy * pxy) / abs({_ROOT_P}) AS l2 FROM g1), asp AS (SELECT *, sqrt(greatest(l1, l2) / least(l1, l2)) AS aspect FROM ev WHERE l1 > 1e-20 AND l2 > 1e-20)"
+    " SELECT f, c, round(mx, 4) + 0e0 AS mx, round(my, 4) + 0e0 AS my, round(pyy / (pxx * pyy - pxy * pxy), 4) + 0e0 AS cov_xx, round(-pxy / (pxx * pyy - pxy * pxy), 4) + 0e0 AS cov_xy, round(pxx / (pxx * pyy - pxy * pxy), 4) + 0e0 AS cov_yy, round(aspect, 5) + 0e0 AS aspect FROM asp WHERE aspect <= 2"
+)
 def fit_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     cands, pixels = _windows(spark, sf_dir)
-    return fit.accepted(fit.in_pixels(fit.iterate(cands, pixels))).select("f", "c", "scale", "mx", "my", "cov", "aspect")
+    d = fit.accepted(fit.in_pixels(fit.iterate(cands, pixels)))
+    return d.select("f", "c", _r("mx", 4), _r("my", 4), *(_r(F.col(f"cov.{k}"), 4).alias(f"cov_{k}") for k in ("xx", "xy", "yy")), _r("aspect", 5))
+
+
+def _refit_sql(weight: str) -> str:
+    return f"""{sql.T}, m AS MATERIALIZED ({sql.maxima("t", "v", "> 0.3e0")}),
+win AS (SELECT m.f, CAST(m.y * 72 + m.x AS BIGINT) AS c, m.x AS cx, m.y AS cy, t.x, t.y, t.v, exp(-(pow(t.x - m.x, 2) + pow(t.y - m.y, 2)) / 2) / (2 * pi()) AS g FROM m JOIN t ON t.f = m.f AND abs(t.x - m.x) <= 3 AND abs(t.y - m.y) <= 3),
+sh AS (SELECT *, CASE WHEN sum(g) OVER w <> 0 THEN g / sum(g) OVER w ELSE 0e0 END AS share FROM win WINDOW w AS (PARTITION BY f, x, y)),
+dc AS (SELECT f, c, (x - cx) / 3e0 AS sx, (y - cy) / 3e0 AS sy, v * share AS d FROM sh WHERE v * share >= 1e-20), {_moments_sql("eqc", "dc", weight, "ln(d)")}, {sql.solve("q", "eqc", fit._BASIS, "f, c", "")}, {sql.gaussian("g1", "q", "f, c", "(c % 72)", "(c // 72)", 3.0)}"""
+
+
+def _refit(spark: SparkSession, sf_dir: str, weighted: bool) -> DataFrame:
+    pixels = _t(spark, sf_dir)
+    d = fit.refit(fit.starts(stencil.local_maxima(pixels, "v", 0.3)), pixels, 3, weighted)
+    return d.select("f", "c", *_fit_columns(d))
+
+
+@_query(f"WITH {_refit_sql('d * d')} SELECT f, c, {_FIT_COLUMNS} FROM g1 WHERE pxx * pyy - pxy * pxy > 0 AND pxx + pyy > 0")
+def fit_recentred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round with windows about the rounded means."""
+    return _refit(spark, sf_dir, True)
+
+
+@_query(f"WITH {_refit_sql('1e0')} SELECT f, c, {_FIT_COLUMNS} FROM g1 WHERE pxx * pyy - pxy * pxy > 0 AND pxx + pyy > 0")
+def fit_unweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _refit(spark, sf_dir, False)
+
+
+@_query()
+def fit_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds whose windows follow the means."""
+    pixels = _t(spark, sf_dir)
+    d = fit.fit_multi(fit.starts(stencil.local_maxima(pixels, "v", 0.3)), pixels)
+    return d.select("f", "c", *_fit_columns(d))
 
 
 @_query()
@@ -542,9 +768,29 @@ def touchpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.touch_points(frames.to_dense(frames.splat(frames.touches(spark, sf_dir))))
 
 
-@_query()
+_COV = f"""{sql.T}, m AS (SELECT f, sum(v) AS total, sum(v * x) / sum(v) AS mean_x, sum(v * y) / sum(v) AS mean_y FROM t GROUP BY f HAVING sum(v) > 0),
+cv AS (SELECT f, any_value(mean_x) AS mx, any_value(mean_y) AS my, sum(v * pow(x - mean_x, 2)) / any_value(total) AS xx, sum(v * (x - mean_x) * (y - mean_y)) / any_value(total) AS xy, sum(v * pow(y - mean_y, 2)) / any_value(total) AS yy FROM t JOIN m USING (f) GROUP BY f),
+ea AS (SELECT *, {sql.first_root("xx", "xy", "yy")} AS e1 FROM cv), eb AS (SELECT *, {sql.second_root("xx", "xy", "yy", "e1")} AS e2, CASE WHEN abs(xx - e1) > abs(yy - e1) THEN -xy ELSE yy - e1 END AS vx, CASE WHEN abs(xx - e1) > abs(yy - e1) THEN xx - e1 ELSE -xy END AS vy FROM ea),
+el AS (SELECT f, 2 * sqrt(abs(e1)) AS a, 2 * sqrt(abs(e2)) AS b, atan2(vx / sqrt(vx * vx + vy * vy), vy / sqrt(vx * vx + vy * vy)) AS rotation, mx, 47 - my AS my FROM eb)"""
+
+
+def _ellipses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the frames' means and covariances, at two sigmas."""
+    d = mixture.mean_and_covariance(_t(spark, sf_dir))
+    return metrics.ellipses(d.select("f", F.struct(F.col("mean_x").alias("x"), F.col("mean_y").alias("y")).alias("mean"), F.struct(F.col("cov_xx").alias("xx"), F.col("cov_xy").alias("xy"), F.col("cov_yy").alias("yy")).alias("cov")), 48, 2.0)
+
+
+@_query(f"WITH {_COV} SELECT f, round(a, 5) + 0e0 AS axis_1, round(b, 5) + 0e0 AS axis_2, round(rotation, 4) + 0e0 AS rotation, round(greatest(a, b) / least(a, b), 5) + 0e0 AS aspect, round(mx, 5) + 0e0 AS centre_x, round(my, 5) + 0e0 AS centre_y FROM el")
 def ellipse_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.ellipses(touchpoints(spark, sf_dir), 48).select("f", "touch_id", "axis_1", "axis_2", "rotation", "aspect", "centre_x", "centre_y")
+    return _ellipses(spark, sf_dir).select("f", *(_r(c, 5) for c in ("axis_1", "axis_2")), _r("rotation", 4), *(_r(c, 5) for c in ("aspect", "centre_x", "centre_y")))
+
+
+_SEGMENTS = (("axis_1", "a * sin(rotation)", "a * cos(rotation)"), ("axis_2", "b * cos(rotation)", "-b * sin(rotation)"), ("cross_x", "1e0", "0e0"), ("cross_y", "0e0", "1e0"))
+
+
+@_query(f"WITH {_COV} " + " UNION ALL ".join(f"SELECT f, '{k}' AS kind, round(mx - ({dx}), 3) + 0e0 AS x1, round(my - ({dy}), 3) + 0e0 AS y1, round(mx + ({dx}), 3) + 0e0 AS x2, round(my + ({dy}), 3) + 0e0 AS y2 FROM el" for k, dx, dy in _SEGMENTS))
+def overlay_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.overlay(_ellipses(spark, sf_dir)).select("f", "kind", *(_r(c, 3) for c in ("x1", "y1", "x2", "y2")))
 
 
 @_query()
@@ -556,6 +802,42 @@ def bfgs_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.least_squares_fit(scaled, start)
 
 
+@_query()
+def bfgs_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two Gaussians a frame, fitted jointly."""
+    pixels = frames.quantity_pixels(spark, sf_dir)
+    scaled = pixels.join(pixels.groupBy("f").agg(F.max("v").alias("top")), "f").withColumn("v", F.col("v") / F.col("top"))
+    rows = F.array(*(F.struct(F.lit(k).alias("k"), *(F.lit(v).alias(n) for n, v in zip(("c", "mx", "my", "pxx", "pxy", "pyy"), (0.5, x, y, 0.02, 0.0, 0.02), strict=True))) for k, x, y in ((0, 20.0, 16.0), (1, 52.0, 32.0))))
+    return mixture.least_squares_fit(scaled, pixels.select("f").distinct().select("f", F.inline(rows)))
+
+
+@_query("WITH a AS (SELECT event_id, radians(CAST(event_id % 180 AS DOUBLE)) AS t, 1e0 + event_id % 3 AS h, 1e0 + event_id % 5 AS w FROM events) SELECT event_id, round(h * pow(cos(t), 2) + w * pow(sin(t), 2), 6) + 0e0 AS xx, round((h - w) * cos(t) * sin(t), 6) + 0e0 AS xy, round(h * pow(sin(t), 2) + w * pow(cos(t), 2), 6) + 0e0 AS yy FROM a")
+def covariance_from_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    xx, xy, yy = matrices.covariance(F.radians((F.col("event_id") % 180).cast("double")), 1.0 + F.col("event_id") % 3, 1.0 + F.col("event_id") % 5)
+    return events.select("event_id", *(_r(c).alias(n) for c, n in ((xx, "xx"), (xy, "xy"), (yy, "yy"))))
+
+
+@_query("SELECT event_id, 7 AS n, CAST(event_id AS DOUBLE) AS scale, CAST(event_id % 7 AS DOUBLE) AS mx, CAST(event_id % 11 AS DOUBLE) AS my, 2e0 AS pxx, CAST(event_id % 2 AS DOUBLE) AS pxy, 3e0 AS pyy FROM events")
+def packed_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    of = lambda n: (F.col("event_id") % n).cast("double")
+    d = events.select("event_id", matrices.packed(F.col("event_id").cast("double"), of(7), of(11), F.lit(2.0), of(2), F.lit(3.0)).alias("p"))
+    return d.select("event_id", F.size("p").alias("n"), matrices.unpacked(F.col("p")).alias("u")).select("event_id", "n", "u.*")
+
+
+@_query(
+    """WITH k AS (SELECT event_id, CAST(event_id % 3 AS DOUBLE) AS a, CAST(event_id % 7 - 3 AS DOUBLE) AS b, CAST(event_id % 5 - 3 AS DOUBLE) AS c FROM events),
+d AS (SELECT *, b * b - 4 * a * c AS disc FROM k), q AS (SELECT *, CASE WHEN a > 0 AND disc >= 0 THEN -(b + CASE WHEN b >= 0 THEN sqrt(disc) ELSE -sqrt(disc) END) / 2 END AS q FROM d)
+SELECT event_id, round(CASE WHEN a = 0 THEN CASE WHEN b <> 0 THEN -c / b END WHEN disc >= 0 THEN q / a END, 6) + 0e0 AS r1, round(CASE WHEN a = 0 THEN CASE WHEN b <> 0 THEN -c / b END WHEN disc >= 0 THEN CASE WHEN q <> 0 THEN c / q ELSE 0e0 END END, 6) + 0e0 AS r2 FROM q"""
+)
+def quadratic_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    a, b, c = ((F.col("event_id") % n - k).cast("double") for n, k in ((3, 0), (7, 3), (5, 3)))
+    r1, r2 = matrices.quadratic_roots(a, b, c)
+    return events.select("event_id", _r(r1).alias("r1"), _r(r2).alias("r2"))
+
+
 # ---- colours
 
 
@@ -585,17 +867,31 @@ def colour_cubehelix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rgb(_colours(spark, sf_dir), colour.cubehelix(F.col("u")))
 
 
-_STOPS = colour.RAMPS["viridis"]
+def _map(name: str) -> None:
+    rows = colour.POLYNOMIALS[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _rgb(_colours(spark, sf_dir), colour.polynomial(F.col("u"), rows))
+
+    def channel(k: int) -> str:
+        terms = " + ".join(f"{row[k]!r}e0 * pow(u, {n})" for n, row in enumerate(rows))
+        return f"round(least(greatest({terms}, 0e0), 1e0), 6) + 0e0 AS {'rgb'[k]}"
+
+    run.__name__ = f"colour_{name}"
+    _query(f"WITH {_U} SELECT f, x, y, {', '.join(map(channel, range(3)))} FROM u")(run)
 
 
-def _ramp_sql(k: int, name: str) -> str:
-    values = "[" + ", ".join(f"{row[k]}e0" for row in _STOPS) + "]"
-    return f"round({values}[CAST(floor(u * {len(_STOPS) - 1}) AS BIGINT) + 1] * (1 - (u * {len(_STOPS) - 1} - floor(u * {len(_STOPS) - 1}))) + {values}[CAST(ceil(u * {len(_STOPS) - 1}) AS BIGINT) + 1] * (u * {len(_STOPS) - 1} - floor(u * {len(_STOPS) - 1})), 6) + 0e0 AS {name}"
+for _name in colour.POLYNOMIALS:
+    _map(_name)
 
 
-@_query(f"WITH {_U} SELECT f, x, y, {', '.join(_ramp_sql(k, n) for k, n in enumerate('rgb'))} FROM u")
+@_query(f"WITH {_U} SELECT f, x, y, round(u * u, 6) + 0e0 AS r, round(least(2 * u, 1e0), 6) + 0e0 AS g, round(CASE WHEN u < 0.5e0 THEN 0e0 ELSE 2 * u - 1 END, 6) + 0e0 AS b, round(u + u * u, 6) + 0e0 AS light FROM (SELECT f, x, y, round(2 * u) / 2 AS u FROM u)")
 def colour_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rgb(_colours(spark, sf_dir), colour.table_map(F.col("u"), _STOPS))
+    """A table that is given, at its own places; and colours added and scaled."""
+    d = _colours(spark, sf_dir).withColumn("u", F.round(2 * F.col("u")) / 2)
+    r, g, b = colour.table_map(F.col("u"), [(0.0, 0.0, 0.0), (0.25, 1.0, 0.0), (1.0, 1.0, 1.0)])
+    light = colour.add(colour.scaled(colour.grayscale(F.col("u")), F.lit(1.0)), (r, r, r))[0]
+    return d.select(*_KEY, _r(r).alias("r"), _r(g).alias("g"), _r(b).alias("b"), _r(light).alias("light"))
 
 
 # ---- pen samples: events in order, pen down in clicks and purchases
@@ -655,6 +951,29 @@ def parse_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture.diagnostics(cut).groupBy("capture", "level", "kind").agg(F.count("*").alias("n"))
 
 
+def _pen_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    i = F.col("event_id")
+    samples = events.select(F.concat(F.lit("pen-"), i % 40).alias("capture"), F.expr("event_id div 400").alias("report"), F.expr("event_id div 40 % 10").alias("idx"), F.when(F.expr("event_id div 400") % 2 == 0, i % 40 + 7).alias("serial"), (i % 60_000).alias("timestamp"), (i % 4).alias("mode"), (i * 7 % 9_000).alias("x"), (i * 13 % 7_000).alias("y"), (i % 4_096).alias("pressure"), (i % 9_001).alias("altitude"), (i % 36_001).alias("azimuth"))
+    return capture.encode_samples(samples)
+
+
+_PEN = """p AS (SELECT 'pen-' || (event_id % 40) AS capture, event_id // 400 AS report, event_id // 40 % 10 AS idx, event_id AS i FROM events),
+n AS (SELECT *, rank() OVER (PARTITION BY capture, report ORDER BY idx) - 1 AS place, dense_rank() OVER (PARTITION BY capture ORDER BY report) - 1 AS number FROM p)"""
+
+
+@_query(f"WITH {_PEN} SELECT capture, CASE WHEN report % 2 = 0 THEN 'serial' ELSE 'plain' END AS kind, CASE WHEN report % 2 = 0 THEN i % 40 + 7 ELSE -1 END AS serial, CAST(place AS INTEGER) AS idx, CAST(i % 60000 AS INTEGER) AS timestamp, CAST(i % 4 AS INTEGER) AS mode, CAST(i * 7 % 9000 AS INTEGER) AS x, CAST(i * 13 % 7000 AS INTEGER) AS y, CAST(i % 4096 AS INTEGER) AS pressure, CAST(i % 9001 AS INTEGER) AS altitude, CAST(i % 36001 AS INTEGER) AS azimuth FROM n")
+def stylus_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pen samples of encoded captures, read back."""
+    d = capture.stylus(capture.reports(_pen_captures(spark, sf_dir)))
+    return d.select("capture", "kind", F.coalesce("serial", F.lit(-1)).alias("serial"), "idx", *capture.SAMPLE_FIELDS)
+
+
+@_query(f"WITH {_PEN} SELECT capture, CAST(number AS INTEGER) AS counter, any_value(i % 60000) FILTER (WHERE place = 0) AS timestamp FROM n GROUP BY capture, number")
+def report_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture.timestamps(capture.reports(_pen_captures(spark, sf_dir))).select("capture", "counter", "timestamp")
+
+
 # ---- metrics
 
 

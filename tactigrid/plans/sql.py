@@ -94,3 +94,48 @@ WHERE a.{column} {threshold} AND NOT EXISTS (
   SELECT 1 FROM {source} b WHERE b.f = a.f AND {near} AND (b.x <> a.x OR b.y <> a.y)
   AND (b.{column} > a.{column} OR (b.{column} = a.{column} AND {order}))
 )"""
+
+
+def shortest(name: str, cells: str, source: str, limit: float, connectivity: int = 4) -> str:
+    """Least path costs (f, x, y, d) from the cells that meet `source`, over cells with mask; cells: f, x, y, cost, mask and what `source` names. Needs WITH RECURSIVE."""
+    steps = [(-1, 0), (1, 0), (0, -1), (0, 1)] + ([(-1, -1), (-1, 1), (1, -1), (1, 1)] if connectivity == 8 else [])
+    listed = ", ".join(f"({dx}, {dy}, {0.1 * (2**0.5 if dx and dy else 1.0)!r}e0)" for dx, dy in steps)
+    return f"""{name}(f, x, y, d) USING KEY (f, x, y) AS (
+  SELECT f, x, y, 0e0 AS d FROM {cells} WHERE {source}
+  UNION
+  SELECT n.f, n.x, n.y, n.d FROM (
+    SELECT b.f, b.x, b.y, min(r.d + a.cost + k.length) AS d FROM {name} r JOIN {cells} a ON a.f = r.f AND a.x = r.x AND a.y = r.y, (VALUES {listed}) k(dx, dy, length), {cells} b
+    WHERE b.f = r.f AND b.x = r.x + k.dx AND b.y = r.y + k.dy AND b.mask AND NOT ({source.replace("label", "b.label").replace("inc", "b.inc")}) GROUP BY b.f, b.x, b.y
+  ) n LEFT JOIN recurring.{name} o ON o.f = n.f AND o.x = n.x AND o.y = n.y WHERE n.d < {limit!r}e0 AND (o.d IS NULL OR n.d < o.d)
+)"""
+
+
+def solve(name: str, source: str, basis: list[tuple[int, int, int]], keys: str, carry: str) -> str:
+    """Table expressions ending in `name` (keys, carried columns, q0..q5): symmetric systems of the moments m_ij and r_ij, scaled to a unit diagonal and eliminated in order."""
+    n = len(basis)
+    a = {(p, q): f"{basis[p][2] * basis[q][2]} * m{basis[p][0] + basis[q][0]}{basis[p][1] + basis[q][1]}" for p in range(n) for q in range(p, n)}
+    sizes = ", ".join(f"sqrt(greatest({a[p, p]}, 0e0)) AS z{p}" for p in range(n))
+    steps = [f"{name}_z AS (SELECT *, {sizes} FROM {source})"]
+    unit = ", ".join([*(f"{a[p, q]} / z{p} / z{q} AS a{p}{q}" for p, q in a), *(f"{basis[p][2]} * r{basis[p][0]}{basis[p][1]} / z{p} AS b{p}" for p in range(n))])
+    positive = " AND ".join(f"z{p} > 0" for p in range(n))
+    kept = f"{keys}, {carry}" if carry else keys
+    zs = ", ".join(f"z{p}" for p in range(n))
+    steps.append(f"{name}_0 AS (SELECT {kept}, {zs}, {unit} FROM {name}_z WHERE {positive})")
+    for k in range(n - 1):
+        done = [f"a{p}{q}" for p in range(k + 1) for q in range(p, n)] + [f"b{p}" for p in range(k + 1)]
+        new = [f"a{p}{q} - a{k}{p} * a{k}{q} / a{k}{k} AS a{p}{q}" for p in range(k + 1, n) for q in range(p, n)] + [f"b{p} - a{k}{p} * b{k} / a{k}{k} AS b{p}" for p in range(k + 1, n)]
+        steps.append(f"{name}_{k + 1} AS (SELECT {kept}, {zs}, {', '.join(done + new)} FROM {name}_{k})")
+    at = f"{name}_{n - 1}"
+    for k in range(n - 1, -1, -1):
+        rest = "".join(f" - a{k}{q} * y{q}" for q in range(k + 1, n))
+        steps.append(f"{name}_y{k} AS (SELECT *, (b{k}{rest}) / a{k}{k} AS y{k} FROM {at})")
+        at = f"{name}_y{k}"
+    steps.append(f"{name} AS (SELECT {kept}, {', '.join(f'y{p} / z{p} AS q{p}' for p in range(n))} FROM {at})")
+    return ", ".join(steps)
+
+
+def gaussian(name: str, source: str, keep: str, cx: str, cy: str, unit: float) -> str:
+    """From q0..q5 in units from (cx, cy): scale, mx, my, pxx, pxy, pyy in pixels; singular precisions are left out."""
+    return f"""{name}_p AS (SELECT *, -2 * q0 AS uxx, -2 * q1 AS uxy, -2 * q2 AS uyy FROM {source}),
+{name}_m AS (SELECT *, (uyy * q3 - uxy * q4) / (uxx * uyy - uxy * uxy) AS ux, (uxx * q4 - uxy * q3) / (uxx * uyy - uxy * uxy) AS uy FROM {name}_p WHERE abs(uxx * uyy - uxy * uxy) > 1e-40),
+{name} AS (SELECT {keep}, q5 + (uxx * ux * ux + 2 * uxy * ux * uy + uyy * uy * uy) / 2 AS log_scale, {cx} + {unit!r}e0 * ux AS mx, {cy} + {unit!r}e0 * uy AS my, uxx / {unit**2!r}e0 AS pxx, uxy / {unit**2!r}e0 AS pxy, uyy / {unit**2!r}e0 AS pyy FROM {name}_m WHERE isfinite(ux) AND isfinite(uy))"""

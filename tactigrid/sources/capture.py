@@ -22,6 +22,7 @@ DATA_PAYLOAD = 0x00
 REPORT_FRAMES = (0x06, 0x07, 0x08)
 TIMESTAMP, DIMENSIONS, HEATMAP, STYLUS_SERIAL, STYLUS = 0x400, 0x403, 0x425, 0x460, 0x461
 SAMPLE_BYTES = 16
+SAMPLE_FIELDS = ("timestamp", "mode", "x", "y", "pressure", "altitude", "azimuth")
 #: Reports that are known to exist and kept raw.
 RAW_REPORTS = (0x033, 0x402, 0x404, 0x406, 0x407, 0x432, 0x4FF, 0x800, 0x803, 0x804, 0x806, 0x807, 0x812, 0x8FF)
 LEVELS = {"DBG": 0, "INFO": 1, "WARN": 2, "ERR": 3}
@@ -37,9 +38,12 @@ class TruncatedCapture(ValueError):
 def walk(content: bytes, oneshot: bool = False, strict: bool = False) -> Iterator[tuple]:
     """("report", pos, buffer, counter, frame index, frame type, report type, payload) and ("note", pos, level, kind, type, message)."""
 
-    def records(header: struct.Struct, start: int, end: int, kind: str, size_field: int) -> Iterator[tuple]:
-        pos = start
+    def records(header: struct.Struct, start: int, end: int, kind: str, size_field: int, most: int | None = None) -> Iterator[tuple]:
+        pos, read = start, 0
         while pos + header.size <= end:
+            if read == most:
+                return
+            read += 1
             fields = header.unpack_from(content, pos)
             stop = pos + header.size + fields[size_field]
             if stop > end:
@@ -49,7 +53,7 @@ def walk(content: bytes, oneshot: bool = False, strict: bool = False) -> Iterato
                 return
             yield pos, fields, pos + header.size, stop
             pos = stop
-        if pos < end:
+        if pos < end and read != most:
             yield pos, None, f"{end - pos} bytes after the last {kind} record", end
 
     for pos, data, body, stop in records(DATA, 0, len(content), "data", 1):
@@ -63,11 +67,15 @@ def walk(content: bytes, oneshot: bool = False, strict: bool = False) -> Iterato
                 raise TruncatedCapture(f"payload at {body}")
             yield "note", body, LEVELS["ERR"], "payload", None, "payload header is cut"
         else:
-            counter, _ = PAYLOAD.unpack_from(content, body)
-            for fpos, frame, fbody, fstop in records(FRAME, body + PAYLOAD.size, stop, "frame", 2):
+            counter, promised = PAYLOAD.unpack_from(content, body)
+            found, read_to = 0, body + PAYLOAD.size
+            for fpos, frame, fbody, fstop in records(FRAME, read_to, stop, "frame", 2, promised):
                 if frame is None:
                     yield "note", fpos, LEVELS["ERR"], "frame", None, fbody
-                elif frame[1] not in REPORT_FRAMES:
+                    read_to = stop
+                    continue
+                found, read_to = found + 1, fstop
+                if frame[1] not in REPORT_FRAMES:
                     yield "note", fpos, LEVELS["WARN"], "frame", frame[1], "unknown type"
                 else:
                     for rpos, report, rbody, rstop in records(REPORT, fbody, fstop, "report", 1):
@@ -77,6 +85,12 @@ def walk(content: bytes, oneshot: bool = False, strict: bool = False) -> Iterato
                         if report[0] not in _KNOWN:
                             yield "note", rpos, LEVELS["WARN"], "report", report[0], "unknown type"
                         yield "report", rpos, data[2], counter, frame[0], frame[1], report[0], content[rbody:rstop]
+            if found < promised:
+                if strict:
+                    raise TruncatedCapture(f"payload at {body} has {found} of {promised} frames")
+                yield "note", body, LEVELS["ERR"], "payload", None, f"{promised - found} of {promised} frames are missing"
+            elif read_to < stop:
+                yield "note", read_to, LEVELS["WARN"], "payload", None, f"{stop - read_to} bytes after the last of {promised} frames"
         if oneshot:
             return
 
@@ -130,15 +144,22 @@ def u32(payload: Column, at: int | Column) -> Column:
 
 
 def timestamps(found: DataFrame) -> DataFrame:
+    """Both kinds of timestamp report: the current one and the one of the raw reports."""
     p = F.col("payload")
-    return found.where(F.col("report_type") == TIMESTAMP).select("capture", "pos", u16(p, 2).alias("counter"), u32(p, 4).alias("timestamp"))
+    return found.where(F.col("report_type").isin(TIMESTAMP, 0x800)).select("capture", "pos", u16(p, 2).alias("counter"), u32(p, 4).alias("timestamp"))
 
 
 _DIM_FIELDS = ("height", "width", "y_min", "y_max", "x_min", "x_max", "z_min", "z_max")
 
 
 def dimensions(found: DataFrame) -> DataFrame:
-    return found.where(F.col("report_type") == DIMENSIONS).select("capture", "pos", *(byte(F.col("payload"), i).alias(n) for i, n in enumerate(_DIM_FIELDS)))
+    """Of dimension reports, and of their raw form."""
+    return found.where(F.col("report_type").isin(DIMENSIONS, 0x803)).select("capture", "pos", *(byte(F.col("payload"), i).alias(n) for i, n in enumerate(_DIM_FIELDS)))
+
+
+def counters(found: DataFrame) -> DataFrame:
+    """The counter that reports of type 0x4ff hold."""
+    return found.where(F.col("report_type") == 0x4FF).select("capture", "pos", u32(F.col("payload"), 0).alias("counter"))
 
 
 def heatmaps(found: DataFrame) -> DataFrame:
@@ -163,8 +184,7 @@ def stylus(found: DataFrame) -> DataFrame:
     whole = F.least(F.col("elements"), F.expr(f"(length(payload) - head) div {SAMPLE_BYTES}").cast("int"))
     d = d.withColumn("n", whole).where("n > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("idx"))
     at = F.col("head") + F.col("idx") * SAMPLE_BYTES
-    fields = ("timestamp", "mode", "x", "y", "pressure", "altitude", "azimuth")
-    return d.select("capture", "pos", "kind", "serial", "elements", "idx", *(u16(F.col("payload"), at + 2 * i).alias(n) for i, n in enumerate(fields)))
+    return d.select("capture", "pos", "kind", "serial", "elements", "idx", *(u16(F.col("payload"), at + 2 * i).alias(n) for i, n in enumerate(SAMPLE_FIELDS)))
 
 
 def _encode(group: pd.DataFrame) -> pd.DataFrame:
@@ -190,3 +210,28 @@ def encode_frames(frames: DataFrame, per_capture: int = 64) -> DataFrame:
     ship_package(frames.sparkSession)
     keyed = frames.select("f", "w", "h", "px", F.expr(f"f div {per_capture}").alias("part"))
     return keyed.groupBy("part").applyInPandas(_encode, "path string, content binary")
+
+
+def _encode_samples(group: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    for number, (_, rows) in enumerate(group.sort_values(["report", "idx"]).groupby("report", sort=True)):
+        samples = b"".join(struct.pack("<7H2x", *(int(v) & 0xFFFF for v in r)) for r in rows[list(SAMPLE_FIELDS)].itertuples(index=False))
+        serial = rows["serial"].iloc[0]
+        if pd.isna(serial):
+            kind, body = STYLUS, struct.pack("<B3x", len(rows)) + samples
+        else:
+            kind, body = STYLUS_SERIAL, struct.pack("<B3xI", len(rows), int(serial)) + samples
+        time = REPORT.pack(TIMESTAMP, 8) + struct.pack("<2xHI", number & 0xFFFF, int(rows["timestamp"].iloc[0]))
+        frame = time + REPORT.pack(kind, len(body)) + body
+        frame = FRAME.pack(number & 0xFFFF, REPORT_FRAMES[2], len(frame)) + frame
+        out.append(DATA.pack(DATA_PAYLOAD, PAYLOAD.size + len(frame), 0) + PAYLOAD.pack(number, 1) + frame)
+    return pd.DataFrame({"path": [str(group["capture"].iloc[0])], "content": [b"".join(out)]})
+
+
+def encode_samples(samples: DataFrame) -> DataFrame:
+    """Pen samples (capture, report, idx, serial, timestamp, mode, x, y, pressure, altitude, azimuth; at most 255 a report) to captures.
+
+    Reports with a serial number are written in the form that has one. Every frame begins with a timestamp report.
+    """
+    ship_package(samples.sparkSession)
+    return samples.select("capture", "report", "idx", "serial", *SAMPLE_FIELDS).groupBy("capture").applyInPandas(_encode_samples, "path string, content binary")

@@ -17,6 +17,12 @@ def to_dense(long: DataFrame, value: str = "v") -> DataFrame:
     return long.groupBy("f", "w", "h").agg(F.transform(cells, lambda z: z["v"]).alias("px"))
 
 
+def to_dense_columns(long: DataFrame, columns: list[str]) -> DataFrame:
+    """Several measures of the pixels to row-major arrays of the same names: f, w, h, arrays."""
+    cells = F.array_sort(F.collect_list(F.struct((F.col("y") * F.col("w") + F.col("x")).alias("i"), *columns)))
+    return long.groupBy("f", "w", "h").agg(cells.alias("cells_")).select("f", "w", "h", *(F.col(f"cells_.{c}").alias(c) for c in columns))
+
+
 def together(long: DataFrame) -> DataFrame:
     """One exchange by frame; every operator of the engine keeps it.
 

@@ -184,6 +184,72 @@ def test_moments_mixture_and_bfgs(spark):
     assert math.isclose((moved["loss"] - at["loss"]) / step, at["d_mx"], rel_tol=1e-2)
 
 
+def test_windows_that_follow_the_means_recover_overlapping_contacts(spark):
+    """The golden case of two overlapping contacts: means (11.9, 10.6) and (15.1, 10.6), axes 1 and 2, turned by -35 and 35 degrees."""
+
+    def turned(degrees):
+        c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+        along, across = np.array([c, s]), np.array([-s, c])
+        return np.outer(along, along) * 2 + np.outer(across, across)
+
+    apart = bump((15.3, 10.6), turned(35)) + bump((35.8, 15.1), 0.3 * turned(-15))
+    near = bump((11.9, 10.6), turned(-35)) + bump((15.1, 10.6), turned(35))
+    long = pixels(spark, apart, near)
+    rows = [(0, 0, 15.0, 11.0), (0, 1, 36.0, 15.0), (1, 0, 12.0, 11.0), (1, 1, 15.0, 11.0)]
+    start = spark.createDataFrame([(f, c, 72, 48, 1.0, x, y, 1.0, 0.0, 1.0) for f, c, x, y in rows], "f long, c long, w int, h int, scale double, mx double, my double, pxx double, pxy double, pyy double")
+    got = {(r["f"], r["c"]): r for r in fit.fit_multi(start, long, rounds=6, delta=3).collect()}
+    for f, c, mean, cov, close in ((0, 0, (15.3, 10.6), turned(35), 0.02), (0, 1, (35.8, 15.1), 0.3 * turned(-15), 0.02), (1, 0, (11.9, 10.6), turned(-35), 0.3), (1, 1, (15.1, 10.6), turned(35), 0.3)):
+        r = got[(f, c)]
+        assert np.allclose((r["mx"], r["my"]), mean, atol=close)
+        assert f or np.allclose(np.linalg.inv([[r["pxx"], r["pxy"]], [r["pxy"], r["pyy"]]]), cov, atol=0.05)
+    flat = spark.createDataFrame([(0, 0, 72, 48, 1.0, 60.0, 40.0, 1.0, 0.0, 1.0), (0, 1, 72, 48, 1.0, -9.0, -9.0, 1.0, 0.0, 1.0)], start.schema)
+    assert fit.fit_multi(flat, pixels(spark, np.zeros((48, 72))), rounds=1).count() == 0  # singular, and no cell
+
+
+def test_two_gaussians_by_bfgs(spark):
+    a = bump((20.0, 20.0), np.eye(2) * 2, 0.8) + bump((25.0, 21.0), np.eye(2) * 3, 0.5)
+    start = spark.createDataFrame([(0, 0, 0.7, 19.5, 20.5, 0.4, 0.0, 0.4), (0, 1, 0.6, 25.5, 20.5, 0.4, 0.0, 0.4)], "f long, k int, c double, mx double, my double, pxx double, pxy double, pyy double")
+    for delta in (None, 6):
+        got = {r["k"]: r for r in mixture.least_squares_fit(pixels(spark, a), start, delta).collect()}
+        assert np.allclose([[got[k][n] for n in ("c", "mx", "my", "pxx", "pyy")] for k in (0, 1)], [(0.8, 20, 20, 0.5, 0.5), (0.5, 25, 21, 1 / 3, 1 / 3)], atol=1e-3) and got[0]["loss"] < 1e-8
+
+
+def test_mixture_rounds_come_near_the_real_parameters(spark):
+    two = pixels(spark, bump((20.0, 20.0), np.eye(2)) + bump((50.0, 30.0), np.eye(2)))
+    columns = "f long, k int, mx double, my double, cxx double, cxy double, cyy double"
+    start = spark.createDataFrame([(0, k, x, y, 40.0, 0.0, 40.0) for k, x, y in ((0, 15.0, 15.0), (1, 55.0, 35.0))], columns)
+    real = spark.createDataFrame([(0, 0, 20.0, 20.0, 1.0, 0.0, 1.0), (0, 1, 50.0, 30.0, 1.0, 0.0, 1.0)], columns)
+    errors = {(r["round"], r["k"]): (r["mean_error"], r["cov_error"]) for r in mixture.mixture_rounds(two, start, 4, real=real)[1].collect()}
+    assert len(errors) == 8 and all(max(errors[(4, k)]) < 0.01 for k in (0, 1))
+
+
+def test_eight_neighbours_and_the_step_over_a_row(spark):
+    cost, source = RNG.random((6, 8)) * 0.5, RNG.random((6, 8)) > 0.9
+    source[0, 0] = True
+    mask = RNG.random((6, 8)) > 0.3
+    d = dense.distances(source[None], mask[None], cost[None], 1.5, connectivity=8)[0]
+    rows = [(0, x, y, bool(source[y, x]), bool(mask[y, x]), float(cost[y, x])) for y in range(6) for x in range(8)]
+    got = {(r["x"], r["y"]): r["distance"] for r in distance.distance_relational(spark.createDataFrame(rows, "f long, x int, y int, source boolean, mask boolean, cost double"), 1.5, connectivity=8).collect()}
+    assert got.keys() == {(x, y) for y, x in np.argwhere(np.isfinite(d))} and all(math.isclose(v, d[y, x], abs_tol=1e-12) for (x, y), v in got.items())
+    column = np.array([[1], [1], [1], [0], [1]], bool)
+    assert dense.labels(column[None], 4)[0].ravel().tolist() == [1, 1, 1, 0, 2]
+    assert dense.labels(column[None], 4, down=2)[0].ravel().tolist() == [1, 1, 1, 0, 1]
+
+
+def test_confidence_is_the_score_under_the_mean(spark):
+    points = spark.createDataFrame([(0, 3, 2, 1.9, 0.2), (0, 3, 2, -5.0, 9.0)], "f long, w int, h int, mx double, my double")
+    scored = spark.createDataFrame([(0, x, y, x + 10.0 * y) for x in range(3) for y in range(2)], "f long, x int, y int, score double")
+    assert sorted(r["confidence"] for r in fit.with_confidence(points, scored).collect()) == [1.0, 10.0]
+
+
+def test_diverging_fits_are_given_up_without_a_warning(recwarn):
+    y, x = np.mgrid[:48, :72]
+    for data in (np.abs(np.random.default_rng(1).normal(size=(48, 72))), np.exp(((x - 30.0) ** 2 + (y - 20.0) ** 2) / 300), np.zeros((48, 72))):
+        found = dense.fit_gaussians(data, [(30, 20), (31, 22), (0, 0), (71, 47)], rounds=8)
+        assert len(found) == 4 and all(f is None or (np.isfinite(f[0]) and np.isfinite(f[1]).all()) for f in found)
+    assert found == [None] * 4 and not [w for w in recwarn if w.category is RuntimeWarning]
+
+
 def test_strokes_split_on_lifts_and_keep_an_open_end(spark):
     rows = [("a", "plain", i, m, i, 2 * i) for i, m in enumerate((3, 3, 1, 0, 7, 3, 2, 3))] + [("b", "plain", 0, 0, 0, 0)]
     got = strokes.strokes(spark.createDataFrame(rows, "capture string, kind string, pos long, mode int, x int, y int")).orderBy("pos").collect()
@@ -214,6 +280,35 @@ def test_capture_dimensions_carry_forward_and_change_midway(spark):
     assert len(list(capture.walk(content, oneshot=True))) == 3
 
 
+def test_payloads_hold_as_many_frames_as_they_say(spark):
+    body = record(capture.HEATMAP, b"x")
+    frame = capture.FRAME.pack(5, 0x07, len(body)) + body
+
+    def payload(frames, promised, rest=b""):
+        inside = capture.PAYLOAD.pack(77, promised) + frame * frames + rest
+        return capture.DATA.pack(0, len(inside), 9) + inside
+
+    walked = lambda content: [(r[0], *r[2:4]) if r[0] == "note" else r[0] for r in capture.walk(content)]
+    assert walked(payload(2, 2)) == ["report", "report"]
+    assert walked(payload(2, 1)) == ["report", ("note", 2, "payload")]  # what is left is logged, not read
+    assert walked(payload(1, 1, b"zzz") + payload(1, 1)) == ["report", ("note", 2, "payload"), "report"]
+    assert walked(payload(1, 3)) == ["report", ("note", 3, "payload")]
+    assert walked(payload(0, 0)) == []
+    assert len(list(capture.walk(payload(2, 1), strict=True))) == 2
+    with pytest.raises(capture.TruncatedCapture, match="1 of 3 frames"):
+        list(capture.walk(payload(1, 3), strict=True))
+    one = spark.createDataFrame([("c", bytearray(payload(2, 1)))], "path string, content binary")
+    assert capture.reports(one).count() == 1 and capture.diagnostics(one).first()["message"].endswith("after the last of 1 frames")
+
+
+def test_raw_reports_have_typed_views(spark):
+    content = device_buffer(record(0x4FF, (70_000).to_bytes(4, "little")), record(0x800, b"\0\0" + (5).to_bytes(2, "little") + (9).to_bytes(4, "little")), record(0x803, bytes(range(8))))
+    found = capture.reports(spark.createDataFrame([("c", bytearray(content))], "path string, content binary"))
+    assert capture.counters(found).first()["counter"] == 70_000
+    assert tuple(capture.timestamps(found).select("counter", "timestamp").first()) == (5, 9)
+    assert tuple(capture.dimensions(found).first())[2:] == tuple(range(8))
+
+
 def test_stylus_samples(spark):
     sample = lambda *v: b"".join(x.to_bytes(2, "little") for x in v) + b"\0\0"
     body = sample(1, 3, 40000, 7, 8, 9, 10) + sample(2, 1, 5, 6, 7, 8, 9)
@@ -236,7 +331,9 @@ def test_colours(spark):
     assert np.allclose(got[0], 0) and np.allclose(got[2], 1)
     table = colour.table_map(F.col("u"), [(0, 0, 0), (1, 0.5, 0)])
     assert d.select(table[0].alias("r"), table[1].alias("g")).collect()[1] == (0.5, 0.25)
-    assert len(colour.ramp(colour.RAMPS["viridis"])) == 256
+    r, g, b = colour.polynomial(F.col("u"), colour.POLYNOMIALS["viridis"])  # ends and middle of the published table
+    for got, want in zip(d.select(r, g, b).collect(), ((0.267, 0.005, 0.329), (0.128, 0.567, 0.551), (0.993, 0.906, 0.144)), strict=True):
+        assert np.allclose(got, want, atol=0.02)
 
 
 def test_relational_forms_raise_when_rounds_do_not_suffice(spark):
