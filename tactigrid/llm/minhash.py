@@ -9,12 +9,10 @@
    pairs far below the threshold are dropped, the others are confirmed on full shingle sets.
 4. Confirmed links are contracted to components. The next rounds choose other leaders and look only at buckets that
    still hold several components.
-5. What is left are documents that share buckets and aren't linked yet, such as texts over one template. Their exact
-   links are found without a pair per bucket: a link of similarity t needs a common shingle among the
-   len - ceil(t * len) + 1 rarest of both sets, so only these are joined, and the pairs of different components that they
-   give are estimated and confirmed. Rarity is read from a table of 2^18 counts over all shingles of these documents;
-   any order is right, a good one makes few pairs. So no link that could change a component is left out, groups of
-   copies never become all pairs, and neither do the texts of a template.
+5. The last round takes every remaining pair of different components that share a bucket, once, in the first bucket that
+   they share; their signatures are compared in the join, which gives only the near ones. So no link that could change a
+   component is left out, and groups of copies never become all pairs. Texts over one template that share buckets and
+   aren't linked are compared pair by pair in this round (signatures only).
 
 Chances to miss, at similarity 0.85 exactly: 1 - (1 - 0.85^6)^24 leaves 1.2e-5 of pairs without a shared band; the
 estimate has a standard error of 0.024 there and its cut lies 5 of them below, which leaves 2.2e-7.
@@ -54,12 +52,10 @@ class MinHashParams:
     signature: int = 240
     #: Pairs with a lower estimate aren't confirmed.
     least_estimate: float = 0.72
-    #: Rounds with leaders, before the round that joins rare shingles.
+    #: Rounds with leaders, before the round that takes all remaining pairs.
     leader_rounds: int = 3
     #: Parts of a bucket.
     parts: int = 16
-    #: Counts that tell rare shingles.
-    counters: int = 1 << 18
     seed: int = 5
 
     @property
@@ -181,49 +177,6 @@ def confirmed(pairs: DataFrame, texts: DataFrame, params: MinHashParams) -> Data
     return pairs.join(right, "b").join(left, "a").select("a", "b", "a_text", "b_text").mapInArrow(check, "a long, b long").distinct()
 
 
-def rare_shingles(texts: DataFrame, params: MinHashParams) -> DataFrame:
-    """From id, root, text: (shingle, id, root, size) of each document's rarest shingles, as many as a link needs one of."""
-    python_ready(texts.sparkSession)
-    shift = np.uint64(64 - (params.counters - 1).bit_length())
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), np.zeros(params.counters, np.int64)
-        for batch in batches:
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                seen += np.bincount((shingle_set(text, hashes, params.width) >> shift).astype(np.int64), minlength=params.counters)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["at", "n"])
-
-    found = texts.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most `counters` rows
-    counts = np.zeros(params.counters, np.int64)
-    counts[found.column("at").to_numpy()] = found.column("n").to_numpy()
-
-    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            shingles, lengths, sizes = [], [], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                own = shingle_set(text, hashes, params.width)
-                wanted = len(own) - -(-params.percent * len(own) // 100) + 1
-                shingles.append(own[np.lexsort((own, counts[(own >> shift).astype(np.int64)]))[:wanted]])
-                lengths.append(wanted)
-                sizes.append(len(own))
-            at = pa.array(np.repeat(np.arange(len(lengths)), lengths))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles).view(np.int64)), batch.column("id").take(at), batch.column("root").take(at), pa.array(sizes, pa.int64()).take(at)], names=["shingle", "id", "root", "size"])
-
-    return texts.select("id", "root", "text").mapInArrow(rarest, "shingle long, id long, root long, size long")
-
-
-def _rare_pairs(texts: DataFrame, params: MinHashParams) -> DataFrame:
-    """Pairs (a, b) of different roots that have a rare shingle in common and sizes near enough."""
-    rare = checkpointed(rare_shingles(texts, params))
-    several = rare.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
-    rare = rare.join(several, "shingle")
-    a, b = (rare.select("shingle", F.col("id").alias(k), F.col("root").alias(f"{k}_root"), F.col("size").alias(f"{k}_size")) for k in "ab")
-    near = 100 * F.least("a_size", "b_size") >= params.percent * F.greatest("a_size", "b_size")
-    return a.join(b, "shingle").where((F.col("a_root") < F.col("b_root")) & near).select("a", "b").distinct()
-
-
 def _led(rows: DataFrame, rank: Column) -> DataFrame:
     """From (bucket, part, id, root): pairs (a, b) of each part's leader with the part's others, and of each bucket's with its parts'."""
     first = F.min_by(F.struct("id", "root"), F.struct(rank, F.col("id")))
@@ -235,8 +188,8 @@ def _led(rows: DataFrame, rank: Column) -> DataFrame:
 
 
 def _shared(sharing: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, part, id, root): rows of buckets that hold several components."""
-    rooted = sharing.join(roots, F.col("id") == F.col("node"), "left").select("bucket", "part", "id", F.coalesce("root", "id").alias("root"))
+    """(bucket, part, band, id, root): rows of buckets that hold several components."""
+    rooted = sharing.join(roots, F.col("id") == F.col("node"), "left").select("bucket", "part", "band", "id", F.coalesce("root", "id").alias("root"))
     parts = rooted.groupBy("bucket", "part").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     several = parts.groupBy("bucket").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("bucket")
     return rooted.join(parts.select("bucket", "part").join(several, "bucket"), ["bucket", "part"])
@@ -257,7 +210,7 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     signed = checkpointed(signed.drop("set_digest"))
 
     part = F.pmod(F.xxhash64(F.col("id"), F.lit(params.seed)), F.lit(params.parts)).cast("int")
-    in_buckets = signed.select("id", F.explode(F.array_distinct("bands")).alias("bucket")).withColumn("part", part).dropDuplicates(["id", "bucket"])
+    in_buckets = signed.select("id", F.posexplode("bands").alias("band", "bucket")).withColumn("part", part).dropDuplicates(["id", "bucket"])
     parts = in_buckets.groupBy("bucket", "part").agg(F.count("*").alias("n"))
     crowded = parts.groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").select("bucket")
     sharing = checkpointed(in_buckets.join(parts.select("bucket", "part").join(crowded, "bucket"), ["bucket", "part"]))
@@ -276,8 +229,12 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
             if turn < params.leader_rounds:
                 pairs = _led(shared, F.xxhash64(F.col("id"), F.col("bucket"), F.lit(turn)))
             else:
-                pairs = _rare_pairs(texts.join(shared.select("id", "root").distinct(), "id"), params)
-        pairs = pairs.join(right, "b").join(left, "a").where(near).select("a", "b")
+                one = shared.join(signed.select("id", "bands", *signature), "id")
+                a, b = (one.select("bucket", "band", F.col("id").alias(k), F.col("root").alias(f"{k}_root"), F.col("bands").alias(f"{k}_bands"), *(F.col(s).alias(f"{k}_{s}") for s in signature)) for k in "ab")
+                earlier = F.exists(F.arrays_zip(F.slice("a_bands", 1, a["band"]), F.slice("b_bands", 1, a["band"])), lambda x: x["0"] == x["1"])
+                pairs = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("a_root") < F.col("b_root")) & near & ~earlier).select("a", "b").distinct()
+        if turn < params.leader_rounds:
+            pairs = pairs.join(right, "b").join(left, "a").where(near).select("a", "b")
         links = checkpointed(confirmed(pairs, texts, params))
         if roots is not None:
             old = roots.select("node", "root")

@@ -115,16 +115,6 @@ def test_links_inside_a_template_are_found_without_leaders(spark):
         assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
-def test_rare_shingles_keep_every_link_and_make_few_pairs(spark):
-    rng, rows = np.random.default_rng(7), []
-    template = words(rng, 150)
-    for i in range(60):
-        rows.append((i, i, " ".join(template + [f"d{i // 2}w{k}" for k in range(60)] + [f"x{i}"])))
-    df = spark.createDataFrame(rows, "id long, root long, text string")
-    got = {tuple(r) for r in minhash._rare_pairs(df, minhash.MinHashParams()).collect()}
-    assert got >= {(i, i + 1) for i in range(0, 60, 2)} and len(got) < 60
-
-
 def test_graph_components(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "p long, q long"), "p", "q").collect()}
