@@ -28,3 +28,36 @@ def test_run_names_every_document_that_is_left(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and got.count() > 50
     assert minhash.MinHashParams().percent == 85
+
+
+def written(spark, folder, rows, columns):
+    docs = spark.createDataFrame(rows, columns)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return docs
+
+
+def test_nulls_ties_repeats_and_clashing_names_through_all_stages(spark, tmp_path):
+    good = [" ".join(f"the w{k}x{i} of t{i}y{k} and" for k in range(30)) + "." for i in range(12)]
+    rows = [(i, t, "en", f"s{i % 3}", len(t), "kept", i) for i, t in enumerate(good)]
+    rows += [(100, good[0], "en", "s0", 1, "a", 1), (3, good[3], "en", "s0", 1, "a", 1), (None, good[4] + " more", None, None, 1, None, None), (101, None, None, None, None, None, None), (102, "", "en", "s1", 0, "", 0), (103, "short text", "en", "s1", 10, "", 0), (104, (good[5] + " ") * 3_000, "en", "s2", 1, "", 0)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, kept string, `root.x` int"
+    written(spark, str(tmp_path), rows, columns)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        after = stage(spark, docs, str(tmp_path))
+        assert after.columns == docs.columns, name
+        docs = after.cache()
+        ids = sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in docs.collect())
+        if name == "quality_rules":
+            assert ids == [-1, *range(4), 3, *range(4, 12), 100]
+        if name == "near_dedup":
+            assert ids == [-1, *range(4), 3, *range(4, 12)]
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in got} == {r["doc_id"] for r in docs.collect()}
+    assert all(r["offset"] + r["length"] <= 4096 for r in got)
+
+
+def test_empty_tables_give_no_rows(spark, tmp_path):
+    written(spark, str(tmp_path), [], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
