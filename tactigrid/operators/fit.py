@@ -70,7 +70,7 @@ def _power(i: int, j: int) -> Column:
     return out
 
 
-def normal_equations(shared: DataFrame, weighted: bool = True, least: float | None = None) -> DataFrame:
+def normal_equations(shared: DataFrame, weighted: bool = True, least: float | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per candidate: moments m_ij = sum d^2 x^i y^j and r_ij = sum d^2 ln(d + eps) x^i y^j, d = v * share.
 
     Not weighted: with 1 instead of d^2. least: cells with a smaller d are left out, and ln d needs no eps.
@@ -81,12 +81,16 @@ def normal_equations(shared: DataFrame, weighted: bool = True, least: float | No
     d = d.withColumn("dd", F.col("d") * F.col("d") if weighted else F.lit(1.0))
     d = d.withColumn("dl", F.col("dd") * F.log(F.col("d") + (LOG_EPS if least is None else 0.0)))
     aggs = [F.sum(F.col("dd") * _power(i, j)).alias(f"m{i}{j}") for i, j in MOMENTS]
-    return d.groupBy("f", "c").agg(*aggs, *(F.sum(F.col("dl") * _power(i, j)).alias(f"r{i}{j}") for i, j in RIGHTS))
+    return d.groupBy("f", "c").agg(*(F.first(k).alias(k) for k in keep), *aggs, *(F.sum(F.col("dl") * _power(i, j)).alias(f"r{i}{j}") for i, j in RIGHTS))
 
 
-def parameters(equations: DataFrame) -> DataFrame:
-    """f, c, scale, mx, my, pxx, pxy, pyy (in the equations' coordinates) from the symmetric 6x6 systems, solved in batches; candidates with a singular system or precision are dropped."""
+def parameters(equations: DataFrame, unit: float | None = None) -> DataFrame:
+    """f, c, scale, mx, my, pxx, pxy, pyy from the symmetric 6x6 systems, solved in batches; candidates with a singular system or precision are dropped.
+
+    In the equations' coordinates, or, if these are in a unit from the centre that the columns cx and cy name, in pixels.
+    """
     ship_package(equations.sparkSession)
+    centre = ["cx", "cy"] if unit else []
     moments, rights = [f"m{i}{j}" for i, j in MOMENTS], [f"r{i}{j}" for i, j in RIGHTS]
     names = ["scale", "mx", "my", "pxx", "pxy", "pyy"]
 
@@ -103,15 +107,13 @@ def parameters(equations: DataFrame) -> DataFrame:
                 mx, my = (pyy * q[3] - pxy * q[4]) / det, (pxx * q[4] - pxy * q[3]) / det
                 scale = np.exp(q[5] + (pxx * mx * mx + 2 * pxy * mx * my + pyy * my * my) / 2)
             keep = np.flatnonzero((np.abs(det) > 1e-40) & np.isfinite(scale) & np.isfinite(mx) & np.isfinite(my))
+            if unit:
+                cx, cy = (batch.column(c).to_numpy(zero_copy_only=False)[rows] for c in centre)
+                mx, my, pxx, pxy, pyy = cx + unit * mx, cy + unit * my, pxx / unit**2, pxy / unit**2, pyy / unit**2
             keys = [batch.column(c).take(pa.array(rows[keep])) for c in ("f", "c")]
             yield pa.RecordBatch.from_arrays([*keys, *(pa.array(v[keep]) for v in (scale, mx, my, pxx, pxy, pyy))], names=["f", "c", *names])
 
-    return equations.select("f", "c", *moments, *rights).mapInArrow(run, "f long, c long, " + ", ".join(f"{n} double" for n in names))
-
-
-def _from_window(cx: Column, cy: Column, unit: float) -> dict[str, Column]:
-    """Parameters in units from a window's centre, in pixels."""
-    return {"mx": cx + F.col("mx") * unit, "my": cy + F.col("my") * unit, "pxx": F.col("pxx") / unit**2, "pxy": F.col("pxy") / unit**2, "pyy": F.col("pyy") / unit**2}
+    return equations.select("f", "c", *centre, *moments, *rights).mapInArrow(run, "f long, c long, " + ", ".join(f"{n} double" for n in names))
 
 
 def iterate(cands: DataFrame, pixels: DataFrame, unit: float = 5.0) -> DataFrame:
@@ -121,10 +123,10 @@ def iterate(cands: DataFrame, pixels: DataFrame, unit: float = 5.0) -> DataFrame
     systems well conditioned.
     """
     shared = responsibilities(window_pixels(cands, pixels))
-    cx, cy = (F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2
-    new = parameters(normal_equations(shared.withColumn("sx", (F.col("x") - cx) / unit).withColumn("sy", (F.col("y") - cy) / unit)))
-    moved = cands.select("f", "c", "w", "h", "xmin", "xmax", "ymin", "ymax").join(new, ["f", "c"])
-    return _rescaled(moved.withColumns(_from_window(cx, cy, unit)))
+    shared = shared.withColumn("cx", (F.col("xmin") + F.col("xmax")) / 2).withColumn("cy", (F.col("ymin") + F.col("ymax")) / 2)
+    shared = shared.withColumn("sx", (F.col("x") - F.col("cx")) / unit).withColumn("sy", (F.col("y") - F.col("cy")) / unit)
+    new = parameters(normal_equations(shared, keep=("cx", "cy")), unit)
+    return _rescaled(cands.select("f", "c", "w", "h", "xmin", "xmax", "ymin", "ymax").join(new, ["f", "c"]))
 
 
 def _rescaled(cands: DataFrame) -> DataFrame:
@@ -155,12 +157,11 @@ def refit(cands: DataFrame, pixels: DataFrame, delta: int = 2, weighted: bool =
 
     Singular systems, and results that aren't positive definite, are dropped.
     """
-    shared = data_maps(cands, pixels, delta)
-    cx, cy, unit = F.rint("mx"), F.rint("my"), float(max(1, delta))
-    moved = shared.withColumn("sx", (F.col("x") - cx) / unit).withColumn("sy", (F.col("y") - cy) / unit)
-    new = parameters(normal_equations(moved, weighted, least))
-    centres = cands.select("f", "c", "w", "h", cx.alias("cx_"), cy.alias("cy_"))
-    d = centres.join(new, ["f", "c"]).withColumns(_from_window(F.col("cx_"), F.col("cy_"), unit)).drop("cx_", "cy_")
+    unit = float(max(1, delta))
+    shared = data_maps(cands, pixels, delta).withColumn("cx", F.rint("mx")).withColumn("cy", F.rint("my"))
+    moved = shared.withColumn("sx", (F.col("x") - F.col("cx")) / unit).withColumn("sy", (F.col("y") - F.col("cy")) / unit)
+    new = parameters(normal_equations(moved, weighted, least, ("cx", "cy")), unit)
+    d = cands.select("f", "c", "w", "h").join(new, ["f", "c"])
     return d.where((F.col("pxx") * F.col("pyy") - F.col("pxy") * F.col("pxy") > 0) & (F.col("pxx") + F.col("pyy") > 0))
 
 

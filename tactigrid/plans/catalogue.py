@@ -593,13 +593,18 @@ def splat_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir).select(*_KEY, _r("v"))
 
 
+def _frames_of_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of the splatted frames, without making them."""
+    return frames.touches(spark, sf_dir).select("f").distinct()
+
+
 _START = "(VALUES (0, 20e0, 16e0, 150e0, 10e0, 90e0), (1, 52e0, 32e0, 150e0, -10e0, 90e0)) k(k, mx, my, cxx, cxy, cyy)"
 
 
-def _start(pixels: DataFrame) -> DataFrame:
+def _start(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(0, 20.0, 16.0, 150.0, 10.0, 90.0), (1, 52.0, 32.0, 150.0, -10.0, 90.0)]
     each = F.array(*(F.struct(F.lit(k).alias("k"), *(F.lit(v).alias(n) for n, v in zip(("mx", "my", "cxx", "cxy", "cyy"), r, strict=True))) for k, *r in rows))
-    return pixels.select("f").distinct().select("f", F.inline(each))
+    return _frames_of_touches(spark, sf_dir).select("f", F.inline(each))
 
 
 _DENSITY = "exp(-(cyy * pow(x - mx, 2) - 2 * cxy * (x - mx) * (y - my) + cxx * pow(y - my, 2)) / (cxx * cyy - cxy * cxy) / 2) / (2 * pi() * sqrt(cxx * cyy - cxy * cxy))"
@@ -609,7 +614,7 @@ SELECT f, k, round(sx / n, 5) + 0e0 AS mx, round(sy / n, 5) + 0e0 AS my, round(s
 
 def _step(spark: SparkSession, sf_dir: str, hard: bool) -> DataFrame:
     pixels = _t(spark, sf_dir)
-    d = mixture.mixture_step(pixels, _start(pixels), hard)
+    d = mixture.mixture_step(pixels, _start(spark, sf_dir), hard)
     return d.select("f", "k", _r("mx", 5), _r("my", 5), *(_r(c, 4) for c in ("cxx", "cxy", "cyy")))
 
 
@@ -634,12 +639,12 @@ _ERRORS = " UNION ALL ".join(f"SELECT {n} AS round, a.f, a.k, round(sqrt(pow(b.m
 def mixture_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two soft rounds; errors of each against the round before."""
     pixels = _t(spark, sf_dir)
-    return mixture.mixture_rounds(pixels, _start(pixels), 2)[1].select("round", "f", "k", _r("mean_error", 4), _r("cov_error", 3))
+    return mixture.mixture_rounds(pixels, _start(spark, sf_dir), 2)[1].select("round", "f", "k", _r("mean_error", 4), _r("cov_error", 3))
 
 
 def _loss(spark: SparkSession, sf_dir: str, delta: int | None = None) -> DataFrame:
     pixels = _t(spark, sf_dir)
-    params = pixels.select("f").distinct().select("f", F.lit(0.8).alias("c"), F.lit(30.5).alias("mx"), F.lit(20.25).alias("my"), F.lit(0.02).alias("pxx"), F.lit(0.004).alias("pxy"), F.lit(0.03).alias("pyy"))
+    params = _frames_of_touches(spark, sf_dir).select("f", F.lit(0.8).alias("c"), F.lit(30.5).alias("mx"), F.lit(20.25).alias("my"), F.lit(0.02).alias("pxx"), F.lit(0.004).alias("pxy"), F.lit(0.03).alias("pyy"))
     return mixture.squared_loss(pixels, params, delta)
 
 
@@ -668,7 +673,7 @@ def lsq_loss_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    pixels = _t(spark, sf_dir)
+    pixels = checkpointed(_t(spark, sf_dir))  # read twice; it stays partitioned by frame
     return fit.candidates(stencil.local_maxima(pixels, "v", 0.3)), pixels
 
 
@@ -739,7 +744,7 @@ dc AS (SELECT f, c, (x - cx) / 3e0 AS sx, (y - cy) / 3e0 AS sy, v * share AS d F
 
 
 def _refit(spark: SparkSession, sf_dir: str, weighted: bool) -> DataFrame:
-    pixels = _t(spark, sf_dir)
+    pixels = checkpointed(_t(spark, sf_dir))
     d = fit.refit(fit.starts(stencil.local_maxima(pixels, "v", 0.3)), pixels, 3, weighted)
     return d.select("f", "c", *_fit_columns(d))
 
@@ -758,7 +763,7 @@ def fit_unweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def fit_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three rounds whose windows follow the means."""
-    pixels = _t(spark, sf_dir)
+    pixels = checkpointed(_t(spark, sf_dir))
     d = fit.fit_multi(fit.starts(stencil.local_maxima(pixels, "v", 0.3)), pixels)
     return d.select("f", "c", *_fit_columns(d))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -171,10 +172,20 @@ def heatmaps(found: DataFrame) -> DataFrame:
     order = Window.partitionBy("capture").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     d = found.where(F.col("report_type").isin(DIMENSIONS, HEATMAP)).withColumn("dim", F.last(dim, ignorenulls=True).over(order)).where((F.col("report_type") == HEATMAP) & F.col("dim").isNotNull())
     d = d.where(F.length("payload") == F.col("dim.width") * F.col("dim.height"))
-    low, span = F.col("dim.z_min"), F.when(F.col("dim.z_max") > F.col("dim.z_min"), F.col("dim.z_max") - F.col("dim.z_min")).otherwise(1)
-    cells = F.transform(F.sequence(F.lit(0), F.length("payload") - 1), lambda i: 1 - (byte(F.col("payload"), i) - low) / span)
     number = F.row_number().over(Window.partitionBy("capture").orderBy("pos")) - 1
-    return d.select("capture", number.cast("long").alias("f"), "pos", F.col("dim.width").alias("w"), F.col("dim.height").alias("h"), cells.alias("px"))
+    wanted = d.select("capture", number.cast("long").alias("f"), "pos", F.col("dim.width").alias("w"), F.col("dim.height").alias("h"), F.col("dim.z_min").alias("low"), F.col("dim.z_max").alias("high"), "payload")
+
+    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            payloads = batch.column("payload").to_pylist()
+            sizes = np.array([len(p) for p in payloads], np.int64)
+            low, high = (batch.column(c).to_numpy().astype(float) for c in ("low", "high"))
+            cells = 1 - (np.frombuffer(b"".join(payloads), np.uint8) - np.repeat(low, sizes)) / np.repeat(np.where(high > low, high - low, 1.0), sizes)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            keys = ["capture", "f", "pos", "w", "h"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.ListArray.from_arrays(pa.array(offsets), pa.array(cells))], names=[*keys, "px"])
+
+    return wanted.mapInArrow(scale, "capture string, f long, pos long, w int, h int, px array<double>")
 
 
 def stylus(found: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
+
 
 def to_long(dense: DataFrame) -> DataFrame:
     """Row-major arrays to pixels."""
@@ -28,7 +32,7 @@ def together(long: DataFrame) -> DataFrame:
 
     Joins of pixels, on (f, x, y), may then keep it too: Spark would else ask for a partitioning on all three.
     """
-    long.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    long.sparkSession.conf.set(_CO_PARTITION, "false")
     return long.repartition("f")
 
 
@@ -55,21 +59,27 @@ def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def splat(contacts: DataFrame, width: int = 72, height: int = 48, sigma: float = 1.5, reach: int = 5) -> DataFrame:
-    """Sum of Gaussians of the contacts of each frame over its whole grid (f, x, y, v, w, h). A contact touches only the
-    (2 reach + 1)^2 cells around it: cells are generated, never joined by a range."""
-    near = F.sequence(F.lit(-reach), F.lit(reach))
-    cells = contacts.select("f", "mx", "my", "amplitude", F.explode(near).alias("dx")).select("*", F.explode(near).alias("dy"))
-    cells = cells.select("f", (F.col("mx") + F.col("dx")).alias("x"), (F.col("my") + F.col("dy")).alias("y"), (F.col("amplitude") * F.exp(-(F.col("dx") ** 2 + F.col("dy") ** 2) / (2 * sigma**2))).alias("v"))
+    """Sum of Gaussians of the contacts of each frame over its whole grid (f, x, y, v, w, h), partitioned by frame.
+
+    Contacts at one place are summed first, so that a frame has at most one for each of its cells, however many events it
+    has; then they are dealt by frame. Cells are generated (a contact touches only the (2 reach + 1)^2 around it, a frame's
+    first one also gives all cells a zero) and summed where they are: they never cross the network.
+    """
+    places = contacts.groupBy("f", "mx", "my").agg(F.sum("amplitude").alias("amplitude")).repartition("f")
+    first = F.row_number().over(Window.partitionBy("f").orderBy("mx", "my")) == 1
+    near = range(-reach, reach + 1)
+    around = F.array(*(F.struct((F.col("mx") + dx).alias("x"), (F.col("my") + dy).alias("y"), (F.col("amplitude") * math.exp(-(dx * dx + dy * dy) / (2 * sigma**2))).alias("v")) for dx in near for dy in near))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda i: F.struct((i % width).cast("int").alias("x"), F.floor(i / width).cast("int").alias("y"), F.lit(0.0).alias("v")))
+    cells = places.withColumn("first_", first).select("f", F.inline(F.when(F.col("first_"), F.concat(around, grid)).otherwise(around)))
     inside = cells.where((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height))
-    grid = contacts.select("f").distinct().select("f", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x")).select("f", "x", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y"), F.lit(0.0).alias("v"))
-    summed = inside.unionByName(grid).groupBy("f", "x", "y").agg(F.sum("v").alias("v"))
-    return summed.select("f", "x", "y", "v", F.lit(width).alias("w"), F.lit(height).alias("h"))
+    return inside.groupBy("f", "x", "y").agg(F.sum("v").alias("v")).select("f", "x", "y", "v", F.lit(width).alias("w"), F.lit(height).alias("h"))
 
 
 def touch_pixels(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:
     """Splatted events; `keep` may choose among the contacts."""
+    spark.conf.set(_CO_PARTITION, "false")
     contacts = touches(spark, sf_dir)
-    return together(splat(keep(contacts) if keep else contacts))
+    return splat(keep(contacts) if keep else contacts)
 
 
 def quantity_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
