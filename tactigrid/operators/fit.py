@@ -203,21 +203,24 @@ def accepted(cands: DataFrame, max_aspect: float = 2.0) -> DataFrame:
     return d.withColumn("cov", inverse(F.col("pxx"), F.col("pxy"), F.col("pyy"), 1e-40)).where("cov is not null")
 
 
-def touch_points(frames: DataFrame) -> DataFrame:
-    """Dense frames (f, w, h, px) to f, touch_id, confidence, scale, mean, cov: the whole pipeline in one pass, without an exchange."""
+def touch_points(frames: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Dense frames (f, w, h, px) to f, touch_id, confidence, scale, mean, cov: the whole pipeline in one pass, without an exchange. Columns named in carry go along, first."""
     ship_package(frames.sparkSession)
     names = ["f", "touch_id", "confidence", "scale", "mean_x", "mean_y", "cov_xx", "cov_xy", "cov_yy"]
+    types = [pa.int64(), pa.int32(), *[pa.float64()] * 7]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("f").to_pylist()
-            rows = []
+            ids, rows, source = batch.column("f").to_pylist(), [], []
             for places, (px,) in stacks(batch, ["px"]):
                 for place, points in zip(places, dense.touch_points(px), strict=True):
                     rows += [(ids[place], i, *p) for i, p in enumerate(points)]
-            types = [pa.int64(), pa.int32(), *[pa.float64()] * 7]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
-
-    flat = frames.select(F.col("f").cast("long").alias("f"), "w", "h", F.col("px").cast("array<double>").alias("px")).mapInArrow(run, "f long, touch_id int, " + ", ".join(f"{n} double" for n in names[2:]))
-    return flat.select("f", "touch_id", "confidence", "scale", F.struct(F.col("mean_x").alias("x"), F.col("mean_y").alias("y")).alias("mean"), F.struct(F.col("cov_xx").alias("xx"), F.col("cov_xy").alias("xy"), F.col("cov_yy").alias("yy")).alias("cov"))
+                    source += [place] * len(points)
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+            kept = [batch.column(c).take(pa.array(source, pa.int64())) for c in carry]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], names=[*carry, *names])
+
+    given = frames.select(*carry, F.col("f").cast("long").alias("f"), "w", "h", F.col("px").cast("array<double>").alias("px"))
+    schema = ", ".join([*(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in carry), "f long, touch_id int", *(f"{n} double" for n in names[2:])])
+    flat = given.mapInArrow(run, schema)
+    return flat.select(*carry, "f", "touch_id", "confidence", "scale", F.struct(F.col("mean_x").alias("x"), F.col("mean_y").alias("y")).alias("mean"), F.struct(F.col("cov_xx").alias("xx"), F.col("cov_xy").alias("xy"), F.col("cov_yy").alias("yy")).alias("cov"))

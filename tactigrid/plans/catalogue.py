@@ -732,7 +732,8 @@ _ROOT_P = "((pxx + pyy + CASE WHEN pxx + pyy >= 0 THEN sqrt(greatest(pow(pxx + p
 )
 def fit_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     cands, pixels = _windows(spark, sf_dir)
-    d = fit.accepted(fit.in_pixels(fit.iterate(cands, pixels)))
+    # Written first: the acceptance would repeat whole expressions, beyond what can be compiled.
+    d = fit.accepted(checkpointed(fit.in_pixels(fit.iterate(cands, pixels))))
     return d.select("f", "c", _r("mx", 4), _r("my", 4), *(_r(F.col(f"cov.{k}"), 4).alias(f"cov_{k}") for k in ("xx", "xy", "yy")), _r("aspect", 5))
 
 

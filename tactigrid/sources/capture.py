@@ -105,7 +105,8 @@ def _decoded(captures: DataFrame, wanted: str, schema: str, oneshot: bool, stric
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [(name, *r[1:]) for r in walk(content or b"", oneshot, strict) if r[0] == wanted]
+                lost = ("note", 0, LEVELS["ERR"], "data", None, "nothing was read")
+                rows = [(name, *r[1:]) for r in ([lost] if content is None else walk(content, oneshot, strict)) if r[0] == wanted]
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=names)
 

@@ -28,9 +28,7 @@ def read_folder(spark: SparkSession, path: str, files_per_batch: int = 16) -> Da
 def process_batch(captures: DataFrame) -> DataFrame:
     """Captures of a micro-batch to contacts: capture, f (number of the frame in its capture) and the columns of touch_points."""
     found = capture.heatmaps(capture.reports(captures)).select("capture", "f", "w", "h", "px")
-    numbered = found.select("capture", F.col("f").alias("frame"), F.xxhash64("capture", "f").alias("f"), "w", "h", "px")
-    points = fit.touch_points(numbered.select("f", "w", "h", "px"))
-    return points.join(numbered.select("capture", "frame", "f"), "f").drop("f").withColumnRenamed("frame", "f")
+    return fit.touch_points(found, ("capture",))
 
 
 def start(stream: DataFrame, sink: str, checkpoint: str, **trigger):
@@ -46,7 +44,8 @@ class DeviceSource(DataSource):
     """format("tactigrid-device"): a folder with `doorbell` (a count) and buffer_0 .. buffer_15.
 
     The offset is the doorbell; buffer number n % 16 holds what doorbell n announced. A doorbell below the stored one means
-    that the device was reset: the stream goes on from 0 in a new epoch. Committed offsets are written to `feedback`.
+    that the device was reset: the stream goes on from 0 in a new epoch. Committed offsets are written to `feedback`. A buffer that was
+    overwritten before it was read is a row without content, which `capture.diagnostics` reports.
     """
 
     @classmethod
@@ -73,12 +72,15 @@ class DeviceReader(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:  # noqa: N802
         return {"epoch": 0, "count": 0}
 
-    def _rows(self, epoch: int, low: int, high: int) -> Iterator[tuple[str, bytes]]:
-        for n in range(max(low, high - RING), high):  # older buffers have been overwritten
-            try:
-                yield f"device/{epoch}/{n}", (self.folder / f"buffer_{n % RING}").read_bytes()
-            except FileNotFoundError:
-                continue
+    def _rows(self, epoch: int, low: int, high: int) -> Iterator[tuple[str, bytes | None]]:
+        for n in range(low, high):
+            content = None  # older buffers have been overwritten: the row tells that they were missed
+            if n >= high - RING:
+                try:
+                    content = (self.folder / f"buffer_{n % RING}").read_bytes()
+                except FileNotFoundError:
+                    pass
+            yield f"device/{epoch}/{n}", content
 
     def read(self, start: dict) -> tuple[Iterator[tuple[str, bytes]], dict]:
         now = self._doorbell()

@@ -35,13 +35,39 @@ def test_device_offsets_ring_and_reset(tmp_path):
     (tmp_path / "doorbell").write_text("20")
     rows, end = reader.read({"epoch": 0, "count": 18})
     assert [c for _, c in rows] == [bytes([18]), bytes([19])] and end["count"] == 20
-    assert len(list(reader.readBetweenOffsets({"epoch": 0, "count": 0}, end))) == 16
+    every = list(reader.readBetweenOffsets({"epoch": 0, "count": 0}, end))
+    assert [c for _, c in every] == [None] * 4 + [bytes([n]) for n in range(4, 20)]
     reader.commit(end)
     assert (tmp_path / "feedback").read_text() == "20"
     (tmp_path / "doorbell").write_text("1")
     assert reader.read(end)[1] == {"epoch": 1, "count": 1}
 
 
+def test_device_stream_is_read_and_answered(spark, tmp_path):
+    """18 buffers of which the ring holds 16, through readStream; then two more."""
+    device, files = tmp_path / "device", tmp_path / "files"
+    device.mkdir()
+    files.mkdir()
+    written(spark, files)
+    content = sorted(files.iterdir())[0].read_bytes()
+    for n in range(16):
+        (device / f"buffer_{n}").write_bytes(content)
+    spark.dataSource.register(captures.DeviceSource)
+
+    def ring(doorbell):
+        (device / "doorbell").write_text(str(doorbell))
+        stream = spark.readStream.format("tactigrid-device").option("path", str(device)).load()
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).start()
+        query.processAllAvailable()
+        query.stop()
+        return spark.read.parquet(str(tmp_path / "out"))
+
+    got = ring(18)
+    assert got.count() == 18 and capture.diagnostics(got).count() == 2
+    assert captures.process_batch(got).select("capture").distinct().count() == 16
+    assert ring(20).count() == 20 and int((device / "feedback").read_text()) >= 18
+
+
 def test_stream_of_strokes_keeps_open_strokes(spark, tmp_path):
     schema = "capture string, kind string, pos long, mode int, x int, y int"
     source = tmp_path / "in"
