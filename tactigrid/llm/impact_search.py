@@ -9,8 +9,8 @@ it is never negative, and a dimension's segments descend in impact from one of i
 Per query, all segments are ordered by the largest impact that they hold and processed in that order, some at a time:
 their rows' accumulators grow by the exact impacts. A row can still gain at most the largest unread impact of every
 dimension in which it hasn't been read. Once the k-th best accumulator (of this block, or of blocks met before in the same
-task) exceeds what all but a few rows can still reach, these few are possible members and are rescored exactly; that bound is
-the only reason to stop. Accumulators are doubles; the bound allows for their rounding.
+task) exceeds what all but some rows can still reach, these are possible members; once rescoring them exactly costs less than
+reading on, that is done. The bound is the only reason to leave out a row. Accumulators are doubles; the bound allows for their rounding.
 
 Queries are packed into blocks too, and each block of queries meets each group of vector blocks once, in an equi-join on
 the group: a stated query set against all rows, in blocks. Each meeting returns k rows per query; a window keeps the best.
@@ -39,13 +39,13 @@ class SearchParams:
     #: Queries are the rows whose vec_id this divides.
     query_every: int = 50
     scale: int = 256
-    block_rows: int = 4096
+    block_rows: int = 8192
     query_rows: int = 512
     #: Posting segments of a dimension in a block.
     levels: int = 32
     #: Shares of a query's postings after which it is asked whether to stop.
     turns: tuple[float, ...] = (0.1, 0.35, 0.6, 0.75, 0.85, 0.93, 1.0)
-    #: Possible members per query (beyond k) that are cheaper to rescore than to narrow down.
+    #: Possible members per query (beyond k) that are always rescored; else as many as cost half of what is unread.
     spare: int = 32
 
 
@@ -67,7 +67,7 @@ class Postings:
     @classmethod
     def of(cls, table: np.ndarray, levels: int) -> Postings:
         columns = np.ascontiguousarray(table.T)
-        rows = np.argsort(columns, axis=1, kind="stable").astype(np.int32)
+        rows = np.argsort(columns, axis=1, kind="stable")
         values = np.take_along_axis(columns, rows, 1)
         low, high = values[:, :1], values[:, -1:]
         width = high / levels - low / levels
@@ -90,7 +90,7 @@ def packed(vectors: DataFrame, rows: int, key: str, levels: int = 0) -> DataFram
             for i, (_, v) in enumerate(own):
                 values[i, : len(v)] = v
             index = Postings.of(values, levels) if levels else None
-            parts = [np.array([i for i, _ in own], np.int64), values, *([index.rows, index.begins] if index else [])]
+            parts = [np.array([i for i, _ in own], np.int64), values, *([index.rows.astype(np.int32), index.begins] if index else [])]
             names = ["ids", "values", *(["rows", "begins"] if index else [])]
             return pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([len(own)], pa.int32()), pa.array([dims], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=[key, "n", "dims", *names])
 
@@ -108,11 +108,14 @@ def packed(vectors: DataFrame, rows: int, key: str, levels: int = 0) -> DataFram
     return vectors.mapInArrow(pack, f"{key} long, n int, dims int, ids binary, values binary" + (", rows binary, begins binary" if levels else ""))
 
 
-def _exact(values: np.ndarray, query: np.ndarray) -> list[int]:
-    """Inner products, by Python integers where doubles could round; held within 64 bits."""
+def _best(values: np.ndarray, ids: np.ndarray, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """(score, vec_id) of the k best rows, by Python integers where doubles could round; held within 64 bits."""
     if values.size and float(np.abs(values).max(initial=0)) * float(np.abs(query).sum()) >= 2.0**53:
-        return [min(max(sum(int(a) * int(b) for a, b in zip(row, query, strict=True)), -(2**63)), 2**63 - 1) for row in values]
-    return [int(x) for x in values @ query]
+        scores = [min(max(sum(int(a) * int(b) for a, b in zip(row, query, strict=True)), -(2**63)), 2**63 - 1) for row in values]
+        return [(-s, v) for s, v in sorted(zip((-s for s in scores), ids.tolist(), strict=True))[:k]]
+    scores = values @ query
+    order = np.lexsort((ids, -scores))[:k]
+    return [(int(s), int(v)) for s, v in zip(scores[order], ids[order], strict=True)]
 
 
 def _possible(index: Postings, query: np.ndarray, skip: np.ndarray, floor: float, params: SearchParams) -> tuple[np.ndarray, int]:
@@ -141,6 +144,7 @@ def _possible(index: Postings, query: np.ndarray, skip: np.ndarray, floor: float
     partial, now = np.zeros(n), np.zeros(len(used), np.int64)
     seen: list[np.ndarray] = []
     seen_dims: list[int] = []
+    lengths: list[int] = []
     for share in params.turns:
         upto = min(int(np.searchsorted(done, done[-1] * share, "left")) + 1, len(queue))
         ahead = np.bincount(queue[:upto] // levels, minlength=len(used))  # a dimension's segments descend, so these are its first ones
@@ -152,33 +156,38 @@ def _possible(index: Postings, query: np.ndarray, skip: np.ndarray, floor: float
             rows.append(index.rows[used[d], part])
             gains.append((values - bottom[d]) * weight[d] if up[d] else (top[d] - values) * weight[d])
             seen_dims.append(d)
+            lengths.append(b - a)
         now = ahead
-        partial += np.bincount(np.concatenate(rows), np.concatenate(gains), n) if rows else 0
-        seen += rows
+        if rows:
+            seen.append(np.concatenate(rows))
+            partial += np.bincount(seen[-1], np.concatenate(gains), n)
         ahead_of = impact[np.arange(len(used)), now]
-        reach = partial + ahead_of.sum()
-        if ahead_of.any():
-            reach -= np.bincount(np.concatenate(seen), np.repeat(ahead_of[seen_dims], [len(r) for r in seen]), n)
         known = np.where(skip, -np.inf, partial)
         kth = np.partition(known, n - params.k)[n - params.k] if n > params.k else -np.inf
-        possible = np.flatnonzero((reach >= max(kth, need_floor) - slack) & ~skip)
-        if len(possible) <= params.k + params.spare:
+        need = max(kth, need_floor) - slack
+        unread = int(done[-1] - done[upto - 1])
+        if unread and float(partial.mean()) + unread / done[-1] * float(ahead_of.sum()) >= need:
+            continue  # the average row can still be among the best: too early to ask each
+        reach = partial + ahead_of.sum()
+        if ahead_of.any():
+            reach -= np.bincount(np.concatenate(seen), np.repeat(ahead_of[seen_dims], lengths), n)
+        possible = np.flatnonzero((reach >= need) & ~skip)
+        if len(possible) <= max(params.k + params.spare, unread / (2 * dims)):  # rescoring these costs less than reading on
             break
     return possible, int(done[upto - 1])
 
 
 def block_top(values: np.ndarray, index: Postings, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, floor: np.ndarray, params: SearchParams) -> tuple[list[list[tuple[int, int]]], int]:
     """Per query, (score, vec_id) of its best k rows of the block, best first (rows that score below floor may be missing), and the postings that were read."""
-    out, read = [], 0
+    out, read, varied = [], 0, index.values[:, 0] < index.values[:, -1]
     for query, self_id, least in zip(queries, own.tolist(), floor.tolist(), strict=True):
         skip = ids == self_id
-        if (query != 0).any() and (values.max(0) > values.min(0))[query != 0].any():
+        if varied[query != 0].any():
             rows, n = _possible(index, query, skip, least, params)
             read += n
         else:
             rows = np.flatnonzero(~skip)  # all score the same
-        scored = sorted(zip((-s for s in _exact(values[rows], query)), ids[rows].tolist(), strict=True))
-        out.append([(-s, v) for s, v in scored[: params.k]])
+        out.append(_best(values[rows], ids[rows], query, params.k))
     return out, read
 
 
@@ -209,7 +218,7 @@ def top_k(vectors: DataFrame, params: SearchParams = SearchParams()) -> DataFram
                 if r["dims"] < dims:  # no weight of a longer query meets anything but zeros there
                     index = Postings.of(values, params.levels)
                 else:
-                    order = np.frombuffer(r["rows"], np.int32).reshape(dims, r["n"])
+                    order = np.frombuffer(r["rows"], np.int32).reshape(dims, r["n"]).astype(np.int64)  # what sums by row take
                     index = Postings(order, np.take_along_axis(values.T, order, 1), np.frombuffer(r["begins"], np.int32).reshape(dims, -1))
                 ids, own = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
                 if len(best) > 1000:
