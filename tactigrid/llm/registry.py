@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactigrid.llm import chat, empirical_bayes, html_text, impact_search, language, licenses, minhash, mixing, packing, quality_rules
+from tactigrid.llm import chat, empirical_bayes, exact_dedup, html_text, impact_search, language, licenses, lloyd, minhash, mixing, packing, quality_rules, repair
 from tactigrid.llm.common import read_table
 
 
@@ -64,6 +65,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures, cheapest edits and hash of every damaged conversation; see llm.repair."""
+    return repair.audits(repair.damaged(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of equal texts of every document; see llm.exact_dedup."""
+    return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every usable vector; see llm.lloyd."""
+    return lloyd.cluster(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 OP1_SQL = """
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
@@ -158,10 +174,90 @@ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRS
 FROM conversations
 """
 
+OP11_SQL = """
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT))),
+             lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295) % 20 AS kind
+  FROM conversations
+), d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM c, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) WHERE kind <> 0
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before,
+         right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last
+  FROM d
+), r AS (
+  SELECT *, CASE WHEN last = '' THEN 'blank' WHEN pos > min(pos) OVER (PARTITION BY conv_id, role, text) THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, left(role, 1) AS i FROM n
+), told AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM r GROUP BY conv_id
+), start AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS pos, 0 AS phase, '0000000000:' AS s0, CAST(NULL AS VARCHAR) AS s1, CAST(NULL AS VARCHAR) AS s2, CAST(NULL AS VARCHAR) AS s3 FROM conversations
+), best(conv_id, pos, phase, s0, s1, s2, s3) AS ( -- the least cost (ten digits) and audit after every row (phase 0: before, 1 and 2: after inserts) that leads to each state
+  SELECT * FROM start
+  UNION ALL
+  SELECT b.conv_id, CASE WHEN b.phase < 2 THEN b.pos ELSE b.pos + 1 END, (b.phase + 1) % 3,
+    CASE WHEN b.phase < 2 THEN s0 ELSE D(s0) END,
+    CASE WHEN b.phase < 2 THEN s1 ELSE least(D(s1), CASE WHEN i = 's' THEN K(s0) END) END,
+    CASE WHEN b.phase < 2 THEN least(s2, I(s0), I(s1), I(s3)) ELSE least(D(s2), R(s0), R(s1), R(s3), CASE WHEN i = 'u' THEN least(K(s0), K(s1), K(s3)) END) END,
+    CASE WHEN b.phase < 2 THEN least(s3, I(s2)) ELSE least(D(s3), R(s2), CASE WHEN i = 'a' THEN K(s2) END) END
+  FROM best b LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.pos = b.pos + 1
+  WHERE b.phase < 2 OR r.pos IS NOT NULL
+), ends AS (
+  SELECT conv_id, arg_max(least(s0, s3), pos) AS found FROM best WHERE phase = 2 GROUP BY conv_id
+), audits AS (
+  SELECT conv_id, CAST(left(found, 10) AS BIGINT) AS cost, found[12:] AS audit FROM ends
+), edits AS (
+  SELECT conv_id, audit, k, audit[k] AS e, count(*) FILTER (audit[k] <> 'I') OVER (PARTITION BY conv_id ORDER BY k) AS pos, count(*) FILTER (audit[k] <> 'D') OVER (PARTITION BY conv_id ORDER BY k) AS place, length(replace(audit, 'D', '')) AS size
+  FROM audits, unnest(range(1, length(audit) + 1)) u(k)
+), texts AS (
+  SELECT e.conv_id, string_agg(CASE WHEN e.e = 'K' THEN r.role WHEN (place + size) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e.e = 'I' THEN '' ELSE r.text END, chr(10) ORDER BY k) AS text
+  FROM edits e LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.pos = e.pos
+  WHERE e.e <> 'D' GROUP BY e.conv_id
+)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit, sha256(coalesce(t.text, '')) AS repaired_sha256
+FROM audits a LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
+def _with_costs(sql: str) -> str:
+    """Write out D(x), K(x), R(x) and I(x): the audit x with one more edit, at its cost."""
+    for letter, cost in (("D", "CASE WHEN fault IN ('blank', 'duplicate', 'truncated', '') THEN 4 END"), ("K", "CASE fault WHEN '' THEN 0 WHEN 'truncated' THEN 3 END"), ("R", "CASE fault WHEN '' THEN 3 WHEN 'truncated' THEN 6 END"), ("I", "3")):
+        sql = re.sub(rf"\b{letter}\((s\d)\)", rf"(lpad(CAST(CAST(left(\1, 10) AS BIGINT) + {cost} AS VARCHAR), 10, '0') || \1[11:] || '{letter}')", sql)
+    return sql
+
+
+OP12_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+def _op13_sql(rounds: int = 10) -> str:
+    """The rounds one after the other. vc: component i of vector id (a row number); c0, c1, ...: component i of centroid k."""
+    nearest = "SELECT id, arg_min(k, (d, k)) AS k, min(d) AS distance FROM (SELECT v.id, c.k, sum((v.q - c.q) * (v.q - c.q)) AS d FROM vc v JOIN c{0} c ON c.i = v.i GROUP BY v.id, c.k) GROUP BY id"
+    steps = ""
+    for n in range(rounds):
+        steps += f""", a{n} AS MATERIALIZED ({nearest.format(n)}), s{n} AS (SELECT k, i, sum(q) AS s, count(*) AS n FROM vc JOIN a{n} USING (id) GROUP BY k, i),
+c{n + 1} AS MATERIALIZED (SELECT c.k, c.i, coalesce((s.s - ((s.s % s.n) + s.n) % s.n) // s.n, c.q) AS q FROM c{n} c LEFT JOIN s{n} s USING (k, i))"""
+    return f"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)) NULLS LAST, q) AS id, vec_id, q
+  FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(greatest(least(floor(1024 * CAST(x AS DOUBLE)), 134217728), -134217728) AS BIGINT)) AS q
+        FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+), vc AS MATERIALIZED (SELECT id, i, CAST(q[i] AS HUGEINT) AS q FROM v, range(1, 65) r(i)),
+c0 AS (SELECT id - 1 AS k, i, q FROM vc WHERE id <= 8){steps}, f AS MATERIALIZED ({nearest.format(rounds)}),
+h AS (SELECT k, sha256(string_agg(CAST(q AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY k)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM f JOIN v USING (id) JOIN h USING (k)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_impact_search, op3_html_text, op4_packing, op5_mixing, op6_language_id, op7_quality_rules, op8_quality_classifier, op9_chat_format, op10_license_scan)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_impact_search, op3_html_text, op4_packing, op5_mixing, op6_language_id, op7_quality_rules, op8_quality_classifier, op9_chat_format, op10_license_scan, op11_conversation_repair, op12_exact_dedup, op13_lloyd)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": OP1_SQL, "op2_impact_search": OP2_SQL, "op7_quality_rules": OP7_SQL, "op9_chat_format": OP9_SQL}
+    return {"op1_minhash_dedup": OP1_SQL, "op2_impact_search": OP2_SQL, "op7_quality_rules": OP7_SQL, "op9_chat_format": OP9_SQL, "op11_conversation_repair": _with_costs(OP11_SQL), "op12_exact_dedup": OP12_SQL, "op13_lloyd": _op13_sql()}
