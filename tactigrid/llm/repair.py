@@ -97,7 +97,7 @@ def measured(rows: DataFrame) -> DataFrame:
     kept = F.when(~F.col("gone"), F.col("turn"))
     least, most = (f(kept).cast("decimal(20,0)") for f in (F.min, F.max))
     whole = F.least(most - least + 1 - F.count_distinct(kept), F.lit(2**63 - 1).cast("decimal(38,0)")).cast("long")
-    gaps = rows.groupBy("conv_id").agg(F.coalesce(whole, F.lit(0)).alias("gaps"))
+    gaps = rows.groupBy("conv_id").agg(F.when(least.isNotNull(), whole).otherwise(0).cast("long").alias("gaps"))
     kind = F.when(F.col("fault").isin("blank", "duplicate"), 2).when(F.col("fault") == "truncated", 1).otherwise(0)
     letter = F.substring(F.lit(_LETTERS), 4 * kind + F.col("initial") + 1, F.lit(1))
     counts = {k: F.count_if(F.col("fault") == k) for k in ("blank", "duplicate", "truncated")}
@@ -326,7 +326,7 @@ def audits(rows: DataFrame, params: RepairParams = RepairParams()) -> DataFrame:
                         yield *now, digest.hexdigest()
                     now, digest, begun = (conv, *text.values(), role), hashlib.sha256(), False
                 elif edit != "D":
-                    digest.update(f"{chr(10) * begun}{role}:{text}".encode())
+                    digest.update(f"{chr(10) if begun else ''}{role}:{text}".encode())
                     begun = True
             if now:
                 yield *now, digest.hexdigest()
