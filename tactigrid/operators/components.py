@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,15 +14,15 @@ from tactigrid.operators.batches import map_pixels
 from tactigrid.session import checkpointed, ship_package
 
 
-def label_frames(frames: DataFrame, threshold: float = 0.0, connectivity: int = 4, inclusive: bool = False, down: int = 1) -> DataFrame:
-    """Dense frames (f, w, h, px) to (f, w, h, px, label): one array of labels a frame, without an exchange.
+def label_frames(frames: DataFrame, threshold: float = 0.0, connectivity: int = 4, inclusive: bool = False, down: int = 1, column: str = "px", carry: Sequence[str] = ("px",)) -> DataFrame:
+    """Dense frames (f, w, h, arrays) to (f, w, h, carried arrays, label): one array of labels a frame, of one of its arrays, without an exchange.
 
     inclusive: pixels at the threshold are foreground. down = 2 steps over the next row (see `dense.labels`).
     """
     ship_package(frames.sparkSession)
-    run = map_pixels(lambda v: dense.labels(v >= threshold if inclusive else v > threshold, connectivity, down), ["px"], "label", pa.int32(), ("px",))
-    kind = frames.schema["px"].dataType.simpleString()
-    return frames.select("f", "w", "h", "px").mapInArrow(run, f"f long, w int, h int, px {kind}, label array<int>")
+    run = map_pixels(lambda v: dense.labels(v >= threshold if inclusive else v > threshold, connectivity, down), [column], "label", pa.int32(), tuple(carry))
+    kinds = "".join(f"{c} {frames.schema[c].dataType.simpleString()}, " for c in carry)
+    return frames.select("f", "w", "h", *dict.fromkeys([column, *carry])).mapInArrow(run, f"f long, w int, h int, {kinds}label array<int>")
 
 
 def label_pixels(frames: DataFrame, threshold: float = 0.0, connectivity: int = 4, inclusive: bool = False, down: int = 1) -> DataFrame:

@@ -134,7 +134,18 @@ def powered_objective(v: Column, ridge: Column, wh: float = 1.0, ph: float = 1.0
 
 
 def local_maxima(df: DataFrame, column: str, threshold: float, connectivity: int = 8, ties: str = "first", inclusive: bool = False) -> DataFrame:
-    """The pixels that are maxima of their neighbourhood; cells outside the frame are ignored.
+    """The pixels that are maxima, see `with_maxima`."""
+    return with_maxima(df, column, threshold, connectivity, ties, inclusive).where("is_max").drop("is_max")
+
+
+def strongest(maxima: DataFrame, n: int, column: str = "v") -> DataFrame:
+    """The n strongest of each frame, the first in raster order of equal ones, with rank from 1. Tasks drop what can't be among them before any exchange."""
+    order = Window.partitionBy("f").orderBy(F.desc(column), "y", "x")
+    return maxima.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+def with_maxima(df: DataFrame, column: str, threshold: float, connectivity: int = 8, ties: str = "first", inclusive: bool = False) -> DataFrame:
+    """Adds is_max: whether a pixel is a maximum of its neighbourhood; cells outside the frame are ignored.
 
     ties: `first` keeps the first of equal neighbours in raster order, `last` the greatest (value, x, y), `all` every one.
     """
@@ -154,4 +165,4 @@ def local_maxima(df: DataFrame, column: str, threshold: float, connectivity: int
         is_max &= F.coalesce(n < v if ties == "first" else n <= v, F.lit(True))
     for n in after:
         is_max &= F.coalesce(n < v if ties == "last" else n <= v, F.lit(True))
-    return d.where(is_max).drop("left_", "right_", "line_", "up_", "down_")
+    return d.withColumn("is_max", is_max).drop("left_", "right_", "line_", "up_", "down_")

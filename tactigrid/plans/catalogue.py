@@ -16,6 +16,7 @@ from tactigrid.operators import components, distance, fit, metrics, mixture, ste
 from tactigrid.plans import sql
 from tactigrid.session import checkpointed
 from tactigrid.sources import capture, frames
+from tactigrid.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -307,6 +308,11 @@ def _maxima(name: str, threshold: float, text: str, connectivity: int = 8, ties:
     _query(f"WITH {sql.E} {sql.maxima('e', 'v', text, connectivity, ties)}")(run)
 
 
+@_query(f"WITH {sql.E}, m AS ({sql.maxima('e', 'v', '> 5')}), r AS (SELECT f, x, y, v, CAST(row_number() OVER (PARTITION BY f ORDER BY v DESC, y, x) AS INTEGER) AS rank FROM m) SELECT * FROM r WHERE rank <= 3")
+def maxima_strongest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stencil.strongest(stencil.local_maxima(_e(spark, sf_dir), "v", 5), 3).select(*_KEY, "v", "rank")
+
+
 _maxima("maxima_8", 5, "> 5")
 _maxima("maxima_4", 5, "> 5", 4)
 _maxima("maxima_tiebreak_last", 5, ">= 5", ties="last", inclusive=True)
@@ -354,10 +360,11 @@ def labels_over_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _tensor_roots(spark, sf_dir).select(*_KEY, "v", matrices.coherence(F.col("e1"), F.col("e2")).alias("coherence"))
-    peaks = stencil.local_maxima(_e(spark, sf_dir), "v", 5).select(*_KEY, F.lit(True).alias("is_max"))
-    labelled = components.label_pixels(frames.embedding_dense(spark, sf_dir), 0.0, 4)
-    return components.component_stats(d.join(labelled, list(_KEY)).join(peaks, list(_KEY), "left").withColumn("is_max", F.coalesce("is_max", F.lit(False))))
+    """Labels come along from the dense frames, coherence and maxima are windows of the same pixels: no join."""
+    labelled = components.label_frames(frames.embedding_dense(spark, sf_dir), 0.0, 4)
+    pixels = frames.together(frames.to_long_columns(labelled, ["px", "label"])).withColumnRenamed("px", "v")
+    d = stencil.with_eigenvalues(stencil.structure_tensor(stencil.with_maxima(pixels, "v", 5), 1.0), "s", "e1", "e2")
+    return components.component_stats(d.withColumn("coherence", matrices.coherence(F.col("e1"), F.col("e2"))))
 
 
 _STATS = f"""{sql.E}, {_L4}, {_EIG}, m AS ({sql.maxima("e", "v", "> 5")}),
@@ -459,12 +466,11 @@ def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(pixels with their measures, label and their component's score; scores of the components)."""
-    measured = _measured(spark, sf_dir)
-    labelled = components.label_pixels(frames.to_dense(measured, "objective"), 0.0, 4)
-    pixels = measured.join(labelled, list(_KEY))
-    peaks = stencil.local_maxima(measured, "v", 0.05).select(*_KEY, F.lit(True).alias("is_max"))
-    inside = pixels.withColumn("coherence", matrices.coherence(F.col("e1"), F.col("e2"))).join(peaks, list(_KEY), "left").withColumn("is_max", F.coalesce("is_max", F.lit(False)))
-    scores = components.component_stats(inside).withColumn("score", components.score(F.col("size"), F.col("incoherence"), F.col("maximas")))
+    measured = stencil.with_maxima(_measured(spark, sf_dir), "v", 0.05).withColumn("coherence", matrices.coherence(F.col("e1"), F.col("e2")))
+    carry = ["v", "ridge", "e1", "e2", "coherence", "is_max"]
+    labelled = components.label_frames(frames.to_dense_columns(measured, ["objective", *carry]), 0.0, 4, column="objective", carry=carry)
+    pixels = frames.together(frames.to_long_columns(labelled, [*carry, "label"]))
+    scores = components.component_stats(pixels).withColumn("score", components.score(F.col("size"), F.col("incoherence"), F.col("maximas")))
     return components.scored_pixels(pixels, scores), scores
 
 
@@ -957,6 +963,17 @@ def parse_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture.diagnostics(cut).groupBy("capture", "level", "kind").agg(F.count("*").alias("n"))
 
 
+@_query(f"WITH {sql.E} SELECT CAST(f // 64 AS VARCHAR) AS device, f, dense_rank() OVER (PARTITION BY f // 64 ORDER BY f) - 1 AS frame, x, y, CAST(least(greatest(v + 128, 0), 255) AS INTEGER) AS b FROM e")
+def live_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buffers of devices, of which only each device's first says its dimensions, through the live parser's state."""
+    dense = frames.embedding_dense(spark, sf_dir).withColumn("device", F.expr("f div 64").cast("string"))
+    first = F.col("f") == F.min("f").over(Window.partitionBy("device"))
+    given = dense.select("device", F.lit(0).alias("epoch"), F.col("f").alias("number"), "w", "h", F.transform("px", lambda v: F.least(F.greatest(v + 128, F.lit(0)), F.lit(255))).alias("px"), first.alias("announce"))
+    found = live.frames(live.assembled(capture.encode_buffers(given)))
+    cells = found.select(F.split_part("capture", F.lit("/"), F.lit(1)).alias("device"), F.split_part("capture", F.lit("/"), F.lit(3)).cast("long").alias("number"), F.col("f").alias("frame"), "w", F.posexplode("px").alias("i", "v"))
+    return cells.select("device", F.col("number").alias("f"), "frame", (F.col("i") % F.col("w")).cast("int").alias("x"), F.expr("cast(i div w as int)").alias("y"), F.round((1 - F.col("v")) * 255).cast("int").alias("b"))
+
+
 def _pen_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     i = F.col("event_id")

@@ -27,6 +27,8 @@ SAMPLE_FIELDS = ("timestamp", "mode", "x", "y", "pressure", "altitude", "azimuth
 #: Reports that are known to exist and kept raw.
 RAW_REPORTS = (0x033, 0x402, 0x404, 0x406, 0x407, 0x432, 0x4FF, 0x800, 0x803, 0x804, 0x806, 0x807, 0x812, 0x8FF)
 LEVELS = {"DBG": 0, "INFO": 1, "WARN": 2, "ERR": 3}
+#: Bytes before the samples of a report.
+_SAMPLE_HEADS = {STYLUS: 4, STYLUS_SERIAL: 8}
 _KNOWN = {TIMESTAMP, DIMENSIONS, HEATMAP, STYLUS_SERIAL, STYLUS, *RAW_REPORTS}
 _REPORT_COLUMNS = "capture string, pos long, buffer long, counter long, frame_index int, frame_type int, report_type int, payload binary"
 _DIAGNOSTIC_COLUMNS = "capture string, pos long, level int, kind string, type int, message string"
@@ -36,6 +38,15 @@ class TruncatedCapture(ValueError):
     """A record is longer than what is left."""
 
 
+def _cut_samples(kind: int, payload: bytes) -> str | None:
+    """What a report of pen samples promises and doesn't hold."""
+    head = _SAMPLE_HEADS[kind]
+    there, promised = max(0, len(payload) - head) // SAMPLE_BYTES, payload[0] if payload else 0
+    if not payload or len(payload) < head:
+        return "header of samples is cut"
+    return f"{promised - there} of {promised} samples are missing" if there < promised else None
+
+
 def walk(content: bytes, oneshot: bool = False, strict: bool = False) -> Iterator[tuple]:
     """("report", pos, buffer, counter, frame index, frame type, report type, payload) and ("note", pos, level, kind, type, message)."""
 
@@ -85,6 +96,8 @@ def walk(content: bytes, oneshot: bool = False, strict: bool = False) -> Iterato
                             continue
                         if report[0] not in _KNOWN:
                             yield "note", rpos, LEVELS["WARN"], "report", report[0], "unknown type"
+                        if report[0] in _SAMPLE_HEADS and (told := _cut_samples(report[0], content[rbody:rstop])):
+                            yield "note", rpos, LEVELS["ERR"], "samples", None, told
                         yield "report", rpos, data[2], counter, frame[0], frame[1], report[0], content[rbody:rstop]
             if found < promised:
                 if strict:
@@ -174,7 +187,12 @@ def heatmaps(found: DataFrame) -> DataFrame:
     d = found.where(F.col("report_type").isin(DIMENSIONS, HEATMAP)).withColumn("dim", F.last(dim, ignorenulls=True).over(order)).where((F.col("report_type") == HEATMAP) & F.col("dim").isNotNull())
     d = d.where(F.length("payload") == F.col("dim.width") * F.col("dim.height"))
     number = F.row_number().over(Window.partitionBy("capture").orderBy("pos")) - 1
-    wanted = d.select("capture", number.cast("long").alias("f"), "pos", F.col("dim.width").alias("w"), F.col("dim.height").alias("h"), F.col("dim.z_min").alias("low"), F.col("dim.z_max").alias("high"), "payload")
+    return scaled(d.select("capture", number.cast("long").alias("f"), "pos", F.col("dim.width").alias("w"), F.col("dim.height").alias("h"), F.col("dim.z_min").alias("low"), F.col("dim.z_max").alias("high"), "payload"))
+
+
+def scaled(found: DataFrame) -> DataFrame:
+    """capture, f, pos, w, h, low, high, payload to dense frames: low is 1, high is 0."""
+    ship_package(found.sparkSession)
 
     def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +204,7 @@ def heatmaps(found: DataFrame) -> DataFrame:
             keys = ["capture", "f", "pos", "w", "h"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.ListArray.from_arrays(pa.array(offsets), pa.array(cells))], names=[*keys, "px"])
 
-    return wanted.mapInArrow(scale, "capture string, f long, pos long, w int, h int, px array<double>")
+    return found.mapInArrow(scale, "capture string, f long, pos long, w int, h int, px array<double>")
 
 
 def stylus(found: DataFrame) -> DataFrame:
@@ -199,21 +217,40 @@ def stylus(found: DataFrame) -> DataFrame:
     return d.select("capture", "pos", "kind", "serial", "elements", "idx", *(u16(F.col("payload"), at + 2 * i).alias(n) for i, n in enumerate(SAMPLE_FIELDS)))
 
 
+def _record(number: int, w: int, h: int, cells: bytes, announce: bool) -> bytes:
+    """One data record with a heatmap; announce: and its dimensions before it."""
+    body = REPORT.pack(DIMENSIONS, 8) + bytes((h, w, 0, h - 1, 0, w - 1, 0, 255)) if announce else b""
+    body += REPORT.pack(HEATMAP, len(cells)) + cells
+    frame = FRAME.pack(0, REPORT_FRAMES[0], len(body)) + body
+    return DATA.pack(DATA_PAYLOAD, PAYLOAD.size + len(frame), 0) + PAYLOAD.pack(number & 0xFFFFFFFF, 1) + frame
+
+
 def _encode(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("f")
     out, size = [], None
     for r in group.itertuples():
-        body = b""
-        if (r.w, r.h) != size:
-            size = (r.w, r.h)
-            body += REPORT.pack(DIMENSIONS, 8) + bytes((r.h, r.w, 0, r.h - 1, 0, r.w - 1, 0, 255))
-        cells = bytes(int(v) for v in r.px)
-        body += REPORT.pack(HEATMAP, len(cells)) + cells
-        frame = FRAME.pack(0, REPORT_FRAMES[0], len(body)) + body
-        out.append(DATA.pack(DATA_PAYLOAD, PAYLOAD.size + len(frame), 0) + PAYLOAD.pack(int(r.f) & 0xFFFFFFFF, 1) + frame)
+        out.append(_record(int(r.f), int(r.w), int(r.h), bytes(int(v) for v in r.px), (r.w, r.h) != size))
+        size = (r.w, r.h)
     return pd.DataFrame({"path": [f"capture-{int(group['part'].iloc[0]):08d}"], "content": [b"".join(out)]})
 
 
+def encode_buffers(frames: DataFrame) -> DataFrame:
+    """Frames of devices (device, epoch, number, w, h, px of whole numbers 0..255, announce) to buffers (path, content), one each.
+
+    Only buffers with `announce` say their dimensions, as devices do now and then.
+    """
+    ship_package(frames.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            paths = [f"{r['device']}/{r['epoch']}/{r['number']}" for r in rows]
+            contents = [_record(r["number"], r["w"], r["h"], bytes(r["px"]), r["announce"]) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+
+    return frames.select("device", "epoch", "number", "w", "h", "px", "announce").mapInArrow(run, "path string, content binary")
+
+
 def encode_frames(frames: DataFrame, per_capture: int = 64) -> DataFrame:
     """Dense frames of whole numbers 0..255 (f, w, h, px) to captures (path, content): each starts with its dimensions.
 

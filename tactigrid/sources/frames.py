@@ -15,6 +15,12 @@ def to_long(dense: DataFrame) -> DataFrame:
     return dense.select("f", F.posexplode("px").alias("i", "v"), "w", "h").select("f", (F.col("i") % F.col("w")).cast("int").alias("x"), F.expr("cast(i div w as int)").alias("y"), "v", "w", "h")
 
 
+def to_long_columns(dense: DataFrame, columns: list[str]) -> DataFrame:
+    """Several row-major arrays of one length to pixels with a column each."""
+    each = dense.select("f", "w", "h", F.posexplode(F.arrays_zip(*columns)).alias("i", "z"))
+    return each.select("f", (F.col("i") % F.col("w")).cast("int").alias("x"), F.expr("cast(i div w as int)").alias("y"), *(F.col(f"z.{c}").alias(c) for c in columns), "w", "h")
+
+
 def to_dense(long: DataFrame, value: str = "v") -> DataFrame:
     """Pixels to row-major arrays; every cell must be there."""
     cells = F.array_sort(F.collect_list(F.struct((F.col("y") * F.col("w") + F.col("x")).alias("i"), F.col(value).alias("v"))))
@@ -58,14 +64,19 @@ def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def splat(contacts: DataFrame, width: int = 72, height: int = 48, sigma: float = 1.5, reach: int = 5) -> DataFrame:
+def splat(contacts: DataFrame, width: int = 72, height: int = 48, sigma: float = 1.5, reach: int = 5, partitions: int | None = None) -> DataFrame:
     """Sum of Gaussians of the contacts of each frame over its whole grid (f, x, y, v, w, h), partitioned by frame.
 
     Contacts at one place are summed first, so that a frame has at most one for each of its cells, however many events it
     has; then they are dealt by frame. Cells are generated (a contact touches only the (2 reach + 1)^2 around it, a frame's
     first one also gives all cells a zero) and summed where they are: they never cross the network.
+
+    Contacts are some hundred times smaller than the cells they make, so the number of partitions mustn't follow their size:
+    it is given (by default all of the session's shuffle partitions, or one for each core, if these are more) and stays.
     """
-    places = contacts.groupBy("f", "mx", "my").agg(F.sum("amplitude").alias("amplitude")).repartition("f")
+    spark = contacts.sparkSession
+    partitions = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    places = contacts.groupBy("f", "mx", "my").agg(F.sum("amplitude").alias("amplitude")).repartition(partitions, "f")
     first = F.row_number().over(Window.partitionBy("f").orderBy("mx", "my")) == 1
     near = range(-reach, reach + 1)
     around = F.array(*(F.struct((F.col("mx") + dx).alias("x"), (F.col("my") + dy).alias("y"), (F.col("amplitude") * math.exp(-(dx * dx + dy * dy) / (2 * sigma**2))).alias("v")) for dx in near for dy in near))
