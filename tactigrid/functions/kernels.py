@@ -1,10 +1,21 @@
-"""Stencil kernels as pairs of 1-D factors (along x, along y); all kernels of the engine are separable."""
+"""Stencil kernels: pairs of 1-D factors (along x, along y), or a whole matrix; all kernels of the engine itself are separable."""
 
 from __future__ import annotations
 
 import math
 
 Factors = tuple[list[float], list[float]]
+#: Rows (along y) of weights (along x); both counts are odd.
+Matrix = list[list[float]]
+
+
+def rows_of(kernel: Factors | Matrix) -> Matrix | None:
+    """The rows of a matrix, None for factors."""
+    if isinstance(kernel, tuple):
+        return None
+    if not kernel or len(kernel) % 2 == 0 or len(kernel[0]) % 2 == 0 or any(len(r) != len(kernel[0]) for r in kernel):
+        raise ValueError("a kernel needs rows of one odd length, and an odd number of them")
+    return kernel
 
 
 def gaussian_factor(size: int, sigma: float) -> list[float]:

@@ -1,7 +1,11 @@
 """Neighbourhood operators over long pixel tables (f, x, y, w, h and measures).
 
-A separable stencil is two passes of lag/lead windows, along x and then along y. Both window partitionings, (f, y) and
+A stencil is two passes of lag/lead windows, along x and then along y. Both window partitionings, (f, y) and
 (f, x), are satisfied by one exchange on f, so a chain of stencils sorts but never shuffles again.
+
+A kernel that is a whole matrix takes the same two passes: the first sums along x once for each of its rows, the second takes
+each of these sums from its own distance along y. That is as many window functions as a separable kernel of that size has
+(the sums share the taps), so a decomposition of the matrix into several separable kernels would never take fewer.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ def _column():
 class Stencil:
     source: str
     target: str
-    factors: kernels.Factors
+    factors: kernels.Factors | kernels.Matrix
 
 
 def _at(value: str, offset: int, window) -> Column:
@@ -58,20 +62,39 @@ def _tap(value: str, offset: int, window, border: str, place: str, size: str) ->
     return F.when(room > abs(offset), inner).otherwise(F.coalesce(mirrored, F.lit(0)))
 
 
-def _pass(df: DataFrame, jobs: Sequence[tuple[str, str, Sequence[float]]], window, border: str, place: str, size: str) -> DataFrame:
+#: Target, and its terms: column, offset, weight.
+Job = tuple[str, list[tuple[str, int, float]]]
+
+
+def _pass(df: DataFrame, jobs: Sequence[Job], window, border: str, place: str, size: str) -> DataFrame:
     made = []
-    for source, target, factor in jobs:
-        half = (len(factor) - 1) // 2
-        terms = [F.lit(k) * _tap(source, i - half, window, border, place, size) for i, k in enumerate(factor) if k]
-        made.append(sum(terms[1:], terms[0]).alias(target))
+    for target, terms in jobs:
+        columns = [F.lit(k) * _tap(source, offset, window, border, place, size) for source, offset, k in terms]
+        made.append(sum(columns[1:], columns[0]).alias(target) if columns else F.lit(0).alias(target))
     return df.select("*", *made)
 
 
+def _along(source: str, factor: Sequence[float]) -> list[tuple[str, int, float]]:
+    half = (len(factor) - 1) // 2
+    return [(source, i - half, k) for i, k in enumerate(factor) if k]
+
+
+def _jobs(s: Stencil) -> tuple[list[Job], Job]:
+    """What a stencil needs of the pass along x, and of that along y."""
+    rows = kernels.rows_of(s.factors)
+    if rows is None:
+        return [(f"{s.target}_x_", _along(s.source, s.factors[0]))], (f"{s.target}_y_", _along(f"{s.target}_x_", s.factors[1]))
+    some = [(j, terms) for j, row in enumerate(rows) if (terms := _along(s.source, row))]
+    half = (len(rows) - 1) // 2
+    return [(f"{s.target}_x{j}_", terms) for j, terms in some], (f"{s.target}_y_", [(f"{s.target}_x{j}_", j - half, 1) for j, _ in some])
+
+
 def convolve(df: DataFrame, stencils: Sequence[Stencil], border: str = "extend") -> DataFrame:
     """Adds the targets: correlations (kernels aren't flipped) of the sources. All share the two passes."""
     along_x, along_y = BORDERS[border]
-    first = _pass(df, [(s.source, f"{s.target}_x_", s.factors[0]) for s in stencils], _row(), along_x, "x", "w")
-    second = _pass(first, [(f"{s.target}_x_", f"{s.target}_y_", s.factors[1]) for s in stencils], _column(), along_y, "y", "h")
+    firsts, seconds = zip(*map(_jobs, stencils), strict=True)
+    first = _pass(df, [job for jobs in firsts for job in jobs], _row(), along_x, "x", "w")
+    second = _pass(first, seconds, _column(), along_y, "y", "h")
     targets = [s.target for s in stencils]
     return second.select(*(c for c in df.columns if c not in targets), *(F.col(f"{t}_y_").alias(t) for t in targets))
 

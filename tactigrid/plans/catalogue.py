@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tactigrid.functions import colour, kernels, matrices
-from tactigrid.operators import components, distance, fit, metrics, mixture, stencil, strokes
+from tactigrid.operators import components, distance, fit, metrics, mixture, stencil, strokes, tiles
 from tactigrid.plans import sql
 from tactigrid.session import checkpointed
 from tactigrid.sources import capture, frames
@@ -123,8 +123,21 @@ def _border(name: str) -> None:
     _query(f"WITH {sql.E}, {sql.convolve('o', 'e', {'s': ('v', kernels.BINOMIAL_5)}, stencil.BORDERS[name])} SELECT f, x, y, CAST(s AS BIGINT) AS s FROM o")(run)
 
 
+#: Five rows of seven weights that no one product of two factors gives.
+_MATRIX = [[(i * i + 2 * j * j + i * j) % 7 - 3 for i in range(7)] for j in range(5)]
+
+
+def _matrix(name: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return stencil.convolve(_e(spark, sf_dir), [stencil.Stencil("v", "s", _MATRIX)], name).select(*_KEY, _big("s"))
+
+    run.__name__ = f"kernel_{name}"
+    _query(f"WITH {sql.E}, {sql.correlate('o', 'e', _MATRIX, stencil.BORDERS[name])} SELECT f, x, y, CAST(s AS BIGINT) AS s FROM o")(run)
+
+
 for _name in stencil.BORDERS:
     _border(_name)
+    _matrix(_name)
 
 _GRAD = sql.convolve("g", "e", {"gx": ("v", kernels.SOBEL_X), "gy": ("v", kernels.SOBEL_Y)}, _ZERO, ("v",))
 _TENSOR = f"{_GRAD}, t0 AS (SELECT f, x, y, v, gx * gx AS sxx, gx * gy AS sxy, gy * gy AS syy FROM g)"
@@ -339,6 +352,18 @@ def labels_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.label_relational(_e(spark, sf_dir), 0.0, 4).select("f", F.col("x").cast("int").alias("x"), "y", "label")
 
 
+def _tiled(connectivity: int, labels: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return tiles.label(_e(spark, sf_dir), 0.0, connectivity, tile=3).labels
+
+    run.__name__ = f"labels_tiled_{connectivity}"
+    _query(f"WITH RECURSIVE {sql.E}, {labels} SELECT f, x, y, label FROM l WHERE label > 0")(run)
+
+
+_tiled(4, _L4)
+_tiled(8, _L8)
+
+
 @_query(f"WITH RECURSIVE {sql.E}, {sql.labels('l', 'e', 'v >= 10', 4)} SELECT f, x, y, label FROM l")
 def labels_inclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.label_pixels(frames.embedding_dense(spark, sf_dir), 10.0, 4, inclusive=True)
@@ -448,6 +473,21 @@ def distance_8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _distance_pixels(distance.distance_frames(ready, 1.5, connectivity=8)).where("distance is not null").select(*_KEY, _r("distance"))
 
 
+def _tiled_distances(name: str, connectivity: int, delta: float | None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        labelled = frames.to_long_columns(components.label_frames(frames.embedding_dense(spark, sf_dir), 0.0, 4), ["px", "label"])
+        ready = labelled.select(*_KEY, (F.col("label") % 2 == 1).alias("source"), (F.col("label") == 0).alias("mask"), (F.abs("px") / 100).alias("cost"))
+        return tiles.distance(ready, 1.5, connectivity=connectivity, tile=3, delta=delta).cells.select(*_KEY, _r("distance"))
+
+    run.__name__ = name
+    cells = "cells AS (SELECT f, x, y, label, abs(v) / 100e0 AS cost, label = 0 AS mask FROM l)"
+    _query(f"WITH RECURSIVE {sql.E}, {_L4}, {cells}, {sql.shortest('d', 'cells', 'label % 2 = 1', 1.5, connectivity)} SELECT f, x, y, round(d, 6) + 0e0 AS distance FROM d")(run)
+
+
+_tiled_distances("distance_tiled_4", 4, None)
+_tiled_distances("distance_tiled_8", 8, 0.5)
+
+
 @_query(f"WITH RECURSIVE {sql.E}, {_L4}, cells AS (SELECT f, x, y, label, abs(v) / 100e0 AS cost, v > -20 AND label = 0 AS mask FROM l), {sql.shortest('d', 'cells', 'label % 2 = 1', 1.5, 4)} SELECT f, x, y, round(d, 6) + 0e0 AS distance FROM d")
 def distance_through_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a mask that holds the chosen components themselves; they stay at 0."""

@@ -47,6 +47,13 @@ def convolve(name: str, source: str, outputs: Mapping[str, tuple[str, Factors]],
     return f"{name} AS (SELECT a.f, a.x, a.y, {kept}{sums} FROM {source} a CROSS JOIN (VALUES {rows}) k(dx, dy, {weights}) JOIN {source} b ON b.f = a.f AND b.x = {on_x} AND b.y = {on_y} GROUP BY a.f, a.x, a.y)"
 
 
+def correlate(name: str, source: str, kernel: list[list[int]], border: tuple[str, str], size: tuple[int, int] = (8, 8)) -> str:
+    """A table expression with f, x, y and s: the column v under a kernel of any shape, a row for each of its weights."""
+    weights = ", ".join(f"({i - len(row) // 2}, {j - len(kernel) // 2}, {k})" for j, row in enumerate(kernel) for i, k in enumerate(row))
+    on_x, on_y = _remap("a.x + k.dx", size[0], border[0]), _remap("a.y + k.dy", size[1], border[1])
+    return f"{name} AS (SELECT a.f, a.x, a.y, coalesce(sum(k.weight * b.v), 0) AS s FROM {source} a CROSS JOIN (VALUES {weights}) k(dx, dy, weight) LEFT JOIN {source} b ON b.f = a.f AND b.x = {on_x} AND b.y = {on_y} GROUP BY a.f, a.x, a.y)"
+
+
 def floor_removed(name: str, source: str) -> str:
     return f"{name} AS (SELECT f, x, y, greatest(v - avg(v) OVER (PARTITION BY f), 0e0) AS v FROM {source})"
 

@@ -54,6 +54,54 @@ def test_mirror_reflects_including_the_edge(spark):
     assert np.allclose(image(stencil.convolve(pixels(spark, a), [stencil.Stencil("v", "o", kernels.BINOMIAL_5)], "mirror"), "o", (3, 4)), want)
 
 
+PADDING = {"extend": ("edge", "edge"), "zero": ("constant", "constant"), "mirror": ("symmetric", "symmetric"), "mirror_x": ("symmetric", "constant"), "mirror_y": ("constant", "symmetric")}
+
+
+@pytest.mark.parametrize("border", PADDING)
+@pytest.mark.parametrize("shape", [(6, 9), (2, 4), (1, 1)])
+def test_kernels_of_any_matrix(spark, border, shape):
+    a, k = RNG.integers(-9, 9, shape).astype(float), RNG.integers(-4, 5, (5, 3)).astype(float)
+    k[3] = 0
+    assert np.linalg.matrix_rank(k) > 1
+    wide = np.pad(np.pad(a, ((0, 0), (1, 1)), PADDING[border][0]), ((2, 2), (0, 0)), PADDING[border][1])
+    if border in ("mirror", "mirror_y") and shape[0] < 2:  # what is further out than the frame is wide is 0
+        wide[:1] = wide[-1:] = 0
+    want = [[(wide[y : y + 5, x : x + 3] * k).sum() for x in range(shape[1])] for y in range(shape[0])]
+    got = stencil.convolve(pixels(spark, a), [stencil.Stencil("v", "o", k.tolist()), stencil.Stencil("v", "p", [[2.0]])], border)
+    assert np.allclose(image(got, "o", shape), want) and np.allclose(image(got, "p", shape), 2 * a)
+
+
+def test_odd_kernels(spark):
+    for bad in ([], [[1.0, 2.0]], [[1.0], [2.0]], [[1.0], [2.0, 3.0, 4.0], [5.0]]):
+        with pytest.raises(ValueError, match="odd"):
+            stencil.convolve(pixels(spark, np.eye(3)), [stencil.Stencil("v", "o", bad)])
+    assert np.allclose(image(stencil.convolve(pixels(spark, np.eye(3)), [stencil.Stencil("v", "o", [[0.0] * 3] * 3)]), "o", (3, 3)), 0)
+    text = stencil.convolve(frames.together(pixels(spark, np.eye(4))), [stencil.Stencil("v", "o", np.arange(25.0).reshape(5, 5).tolist())])._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1
+
+
+def test_strongest_maxima_of_a_frame(spark):
+    a = np.zeros((9, 9))
+    a[1, 1], a[1, 5], a[5, 1], a[5, 5], a[7, 7] = 3, 5, 5, 4, 1
+    got = stencil.strongest(stencil.local_maxima(pixels(spark, a, a * 2), "v", 0.5), 3).where("f = 1").orderBy("rank").collect()
+    assert [(r["x"], r["y"], r["v"]) for r in got] == [(5, 1, 10), (1, 5, 10), (5, 5, 8)]
+
+
+def test_splats_have_a_partition_for_each_task(spark):
+    """A few kB of contacts make megabytes of cells: adaptive execution mustn't put them into one partition."""
+    contacts = spark.range(4000).select((F.col("id") % 97).alias("f"), "id", (F.col("id") * 7 % 72).cast("int").alias("mx"), (F.col("id") * 13 % 48).cast("int").alias("my"), F.lit(0.5).alias("amplitude"))
+    made = frames.splat(contacts).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert made >= spark.sparkContext.defaultParallelism
+    assert frames.splat(contacts, partitions=11).rdd.getNumPartitions() == 11
+
+
+def test_components_are_measured_without_a_join(spark):
+    from tactigrid.plans import catalogue
+
+    text = catalogue.queries()["component_score"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and text.count("Exchange hashpartitioning") == 1
+
+
 def test_constant_frame_stays_and_has_no_floor(spark):
     a = np.full((5, 6), 3.0)
     assert np.allclose(image(stencil.smooth(pixels(spark, a), ["v"], 0.9), "v", a.shape), 3)
@@ -317,6 +365,14 @@ def test_stylus_samples(spark):
     assert [(r["kind"], r["serial"], r["idx"], r["mode"], r["x"]) for r in got] == [("serial", 123456789, 0, 3, 40000), ("serial", 123456789, 1, 1, 5), ("plain", None, 0, 3, 40000)]
 
 
+def test_cut_samples_are_told(spark):
+    sample = bytes(range(16))
+    content = device_buffer(record(capture.STYLUS, bytes((3, 0, 0, 0)) + sample), record(capture.STYLUS_SERIAL, bytes((2, 0, 0, 0, 1, 0, 0, 0)) + sample + sample[:9]), record(capture.STYLUS, bytes((1, 0))), record(capture.STYLUS, bytes((1, 0, 0, 0)) + sample))
+    made = spark.createDataFrame([("c", bytearray(content))], "path string, content binary")
+    assert [r["message"] for r in capture.diagnostics(made, "ERR").orderBy("pos").collect()] == ["2 of 3 samples are missing", "1 of 2 samples are missing", "header of samples is cut"]
+    assert capture.stylus(capture.reports(made)).count() == 3
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from([0x400, 0x403, 0x425, 0x800, 0x123]), st.binary(max_size=20)), max_size=6))
 def test_walk_returns_what_was_written(items):
