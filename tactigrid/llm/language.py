@@ -31,11 +31,21 @@ from tactigrid.llm.common import checkpointed, join_small, python_ready
 UNKNOWN = "und"
 
 
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
 @lru_cache(maxsize=1)
-def _no_letters() -> re.Pattern:
-    """Runs of anything but letters: of what Python takes for word characters, those that aren't letters are added one by one."""
-    others = "".join(c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    return re.compile(rf"[\W\d_{others}]+")
+def _other_word_characters() -> dict[int, str]:
+    """What Python takes for word characters that are neither letters nor digits (fractions, enclosed numbers), each to a space: rare, and over a thousand."""
+    return {ord(c): " " for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()}
+
+
+def _letters(text: str) -> str:
+    """Lower-cased, with one space for every run of anything but letters."""
+    text, others = text.lower(), _other_word_characters()
+    if not text.isascii() and not others.keys().isdisjoint(map(ord, set(text))):
+        text = text.translate(others)
+    return _NO_LETTERS.sub(" ", text).strip()
 
 
 @dataclass(frozen=True)
@@ -60,7 +70,7 @@ class LanguageModel:
 
 def ngram_counts(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, counts) of the n-grams of a text; (empty, empty) without letters."""
-    letters = _no_letters().sub(" ", text.lower()).strip()
+    letters = _letters(text)
     if not letters:
         return np.empty(0, np.int64), np.empty(0)
     points = np.frombuffer(f" {letters} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
