@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tactigrid.functions.matrices import eigenvalues, eigenvector
@@ -24,8 +26,28 @@ def ellipses(points: DataFrame, height: int | None = None, sigmas: float = 1.0)
 
 
 def overlay(found: DataFrame, cross: float = 1.0) -> DataFrame:
-    """What is drawn over a frame, one row per segment, from ellipses: kind (`axis_1`, `axis_2`, `cross_x`, `cross_y`), its ends and the contact's label."""
+    """What is drawn over a frame, one row per segment, from ellipses: kind (`axis_1`, `axis_2`, `cross_x`, `cross_y`), its ends and the contact's number; the outlines and texts are in `outlines` and `captions`."""
     cx, cy, turn = F.col("centre_x"), F.col("centre_y"), F.col("rotation")
     ends = {"axis_1": (F.col("axis_1") * F.sin(turn), F.col("axis_1") * F.cos(turn)), "axis_2": (F.col("axis_2") * F.cos(turn), -F.col("axis_2") * F.sin(turn)), "cross_x": (F.lit(cross), F.lit(0.0)), "cross_y": (F.lit(0.0), F.lit(cross))}
     segment = F.array(*(F.struct(F.lit(k).alias("kind"), (cx - dx).alias("x1"), (cy - dy).alias("y1"), (cx + dx).alias("x2"), (cy + dy).alias("y2")) for k, (dx, dy) in ends.items()))
     return found.select(*(c for c in found.columns if c in ("f", "touch_id")), F.inline(segment))
+
+
+def outlines(found: DataFrame, pieces: int = 32) -> DataFrame:
+    """The ellipses as `pieces` segments each, in the shape of `overlay`'s rows."""
+    cx, cy, turn = F.col("centre_x"), F.col("centre_y"), F.col("rotation")
+
+    def at(k: Column) -> tuple[Column, Column]:
+        along, across = F.col("axis_1") * F.cos(k * (2 * math.pi / pieces)), F.col("axis_2") * F.sin(k * (2 * math.pi / pieces))
+        return cx + along * F.sin(turn) + across * F.cos(turn), cy + along * F.cos(turn) - across * F.sin(turn)
+
+    each = found.select("*", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("piece_"))
+    (x1, y1), (x2, y2) = at(F.col("piece_")), at(F.col("piece_") + 1)
+    return each.select(*(c for c in found.columns if c in ("f", "touch_id")), F.lit("ellipse").alias("kind"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
+
+
+def captions(found: DataFrame) -> DataFrame:
+    """The texts beside each contact: confidence, aspect and scale with two digits, above each other, with their places."""
+    texts = ((3.0, "c:%.2f", "confidence"), (2.0, "a:%.2f", "aspect"), (1.0, "s:%.2f", "scale"))
+    lines = F.array(*(F.struct((F.col("centre_x") - 3.5).alias("x"), (F.col("centre_y") + dy).alias("y"), F.format_string(form, F.col(c)).alias("text")) for dy, form, c in texts))
+    return found.select(*(c for c in found.columns if c in ("f", "touch_id")), F.inline(lines))

@@ -6,6 +6,7 @@ items. Floats are rounded for comparison.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from tactigrid.functions import colour, kernels, matrices
 from tactigrid.operators import components, distance, fit, metrics, mixture, stencil, strokes, tiles
 from tactigrid.plans import sql
-from tactigrid.session import checkpointed
-from tactigrid.sources import capture, frames
+from tactigrid.session import checkpointed, shared_folder
+from tactigrid.sources import capture, frames, images, splits
 from tactigrid.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -997,6 +998,18 @@ def capture_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("capture", "frame", (F.col("i") % F.col("w")).cast("int").alias("x"), F.expr("cast(i div w as int)").alias("y"), F.round((1 - F.col("v")) * 255).cast("int").alias("b"))
 
 
+@_query(f"WITH {sql.E}, o AS (SELECT f, dense_rank() OVER (PARTITION BY f // 4096 ORDER BY f) - 1 AS frame, x, y, v, f // 4096 AS part FROM e) SELECT 'capture-' || lpad(CAST(part AS VARCHAR), 8, '0') AS capture, frame, x, y, CAST(least(greatest(v + 128, 0), 255) AS INTEGER) AS b FROM o")
+def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of up to 4096 frames written as files to the shared folder and read back in ranges of whole records, 16 kB each, by many tasks."""
+    dense = frames.embedding_dense(spark, sf_dir).withColumn("px", F.transform("px", lambda v: F.least(F.greatest(v + 128, F.lit(0)), F.lit(255))))
+    folder = f"{shared_folder(spark).rstrip('/')}/captures-{uuid.uuid4().hex}"
+    spark.dataSource.register(splits.FileSink)
+    capture.encode_frames(dense, per_capture=4096).write.format("tactigrid-files").mode("append").save(folder)
+    found = capture.heatmaps(capture.reports(splits.read_splits(splits.record_splits(spark, folder, 16 << 10))))
+    cells = found.select(F.substring_index("capture", "/", -1).alias("capture"), F.col("f").alias("frame"), "w", F.posexplode("px").alias("i", "v"))
+    return cells.select("capture", "frame", (F.col("i") % F.col("w")).cast("int").alias("x"), F.expr("cast(i div w as int)").alias("y"), F.round((1 - F.col("v")) * 255).cast("int").alias("b"))
+
+
 @_query("WITH n AS (SELECT vec_id // 64 AS part, count(*) AS frames FROM embeddings GROUP BY ALL) SELECT 'capture-' || lpad(CAST(part AS VARCHAR), 8, '0') AS capture, CAST(3 AS INTEGER) AS level, 'data' AS kind, CAST(1 AS BIGINT) AS n FROM n")
 def parse_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = _captures(spark, sf_dir).withColumn("content", F.expr("substring(content, 1, length(content) - 1)"))
@@ -1047,6 +1060,24 @@ def stage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("stage", "n", "total_us", _r("mean_us"), _r("var_us2", 4), _r("stddev_us"), "min_us", "max_us")
 
 
+# ---- images
+
+_YEARS = "q AS (SELECT CAST(year(l_shipdate) AS BIGINT) AS f, CAST(l_orderkey % 72 AS INTEGER) AS x, CAST(l_partkey % 48 AS INTEGER) AS y, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY ALL), a AS (SELECT f, CAST(i % 72 AS INTEGER) AS x, CAST(i // 72 AS INTEGER) AS y FROM (SELECT DISTINCT f FROM q), range(3456) t(i)), g AS (SELECT f, x, y, coalesce(v, 0e0) AS v FROM a LEFT JOIN q USING (f, x, y)), l AS (SELECT f, x, y, CAST(floor(v / max(v) OVER (PARTITION BY f) * 255 + 0.5e0) AS INTEGER) AS level FROM g)"
+
+
+@_query(f"WITH {_YEARS} SELECT f, x, y, level AS r, level AS g, level AS b FROM l")
+def frame_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years of line items as grey PNG files in the shared folder, read back by Spark's own image reader."""
+    cells = frames.quantity_pixels(spark, sf_dir).withColumn("v", F.col("v") / F.max("v").over(Window.partitionBy("f")))
+    folder = f"{shared_folder(spark).rstrip('/')}/images-{uuid.uuid4().hex}"
+    spark.dataSource.register(images.PngSink)
+    images.plots(images.coloured(cells, colour.grayscale)).write.format("tactigrid-png").mode("append").save(folder)
+    found = spark.read.format("image").load(folder).select(F.regexp_extract("image.origin", r"out-(\d+)\.png$", 1).cast("long").alias("number"), F.col("image.width").alias("w"), F.hex("image.data").alias("data"))
+    each = found.select((F.col("number") - 1).alias("f"), "w", "data", F.explode(F.sequence(F.lit(0), F.expr("length(data) div 6 - 1"))).alias("i"))
+    level = lambda k: F.conv(F.substring("data", 6 * F.col("i") + 2 * k + 1, F.lit(2)), 16, 10).cast("int")
+    return each.select("f", (F.col("i") % F.col("w")).cast("int").alias("x"), F.expr("cast(i div w as int)").alias("y"), level(2).alias("r"), level(1).alias("g"), level(0).alias("b"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contacts of all splatted frames."""
     return touchpoints(spark, sf_dir)

@@ -117,13 +117,14 @@ def _decoded(captures: DataFrame, wanted: str, schema: str, oneshot: bool, stric
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, start, content in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 lost = ("note", 0, LEVELS["ERR"], "data", None, "nothing was read")
-                rows = [(name, *r[1:]) for r in ([lost] if content is None else walk(content, oneshot, strict)) if r[0] == wanted]
+                rows = [(name, start + r[1], *r[2:]) for r in ([lost] if content is None else walk(content, oneshot, strict)) if r[0] == wanted]
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    return captures.select(F.col("path").alias("capture"), "content").mapInArrow(run, schema)
+    start = F.col("start").cast("long") if "start" in captures.columns else F.lit(0).cast("long")  # of a part of a file
+    return captures.select(F.col("path").alias("capture"), start.alias("start"), "content").mapInArrow(run, schema)
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
