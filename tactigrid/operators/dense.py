@@ -6,6 +6,9 @@ the whole pipeline can run in one pass over dense frames, without an exchange.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 import numpy as np
 
 from tactigrid.functions import kernels
@@ -172,26 +175,60 @@ def solved(matrix: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return found, chi[finite]
 
 
-def touch_points(frames: np.ndarray, include: float = 0.6, limit: float = 6.0, peak: float = 0.05, max_aspect: float = 2.0) -> list[list[tuple[float, float, float, float, float, float, float]]]:
-    """Per frame: (confidence, scale, mean x, mean y, cov xx, xy, yy) of the accepted contacts."""
+#: Of the contact pipeline, in order; `total` holds all.
+STAGES = ("preprocessing", "structure-tensor", "structure-tensor.eigenvalues", "hessian", "ridge", "objective", "objective.maximas", "labels", "component-score", "distance-transform", "filter", "filter.maximas", "gaussian-fitting", "total")
+
+
+class Laps:
+    """Microseconds of each stage, for one batch of frames."""
+
+    def __init__(self) -> None:
+        self.begun = self.last = time.perf_counter()
+        self.us: dict[str, float] = {}
+
+    def __call__(self, stage: str) -> None:
+        now = time.perf_counter()
+        self.us[stage] = self.us.get(stage, 0.0) + (now - self.last) * 1e6
+        self.last = now
+        self.us["total"] = (now - self.begun) * 1e6
+
+
+def touch_points(frames: np.ndarray, include: float = 0.6, limit: float = 6.0, peak: float = 0.05, max_aspect: float = 2.0, lap: Callable[[str], None] = lambda stage: None) -> list[list[tuple[float, float, float, float, float, float, float]]]:
+    """Per frame: (confidence, scale, mean x, mean y, cov xx, xy, yy) of the accepted contacts. lap is called at the end of each stage."""
     v = correlate(frames, kernels.gaussian(5, 0.9), "extend")
     v = np.maximum(v - v.mean((1, 2), keepdims=True), 0)
+    lap("preprocessing")
     gx, gy = correlate(v, kernels.SOBEL_X, "zero"), correlate(v, kernels.SOBEL_Y, "zero")
     soft = kernels.gaussian(5, 1.0)
-    e1, e2 = eigenvalues(*(correlate(t, soft, "extend") for t in (gx * gx, gx * gy, gy * gy)))
-    k1, k2 = eigenvalues(*(correlate(correlate(v, k, "zero"), soft, "extend") for k in (kernels.SOBEL_XX, kernels.SOBEL_XY, kernels.SOBEL_YY)))
+    tensor = [correlate(t, soft, "extend") for t in (gx * gx, gx * gy, gy * gy)]
+    lap("structure-tensor")
+    e1, e2 = eigenvalues(*tensor)
+    lap("structure-tensor.eigenvalues")
+    second = [correlate(correlate(v, k, "zero"), soft, "extend") for k in (kernels.SOBEL_XX, kernels.SOBEL_XY, kernels.SOBEL_YY)]
+    lap("hessian")
+    k1, k2 = eigenvalues(*second)
     ridge = np.maximum(k1, 0) + np.maximum(k2, 0)
-    lab = labels(v - 1.5 * ridge > 0)
+    lap("ridge")
+    foreground = v - 1.5 * ridge > 0
+    lap("objective")
+    peaks_of_v = local_maxima(v, peak)
+    lap("objective.maximas")
+    lab = labels(foreground)
+    lap("labels")
     with np.errstate(divide="ignore", invalid="ignore"):
         coherence = np.where(e1 + e2 != 0, (e1 - e2) / (e1 + e2), 1.0)
-    score = component_scores(lab, v, coherence, local_maxima(v, peak))
+    score = component_scores(lab, v, coherence, peaks_of_v)
+    lap("component-score")
     own = np.take_along_axis(score, lab.reshape(len(lab), -1), 1).reshape(lab.shape)
     cost, mask = 9 * ridge + np.maximum(e1, 0) + np.maximum(e2, 0), (v > 0) & (lab == 0)
     inside, outside = (distances((lab > 0) & chosen, mask, cost, limit) for chosen in (own > include, own <= include))
+    lap("distance-transform")
     wi, we = np.exp(-(inside**2)), np.exp(-(outside**2))
     total = wi + we
     filtered = v * np.where(total > 0, wi / np.where(total > 0, total, 1), 0.0)
+    lap("filter")
     found = local_maxima(filtered, peak)
+    lap("filter.maximas")
     out = []
     for i in range(len(frames)):
         peaks = [(int(x), int(y)) for y, x in np.argwhere(found[i])]
@@ -211,4 +248,5 @@ def touch_points(frames: np.ndarray, include: float = 0.6, limit: float = 6.0, p
             x, y = min(max(x, 0), lab.shape[2] - 1), min(max(y, 0), lab.shape[1] - 1)
             points.append((float(score[i, lab[i, y, x]]), scale, float(mean[0]), float(mean[1]), float(cov[0, 0]), float(cov[0, 1]), float(cov[1, 1])))
         out.append(points)
+    lap("gaussian-fitting")
     return out

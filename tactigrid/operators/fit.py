@@ -203,24 +203,34 @@ def accepted(cands: DataFrame, max_aspect: float = 2.0) -> DataFrame:
     return d.withColumn("cov", inverse(F.col("pxx"), F.col("pxy"), F.col("pyy"), 1e-40)).where("cov is not null")
 
 
-def touch_points(frames: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Dense frames (f, w, h, px) to f, touch_id, confidence, scale, mean, cov: the whole pipeline in one pass, without an exchange. Columns named in carry go along, first."""
+def touch_points(frames: DataFrame, carry: tuple[str, ...] = (), timed: bool = False) -> DataFrame:
+    """Dense frames (f, w, h, px) to f, touch_id, confidence, scale, mean, cov: the whole pipeline in one pass, without an exchange. Columns named in carry go along, first.
+
+    timed: the same run also gives rows with `stage`, `n` (frames) and `us` (microseconds), one for each batch and stage, and
+    nothing else; contacts have nulls there. `metrics.observed_stages` sums them while the contacts are written.
+    """
     ship_package(frames.sparkSession)
     names = ["f", "touch_id", "confidence", "scale", "mean_x", "mean_y", "cov_xx", "cov_xy", "cov_yy"]
     types = [pa.int64(), pa.int32(), *[pa.float64()] * 7]
+    told = [("stage", pa.string()), ("n", pa.int64()), ("us", pa.float64())] if timed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows, source = batch.column("f").to_pylist(), [], []
+            laps = []
             for places, (px,) in stacks(batch, ["px"]):
-                for place, points in zip(places, dense.touch_points(px), strict=True):
+                lap = dense.Laps()
+                for place, points in zip(places, dense.touch_points(px, lap=lap), strict=True):
                     rows += [(ids[place], i, *p) for i, p in enumerate(points)]
                     source += [place] * len(points)
+                laps += [(stage, len(px), us) for stage, us in lap.us.items()] if timed else []
+            rows, source = rows + [(None,) * len(names)] * len(laps), source + [None] * len(laps)
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             kept = [batch.column(c).take(pa.array(source, pa.int64())) for c in carry]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], names=[*carry, *names])
+            of_laps = [pa.array([None] * (len(rows) - len(laps)) + [x[k] for x in laps], t) for k, (_, t) in enumerate(told)]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True)), *of_laps], names=[*carry, *names, *(c for c, _ in told)])
 
     given = frames.select(*carry, F.col("f").cast("long").alias("f"), "w", "h", F.col("px").cast("array<double>").alias("px"))
-    schema = ", ".join([*(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in carry), "f long, touch_id int", *(f"{n} double" for n in names[2:])])
+    schema = ", ".join([*(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in carry), "f long, touch_id int", *(f"{n} double" for n in names[2:]), *(["stage string, n long, us double"] if timed else [])])
     flat = given.mapInArrow(run, schema)
-    return flat.select(*carry, "f", "touch_id", "confidence", "scale", F.struct(F.col("mean_x").alias("x"), F.col("mean_y").alias("y")).alias("mean"), F.struct(F.col("cov_xx").alias("xx"), F.col("cov_xy").alias("xy"), F.col("cov_yy").alias("yy")).alias("cov"))
+    return flat.select(*carry, "f", "touch_id", "confidence", "scale", F.struct(F.col("mean_x").alias("x"), F.col("mean_y").alias("y")).alias("mean"), F.struct(F.col("cov_xx").alias("xx"), F.col("cov_xy").alias("xy"), F.col("cov_yy").alias("yy")).alias("cov"), *(c for c, _ in told))

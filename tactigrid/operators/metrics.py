@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tactigrid.functions.matrices import eigenvalues, eigenvector
+from tactigrid.operators.dense import STAGES
 
 
 def stage_metrics(durations: DataFrame) -> DataFrame:
@@ -15,6 +16,26 @@ def stage_metrics(durations: DataFrame) -> DataFrame:
     return durations.groupBy("stage").agg(F.count("us").alias("n"), F.sum("us").alias("total_us"), F.avg("us").alias("mean_us"), F.var_samp("us").alias("var_us2"), F.stddev_samp("us").alias("stddev_us"), F.min("us").alias("min_us"), F.max("us").alias("max_us"))
 
 
+def observed_stages(timed: DataFrame, observation: Observation) -> DataFrame:
+    """The contacts of `fit.touch_points(timed=True)`; the action that reads them also fills the observation, see `stages_of`."""
+    sums = [F.count_if(F.col("stage").isNull()).alias("contacts")]
+    for stage in STAGES:
+        own = F.when(F.col("stage") == stage, F.col("us"))
+        each = own / F.col("n")
+        sums += [F.sum(F.when(F.col("stage") == stage, F.col("n"))).alias(f"{stage}:n"), F.sum(own).alias(f"{stage}:total_us"), F.sum(own * each).alias(f"{stage}:squares"), F.min(each).alias(f"{stage}:min_us"), F.max(each).alias(f"{stage}:max_us")]
+    return timed.observe(observation, *sums).where("stage is null").drop("stage", "n", "us")
+
+
+def stages_of(seen: dict) -> tuple[int, list[dict]]:
+    """Contacts, and of each stage (in order): stage, frames, total, mean and deviation (of the batches' means), least and most microseconds of a frame, of an observation's values."""
+    out = []
+    for stage in STAGES:
+        n, total, squares, low, high = (seen.get(f"{stage}:{k}") or 0 for k in ("n", "total_us", "squares", "min_us", "max_us"))
+        mean = total / n if n else 0.0
+        out.append({"stage": stage, "n": n, "total_us": float(total), "mean_us": mean, "stddev_us": math.sqrt(max(squares / n - mean * mean, 0.0)) if n else 0.0, "min_us": float(low), "max_us": float(high)})
+    return seen.get("contacts") or 0, out
+
+
 def ellipses(points: DataFrame, height: int | None = None, sigmas: float = 1.0) -> DataFrame:
     """From mean and cov: half axes (times sigmas), rotation, aspect, and the centre with y flipped if a height is given."""
     xx, xy, yy = F.col("cov.xx"), F.col("cov.xy"), F.col("cov.yy")

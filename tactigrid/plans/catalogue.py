@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tactigrid.functions import colour, kernels, matrices
+from tactigrid.functions import colour, kernels, matrices, registration
 from tactigrid.operators import components, distance, fit, metrics, mixture, stencil, strokes, tiles
 from tactigrid.plans import sql
 from tactigrid.session import checkpointed, shared_folder
@@ -998,6 +998,41 @@ def capture_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("capture", "frame", (F.col("i") % F.col("w")).cast("int").alias("x"), F.expr("cast(i div w as int)").alias("y"), F.round((1 - F.col("v")) * 255).cast("int").alias("b"))
 
 
+@_query(
+    f"WITH {sql.E}, n AS (SELECT *, 'capture-' || lpad(CAST(f // 64 AS VARCHAR), 8, '0') AS capture FROM e), o AS (SELECT capture, f, dense_rank() OVER (PARTITION BY capture ORDER BY f) - 1 AS frame, x, y, v FROM n)"
+    " SELECT capture, frame, x, y, CAST(least(greatest(v + 128, 0), 255) AS INTEGER) AS b FROM o"
+)
+def capture_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures decoded in SQL, by the table function."""
+    registration.register(spark)
+    return spark.sql(
+        """
+        WITH r AS (
+          SELECT path AS capture, pos, report_type, payload, last_value(CASE WHEN report_type = 1027 THEN payload END) IGNORE NULLS OVER (PARTITION BY path ORDER BY pos) AS dim
+          FROM {captures}, LATERAL decode_capture(path, content) WHERE report_type IN (1027, 1061)
+        ), f AS (
+          SELECT capture, row_number() OVER (PARTITION BY capture ORDER BY pos) - 1 AS frame, hex(payload) AS cells, cast(conv(substr(hex(dim), 3, 2), 16, 10) AS INT) AS w FROM r WHERE report_type = 1061
+        )
+        SELECT capture, cast(frame AS BIGINT) AS frame, cast(i % w AS INT) AS x, cast(i div w AS INT) AS y, cast(conv(substr(cells, 2 * i + 1, 2), 16, 10) AS INT) AS b
+        FROM f, LATERAL explode(sequence(0, length(cells) div 2 - 1)) AS t(i)
+        """,
+        captures=_captures(spark, sf_dir),
+    )
+
+
+@_query(f"WITH {sql.E}, {_EIG} SELECT f, x, y, round(greatest(e1, 0e0) + greatest(e2, 0e0), 5) + 0e0 AS ridge, round(CASE WHEN e1 + e2 <> 0 THEN (e1 - e2) / (e1 + e2) ELSE 1e0 END, 6) + 0e0 AS coherence FROM q")
+def measures_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eigenvalues, ridge and coherence of smoothed structure tensors, by the registered SQL functions."""
+    registration.register(spark)
+    return spark.sql(
+        """
+        WITH q AS (SELECT f, x, y, grid_eigenvalue_1(sxx, sxy, syy) AS e1, grid_eigenvalue_2(sxx, sxy, syy) AS e2 FROM {tensors})
+        SELECT f, x, y, round(grid_ridge(e1, e2), 5) + 0D AS ridge, round(grid_coherence(e1, e2), 6) + 0D AS coherence FROM q
+        """,
+        tensors=stencil.structure_tensor(_e(spark, sf_dir), 1.0),
+    )
+
+
 @_query(f"WITH {sql.E}, o AS (SELECT f, dense_rank() OVER (PARTITION BY f // 4096 ORDER BY f) - 1 AS frame, x, y, v, f // 4096 AS part FROM e) SELECT 'capture-' || lpad(CAST(part AS VARCHAR), 8, '0') AS capture, frame, x, y, CAST(least(greatest(v + 128, 0), 255) AS INTEGER) AS b FROM o")
 def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures of up to 4096 frames written as files to the shared folder and read back in ranges of whole records, 16 kB each, by many tasks."""

@@ -19,7 +19,7 @@ from tactigrid.sources import frames
 from tactigrid.sources.splits import FileSink, FileWriter
 
 #: Colours of what is drawn, by kind.
-COLOURS = {"cross_x": (255, 255, 0), "cross_y": (255, 255, 0), "ellipse": (255, 0, 0), "axis_1": (255, 0, 0), "axis_2": (255, 0, 0)}
+COLOURS = {"cross_x": (255, 0, 0), "cross_y": (255, 0, 0), "ellipse": (255, 0, 0), "axis_1": (0, 0, 0), "axis_2": (0, 0, 0)}
 #: Letters of three by five dots: five rows of three bits, each as an octal digit.
 GLYPHS = {"0": "75557", "1": "26227", "2": "71747", "3": "71717", "4": "55711", "5": "74717", "6": "74757", "7": "71111", "8": "75757", "9": "75717", ".": "00002", "-": "00700", ":": "02020", "a": "07357", "c": "07447", "s": "03426"}
 
@@ -100,13 +100,13 @@ def coloured(pixels: DataFrame, map_=colour.cubehelix, column: str = "v") -> Dat
 
 
 def plots(cells: DataFrame, contacts: DataFrame | None = None, sigmas: float = 1.0) -> DataFrame:
-    """Rows for PngSink: cells (f, x, y, w, h, r, g, b) by frame, with crosses, ellipses and captions of contacts (f, touch_id, confidence, scale, mean, cov). number: of the frame, f + 1."""
+    """Rows for PngSink: cells (f, x, y, w, h, r, g, b) by frame, with axes, crosses, ellipses and captions of contacts (f, touch_id, confidence, scale, mean, cov). number: of the frame, f + 1."""
     rows = frames.to_dense_columns(cells, ["r", "g", "b"])
     if contacts is None:
         drawn = rows.withColumns({"segments": F.lit(None), "captions": F.lit(None)})
     else:
         found = metrics.ellipses(contacts, sigmas=sigmas)
-        lines = metrics.overlay(found, 0.4).where("kind like 'cross%'").unionByName(metrics.outlines(found))
+        lines = metrics.overlay(found, 0.4).unionByName(metrics.outlines(found))
         segments = lines.groupBy("f").agg(F.sort_array(F.collect_list(F.struct("kind", "x1", "y1", "x2", "y2"))).alias("segments"))
         captions = metrics.captions(found).groupBy("f").agg(F.sort_array(F.collect_list(F.struct("x", "y", "text"))).alias("captions"))
         drawn = rows.join(segments, "f", "left").join(captions, "f", "left")
