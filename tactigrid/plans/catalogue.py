@@ -17,7 +17,7 @@ from tactigrid.operators import components, distance, fit, metrics, mixture, ste
 from tactigrid.plans import sql
 from tactigrid.session import checkpointed, shared_folder
 from tactigrid.sources import capture, frames, images, splits
-from tactigrid.streaming import live
+from tactigrid.streaming import event_time, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -1085,6 +1085,28 @@ def report_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture.timestamps(capture.reports(_pen_captures(spark, sf_dir))).select("capture", "counter", "timestamp")
 
 
+#: Of report k of a device, every 25th of which is 30 reports old: ticks, modulo 2^32 as sent. Windows of 2e9 ticks, 7e9 late at most.
+_CLOCKS = """p AS (SELECT event_id % 40 AS device, event_id // 400 AS k FROM events GROUP BY ALL),
+t AS (SELECT device, k, (CASE WHEN k % 25 = 24 AND k >= 30 THEN k - 30 ELSE k END) * 700000000 AS raw FROM p),
+u AS (SELECT *, raw - (min(k) OVER d * 700000000 - min(k) OVER d * 700000000 % 4294967296) AS ticks FROM t WINDOW d AS (PARTITION BY device)),
+w AS (SELECT *, ticks // 2000000000 * 2000000000 AS start, max(ticks) OVER (PARTITION BY device ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest, max(ticks) OVER (PARTITION BY device) AS last FROM u),
+l AS (SELECT *, coalesce(start + 2000000000 <= newest - 7000000000, FALSE) AS late FROM w)"""
+
+
+@_query(
+    f"WITH {_CLOCKS} SELECT CAST(device AS VARCHAR) AS device, 'late' AS kind, start, CAST(1 AS BIGINT) AS n, ticks FROM l WHERE late"
+    " UNION ALL SELECT CAST(device AS VARCHAR), 'window', start, count(*), CAST(NULL AS BIGINT) FROM l WHERE NOT late AND start + 2000000000 <= last - 7000000000 GROUP BY device, start"
+)
+def report_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timestamp reports of pens whose clocks wrap, counted in closed windows, and the late ones."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    i, k = F.col("event_id"), F.expr("event_id div 400")
+    sent = F.when((k % 25 == 24) & (k >= 30), k - 30).otherwise(k) * 700_000_000
+    zero = F.lit(0)
+    samples = events.select(F.concat((i % 40).cast("string"), F.lit("/0/"), F.expr("event_id div 4000").cast("string")).alias("capture"), k.alias("report"), F.expr("event_id div 40 % 10").alias("idx"), F.lit(None).cast("long").alias("serial"), (sent % (1 << 32)).alias("timestamp"), *(zero.alias(c) for c in ("mode", "x", "y", "pressure", "altitude", "azimuth")))
+    return event_time.windows(capture.encode_samples(samples), 2_000_000_000, 7_000_000_000).select("device", "kind", "start", "n", "ticks")
+
+
 # ---- metrics
 
 

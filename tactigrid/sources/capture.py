@@ -271,7 +271,7 @@ def _encode_samples(group: pd.DataFrame) -> pd.DataFrame:
             kind, body = STYLUS, struct.pack("<B3x", len(rows)) + samples
         else:
             kind, body = STYLUS_SERIAL, struct.pack("<B3xI", len(rows), int(serial)) + samples
-        time = REPORT.pack(TIMESTAMP, 8) + struct.pack("<2xHI", number & 0xFFFF, int(rows["timestamp"].iloc[0]))
+        time = REPORT.pack(TIMESTAMP, 8) + struct.pack("<2xHI", number & 0xFFFF, int(rows["timestamp"].iloc[0]) & 0xFFFFFFFF)
         frame = time + REPORT.pack(kind, len(body)) + body
         frame = FRAME.pack(number & 0xFFFF, REPORT_FRAMES[2], len(frame)) + frame
         out.append(DATA.pack(DATA_PAYLOAD, PAYLOAD.size + len(frame), 0) + PAYLOAD.pack(number, 1) + frame)

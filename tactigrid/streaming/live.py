@@ -28,11 +28,24 @@ OUTPUT = "device string, epoch long, number long, pos long, f long, w int, h int
 _COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
 
 
+def placed(found: DataFrame) -> DataFrame:
+    """Rows of captures named `device/epoch/number`, with these three."""
+    pattern = r"^(.*)/(\d+)/(\d+)$"
+    numbers = {c: F.regexp_extract("capture", pattern, k).try_cast("long") for k, c in ((2, "epoch"), (3, "number"))}
+    return found.withColumns({"device": F.regexp_extract("capture", pattern, 1), **numbers})
+
+
 def buffer_reports(buffers: DataFrame) -> DataFrame:
     """Dimensions and heatmaps of buffers (path, content): device, epoch, number, pos, report_type, payload."""
-    parts = F.regexp_extract("capture", r"^(.*)/(\d+)/(\d+)$", 1), *(F.regexp_extract("capture", r"^(.*)/(\d+)/(\d+)$", k).try_cast("long") for k in (2, 3))
     found = capture.reports(buffers).where(F.col("report_type").isin(capture.DIMENSIONS, capture.HEATMAP))
-    return found.select(parts[0].alias("device"), parts[1].alias("epoch"), parts[2].alias("number"), "pos", "report_type", "payload")
+    return placed(found).select("device", "epoch", "number", "pos", "report_type", "payload")
+
+
+def needs_rocks(spark: SparkSession) -> None:
+    """The RocksDB state store, for a session that names none; and the coordinator of state stores, which a table needs too."""
+    if "HDFSBackedStateStoreProvider" in spark.conf.get(_STORE):
+        spark.conf.set(_STORE, _ROCKS)
+    spark.streams.active  # noqa: B018  starts the coordinator
 
 
 class FrameAssembler(StatefulProcessor):
@@ -95,9 +108,7 @@ def assembled(buffers: DataFrame, idle_seconds: float | None = None, across_rese
     """
     spark = buffers.sparkSession
     ship_package(spark)
-    if "HDFSBackedStateStoreProvider" in spark.conf.get(_STORE):
-        spark.conf.set(_STORE, _ROCKS)
-    spark.streams.active  # noqa: B018  this starts the coordinator of state stores, which a table needs too
+    needs_rocks(spark)
     keys = ["device"] if across_resets else ["device", "epoch"]
     given = buffer_reports(buffers)
     return given.groupBy(*keys).transformWithStateInPandas(FrameAssembler(idle_seconds), OUTPUT, "Append", "None" if idle_seconds is None else "ProcessingTime")
