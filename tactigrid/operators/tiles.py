@@ -20,6 +20,8 @@ from tactigrid.operators.contraction import contract
 from tactigrid.session import checkpointed, ship_package
 
 _TILE = ["f", "tx", "ty"]
+#: Of a stack of tiles that numpy solves at once.
+CELLS = 1 << 19
 
 
 def _with_tiles(pixels: DataFrame, tile: int) -> DataFrame:
@@ -36,23 +38,43 @@ class Labelled:
     rounds: int
 
 
+def _slices(rows: int, tile: int) -> Iterator[slice]:
+    """Rows of a batch, some at a time: so many that their tiles together have about CELLS cells."""
+    several = max(1, CELLS // (tile * tile))
+    yield from (slice(k, min(k + several, rows)) for k in range(0, rows, several))
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Of a column of lists of structs: each struct's row, and its fields."""
+    lengths = np.diff(column.offsets.to_numpy())
+    inner = column.flatten()
+    return np.repeat(np.arange(len(lengths)), lengths), {inner.type.field(k).name: x.to_numpy(zero_copy_only=False) for k, x in enumerate(inner.flatten())}
+
+
 def _local_components(pixels: DataFrame, tile: int, connectivity: int) -> DataFrame:
     """f, x, y, part, edge: of foreground pixels (f, x, y, w), the least raster index of their component within the tile, and whether they are on its border."""
     ship_package(pixels.sparkSession)
 
-    def label(table: pa.Table) -> pa.Table:
-        x, y, w = (table.column(c).to_numpy().astype(np.int64) for c in ("x", "y", "w"))
-        own_x, own_y = x % tile, y % tile
-        mask = np.zeros((1, tile, tile), bool)
-        mask[0, own_y, own_x] = True
-        found = dense.labels(mask, connectivity)[0, own_y, own_x]
-        least = np.full(found.max(initial=0) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, found, y * w + x)
-        edge = (own_x == 0) | (own_x == tile - 1) | (own_y == 0) | (own_y == tile - 1)
-        return pa.table({"f": table.column("f"), "x": pa.array(x, pa.int32()), "y": pa.array(y, pa.int32()), "part": pa.array(least[found], pa.int64()), "edge": pa.array(edge)})
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for some in _slices(whole.num_rows, tile):
+                batch = whole.slice(some.start, some.stop - some.start)
+                row, cell = _flat(batch.column("cells"))
+                x, y = cell["x"].astype(np.int64), cell["y"].astype(np.int64)
+                own_x, own_y = x % tile, y % tile
+                mask = np.zeros((batch.num_rows, tile, tile), bool)
+                mask[row, own_y, own_x] = True
+                found = dense.labels(mask, connectivity)[row, own_y, own_x]
+                key = row * (found.max(initial=0) + 1) + found
+                least = np.full(key.max(initial=0) + 1, np.iinfo(np.int64).max)
+                np.minimum.at(least, key, y * batch.column("w").to_numpy()[row] + x)
+                edge = (own_x == 0) | (own_x == tile - 1) | (own_y == 0) | (own_y == tile - 1)
+                columns = [batch.column("f").take(pa.array(row)), pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(least[key], pa.int64()), pa.array(edge)]
+                yield pa.RecordBatch.from_arrays(columns, names=["f", "x", "y", "part", "edge"])
 
     keyed = _with_tiles(pixels.select(F.col("f").cast("long").alias("f"), "x", "y", "w"), tile)
-    return keyed.groupBy(*_TILE).applyInArrow(label, "f long, x int, y int, part long, edge boolean")
+    gathered = keyed.groupBy(*_TILE).agg(F.max("w").cast("long").alias("w"), F.collect_list(F.struct("x", "y")).alias("cells"))
+    return gathered.select("f", "w", "cells").mapInArrow(label, "f long, x int, y int, part long, edge boolean")
 
 
 def _numbered(roots: DataFrame) -> DataFrame:
@@ -104,23 +126,29 @@ def _cells(pixels: DataFrame, tile: int) -> DataFrame:
     """f, tx, ty, start (whether there is a source), kind (a byte a cell, 0 where there is none), cost (doubles): tiles of pixels (f, x, y, source, mask, cost)."""
     ship_package(pixels.sparkSession)
 
-    def pack(table: pa.Table) -> pa.Table:
-        at = (table.column("y").to_numpy() % tile) * tile + table.column("x").to_numpy() % tile
-        kind, cost = np.zeros(tile * tile, np.uint8), np.zeros(tile * tile)
-        kind[at], cost[at] = table.column("kind").to_numpy(), table.column("cost").to_numpy()
-        return pa.table({c: table.column(c).slice(0, 1) for c in _TILE} | {"start": [bool((kind == _SOURCE).any())], "kind": [kind.tobytes()], "cost": [cost.tobytes()]})
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for some in _slices(whole.num_rows, tile):
+                batch = whole.slice(some.start, some.stop - some.start)
+                row, cell = _flat(batch.column("cells"))
+                at = cell["y"] % tile * tile + cell["x"] % tile
+                kind, cost = np.zeros((batch.num_rows, tile * tile), np.uint8), np.zeros((batch.num_rows, tile * tile))
+                kind[row, at], cost[row, at] = cell["kind"], cell["cost"]
+                columns = [*(batch.column(c) for c in _TILE), pa.array((kind == _SOURCE).any(1)), pa.array([k.tobytes() for k in kind], pa.binary()), pa.array([c.tobytes() for c in cost], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*_TILE, "start", "kind", "cost"])
 
     kind = F.when(F.col("source"), _SOURCE).when(F.col("mask"), _OPEN).otherwise(0)
     keyed = _with_tiles(pixels.select(F.col("f").cast("long").alias("f"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), kind.alias("kind"), F.col("cost").cast("double").alias("cost")), tile)
-    return keyed.groupBy(*_TILE).applyInArrow(pack, "f long, tx long, ty long, start boolean, kind binary, cost binary")
+    gathered = keyed.groupBy(*_TILE).agg(F.collect_list(F.struct("x", "y", "kind", "cost")).alias("cells"))
+    return gathered.mapInArrow(pack, "f long, tx long, ty long, start boolean, kind binary, cost binary")
 
 
-def relax(kind: np.ndarray, cost: np.ndarray, known: np.ndarray, arrivals: np.ndarray, limit: float, step: float, connectivity: int) -> tuple[np.ndarray, list[tuple[int, int, int, float]]]:
-    """One tile: distances after arrivals (inf where there are none), and what leaves it: dx, dy of the tile, cell, distance.
+def relax(kind: np.ndarray, cost: np.ndarray, known: np.ndarray, arrivals: np.ndarray, limit: float, step: float, connectivity: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """A stack of tiles: distances after arrivals (inf where there are none), and what leaves them: row, dx and dy to the next tile, cell there, distance.
 
     Sources arrive at 0, once. Arrivals that don't improve a cell do nothing; only cells that improved send.
     """
-    tile, open_ = kind.shape[0], kind == _OPEN
+    tile, open_ = kind.shape[-1], kind == _OPEN
     d = np.where((kind != 0) & (arrivals < known), arrivals, known)
     lengths = [(dx, dy, step * (2**0.5 if dx and dy else 1.0)) for dx, dy in _STEPS[connectivity]]
     while True:
@@ -130,18 +158,16 @@ def relax(kind: np.ndarray, cost: np.ndarray, known: np.ndarray, arrivals: np.nd
         if not better.any():
             break
         d = np.where(better, low, d)
-    sent = {}
     improved = d < known
-    improved[1:-1, 1:-1] = False
-    for y, x in np.argwhere(improved):
-        for dx, dy, length in lengths:
-            to_x, to_y = x + dx, y + dy
-            over = (int(to_x >= tile) - int(to_x < 0), int(to_y >= tile) - int(to_y < 0))
-            if over == (0, 0) or (value := float(d[y, x] + cost[y, x] + length)) >= limit:
-                continue
-            key = (*over, int(to_y % tile * tile + to_x % tile))
-            sent[key] = min(value, sent.get(key, np.inf))
-    return d, [(*k, v) for k, v in sent.items()]
+    improved[:, 1:-1, 1:-1] = False
+    row, y, x = np.nonzero(improved)
+    sent = []
+    for dx, dy, length in lengths:
+        to_x, to_y, value = x + dx, y + dy, d[row, y, x] + cost[row, y, x] + length
+        over_x, over_y = (to_x >= tile).astype(int) - (to_x < 0), (to_y >= tile).astype(int) - (to_y < 0)
+        leaves = ((over_x != 0) | (over_y != 0)) & (value < limit)
+        sent.append([c[leaves] for c in (row, over_x, over_y, to_y % tile * tile + to_x % tile, value)])
+    return d, tuple(map(np.concatenate, zip(*sent, strict=True)))
 
 
 def distance(pixels: DataFrame, limit: float = 6.0, step: float = 0.1, connectivity: int = 4, tile: int = 128, delta: float | None = None) -> Distances:
@@ -156,27 +182,31 @@ def distance(pixels: DataFrame, limit: float = 6.0, step: float = 0.1, connectiv
     tiles = checkpointed(_cells(pixels, tile).repartition(*_TILE))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = (tile, tile)
-        for batch in batches:
-            for r in batch.to_pylist():
-                kind, cost = np.frombuffer(r["kind"], np.uint8).reshape(shape), np.frombuffer(r["cost"]).reshape(shape)
-                known = np.frombuffer(r["distance"]).reshape(shape) if r["distance"] else np.full(shape, np.inf)
-                arrivals = np.full(tile * tile, np.inf)
-                if r["arrivals"] is None:
-                    arrivals[kind.ravel() == _SOURCE] = 0
-                for a in r["arrivals"] or ():
-                    arrivals[a["cell"]] = a["d"]
-                d, sent = relax(kind, cost, known, arrivals.reshape(shape), limit, step, connectivity)
-                leaving = [{"tx": r["tx"] + dx, "ty": r["ty"] + dy, "cell": cell, "d": v} for dx, dy, cell, v in sent]
-                yield pa.RecordBatch.from_pylist([{"f": r["f"], "tx": r["tx"], "ty": r["ty"], "distance": d.tobytes(), "sent": leaving}], names)
+        for whole in batches:
+            for some in _slices(whole.num_rows, tile):
+                batch = whole.slice(some.start, some.stop - some.start)
+                n, shape = batch.num_rows, (batch.num_rows, tile, tile)
+                kind, cost = (np.frombuffer(b"".join(batch.column(c).to_pylist()), t).reshape(shape) for c, t in (("kind", np.uint8), ("cost", float)))
+                far = np.full(tile * tile, np.inf).tobytes()
+                known = np.frombuffer(b"".join(x or far for x in batch.column("distance").to_pylist())).reshape(shape)
+                row, cell = _flat(batch.column("arrivals"))
+                arrivals = np.full((n, tile * tile), np.inf)
+                arrivals[row, cell["cell"]] = cell["d"]
+                first = batch.column("first").to_numpy(zero_copy_only=False)
+                arrivals[first[:, None] & (kind.reshape(n, -1) == _SOURCE)] = 0
+                d, (row, dx, dy, at, value) = relax(kind, cost, known, arrivals.reshape(shape), limit, step, connectivity)
+                order = np.argsort(row, kind="stable")
+                tx, ty = (batch.column(c).to_numpy()[row] + over for c, over in (("tx", dx), ("ty", dy)))
+                inner = pa.StructArray.from_arrays([pa.array(tx[order], pa.int64()), pa.array(ty[order], pa.int64()), pa.array(at[order], pa.int32()), pa.array(value[order], pa.float64())], ["tx", "ty", "cell", "d"])
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _TILE), pa.array([x.tobytes() for x in d], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), inner)], names=[*_TILE, "distance", "sent"])
 
     schema = "f long, tx long, ty long, distance binary, sent array<struct<tx:long, ty:long, cell:int, d:double>>"
-    names = pa.schema([*((c, pa.int64()) for c in _TILE), ("distance", pa.binary()), ("sent", pa.list_(pa.struct([("tx", pa.int64()), ("ty", pa.int64()), ("cell", pa.int32()), ("d", pa.float64())])))])
-
     def leaving(out: DataFrame) -> DataFrame:
         return out.select("f", F.inline("sent")).select("f", "tx", "ty", "cell", "d")
 
-    first = tiles.where("start").select(*_TILE, "kind", "cost", F.lit(None).cast("array<struct<cell:int, d:double>>").alias("arrivals"), F.lit(None).cast("binary").alias("distance"))
+    none = F.array().cast("array<struct<cell:int, d:double>>")
+    first = tiles.where("start").select(*_TILE, "kind", "cost", none.alias("arrivals"), F.lit(None).cast("binary").alias("distance"), F.lit(True).alias("first"))
     out = checkpointed(first.mapInArrow(settle, schema))
     seen, waiting = out.select(*_TILE, "distance", F.lit(0).alias("round")), leaving(out)
     most = (int(limit / step) + 2) * -int(-limit // delta)
@@ -188,7 +218,7 @@ def distance(pixels: DataFrame, limit: float = 6.0, step: float = 0.1, connectiv
         waiting = checkpointed(waiting.groupBy(*_TILE, "cell").agg(F.min("d").alias("d")))
         arrived = waiting.where(F.col("d") < end).groupBy(*_TILE).agg(F.collect_list(F.struct("cell", "d")).alias("arrivals"))
         latest = seen.join(arrived.select(*_TILE), _TILE, "left_semi").groupBy(*_TILE).agg(F.max_by("distance", "round").alias("distance"))
-        active = tiles.join(arrived, _TILE).join(latest, _TILE, "left").select(*_TILE, "kind", "cost", "arrivals", "distance")
+        active = tiles.join(arrived, _TILE).join(latest, _TILE, "left").select(*_TILE, "kind", "cost", "arrivals", "distance", F.lit(False).alias("first"))
         out = checkpointed(active.mapInArrow(settle, schema))
         seen = seen.unionByName(out.select(*_TILE, "distance", F.lit(done).alias("round")))
         waiting = waiting.where(F.col("d") >= end).unionByName(leaving(out))
