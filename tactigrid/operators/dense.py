@@ -161,18 +161,33 @@ def fit_gaussians(data: np.ndarray, peaks: list[tuple[int, int]], window: int =
     return [(float(scale[i]), at[i] + mean[i] * half, precision[i] / half**2) if alive[i] else None for i in range(len(at))]
 
 
+#: Least pivot of a regular system with a unit diagonal; rounding leaves some 1e-16 of a singular one's.
+PIVOT = 1e-12
+
+
 def solved(matrix: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(which of the symmetric systems have a solution, their solutions), scaled to a unit diagonal."""
+    """(which of the symmetric systems have a solution, their solutions), scaled to a unit diagonal and eliminated in order, all at once.
+
+    Normal equations have no pivot below zero; one that is (nearly) zero tells that the cells don't determine the quadratic.
+    """
     size = np.sqrt(np.maximum(np.einsum("nii->ni", matrix), 0))
-    usable = (size > 0).all(1) & np.isfinite(matrix).all((1, 2)) & np.isfinite(right).all(1)
-    unit = matrix[usable] / size[usable][:, :, None] / size[usable][:, None, :]
-    good = np.abs(np.linalg.det(unit)) > 1e-300 if len(unit) else np.zeros(0, bool)
-    found = usable.copy()
-    found[usable] = good
-    chi = np.linalg.solve(unit[good], (right[found] / size[found])[:, :, None])[:, :, 0] / size[found] if good.any() else np.empty((0, matrix.shape[-1]))
-    finite = np.isfinite(chi).all(1)
-    found[np.flatnonzero(found)[~finite]] = False
-    return found, chi[finite]
+    found = (size > 0).all(1) & np.isfinite(matrix).all((1, 2)) & np.isfinite(right).all(1)
+    scale = size[found]
+    a, b = matrix[found] / scale[:, :, None] / scale[:, None, :], right[found] / scale
+    regular, n = np.ones(len(a), bool), matrix.shape[-1]
+    with np.errstate(all="ignore"):
+        for k in range(n):
+            regular &= a[:, k, k] > PIVOT
+            factor = a[:, k + 1 :, k] / a[:, k, k, None]
+            b[:, k + 1 :] -= factor * b[:, k, None]
+            a[:, k + 1 :, k:] -= factor[:, :, None] * a[:, k, None, k:]
+        chi = np.zeros_like(b)
+        for k in range(n - 1, -1, -1):
+            chi[:, k] = (b[:, k] - (a[:, k, k + 1 :] * chi[:, k + 1 :]).sum(1)) / a[:, k, k]
+        chi /= scale
+    regular &= np.isfinite(chi).all(1)
+    found[np.flatnonzero(found)[~regular]] = False
+    return found, chi[regular]
 
 
 #: Of the contact pipeline, in order; `total` holds all.

@@ -105,8 +105,11 @@ def squared_loss(pixels: DataFrame, params: DataFrame, delta: int | None = None)
     )
 
 
-def minimise(function, x: np.ndarray, rounds: int = 60, tolerance: float = 1e-8) -> np.ndarray:
-    """BFGS with backtracking. function returns (value, gradient)."""
+def minimise(function, x: np.ndarray, rounds: int = 60, tolerance: float = 1e-8) -> tuple[np.ndarray, float, bool]:
+    """BFGS with backtracking; function returns (value, gradient). The place, the largest slope there, and whether it is within the tolerance.
+
+    Otherwise the rounds didn't suffice, or no step along the slope lowered the value any more.
+    """
     value, slope = function(x)
     inverse = np.eye(len(x))
     for _ in range(rounds):
@@ -128,13 +131,15 @@ def minimise(function, x: np.ndarray, rounds: int = 60, tolerance: float = 1e-8)
         if (sy := s @ y) > 1e-14:
             left = np.eye(len(x)) - np.outer(s, y) / sy
             inverse = left @ inverse @ left.T + np.outer(s, s) / sy
-    return x
+    steepest = float(np.abs(slope).max())
+    return x, steepest, steepest < tolerance
 
 
 def least_squares_fit(pixels: DataFrame, start: DataFrame, delta: int | None = None) -> DataFrame:
     """Gaussians of each frame jointly by BFGS from start (f, k, c, mx, my, pxx, pxy, pyy, a row per Gaussian) to the same with the frame's loss.
 
-    A frame is one group of pixels. delta: only over the cells that are so near to one of the rounded start means.
+    `slope` is the largest component of the gradient at the end, `converged` whether that is small enough to be a minimum: rounds and
+    steps are bounded. A frame is one group of pixels. delta: only over the cells that are so near to one of the rounded start means.
     """
     ship_package(pixels.sparkSession)
     names = ["c", "mx", "my", "pxx", "pxy", "pyy"]
@@ -142,7 +147,7 @@ def least_squares_fit(pixels: DataFrame, start: DataFrame, delta: int | None = N
     def fit(group: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
         given = given.sort_values("k")
         if not len(given) or not len(group):
-            return pd.DataFrame(columns=["f", "k", *names, "loss"])
+            return pd.DataFrame(columns=["f", "k", *names, "loss", "slope", "converged"])
         x, y, v = (group[n].to_numpy(float) for n in ("x", "y", "v"))
         first = given[names].to_numpy(float)
         if delta is not None:
@@ -159,12 +164,12 @@ def least_squares_fit(pixels: DataFrame, start: DataFrame, delta: int | None = N
                 slopes = [2 * (r * e).sum(1), 2 * (re * (p[:, 3] * dx + p[:, 4] * dy)).sum(1), 2 * (re * (p[:, 4] * dx + p[:, 5] * dy)).sum(1), -(re * dx * dx).sum(1), -2 * (re * dx * dy).sum(1), -(re * dy * dy).sum(1)]
                 return float(r @ r), np.stack(slopes, 1).ravel()
 
-        p = minimise(loss, first.ravel())
+        p, slope, converged = minimise(loss, first.ravel())
         out = pd.DataFrame(p.reshape(-1, 6), columns=names)
-        return pd.concat([given[["f", "k"]].reset_index(drop=True), out], axis=1).assign(loss=loss(p)[0])
+        return pd.concat([given[["f", "k"]].reset_index(drop=True), out], axis=1).assign(loss=loss(p)[0], slope=slope, converged=converged)
 
     many = start if "k" in start.columns else start.withColumn("k", F.lit(0))
-    return pixels.select("f", "x", "y", "v").groupBy("f").cogroup(many.select(F.col("f").alias("f"), "k", *names).groupBy("f")).applyInPandas(fit, "f long, k int, " + ", ".join(f"{n} double" for n in (*names, "loss")))
+    return pixels.select("f", "x", "y", "v").groupBy("f").cogroup(many.select(F.col("f").alias("f"), "k", *names).groupBy("f")).applyInPandas(fit, "f long, k int, " + ", ".join(f"{n} double" for n in (*names, "loss", "slope")) + ", converged boolean")
 
 
 def reconstruction_error(parts: DataFrame, pixels: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tactigrid.functions import colour, kernels, matrices, registration
-from tactigrid.operators import components, distance, fit, metrics, mixture, stencil, strokes, tiles
+from tactigrid.operators import components, dense, distance, fit, metrics, mixture, stencil, strokes, tiles
 from tactigrid.plans import sql
 from tactigrid.session import checkpointed, shared_folder
 from tactigrid.sources import capture, frames, images, splits
@@ -750,8 +750,8 @@ def normal_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.normal_equations(fit.responsibilities(fit.window_pixels(cands, pixels))).select("f", "c", *(_r(c) for c in _EQUATION_COLUMNS))
 
 
-def _moments_sql(name: str, source: str, weight: str, log: str) -> str:
-    return f"{name} AS (SELECT f, c, " + ", ".join([*(f"sum({weight} * {_powers(i, j)}) AS m{i}{j}" for i, j in fit.MOMENTS), *(f"sum({weight} * {log} * {_powers(i, j)}) AS r{i}{j}" for i, j in fit.RIGHTS)]) + f" FROM {source} GROUP BY f, c)"
+def _moments_sql(name: str, source: str, weight: str, log: str, keep: tuple[str, ...] = ()) -> str:
+    return f"{name} AS (SELECT f, c, " + "".join(f"any_value({k}) AS {k}, " for k in keep) + ", ".join([*(f"sum({weight} * {_powers(i, j)}) AS m{i}{j}" for i, j in fit.MOMENTS), *(f"sum({weight} * {log} * {_powers(i, j)}) AS r{i}{j}" for i, j in fit.RIGHTS)]) + f" FROM {source} GROUP BY f, c)"
 
 
 _CX, _CY = "((greatest(c % 72 - 5, 0) + least(c % 72 + 5, 71)) / 2e0)", "((greatest(c // 72 - 5, 0) + least(c // 72 + 5, 47)) / 2e0)"
@@ -808,7 +808,25 @@ def fit_unweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _refit(spark, sf_dir, False)
 
 
-@_query()
+def _rounds_sql(rounds: int, delta: int = 3) -> str:
+    """Rounds of joint fits whose windows follow the means, one after the other: k0, k1, ... (f, c, log_scale, mx, my, pxx, pxy, pyy)."""
+    steps = [sql.T, f"m AS MATERIALIZED ({sql.maxima('t', 'v', '> 0.3e0')})", "k0 AS (SELECT f, CAST(y * 72 + x AS BIGINT) AS c, 0e0 AS log_scale, CAST(x AS DOUBLE) AS mx, CAST(y AS DOUBLE) AS my, 1e0 AS pxx, 0e0 AS pxy, 1e0 AS pyy FROM m)"]
+    for n in range(rounds):
+        density = "sqrt(pxx * pyy - pxy * pxy) / (2 * pi()) * exp(-(pxx * pow(t.x - mx, 2) + 2 * pxy * (t.x - mx) * (t.y - my) + pyy * pow(t.y - my, 2)) / 2)"
+        steps += [
+            f"a{n} AS (SELECT *, round_even(mx, 0) AS cx, round_even(my, 0) AS cy FROM k{n})",
+            f"win{n} AS (SELECT a.f, a.c, cx, cy, t.x, t.y, t.v, {density} AS g FROM a{n} a JOIN t ON t.f = a.f AND abs(t.x - cx) <= {delta} AND abs(t.y - cy) <= {delta})",
+            f"sh{n} AS (SELECT *, CASE WHEN sum(g) OVER w <> 0 THEN g / sum(g) OVER w ELSE 0e0 END AS share FROM win{n} WINDOW w AS (PARTITION BY f, x, y))",
+            f"dc{n} AS (SELECT f, c, cx, cy, (x - cx) / {delta}e0 AS sx, (y - cy) / {delta}e0 AS sy, v * share AS d FROM sh{n} WHERE v * share >= 1e-20)",
+            _moments_sql(f"eq{n}", f"dc{n}", "d * d", "ln(d)", ("cx", "cy")),
+            sql.solve(f"q{n}s", f"eq{n}", fit._BASIS, "f, c", "cx, cy", dense.PIVOT),
+            sql.gaussian(f"g{n}s", f"q{n}s", "f, c", "cx", "cy", float(delta)),
+            f"k{n + 1} AS MATERIALIZED (SELECT * FROM g{n}s WHERE pxx * pyy - pxy * pxy > 0 AND pxx + pyy > 0)",
+        ]
+    return ", ".join(steps)
+
+
+@_query(f"WITH {_rounds_sql(3)} SELECT f, c, {_FIT_COLUMNS} FROM k3")
 def fit_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three rounds whose windows follow the means."""
     pixels = checkpointed(_t(spark, sf_dir))

@@ -117,8 +117,11 @@ def shortest(name: str, cells: str, source: str, limit: float, connectivity: int
 )"""
 
 
-def solve(name: str, source: str, basis: list[tuple[int, int, int]], keys: str, carry: str) -> str:
-    """Table expressions ending in `name` (keys, carried columns, q0..q5): symmetric systems of the moments m_ij and r_ij, scaled to a unit diagonal and eliminated in order."""
+def solve(name: str, source: str, basis: list[tuple[int, int, int]], keys: str, carry: str, least: float | None = None) -> str:
+    """Table expressions ending in `name` (keys, carried columns, q0..q5): symmetric systems of the moments m_ij and r_ij, scaled to a unit diagonal and eliminated in order.
+
+    least: systems with a pivot up to that are left out as singular.
+    """
     n = len(basis)
     a = {(p, q): f"{basis[p][2] * basis[q][2]} * m{basis[p][0] + basis[q][0]}{basis[p][1] + basis[q][1]}" for p in range(n) for q in range(p, n)}
     sizes = ", ".join(f"sqrt(greatest({a[p, p]}, 0e0)) AS z{p}" for p in range(n))
@@ -131,11 +134,13 @@ def solve(name: str, source: str, basis: list[tuple[int, int, int]], keys: str,
     for k in range(n - 1):
         done = [f"a{p}{q}" for p in range(k + 1) for q in range(p, n)] + [f"b{p}" for p in range(k + 1)]
         new = [f"a{p}{q} - a{k}{p} * a{k}{q} / a{k}{k} AS a{p}{q}" for p in range(k + 1, n) for q in range(p, n)] + [f"b{p} - a{k}{p} * b{k} / a{k}{k} AS b{p}" for p in range(k + 1, n)]
-        steps.append(f"{name}_{k + 1} AS (SELECT {kept}, {zs}, {', '.join(done + new)} FROM {name}_{k})")
+        regular = f" WHERE a{k}{k} > {least!r}" if least is not None else ""
+        steps.append(f"{name}_{k + 1} AS (SELECT {kept}, {zs}, {', '.join(done + new)} FROM {name}_{k}{regular})")
     at = f"{name}_{n - 1}"
     for k in range(n - 1, -1, -1):
         rest = "".join(f" - a{k}{q} * y{q}" for q in range(k + 1, n))
-        steps.append(f"{name}_y{k} AS (SELECT *, (b{k}{rest}) / a{k}{k} AS y{k} FROM {at})")
+        regular = f" WHERE a{k}{k} > {least!r}" if least is not None and k == n - 1 else ""
+        steps.append(f"{name}_y{k} AS (SELECT *, (b{k}{rest}) / a{k}{k} AS y{k} FROM {at}{regular})")
         at = f"{name}_y{k}"
     steps.append(f"{name} AS (SELECT {kept}, {', '.join(f'y{p} / z{p} AS q{p}' for p in range(n))} FROM {at})")
     return ", ".join(steps)

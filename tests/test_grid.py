@@ -227,6 +227,9 @@ def test_moments_mixture_and_bfgs(spark):
     first = spark.createDataFrame([(0, 0.8, 15.0, 11.0, 0.6, 0.0, 0.6)], "f long, c double, mx double, my double, pxx double, pxy double, pyy double")
     r = mixture.least_squares_fit(pixels(spark, a), first).first()
     assert np.allclose([r["c"], r["mx"], r["my"]], [1, 15.3, 10.6], atol=1e-3) and r["loss"] < 1e-6
+    assert r["converged"] and r["slope"] < 1e-8
+    place, slope, converged = mixture.minimise(lambda x: (float(((x - 3) ** 4).sum()), 4 * (x - 3) ** 3), np.zeros(2), rounds=2)
+    assert not converged and slope == np.abs(4 * (place - 3) ** 3).max() > 1e-8
     step, at = 1e-5, mixture.squared_loss(pixels(spark, a), first).first()
     moved = mixture.squared_loss(pixels(spark, a), first.withColumn("mx", F.col("mx") + step)).first()
     assert math.isclose((moved["loss"] - at["loss"]) / step, at["d_mx"], rel_tol=1e-2)
