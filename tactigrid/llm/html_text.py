@@ -7,8 +7,8 @@ Blocks that follow each other, and blocks with one parent, are joined by edges t
 blocks are in the tree. The minimum cut (by maximum flow along shortest augmenting paths) parts content from boilerplate.
 
 The regression is trained here, on labelled pages that a seeded generator in this module writes (never on the pages of
-a query), and is the same at every run. Class words and elements of these pages are often missing, and sometimes wrong, so
-that no single word of the markup decides.
+a query), and is the same at every run. Class words and elements of these pages are often missing, and sometimes wrong; a
+word that is only part of a name never empties a page (see `content`).
 
 Text in a block: character references decoded, runs of white space as one space, trimmed; blocks are joined by line
 ends in page order. Scripts, styles, comments, head, drawings, what stands in for media, templates and the insides of form
@@ -52,10 +52,11 @@ _HIDDEN_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea)(?=
 _HINTS = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
-# Whole words of class, id and role that are common for boilerplate, and for content; words that only tell a place.
+# Whole words of class, id and role that are common for boilerplate, and for content; words that only tell a place, or a shape.
 _BAD = frozenset("nav navbar navigation menu menus sidebar footer masthead banner banners advert adverts advertisement advertising ad ads adv sponsor sponsors sponsored promo promos promotion cookie cookies consent gdpr popup popover modal overlay newsletter subscribe subscription signup login signin register share sharing social comment comments commentlist respond replies disqus related recommended recommendations breadcrumb breadcrumbs pagination pager widget widgets toolbar search searchform copyright colophon notice notices alert alerts notification notifications disclaimer legal complementary contentinfo teaser teasers trending popular tagcloud skip upsell donate feedback rating ratings tracking toast tools form outbrain taboola gpt dfp links cta discussion".split())
 _GOOD = frozenset("article articles content contents post posts entry main story body text prose blog paragraph".split())
 _PLACES = frozenset("side aside header top bottom head foot rail".split())
+_SHAPES = frozenset("list lists wrapper wrap container box block area section inner outer row col column group item items bar button buttons link reader user users site page global main mobile desktop sticky fixed primary secondary form icon icons".split())
 _BAD_TAGS = frozenset("nav footer aside form menu dialog".split())
 _GOOD_TAGS = frozenset(("article", "main"))
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -75,6 +76,12 @@ class _Element:
     block: _Element | None = field(default=None, repr=False)
     parent: _Element | None = field(default=None, repr=False)
     level: int = 0  # block elements above
+    #: The nearest element, this one or above, whose words tell boilerplate, if one of its names also has words that tell nothing.
+    doubted: _Element | None = field(default=None, repr=False)
+
+
+#: Places of features: words that tell boilerplate, the share in links.
+_HINTED, _LINKED = 1, 4
 
 
 @dataclass(slots=True)
@@ -86,8 +93,8 @@ class Block:
 
 @lru_cache(maxsize=20_000)
 def _hint(attrs: str) -> tuple[int, bool]:
-    """-1, 0 or 1 for what class, id and role say, and whether the element is hidden."""
-    good = bad = place = False
+    """-1, 0 or 1 for what class, id and role say (-2: boilerplate, but in every such name beside other words), and whether the element is hidden."""
+    good = bad = place = sure = False
     for name, value in _HINTS.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name in ("hidden", "aria-hidden", "style"):
@@ -97,9 +104,10 @@ def _hint(attrs: str) -> tuple[int, bool]:
         for word in value.split():
             pieces = {p.lower() for p in _PIECES.findall(word)} | {word.lower()}
             bad |= not pieces.isdisjoint(_BAD)
+            sure |= bool(pieces & _BAD) and (word.lower() in _BAD or pieces - {word.lower()} <= _BAD | _PLACES | _SHAPES)
             good |= not pieces.isdisjoint(_GOOD)
             place |= not pieces.isdisjoint(_PLACES)
-    return (-1 if bad else 1 if good else -1 if place else 0), False
+    return ((-1 if sure else -2) if bad else 1 if good else -1 if place else 0), False
 
 
 def _hidden_ends(html: str) -> dict[int, int]:
@@ -160,7 +168,7 @@ def blocks(html: str) -> list[Block]:
                             min(math.log1p(n), 5.0) / 5,
                             float(text[-1] in ".!?:;…\"'”»)"),
                             float(tag in _HEADINGS),
-                            float(tag in ("p", "blockquote", "pre")),
+                            float(tag in ("p", "blockquote", "pre", "figcaption")),
                             float(tag in ("", "html", "body")),
                             float(tag in ("li", "td", "th", "dd", "dt")),
                             min(1.0, 5 * sum(text.count(c) for c in ",.;") / n),
@@ -230,8 +238,10 @@ def blocks(html: str) -> list[Block]:
         hint, hidden = _hint(token["attrs"]) if token["attrs"] and tag not in ("html", "body") else (0, False)
         bad_tag = tag in _BAD_TAGS or tag == "header" and not up.good_tag and hint <= 0
         bad = depth if hint < 0 and tag not in _GOOD_TAGS else up.bad
+        doubted = up.doubted if bad != depth else None
         good = depth if hint > 0 else up.good
         here = _Element(tag, depth, bad, good, up.bad_tag and tag not in _GOOD_TAGS or bad_tag, up.good_tag or tag in _GOOD_TAGS, up.linked or tag == "a", up.hidden or hidden)
+        here.doubted = here if bad == depth and hint == -2 else doubted
         if tag in _INLINE:
             here.block = up.block
         else:
@@ -296,6 +306,9 @@ class CutParams:
     siblings: float = 1.0
     #: A block's probability stays this far from 0 and 1.
     doubt: float = 0.01
+    #: Shares of a page's text: less than `hardly` is hardly anything, more than `most` is most of it.
+    hardly: float = 0.1
+    most: float = 0.5
 
 
 def _tree_distance(a: _Element, b: _Element) -> int:
@@ -310,11 +323,8 @@ def _tree_distance(a: _Element, b: _Element) -> int:
     return steps
 
 
-def content(found: list[Block], weights: np.ndarray, params: CutParams = CutParams()) -> list[bool]:
-    if not found:
-        return []
-    z = np.array([b.features for b in found]) @ weights[:-1] + weights[-1]
-    p = np.clip(1 / (1 + np.exp(-z)), params.doubt, 1 - params.doubt)
+def _cut(found: list[Block], features: np.ndarray, weights: np.ndarray, params: CutParams) -> list[bool]:
+    p = np.clip(1 / (1 + np.exp(-(features @ weights[:-1] + weights[-1]))), params.doubt, 1 - params.doubt)
     excess = np.log(p / (1 - p)).tolist()
     edges, last = [], {}
     for i, b in enumerate(found):
@@ -327,6 +337,34 @@ def content(found: list[Block], weights: np.ndarray, params: CutParams = CutPara
     return min_cut(excess, edges)
 
 
+def content(found: list[Block], weights: np.ndarray, params: CutParams = CutParams()) -> list[bool]:
+    """Which blocks are content.
+
+    A name such as share-story or popular-science tells boilerplate by one of its words only. If an element of such a name
+    holds most of the page's own text (not in links) and the cut leaves hardly anything, the name counts for nothing and the
+    page is cut again.
+    """
+    if not found:
+        return []
+    features = np.array([b.features for b in found])
+    kept = _cut(found, features, weights, params)
+    sizes = [len(b.text) * (1 - b.features[_LINKED]) for b in found]
+    total = sum(sizes)
+    if sum(n for n, keep in zip(sizes, kept, strict=True) if keep) >= params.hardly * total:
+        return kept
+    held: dict[int, float] = {}
+    for b, n in zip(found, sizes, strict=True):
+        if b.place.doubted:
+            held[id(b.place.doubted)] = held.get(id(b.place.doubted), 0.0) + n
+    void = {k for k, n in held.items() if n > params.most * total}
+    if not void:
+        return kept
+    for i, b in enumerate(found):
+        if b.place.doubted and id(b.place.doubted) in void:
+            features[i, _HINTED] = 0.0
+    return _cut(found, features, weights, params)
+
+
 def _training_pages(seed: int = 23, pages: int = 300) -> Iterator[str]:
     """Pages whose texts begin with U+E000 if they are content and U+E001 if not."""
     rng = np.random.default_rng(seed)

@@ -116,3 +116,22 @@ def test_words_that_only_begin_alike(shell):
 def test_title_in_an_entry_header():
     page = '<body><header class="entry-header"><h1>The title of it</h1></header><div class="entry-content"><p>Text of it, with words and more.</p></div></body>'
     assert text(page) == "The title of it\nText of it, with words and more."
+
+
+@pytest.mark.parametrize("name", ['class="share-story"', 'class="popular-science"', 'id="search-engine-history"', 'class="film-rating-review"', 'class="post share-story wide"'])
+def test_a_word_in_a_name_does_not_empty_the_page(name):
+    weights = html_text.block_weights()
+    article = "<h1>The title of the piece</h1>" + "".join(f"<p>This is paragraph {i} of the article, which says something that matters, and goes on. It has two sentences.</p>" for i in range(4))
+    page = "<html><body><nav><a href=x>Home</a><a href=y>News</a></nav><div {}>" + article + "</div><footer><p>Copyright 2020</p></footer></body></html>"
+    assert html_text.main_text(page.format(name), weights) == html_text.main_text(page.format(""), weights) != ""
+    for sure in ('class="comments"', 'class="comment-list"', 'role="search"', 'id="nav menu"'):
+        assert html_text.main_text(page.format(sure), weights) == ""
+    both = f"<html><body><article>{article}</article><div class='reader-comments'>{article * 5}</div></body></html>"
+    assert html_text.main_text(both, weights) == html_text.main_text(f"<article>{article}</article>", weights)
+
+
+def test_captions_of_figures_are_text():
+    weights = html_text.block_weights()
+    paragraph = "<p>This is a paragraph of the article, which says something that matters, and goes on for a while. It has two sentences.</p>"
+    for caption in ("The harbour at dawn", "A view of the harbour."):
+        assert caption in html_text.main_text(f"<body><nav><a href=x>Home</a></nav><article>{paragraph}<figure><img src=x><figcaption>{caption}</figcaption></figure>{paragraph}</article></body>", weights)
