@@ -968,13 +968,13 @@ def colour_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- pen samples: events in order, pen down in clicks and purchases
 
 
-def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _samples(spark: SparkSession, sf_dir: str, pos: Column | None = None) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return events.select(
         F.col("user_id").cast("string").alias("capture"),
         F.lit("plain").alias("kind"),
-        F.row_number().over(order).cast("long").alias("pos"),
+        (F.row_number().over(order) if pos is None else pos).cast("long").alias("pos"),
         F.when(F.col("event_type").isin("click", "purchase"), 3).otherwise(1).alias("mode"),
         (F.col("event_id") * 7 % 72).cast("int").alias("x"),
         (F.col("event_id") * 13 % 48).cast("int").alias("y"),
@@ -992,6 +992,13 @@ def stylus_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strokes.strokes(_samples(spark, sf_dir)).select("capture", "stroke_id", "seq", "pos", "x", "y")
 
 
+@_query(f"WITH {_STROKES.replace('row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)', 'event_id')} SELECT capture, stroke_id, seq, pos, x, y FROM c")
+def stylus_strokes_ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strokes by event number, of streams that lie in several tasks."""
+    samples = _samples(spark, sf_dir, F.col("event_id"))
+    return strokes.strokes_in_ranges(samples).select("capture", "stroke_id", "seq", "pos", "x", "y")
+
+
 @_query(f"WITH {_STROKES} SELECT capture, stroke_id, count(*) AS n, string_agg(x || ',' || (-y), ' ' ORDER BY seq) AS points FROM c GROUP BY capture, stroke_id")
 def stroke_polyline(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = strokes.polylines(strokes.strokes(_samples(spark, sf_dir)))

@@ -307,6 +307,24 @@ def test_strokes_split_on_lifts_and_keep_an_open_end(spark):
     assert [(r["stroke_id"], r["seq"], r["pos"]) for r in got] == [(1, 0, 0), (1, 1, 1), (2, 0, 4), (2, 1, 5), (3, 0, 7)]
 
 
+@pytest.mark.parametrize("ranges", ["1", "3", "40"])
+def test_strokes_of_streams_in_several_ranges(spark, ranges):
+    rng = np.random.default_rng(6)
+    modes = [*(3 * int(v) for v in rng.random(150) < 0.6), *[3] * 90, 0, *[3] * 60]  # a stroke that is longer than a range
+    rows = [("a", "plain", i, m, i, 2 * i) for i, m in enumerate(modes)] + [("b", k, i, m, i, i) for k in ("plain", "serial") for i, m in enumerate((3, 0, 3))] + [("c", "plain", 5, 0, 1, 1)]
+    made = spark.createDataFrame(rows, "capture string, kind string, pos long, mode int, x int, y int")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", ranges)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = sorted(map(tuple, strokes.strokes_in_ranges(made).collect()))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == sorted(map(tuple, strokes.strokes(made).collect()))
+    assert strokes.strokes_in_ranges(made.limit(0)).isEmpty()
+
+
 def record(kind, body):
     return capture.REPORT.pack(kind, len(body)) + body
 
