@@ -1065,7 +1065,7 @@ def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark).rstrip('/')}/captures-{uuid.uuid4().hex}"
     spark.dataSource.register(splits.FileSink)
     capture.encode_frames(dense, per_capture=4096).write.format("tactigrid-files").mode("append").save(folder)
-    found = capture.heatmaps(capture.reports(splits.read_splits(splits.record_splits(spark, folder, 16 << 10))))
+    found = capture.heatmaps_in_ranges(capture.reports(splits.read_splits(splits.record_splits(spark, folder, 16 << 10))))
     cells = found.select(F.substring_index("capture", "/", -1).alias("capture"), F.col("f").alias("frame"), "w", F.posexplode("px").alias("i", "v"))
     return cells.select("capture", "frame", (F.col("i") % F.col("w")).cast("int").alias("x"), F.expr("cast(i div w as int)").alias("y"), F.round((1 - F.col("v")) * 255).cast("int").alias("b"))
 

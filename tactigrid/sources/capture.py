@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tactigrid.session import ship_package
+from tactigrid.session import checkpointed, ship_package
 
 # Fixed values of the format.
 DATA, PAYLOAD, FRAME, REPORT = struct.Struct("<III52x"), struct.Struct("<II4x"), struct.Struct("<HHI8x"), struct.Struct("<HH")
@@ -191,6 +191,24 @@ def heatmaps(found: DataFrame) -> DataFrame:
     return scaled(d.select("capture", number.cast("long").alias("f"), "pos", F.col("dim.width").alias("w"), F.col("dim.height").alias("h"), F.col("dim.z_min").alias("low"), F.col("dim.z_max").alias("high"), "payload"))
 
 
+def heatmaps_in_ranges(found: DataFrame) -> DataFrame:
+    """The same of captures of any size: reports are dealt by range of (capture, pos); a row for each capture and range carries its last
+    dimensions and its number of frames to the ranges after it."""
+    dim = F.when(F.col("report_type") == DIMENSIONS, F.struct(*(byte(F.col("payload"), i).alias(n) for i, n in enumerate(_DIM_FIELDS))))
+    own = found.where(F.col("report_type").isin(DIMENSIONS, HEATMAP)).select("capture", "pos", dim.alias("dim"), F.when(F.col("report_type") == HEATMAP, F.col("payload")).alias("payload"))
+    dealt = checkpointed(own.repartitionByRange("capture", "pos").withColumn("range_", F.spark_partition_id()))
+    before = Window.partitionBy("capture").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    lasts = dealt.groupBy("capture", "range_").agg(F.max_by("dim", F.when(F.col("dim").isNotNull(), F.col("pos"))).alias("last"))
+    carried = lasts.select("capture", "range_", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    within = Window.partitionBy("range_", "capture").orderBy("pos")
+    d = dealt.join(carried, ["capture", "range_"]).withColumn("dim", F.coalesce(F.last("dim", ignorenulls=True).over(within), "carried"))
+    d = checkpointed(d.where(F.col("payload").isNotNull() & (F.length("payload") == F.col("dim.width") * F.col("dim.height"))).drop("carried"))
+    counts = d.groupBy("capture", "range_").agg(F.count("*").alias("n"))
+    bases = counts.select("capture", "range_", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base_"))
+    numbered = d.withColumn("row_", F.row_number().over(within)).join(bases, ["capture", "range_"]).withColumn("f", (F.col("base_") + F.col("row_") - 1).cast("long"))
+    return scaled(numbered.select("capture", "f", "pos", F.col("dim.width").alias("w"), F.col("dim.height").alias("h"), F.col("dim.z_min").alias("low"), F.col("dim.z_max").alias("high"), "payload"))
+
+
 def scaled(found: DataFrame) -> DataFrame:
     """capture, f, pos, w, h, low, high, payload to dense frames: low is 1, high is 0."""
     ship_package(found.sparkSession)

@@ -135,6 +135,23 @@ def test_one_large_file_is_read_by_many_tasks(spark, long_capture):
     assert capture.heatmaps(capture.reports(parts)).where("capture like '%long.bin'").count() == 500
 
 
+@pytest.mark.parametrize("ranges", ["1", "7"])
+def test_heatmaps_of_one_capture_in_several_ranges(spark, ranges):
+    sizes = {0: (3, 2), 40: (2, 3), 41: (6, 1), 90: (5, 5), 120: (1, 6)}  # of frames 90 to 119 none has the cells that are said
+    whole = b"".join(capture._record(n, *sizes.get(n, (1, 1)), bytes([n % 256] * 6), n in sizes) for n in range(200))
+    late = b"".join(capture._record(n, 3, 2, bytes([n] * 6), n == 30) for n in range(50))  # dimensions come late
+    found = capture.reports(spark.createDataFrame([("a", whole), ("b", late)], "path string, content binary"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", ranges)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = sorted(map(tuple, capture.heatmaps_in_ranges(found).collect()))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == sorted(map(tuple, capture.heatmaps(found).collect())) and len(got) == 170 + 20
+
+
 def test_files_are_there_together_or_not_at_all(spark, tmp_path):
     from tactigrid.sources import splits
 
