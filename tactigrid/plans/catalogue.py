@@ -834,6 +834,40 @@ def fit_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("f", "c", *_fit_columns(d))
 
 
+def _contacts_sql(rounds: int = 3) -> str:
+    """The whole contact pipeline on 8x8 frames: joint fits of the filtered frames' maxima in fixed windows, acceptance, confidence."""
+    steps = [_FILTERED, f"mk AS MATERIALIZED ({sql.maxima('fl', 'v', '> 0.05e0')})"]
+    steps.append("k0 AS (SELECT f, CAST(y * 8 + x AS BIGINT) AS c, CAST(x AS DOUBLE) AS px, CAST(y AS DOUBLE) AS py, 0e0 AS log_scale, CAST(x AS DOUBLE) AS mx, CAST(y AS DOUBLE) AS my, 1e0 AS pxx, 0e0 AS pxy, 1e0 AS pyy FROM mk)")
+    like = "exp(log_scale) * exp(-(pxx * pow(t.x - mx, 2) + 2 * pxy * (t.x - mx) * (t.y - my) + pyy * pow(t.y - my, 2)) / 2)"
+    for n in range(rounds):
+        steps += [
+            f"wa{n} AS (SELECT k.f, c, px, py, t.x, t.y, t.v, {like} AS g FROM k{n} k JOIN fl t ON t.f = k.f AND abs(t.x - px) <= 5 AND abs(t.y - py) <= 5)",
+            f"wb{n} AS (SELECT *, sum(g) OVER (PARTITION BY f, x, y) AS total FROM (SELECT *, bool_and(isfinite(g)) OVER (PARTITION BY f, c) AS usable FROM wa{n}) WHERE usable)",
+            f"wd{n} AS (SELECT f, c, px, py, (x - px) / 5e0 AS sx, (y - py) / 5e0 AS sy, CASE WHEN total > 0 THEN g / total ELSE g END * v AS d FROM wb{n})",
+            _moments_sql(f"we{n}", f"wd{n}", "d * d", "ln(d + pow(2e0, -52))", ("px", "py")),
+            sql.solve(f"wq{n}", f"we{n}", fit._BASIS, "f, c", "px, py", dense.PIVOT),
+            sql.gaussian(f"wg{n}", f"wq{n}", "f, c, px, py", "px", "py", 5.0),
+            f"k{n + 1} AS MATERIALIZED (SELECT * FROM wg{n} WHERE log_scale < 709)",
+        ]
+    steps.append(f"cv AS (SELECT f, c, exp(log_scale) AS scale, mx, my, pyy / d AS xx, -pxy / d AS xy, pxx / d AS yy FROM (SELECT *, pxx * pyy - pxy * pxy AS d FROM k{rounds}) WHERE abs(d) > 1e-40)")
+    steps.append("ax AS (SELECT *, sqrt(abs((xx + yy + r) / 2)) AS s1, sqrt(abs((xx + yy - r) / 2)) AS s2 FROM (SELECT *, sqrt(pow(xx - yy, 2) + 4 * xy * xy) AS r FROM cv))")
+    steps.append("ok AS (SELECT *, CAST(least(greatest(trunc(mx), 0), 7) AS INTEGER) AS x, CAST(least(greatest(trunc(my), 0), 7) AS INTEGER) AS y FROM ax WHERE least(s1, s2) > 1e-20 AND greatest(s1, s2) / least(s1, s2) <= 2)")
+    steps.append("cf AS (SELECT ok.*, CASE WHEN label > 0 THEN coalesce(score, 0e0) ELSE 0e0 END AS confidence FROM ok JOIN pc USING (f, x, y) LEFT JOIN scores USING (f, label))")
+    return ", ".join(steps)
+
+
+@_query(
+    f"WITH RECURSIVE {_contacts_sql()} SELECT f, CAST(row_number() OVER (PARTITION BY f ORDER BY c) - 1 AS INTEGER) AS touch_id, round(confidence, 5) + 0e0 AS confidence, round(ln(scale), 1) + 0e0 AS log_scale, round(mx, 1) + 0e0 AS mx, round(my, 1) + 0e0 AS my, round(xx, 1) + 0e0 AS cov_xx, round(xy, 1) + 0e0 AS cov_xy, round(yy, 1) + 0e0 AS cov_yy FROM cf"
+)
+def touchpoints_8x8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one-pass pipeline on frames of hundredths: three rounds of joint fits, acceptance and confidence.
+
+    Some of the systems have pivots near the bound of singular ones, where two orders of summation agree in two or three digits only: hence the rounding.
+    """
+    found = fit.touch_points(frames.embedding_dense(spark, sf_dir).withColumn("px", F.transform("px", lambda v: v / 100)))
+    return found.select("f", "touch_id", _r("confidence", 5), _r(F.log("scale"), 1).alias("log_scale"), _r(F.col("mean.x"), 1).alias("mx"), _r(F.col("mean.y"), 1).alias("my"), *(_r(F.col(f"cov.{k}"), 1).alias(f"cov_{k}") for k in ("xx", "xy", "yy")))
+
+
 @_query()
 def touchpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.touch_points(frames.to_dense(frames.splat(frames.touches(spark, sf_dir))))
