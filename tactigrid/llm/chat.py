@@ -21,7 +21,7 @@ conversation, the first call owns it. A call without an id stays in its turn's c
 turn none of whose calls has an id or a name is a message. Strings of arguments that aren't parseable JSON (or repeat a key,
 or hold a number of more than 38 digits) are written as the strings that they were, and aren't valid. Text that isn't
 one JSON object (or repeats a key, or holds such a number, or a role other than the turn's) is content, as it is. Numbers
-with an exponent are written as doubles. A null text is null content, an empty one is empty. Null roles are written as null;
+with an exponent are written as doubles, decimals without the zeros at their end (1.0 as 1). A null text is null content, an empty one is empty. Null roles are written as null;
 rows with null conv_id are one conversation; equal turns are ordered by role and text; repeated rows are repeated
 messages; other columns are ignored; an empty table gives no rows.
 """
