@@ -6,7 +6,7 @@ turn of the wanted role (3); a truncated row that isn't deleted adds 3. After ea
 (nothing yet, after s, after u, after a), and each edit's letter leads from a state to exactly one other, so an audit (the letters in
 order) fixes the repaired turns.
 
-1. Rows are damaged as asked and put in order once: dealt by range of (conversation, turn, role, text), numbered, written. A
+1. Rows are damaged as asked and put in order once: dealt by range of conversation and turn, numbered, written. A
    conversation of any size lies in as many ranges as it needs. The first of equal (role, text) is an aggregate; its number
    marks it in a join by unique numbers. Each row becomes one letter, each run of up to 4096 letters a row, each conversation
    the string of its runs: a byte a turn, as long as the audit that the result holds of it anyway.
@@ -21,7 +21,7 @@ order) fixes the repaired turns.
    through one task, of which nothing is held but the hash.
 
 Defined results: null conversation ids are one conversation; other nulls (role, text) are one space, and a null turn is a space
-in the damage's key, comes first, and is ignored by gaps; rows of one turn come by role and text; a role without a first character
+in the damage's key, comes first, and is ignored by gaps; rows of one turn come by the first 64 characters of role, then of text, then by a hash of both; a role without a first character
 has no initial, like any other than s, u and a; repeated rows are duplicates of the first; a conversation all of whose rows
 are dropped gives zeros, an empty audit and the hash of the empty text; an empty table gives no rows; other columns are ignored.
 """
@@ -76,7 +76,7 @@ def damaged(turns: DataFrame) -> DataFrame:
 
 def ordered(rows: DataFrame) -> DataFrame:
     """conv_id, turn, role, text and the others, with `at`: rising in the order of conversations and turns; in one run within a range."""
-    keys = [F.asc_nulls_first(c) for c in ("conv_id", "turn", "role", "text")]
+    keys = [F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), F.left("role", F.lit(64)), F.left("text", F.lit(64)), F.xxhash64("role", "text")]  # short: the bounds of ranges are sampled
     spread = rows.withColumn("source__", F.monotonically_increasing_id())  # equal rows may be any number
     return checkpointed(spread.repartitionByRange(*keys, "source__").sortWithinPartitions(*keys).drop("source__").withColumn("at", F.monotonically_increasing_id()))
 
