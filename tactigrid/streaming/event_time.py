@@ -23,6 +23,8 @@ from tactigrid.streaming.live import needs_rocks, placed
 WRAP = 1 << 32
 #: kind: `window` (n reports from `start` on) or `late` (one report; start is that of its window). Ticks since the device's first report, plus that report's own.
 OUTPUT = "device string, kind string, start long, n long, epoch long, number long, pos long, ticks long"
+#: Of a device's reports.
+ORDER = ["epoch", "number", "pos"]
 _COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
 
 
@@ -32,8 +34,8 @@ def clock_reports(buffers: DataFrame) -> DataFrame:
 
 
 class WindowCounter(StatefulProcessor):
-    def __init__(self, width: int, lateness: int) -> None:
-        self.width, self.lateness = width, lateness
+    def __init__(self, width: int, lateness: int, ordered: bool = False) -> None:
+        self.width, self.lateness, self.ordered = width, lateness, ordered
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.clock = handle.getValueState("clock", "epoch long, raw long, ticks long, newest long")
@@ -44,8 +46,10 @@ class WindowCounter(StatefulProcessor):
         epoch, last, ticks, newest = state or (None, 0, 0, 0)
         counts = {k[0]: v[0] for k, v in self.open.iterator()}
         kept, out = set(counts), []
-        for batch in rows:
-            for r in batch.sort_values(["epoch", "number", "pos"]).itertuples(index=False):
+        # A table's rows come in order; a micro-batch's don't, and a device's may come in several parts of it.
+        parts = rows if self.ordered else [pd.concat(list(rows)).sort_values(ORDER)]
+        for batch in parts:
+            for r in batch.itertuples(index=False):
                 if epoch is None:
                     ticks = newest = r.raw
                 elif r.epoch > epoch:  # a reset: the new clock begins where the old one had come to
@@ -74,7 +78,10 @@ def windows(buffers: DataFrame, width: int, lateness: int) -> DataFrame:
     """Closed windows and late reports of a stream (or table) of buffers; see OUTPUT. Open windows stay in the state."""
     needs_rocks(buffers.sparkSession)
     ship_package(buffers.sparkSession)
-    return clock_reports(buffers).groupBy("device").transformWithStateInPandas(WindowCounter(width, lateness), OUTPUT, "Append", "None")
+    found, ordered = clock_reports(buffers), not buffers.isStreaming
+    if ordered:  # a device of a table may have more reports than one batch holds: Spark sorts them, and deals them as the state asks for
+        found = found.repartition(int(buffers.sparkSession.conf.get("spark.sql.shuffle.partitions")), "device").sortWithinPartitions("device", *ORDER)
+    return found.groupBy("device").transformWithStateInPandas(WindowCounter(width, lateness, ordered), OUTPUT, "Append", "None")
 
 
 def start(buffers: DataFrame, sink: str, checkpoint: str, width: int, lateness: int, **trigger):

@@ -87,3 +87,12 @@ def test_table_functions_decode_captures(spark, functions):
     assert sorted(map(tuple, got)) == sorted(tuple(r) for r in capture.reports(made).select("capture", "pos", "report_type", "payload").collect())
     notes = spark.sql(query.format("pos, level, message", "capture_notes"), made=made).collect()
     assert sorted(map(tuple, notes)) == sorted(tuple(r) for r in capture.diagnostics(made, "DBG").select("capture", "pos", "level", "message").collect())
+
+
+def test_reports_of_a_table_that_come_in_many_batches_are_in_order(spark):
+    """A device's 900 reports, more than an Arrow batch holds, in buffers whose rows are in no order."""
+    ticks = [40 * k - (700 if k % 25 == 24 else 0) + 1000 for k in range(900)]
+    buffers = [(f"d/0/{n}", buffer(*ticks[10 * n : 10 * n + 10])) for n in range(90)]
+    random.Random(4).shuffle(buffers)
+    closed, late, open_ = direct(ticks)
+    assert late and found(event_time.windows(given(spark, buffers), WIDTH, LATENESS).collect()) == (closed, late)
