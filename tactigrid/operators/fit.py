@@ -18,6 +18,7 @@ from tactigrid.functions.matrices import EPS, gaussian_like, inverse, larger_roo
 from tactigrid.operators import dense
 from tactigrid.operators.batches import stacks
 from tactigrid.session import checkpointed, ship_package
+from tactigrid.sources.frames import STACK, partitions_of
 
 MOMENTS = [(i, j) for i in range(5) for j in range(5) if i + j <= 4]
 RIGHTS = [(i, j) for i in range(3) for j in range(3) if i + j <= 2]
@@ -50,7 +51,7 @@ def candidates(maxima: DataFrame, window: int = 11) -> DataFrame:
 def window_pixels(cands: DataFrame, pixels: DataFrame) -> DataFrame:
     """One row per candidate and cell of its window: the candidate's columns, x, y, v and rescaled sx, sy."""
     cells = cands.select("*", F.explode(F.sequence("xmin", "xmax")).alias("x")).select("*", F.explode(F.sequence("ymin", "ymax")).alias("y"))
-    joined = cells.join(pixels.select("f", "x", "y", "v"), ["f", "x", "y"])
+    joined = cells.join(pixels.select("f", "x", "y", "v").hint("merge"), ["f", "x", "y"])
     return joined.withColumn("sx", F.col("x") * 2 / F.col("w") - 1).withColumn("sy", F.col("y") * 2 / F.col("h") - 1)
 
 
@@ -84,8 +85,8 @@ def normal_equations(shared: DataFrame, weighted: bool = True, least: float | No
     return d.groupBy("f", "c").agg(*(F.first(k).alias(k) for k in keep), *aggs, *(F.sum(F.col("dl") * _power(i, j)).alias(f"r{i}{j}") for i, j in RIGHTS))
 
 
-def parameters(equations: DataFrame, unit: float | None = None) -> DataFrame:
-    """f, c, scale, mx, my, pxx, pxy, pyy from the symmetric 6x6 systems, solved in batches; candidates with a singular system or precision are dropped.
+def parameters(equations: DataFrame, unit: float | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """f, c, scale, mx, my, pxx, pxy, pyy from the symmetric 6x6 systems, solved in batches; candidates with a singular system or precision are dropped. Columns named in keep follow.
 
     In the equations' coordinates, or, if these are in a unit from the centre that the columns cx and cy name, in pixels.
     """
@@ -106,14 +107,15 @@ def parameters(equations: DataFrame, unit: float | None = None) -> DataFrame:
             with np.errstate(all="ignore"):
                 mx, my = (pyy * q[3] - pxy * q[4]) / det, (pxx * q[4] - pxy * q[3]) / det
                 scale = np.exp(q[5] + (pxx * mx * mx + 2 * pxy * mx * my + pyy * my * my) / 2)
-            keep = np.flatnonzero((np.abs(det) > 1e-40) & np.isfinite(scale) & np.isfinite(mx) & np.isfinite(my))
+            good = np.flatnonzero((np.abs(det) > 1e-40) & np.isfinite(scale) & np.isfinite(mx) & np.isfinite(my))
             if unit:
                 cx, cy = (batch.column(c).to_numpy(zero_copy_only=False)[rows] for c in centre)
                 mx, my, pxx, pxy, pyy = cx + unit * mx, cy + unit * my, pxx / unit**2, pxy / unit**2, pyy / unit**2
-            keys = [batch.column(c).take(pa.array(rows[keep])) for c in ("f", "c")]
-            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(v[keep]) for v in (scale, mx, my, pxx, pxy, pyy))], names=["f", "c", *names])
+            keys, kept = ([batch.column(c).take(pa.array(rows[good])) for c in some] for some in (("f", "c"), keep))
+            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(v[good]) for v in (scale, mx, my, pxx, pxy, pyy)), *kept], names=["f", "c", *names, *keep])
 
-    return equations.select("f", "c", *centre, *moments, *rights).mapInArrow(run, "f long, c long, " + ", ".join(f"{n} double" for n in names))
+    kinds = [f"{k} {equations.schema[k].dataType.simpleString()}" for k in keep]
+    return equations.select("f", "c", *dict.fromkeys([*centre, *keep]), *moments, *rights).mapInArrow(run, ", ".join(["f long, c long", *(f"{n} double" for n in names), *kinds]))
 
 
 def iterate(cands: DataFrame, pixels: DataFrame, unit: float = 5.0) -> DataFrame:
@@ -125,8 +127,8 @@ def iterate(cands: DataFrame, pixels: DataFrame, unit: float = 5.0) -> DataFrame
     shared = responsibilities(window_pixels(cands, pixels))
     shared = shared.withColumn("cx", (F.col("xmin") + F.col("xmax")) / 2).withColumn("cy", (F.col("ymin") + F.col("ymax")) / 2)
     shared = shared.withColumn("sx", (F.col("x") - F.col("cx")) / unit).withColumn("sy", (F.col("y") - F.col("cy")) / unit)
-    new = parameters(normal_equations(shared, keep=("cx", "cy")), unit)
-    return _rescaled(cands.select("f", "c", "w", "h", "xmin", "xmax", "ymin", "ymax").join(new, ["f", "c"]))
+    own = ("w", "h", "xmin", "xmax", "ymin", "ymax")
+    return _rescaled(parameters(normal_equations(shared, keep=("cx", "cy", *own)), unit, own).select("f", "c", *own, "scale", "mx", "my", "pxx", "pxy", "pyy"))
 
 
 def _rescaled(cands: DataFrame) -> DataFrame:
@@ -145,7 +147,7 @@ def area(cands: DataFrame, delta: int) -> DataFrame:
 def data_maps(cands: DataFrame, pixels: DataFrame, delta: int) -> DataFrame:
     """One row per candidate and cell of its area, with share: its density over the sum of the candidates whose areas hold the cell, 0 where that is 0."""
     cells = area(cands, delta).select("*", F.explode(F.sequence("xmin", "xmax")).alias("x")).select("*", F.explode(F.sequence("ymin", "ymax")).alias("y"))
-    d = cells.join(pixels.select("f", "x", "y", "v"), ["f", "x", "y"])
+    d = cells.join(pixels.select("f", "x", "y", "v").hint("merge"), ["f", "x", "y"])
     size = F.sqrt(F.col("pxx") * F.col("pyy") - F.col("pxy") * F.col("pxy")) / (2 * math.pi)
     d = d.withColumn("g", size * gaussian_like(F.col("pxx"), F.col("pxy"), F.col("pyy"), F.col("x") - F.col("mx"), F.col("y") - F.col("my")))
     total = F.sum("g").over(Window.partitionBy("f", "x", "y"))
@@ -167,8 +169,10 @@ def refit(cands: DataFrame, pixels: DataFrame, delta: int = 2, weighted: bool =
 
 def fit_multi(cands: DataFrame, pixels: DataFrame, rounds: int = 3, delta: int = 3, weighted: bool = True) -> DataFrame:
     """Joint fit whose windows follow the means; a round is written to the checkpoint folder."""
-    for _ in range(rounds):
-        cands = checkpointed(refit(cands, pixels, delta, weighted))
+    spark = pixels.sparkSession
+    for turn in range(rounds):
+        dealt = cands.repartition(partitions_of(spark), "f") if turn else cands  # by candidate, not by cell
+        cands = checkpointed(refit(dealt, pixels, delta, weighted))
     return cands
 
 

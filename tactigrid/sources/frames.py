@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tactigrid.session import ship_package
+
+#: Frames that are worked on at a time, so that a worker's memory doesn't follow the length of its batches.
+STACK = 64
 _CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
@@ -64,26 +70,58 @@ def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def splat(contacts: DataFrame, width: int = 72, height: int = 48, sigma: float = 1.5, reach: int = 5, partitions: int | None = None) -> DataFrame:
-    """Sum of Gaussians of the contacts of each frame over its whole grid (f, x, y, v, w, h), partitioned by frame.
+def _splatted(width: int, height: int, sigma: float, reach: int):
+    """Of each frame's places (distinct mx, my, with an amplitude), the row-major sum of their Gaussians."""
+    weights = [(dx, dy, math.exp(-(dx * dx + dy * dy) / (2 * sigma**2))) for dx in range(-reach, reach + 1) for dy in range(-reach, reach + 1)]
+    wide, high = width + 4 * reach, height + 4 * reach  # contacts may lie outside, as far as they reach in
+
+    @F.arrow_udf("array<double>")
+    def run(places: pa.Array) -> pa.Array:
+        flat = places.flatten()
+        frame = np.repeat(np.arange(len(places)), np.diff(places.offsets.to_numpy()))
+        mx, my, amplitude = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        made = []
+        for low in range(0, len(places), STACK):
+            own = slice(*np.searchsorted(frame, (low, low + STACK)))
+            grid = np.zeros((min(STACK, len(places) - low), high, wide))
+            cells = grid.reshape(-1)
+            at = ((frame[own] - low) * high + my[own] + 2 * reach) * wide + mx[own] + 2 * reach
+            for dx, dy, weight in weights:  # places are distinct: no cell twice in an addition
+                cells[at + dy * wide + dx] += amplitude[own] * weight
+            made.append(grid[:, 2 * reach : 2 * reach + height, 2 * reach : 2 * reach + width].reshape(-1))
+        offsets = np.arange(0, len(places) * width * height + 1, width * height, dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(made) if made else np.empty(0)))
+
+    return run
+
+
+def partitions_of(spark: SparkSession) -> int:
+    """All of the session's shuffle partitions, or one for each core, if these are more."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
-    Contacts at one place are summed first, so that a frame has at most one for each of its cells, however many events it
-    has; then they are dealt by frame. Cells are generated (a contact touches only the (2 reach + 1)^2 around it, a frame's
-    first one also gives all cells a zero) and summed where they are: they never cross the network.
+
+def splat_dense(contacts: DataFrame, width: int = 72, height: int = 48, sigma: float = 1.5, reach: int = 5, partitions: int | None = None) -> DataFrame:
+    """Sum of Gaussians of the contacts of each frame over its whole grid (f, w, h, px).
+
+    Contacts at one place are summed first, so that a frame has at most one for each cell that it or its surroundings have,
+    however many events it has; then they are dealt by frame. The grid is made where they are.
 
     Contacts are some hundred times smaller than the cells they make, so the number of partitions mustn't follow their size:
-    it is given (by default all of the session's shuffle partitions, or one for each core, if these are more) and stays.
+    it is given (by default see `partitions_of`) and stays.
     """
     spark = contacts.sparkSession
-    partitions = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    places = contacts.groupBy("f", "mx", "my").agg(F.sum("amplitude").alias("amplitude")).repartition(partitions, "f")
-    first = F.row_number().over(Window.partitionBy("f").orderBy("mx", "my")) == 1
-    near = range(-reach, reach + 1)
-    around = F.array(*(F.struct((F.col("mx") + dx).alias("x"), (F.col("my") + dy).alias("y"), (F.col("amplitude") * math.exp(-(dx * dx + dy * dy) / (2 * sigma**2))).alias("v")) for dx in near for dy in near))
-    grid = F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda i: F.struct((i % width).cast("int").alias("x"), F.floor(i / width).cast("int").alias("y"), F.lit(0.0).alias("v")))
-    cells = places.withColumn("first_", first).select("f", F.inline(F.when(F.col("first_"), F.concat(around, grid)).otherwise(around)))
-    inside = cells.where((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height))
-    return inside.groupBy("f", "x", "y").agg(F.sum("v").alias("v")).select("f", "x", "y", "v", F.lit(width).alias("w"), F.lit(height).alias("h"))
+    ship_package(spark)
+    near = F.col("mx").between(-reach, width - 1 + reach) & F.col("my").between(-reach, height - 1 + reach)
+    places = contacts.groupBy("f", "mx", "my").agg(F.coalesce(F.sum("amplitude").cast("double"), F.lit(0.0)).alias("amplitude")).repartition(partitions or partitions_of(spark), "f")
+    place = F.when(near, F.struct(F.col("mx").cast("long").alias("mx"), F.col("my").cast("long").alias("my"), "amplitude"))
+    by_frame = places.groupBy("f").agg(F.array_sort(F.collect_list(place)).alias("places"))
+    return by_frame.select("f", F.lit(width).alias("w"), F.lit(height).alias("h"), _splatted(width, height, sigma, reach)("places").alias("px"))
+
+
+def splat(contacts: DataFrame, width: int = 72, height: int = 48, sigma: float = 1.5, reach: int = 5, partitions: int | None = None) -> DataFrame:
+    """The same in long form (f, x, y, v, w, h), partitioned by frame. Arrays are dealt, cells are not; uses of one plan share them."""
+    made = splat_dense(contacts, width, height, sigma, reach, partitions)
+    return to_long(made.repartition(partitions or partitions_of(contacts.sparkSession), "f")).select("f", "x", "y", "v", "w", "h")
 
 
 def touch_pixels(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:

@@ -420,3 +420,20 @@ def test_relational_forms_raise_when_rounds_do_not_suffice(spark):
     marked = spark.createDataFrame([(0, x, 0, x == 0, True, 0.5) for x in range(5)], "f long, x int, y int, source boolean, mask boolean, cost double")
     with pytest.raises(RuntimeError, match="distances did not settle in 1 rounds"):
         distance.distance_relational(marked, 6.0, rounds=1)
+
+
+def test_fits_and_their_windows_broadcast_nothing(spark):
+    """Cells are many times what they are made of, so Spark's estimate of them is far too low for a broadcast."""
+    contacts = spark.range(40).select((F.col("id") % 2).alias("f"), "id", (F.col("id") * 7 % 72).cast("int").alias("mx"), (F.col("id") * 13 % 48).cast("int").alias("my"), F.lit(0.5).alias("amplitude"))
+    pixels = frames.splat(contacts)
+    peaks = stencil.local_maxima(pixels, "v", 0.3)
+    for made in (fit.iterate(fit.candidates(peaks), pixels), fit.refit(fit.starts(peaks), pixels)):
+        assert made.count() and "Broadcast" not in made._jdf.queryExecution().toString()
+
+
+def test_splat_is_the_sum_of_its_contacts_also_from_outside(spark):
+    rows = [(7, 0, 3, 4, 0.5), (7, 1, 3, 4, 0.25), (7, 2, -4, 20, 1.0), (7, 3, 75, 50, 1.0), (7, 4, 500, 20, 1.0), (8, 5, 71, 47, None)]
+    found = {r["f"]: np.array(r["px"]).reshape(48, 72) for r in frames.splat_dense(spark.createDataFrame(rows, "f long, id long, mx int, my int, amplitude double")).collect()}
+    y, x = np.mgrid[:48, :72]
+    near = [np.where((abs(x - mx) <= 5) & (abs(y - my) <= 5), a * np.exp(-((x - mx) ** 2 + (y - my) ** 2) / 4.5), 0) for _, _, mx, my, a in rows[:4]]
+    assert np.allclose(found[7], sum(near), atol=1e-12) and not found[8].any()
