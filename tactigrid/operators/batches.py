@@ -10,20 +10,21 @@ import pyarrow as pa
 Stacks = Iterator[tuple[np.ndarray, list[np.ndarray]]]
 
 
-def stacks(batch: pa.RecordBatch, columns: list[str]) -> Stacks:
-    """(row numbers, one array (frames, h, w) per column) for each frame size of a batch of (f, w, h, arrays)."""
+def stacks(batch: pa.RecordBatch, columns: list[str], most: int | None = None) -> Stacks:
+    """(row numbers, one array (frames, h, w) per column) for each frame size of a batch of (f, w, h, arrays); at most so many frames at a time."""
     w, h = (batch.column(c).to_numpy() for c in ("w", "h"))
     sizes = np.stack([h, w], 1)
     for height, width in np.unique(sizes, axis=0):
-        rows = np.flatnonzero((h == height) & (w == width))
-        arrays = []
-        for name in columns:
-            column = batch.column(name).take(pa.array(rows))
-            values = column.flatten().to_numpy(zero_copy_only=False).astype(float)
-            if len(values) != len(rows) * height * width:
-                raise ValueError(f"{name}: a frame doesn't have {width} x {height} cells")
-            arrays.append(values.reshape(len(rows), height, width))
-        yield rows, arrays
+        of_size = np.flatnonzero((h == height) & (w == width))
+        for rows in np.split(of_size, range(most, len(of_size), most)) if most else [of_size]:
+            arrays = []
+            for name in columns:
+                column = batch.column(name).take(pa.array(rows))
+                values = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+                if len(values) != len(rows) * height * width:
+                    raise ValueError(f"{name}: a frame doesn't have {width} x {height} cells")
+                arrays.append(values.reshape(len(rows), height, width))
+            yield rows, arrays
 
 
 def map_pixels(function: Callable[..., np.ndarray], columns: list[str], target: str, kind: pa.DataType, carry: tuple[str, ...] = ()) -> Callable:

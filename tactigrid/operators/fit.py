@@ -1,7 +1,8 @@
 """Joint Gaussian fits of candidates: one iteration in columns, all iterations in arrays.
 
 Candidates are rows (f, c, scale, mx, my, pxx, pxy, pyy, xmin, xmax, ymin, ymax). A candidate's window is generated cell by
-cell and equi-joined with the pixels, never matched by a range condition. Coordinates are rescaled to [-1, 1).
+cell and equi-joined with the pixels, never matched by a range condition; the join is by sorting, as neither side's size is known
+beforehand (cells are some hundred times what they are made of) and neither may go to the driver. Coordinates are rescaled to [-1, 1).
 """
 
 from __future__ import annotations
@@ -162,8 +163,7 @@ def refit(cands: DataFrame, pixels: DataFrame, delta: int = 2, weighted: bool =
     unit = float(max(1, delta))
     shared = data_maps(cands, pixels, delta).withColumn("cx", F.rint("mx")).withColumn("cy", F.rint("my"))
     moved = shared.withColumn("sx", (F.col("x") - F.col("cx")) / unit).withColumn("sy", (F.col("y") - F.col("cy")) / unit)
-    new = parameters(normal_equations(moved, weighted, least, ("cx", "cy")), unit)
-    d = cands.select("f", "c", "w", "h").join(new, ["f", "c"])
+    d = parameters(normal_equations(moved, weighted, least, ("cx", "cy", "w", "h")), unit, ("w", "h")).select("f", "c", "w", "h", "scale", "mx", "my", "pxx", "pxy", "pyy")
     return d.where((F.col("pxx") * F.col("pyy") - F.col("pxy") * F.col("pxy") > 0) & (F.col("pxx") + F.col("pyy") > 0))
 
 
@@ -222,7 +222,7 @@ def touch_points(frames: DataFrame, carry: tuple[str, ...] = (), timed: bool = F
         for batch in batches:
             ids, rows, source = batch.column("f").to_pylist(), [], []
             laps = []
-            for places, (px,) in stacks(batch, ["px"]):
+            for places, (px,) in stacks(batch, ["px"], STACK):
                 lap = dense.Laps()
                 for place, points in zip(places, dense.touch_points(px, lap=lap), strict=True):
                     rows += [(ids[place], i, *p) for i, p in enumerate(points)]
