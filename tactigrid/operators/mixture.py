@@ -6,11 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tactigrid.session import checkpointed, ship_package
 
+#: Components of a frame whose densities are expressions of their own.
+WRITTEN_OUT = 8
 CONTACT = "mean_x double, mean_y double, vx double, vy double, cv double"
 
 
@@ -31,18 +33,19 @@ def cluster_moments(labelled: DataFrame) -> DataFrame:
 
 
 def mean_and_covariance(pixels: DataFrame) -> DataFrame:
-    """Per frame, of values that sum to `total`: means and covariance (divided by total)."""
-    weighted = pixels.groupBy("f").agg(F.sum("v").alias("total"), F.sum(F.col("v") * F.col("x")).alias("sx"), F.sum(F.col("v") * F.col("y")).alias("sy")).where("total > 0")
-    mean = weighted.select("f", "total", (F.col("sx") / F.col("total")).alias("mean_x"), (F.col("sy") / F.col("total")).alias("mean_y"))
-    d = pixels.join(mean, "f").withColumn("dx", F.col("x") - F.col("mean_x")).withColumn("dy", F.col("y") - F.col("mean_y"))
-    return d.groupBy("f", "mean_x", "mean_y").agg(*((F.sum(F.col("v") * F.col(a) * F.col(b)) / F.first("total")).alias(n) for n, a, b in (("cov_xx", "dx", "dx"), ("cov_xy", "dx", "dy"), ("cov_yy", "dy", "dy"))))
-
-
-def density(x: Column, y: Column) -> Column:
-    """Normal density with columns mx, my, cxx, cxy, cyy."""
-    det = F.col("cxx") * F.col("cyy") - F.col("cxy") * F.col("cxy")
-    dx, dy = x - F.col("mx"), y - F.col("my")
-    q = (F.col("cyy") * dx * dx - 2 * F.col("cxy") * dx * dy + F.col("cxx") * dy * dy) / det
+    """Per frame: means and covariance, weighted by the values (divided by their sum), from one pass; pixels are neither sorted nor joined."""
+    products = {"sx": F.col("x"), "sy": F.col("y"), "sxx": F.col("x") * F.col("x"), "sxy": F.col("x") * F.col("y"), "syy": F.col("y") * F.col("y")}
+    s = pixels.groupBy("f").agg(F.sum("v").alias("total"), *(F.sum(F.col("v") * e).alias(n) for n, e in products.items())).where("total > 0")
+    s = s.select("f", *((F.col(a) / F.col("total")).alias(n) for n, a in (("mean_x", "sx"), ("mean_y", "sy"), ("xx", "sxx"), ("xy", "sxy"), ("yy", "syy"))))
+    return s.select("f", "mean_x", "mean_y", *((F.col(n) - F.col(f"mean_{n[0]}") * F.col(f"mean_{n[1]}")).alias(f"cov_{n}") for n in ("xx", "xy", "yy")))
+
+
+def density(x: Column, y: Column, of: Column | None = None) -> Column:
+    """Normal density with columns, or fields of a struct, mx, my, cxx, cxy, cyy."""
+    get = (lambda n: F.col(n)) if of is None else (lambda n: of[n])
+    det = get("cxx") * get("cyy") - get("cxy") * get("cxy")
+    dx, dy = x - get("mx"), y - get("my")
+    q = (get("cyy") * dx * dx - 2 * get("cxy") * dx * dy + get("cxx") * dy * dy) / det
     return F.exp(-q / 2) / (2 * math.pi * F.sqrt(det))
 
 
@@ -51,16 +54,44 @@ def mixture_step(pixels: DataFrame, params: DataFrame, hard: bool, least: float
 
     hard: a pixel goes to its densest component (the lowest k of equals); soft: in shares of the densities, none where their
     sum is at most `least`. Components of no weight are dropped.
+
+    A frame's components, in order of k, come to its pixels as one array, so that a pixel's densities are in its own row:
+    pixels, which are many, aren't sorted.
     """
-    d = pixels.select("f", "x", "y", "v").join(params, "f").withColumn("p", density(F.col("x"), F.col("y")))
-    cell = Window.partitionBy("f", "x", "y")
+    own = params.groupBy("f").agg(F.array_sort(F.collect_list(F.struct("k", "mx", "my", "cxx", "cxy", "cyy"))).alias("own_"))
+    most = own.agg(F.max(F.size("own_"))).first()[0] or 0
+    d = pixels.select("f", "x", "y", "v").join(own.hint("shuffle_hash"), "f")
+    at = lambda z: F.struct(z["k"].alias("k"), density(F.col("x"), F.col("y"), z).alias("p"))
+    # A few components are written out, which Spark compiles; functions over arrays, for more of them, it doesn't.
+    each = F.array(*(at(F.get("own_", F.lit(i))) for i in range(most))) if 0 < most <= WRITTEN_OUT else F.transform("own_", at)
+    d = d.select("f", "x", "y", "v", each.alias("own_"))
+    sums = [F.get("own_", F.lit(i)) for i in range(most)]
     if hard:
-        d = d.withColumn("rank_", F.row_number().over(cell.orderBy(F.desc("p"), "k"))).where("rank_ = 1").withColumn("share", F.lit(1.0))
+        best = F.array_max(F.transform("own_", lambda z, i: F.struct(z["p"].alias("p"), (-i).alias("i"), z["k"].alias("k"))))["k"]
+        if 0 < most <= WRITTEN_OUT:
+            top = F.greatest(*(z["p"] for z in sums)) if most > 1 else sums[0]["p"]
+            best = F.coalesce(*(F.when(z["p"] == top, z["k"]) for z in sums), sums[0]["k"])
+        d = d.select("f", "x", "y", best.alias("k"), F.col("v").alias("wv"))
+    elif 0 < most <= WRITTEN_OUT:
+        # Sums of each component beside each other: a pixel stays one row.
+        d = d.select("f", "x", "y", "v", *(z["k"].alias(f"k{i}") for i, z in enumerate(sums)), *(z["p"].alias(f"p{i}") for i, z in enumerate(sums)))
+        d = d.withColumn("total_", sum((F.coalesce(f"p{i}", F.lit(0.0)) for i in range(1, most)), F.coalesce("p0", F.lit(0.0))))
+        d = d.select("f", "x", "y", *(f"k{i}" for i in range(most)), *((F.col("v") * F.when(F.col("total_") > least, F.col(f"p{i}") / F.col("total_")).otherwise(0.0)).alias(f"wv{i}") for i in range(most)))
+        made = d.groupBy("f").agg(*(a for i in range(most) for a in (F.first(f"k{i}").alias(f"k{i}"), *(F.sum(F.col(f"wv{i}") * F.expr(e)).alias(f"{n}{i}") for n, e in _MOMENTS.items()))))
+        s = made.select("f", F.inline(F.array(*(F.struct(F.col(f"k{i}").alias("k"), *(F.col(f"{n}{i}").alias(n) for n in _MOMENTS)) for i in range(most))))).where("k is not null and n > 0")
+        return _of_moments(s)
     else:
-        total = F.sum("p").over(cell)
-        d = d.withColumn("share", F.when(total > least, F.col("p") / total).otherwise(0.0))
-    d = d.select("f", "k", "x", "y", (F.col("v") * F.col("share")).alias("wv"))
-    s = d.groupBy("f", "k").agg(F.sum("wv").alias("n"), *(F.sum(F.col("wv") * e).alias(a) for a, e in (("sx", F.col("x")), ("sy", F.col("y")), ("sxx", F.col("x") * F.col("x")), ("sxy", F.col("x") * F.col("y")), ("syy", F.col("y") * F.col("y"))))).where(F.col("n") > 0)
+        total = F.aggregate("own_", F.lit(0.0), lambda a, z: a + z["p"])
+        d = d.select("*", total.alias("total_")).select("f", "x", "y", "v", "total_", F.inline("own_")).where("k is not null")
+        d = d.select("f", "k", "x", "y", (F.col("v") * F.when(F.col("total_") > least, F.col("p") / F.col("total_")).otherwise(0.0)).alias("wv"))
+    return _of_moments(d.groupBy("f", "k").agg(*(F.sum(F.col("wv") * F.expr(e)).alias(n) for n, e in _MOMENTS.items())).where("n > 0"))
+
+
+#: Of the weights of a component.
+_MOMENTS = {"n": "1", "sx": "x", "sy": "y", "sxx": "x * x", "sxy": "x * y", "syy": "y * y"}
+
+
+def _of_moments(s: DataFrame) -> DataFrame:
     mx, my = F.col("sx") / F.col("n"), F.col("sy") / F.col("n")
     return s.select("f", "k", mx.alias("mx"), my.alias("my"), (F.col("sxx") / F.col("n") - mx * mx).alias("cxx"), (F.col("sxy") / F.col("n") - mx * my).alias("cxy"), (F.col("syy") / F.col("n") - my * my).alias("cyy"))
 

@@ -437,3 +437,14 @@ def test_splat_is_the_sum_of_its_contacts_also_from_outside(spark):
     y, x = np.mgrid[:48, :72]
     near = [np.where((abs(x - mx) <= 5) & (abs(y - my) <= 5), a * np.exp(-((x - mx) ** 2 + (y - my) ** 2) / 4.5), 0) for _, _, mx, my, a in rows[:4]]
     assert np.allclose(found[7], sum(near), atol=1e-12) and not found[8].any()
+
+
+def test_components_beyond_those_written_out_are_fitted_the_same(spark, monkeypatch):
+    pixels = spark.range(400).select(F.lit(1).cast("long").alias("f"), (F.col("id") % 20).cast("int").alias("x"), F.expr("cast(id div 20 as int)").alias("y"), (F.col("id") % 7 + 1).cast("double").alias("v"))
+    params = spark.createDataFrame([(1, k, 4.0 + k // 2 * 9, 9.0, 20.0, 1.0, 30.0) for k in range(4)], "f long, k int, mx double, my double, cxx double, cxy double, cyy double")
+    for hard in (False, True):
+        plain = sorted(map(tuple, mixture.mixture_step(pixels, params, hard).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(mixture, "WRITTEN_OUT", 0)
+            other = sorted(map(tuple, mixture.mixture_step(pixels, params, hard).collect()))
+        assert len(plain) == (2 if hard else 4) and np.allclose(plain, other)
