@@ -97,7 +97,7 @@ class WordIds:
             self.older, self.known = self.known, {}
         words = [self._words(t) for t in texts]
         found = [list(map(self.known.get, own)) for own in words]
-        missing = [[k for k, ids in enumerate(own) if ids is None] for own in found]
+        missing = [[k for k, ids in enumerate(own) if ids is None] if None in own else () for own in found]
         self._learn({own[k] for own, places in zip(words, missing, strict=True) for k in places})
         for own, ids, places in zip(words, found, missing, strict=True):
             for k in places:
@@ -106,8 +106,7 @@ class WordIds:
 
     def _learn(self, new: set[bytes]) -> None:
         known = self.known
-        for word in new.intersection(self.older):
-            known[word] = self.older[word]
+        self._recall(new)
         cut, whole = [], []
         for word in new.difference(known):
             core = word.rstrip(_TAIL)
@@ -116,13 +115,17 @@ class WordIds:
             else:
                 cut.append((word, core, word[len(core) :]))
         parts = {part for _, core, tail in cut for part in (core, tail)}.difference(known, whole)
-        for part in parts.intersection(self.older):
-            known[part] = self.older[part]
+        self._recall(parts)
         whole += parts.difference(known)
         self._encode(whole)
         for word, core, tail in cut:
             known[word] = known[core] + known[tail]
 
+    def _recall(self, words: set[bytes]) -> None:
+        """From the older generation, by looking the words up: an intersection with a dict would go through the whole of it."""
+        older = self.older
+        self.known.update([(word, older[word]) for word in words if word in older])
+
     def _encode(self, words: list[bytes]) -> None:
         """Words of letters only are one pre-token each, whose last id is marked as a word end: they are encoded as one text."""
         texts = [w.decode() for w in words]

@@ -104,3 +104,14 @@ def test_exact_complements_are_found():
     assert packing.plan_sequences({3000: 1, 1096: 1}) == [((3000, 1096), 1)]
     assert sorted(packing.plan_sequences({3000: 1, 600: 1, 496: 1})[0][0]) == [496, 600, 3000]
     assert sorted(packing.plan_sequences({3000: 2, 600: 2, 300: 2, 196: 2})[0][0]) == [196, 300, 600, 3000]
+
+
+def test_the_older_generation_is_looked_up_and_never_gone_through():
+    class Kept(dict):
+        def __iter__(self):
+            raise AssertionError("the whole generation was gone through")
+
+    ids = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    want = ids.encode([b"several words, and more words."])
+    ids.older, ids.known = Kept(ids.known), {}
+    assert ids.encode([b"several words, and more words."]) == want and ids.known
