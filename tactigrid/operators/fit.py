@@ -1,4 +1,4 @@
-"""Joint Gaussian fits of candidates: one iteration in columns, all iterations in arrays.
+"""Joint Gaussian fits of candidates: one iteration in columns, for frames of any size; `touch_points` and `windows` have them in arrays.
 
 Candidates are rows (f, c, scale, mx, my, pxx, pxy, pyy, xmin, xmax, ymin, ymax). A candidate's window is generated cell by
 cell and equi-joined with the pixels, never matched by a range condition; the join is by sorting, as neither side's size is known
@@ -26,6 +26,7 @@ RIGHTS = [(i, j) for i in range(3) for j in range(3) if i + j <= 2]
 #: Exponents and factor of the monomials of the fitted quadratic: x^2, 2xy, y^2, x, y, 1.
 _BASIS = [(2, 0, 1), (1, 1, 2), (0, 2, 1), (1, 0, 1), (0, 1, 1), (0, 0, 1)]
 LOG_EPS = 2.0**-52
+PARAMETERS = ("scale", "mx", "my", "pxx", "pxy", "pyy")
 
 
 def candidates(maxima: DataFrame, window: int = 11) -> DataFrame:
@@ -86,6 +87,24 @@ def normal_equations(shared: DataFrame, weighted: bool = True, least: float | No
     return d.groupBy("f", "c").agg(*(F.first(k).alias(k) for k in keep), *aggs, *(F.sum(F.col("dl") * _power(i, j)).alias(f"r{i}{j}") for i, j in RIGHTS))
 
 
+def gaussians(at: dict[str, np.ndarray], centre: tuple[np.ndarray, ...] = (), unit: float | None = None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(rows, scale, mx, my, pxx, pxy, pyy) of the systems that have a solution with a regular precision; in pixels, if their unit from the centre is told."""
+    matrix = np.stack([np.stack([s * t * at[f"m{i + k}{j + n}"] for k, n, t in _BASIS], -1) for i, j, s in _BASIS], -2)
+    right = np.stack([s * at[f"r{i}{j}"] for i, j, s in _BASIS], -1)
+    solved, chi = dense.solved(matrix, right)
+    rows, q = np.flatnonzero(solved), chi.T
+    pxx, pxy, pyy = -2 * q[0], -2 * q[1], -2 * q[2]
+    det = pxx * pyy - pxy * pxy
+    with np.errstate(all="ignore"):
+        mx, my = (pyy * q[3] - pxy * q[4]) / det, (pxx * q[4] - pxy * q[3]) / det
+        scale = np.exp(q[5] + (pxx * mx * mx + 2 * pxy * mx * my + pyy * my * my) / 2)
+    good = (np.abs(det) > 1e-40) & np.isfinite(scale) & np.isfinite(mx) & np.isfinite(my)
+    if unit:
+        cx, cy = (c[rows] for c in centre)
+        mx, my, pxx, pxy, pyy = cx + unit * mx, cy + unit * my, pxx / unit**2, pxy / unit**2, pyy / unit**2
+    return rows[good], {n: v[good] for n, v in zip(PARAMETERS, (scale, mx, my, pxx, pxy, pyy), strict=True)}
+
+
 def parameters(equations: DataFrame, unit: float | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """f, c, scale, mx, my, pxx, pxy, pyy from the symmetric 6x6 systems, solved in batches; candidates with a singular system or precision are dropped. Columns named in keep follow.
 
@@ -94,29 +113,16 @@ def parameters(equations: DataFrame, unit: float | None = None, keep: tuple[str,
     ship_package(equations.sparkSession)
     centre = ["cx", "cy"] if unit else []
     moments, rights = [f"m{i}{j}" for i, j in MOMENTS], [f"r{i}{j}" for i, j in RIGHTS]
-    names = ["scale", "mx", "my", "pxx", "pxy", "pyy"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in moments + rights}
-            matrix = np.stack([np.stack([s * t * at[f"m{i + k}{j + n}"] for k, n, t in _BASIS], -1) for i, j, s in _BASIS], -2)
-            right = np.stack([s * at[f"r{i}{j}"] for i, j, s in _BASIS], -1)
-            solved, chi = dense.solved(matrix, right)
-            rows, q = np.flatnonzero(solved), chi.T
-            pxx, pxy, pyy = -2 * q[0], -2 * q[1], -2 * q[2]
-            det = pxx * pyy - pxy * pxy
-            with np.errstate(all="ignore"):
-                mx, my = (pyy * q[3] - pxy * q[4]) / det, (pxx * q[4] - pxy * q[3]) / det
-                scale = np.exp(q[5] + (pxx * mx * mx + 2 * pxy * mx * my + pyy * my * my) / 2)
-            good = np.flatnonzero((np.abs(det) > 1e-40) & np.isfinite(scale) & np.isfinite(mx) & np.isfinite(my))
-            if unit:
-                cx, cy = (batch.column(c).to_numpy(zero_copy_only=False)[rows] for c in centre)
-                mx, my, pxx, pxy, pyy = cx + unit * mx, cy + unit * my, pxx / unit**2, pxy / unit**2, pyy / unit**2
-            keys, kept = ([batch.column(c).take(pa.array(rows[good])) for c in some] for some in (("f", "c"), keep))
-            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(v[good]) for v in (scale, mx, my, pxx, pxy, pyy)), *kept], names=["f", "c", *names, *keep])
+            at = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in (*centre, *moments, *rights)}
+            rows, found = gaussians(at, tuple(at[k] for k in centre), unit)
+            keys, kept = ([batch.column(c).take(pa.array(rows)) for c in some] for some in (("f", "c"), keep))
+            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(found[n]) for n in PARAMETERS), *kept], names=["f", "c", *PARAMETERS, *keep])
 
     kinds = [f"{k} {equations.schema[k].dataType.simpleString()}" for k in keep]
-    return equations.select("f", "c", *dict.fromkeys([*centre, *keep]), *moments, *rights).mapInArrow(run, ", ".join(["f long, c long", *(f"{n} double" for n in names), *kinds]))
+    return equations.select("f", "c", *dict.fromkeys([*centre, *keep]), *moments, *rights).mapInArrow(run, ", ".join(["f long, c long", *(f"{n} double" for n in PARAMETERS), *kinds]))
 
 
 def iterate(cands: DataFrame, pixels: DataFrame, unit: float = 5.0) -> DataFrame:
