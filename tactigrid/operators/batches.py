@@ -6,7 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tactigrid.session import ship_package
+from tactigrid.sources.frames import STACK
+
+Columns = dict[str, np.ndarray]
 Stacks = Iterator[tuple[np.ndarray, list[np.ndarray]]]
 
 
@@ -40,3 +46,22 @@ def map_pixels(function: Callable[..., np.ndarray], columns: list[str], target:
                 yield pa.RecordBatch.from_arrays([*keys, pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["f", "w", "h", *carry, target])
 
     return run
+
+
+def rows_of_frames(frames: DataFrame, function: Callable[..., Iterator[Columns]], columns: dict[str, str], own: tuple[str, ...] = ()) -> DataFrame:
+    """f and the function's columns for stacks of the frames, of which it gets px and the Arrow arrays of the columns own; it names a row's frame in `frame`.
+
+    Frames whose f is null are left out, as joins leave them out.
+    """
+    ship_package(frames.sparkSession)
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, (px,) in stacks(batch, ["px"], STACK):
+                for made in function(px, *(batch.column(c).take(pa.array(rows)) for c in own)):
+                    keys = batch.column("f").take(pa.array(rows[made["frame"]]))
+                    yield pa.RecordBatch.from_arrays([keys, *(pa.array(np.ascontiguousarray(made[c]), kinds[k]) for c, k in columns.items())], names=["f", *columns])
+
+    given = frames.where("f is not null").select(F.col("f").cast("long").alias("f"), "w", "h", F.col("px").cast("array<double>").alias("px"), *own)
+    return given.mapInArrow(run, ", ".join(["f long", *(f"{c} {k}" for c, k in columns.items())]))

@@ -10,21 +10,16 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tactigrid.operators import dense
-from tactigrid.operators.batches import stacks
+from tactigrid.operators.batches import Columns, rows_of_frames
 from tactigrid.operators.fit import LOG_EPS, MOMENTS, PARAMETERS, RIGHTS, gaussians
-from tactigrid.session import ship_package
-from tactigrid.sources.frames import STACK
 
 #: Windows that are worked on at a time.
 WINDOWS = 4096
 #: Means farther out are as good as there: their windows have no cell.
 _OUT = 1e9
-Columns = dict[str, np.ndarray]
 
 
 def _maxima(stack: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,22 +78,6 @@ def _middle(p: np.ndarray, half: int, size: int) -> np.ndarray:
     return (np.maximum(p - half, 0) + np.minimum(p + half, size - 1)) / 2
 
 
-def _made(frames: DataFrame, function: Callable[[np.ndarray], Iterator[Columns]], columns: dict[str, str]) -> DataFrame:
-    """f and the function's columns for stacks of the frames; it names a row's frame in `frame`. Frames whose f is null are left out, as joins leave them out."""
-    ship_package(frames.sparkSession)
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, (px,) in stacks(batch, ["px"], STACK):
-                for made in function(px):
-                    keys = batch.column("f").take(pa.array(rows[made["frame"]]))
-                    yield pa.RecordBatch.from_arrays([keys, *(pa.array(np.ascontiguousarray(made[c]), kinds[k]) for c, k in columns.items())], names=["f", *columns])
-
-    given = frames.where("f is not null").select(F.col("f").cast("long").alias("f"), "w", "h", F.col("px").cast("array<double>").alias("px"))
-    return given.mapInArrow(run, ", ".join(["f long", *(f"{c} {k}" for c, k in columns.items())]))
-
-
 def responsibilities(frames: DataFrame, threshold: float, window: int = 11) -> DataFrame:
     """f, c, x, y, share of the cells of the maxima's windows; see `fit.responsibilities`."""
     half = (window - 1) // 2
@@ -110,7 +89,7 @@ def responsibilities(frames: DataFrame, threshold: float, window: int = 11) -> D
             own, row, column = np.nonzero(inside)
             yield {"frame": frame[part][own], "c": c[part][own], "x": x[own, 0, column].astype(np.int32), "y": y[own, row, 0].astype(np.int32), "share": share[inside]}
 
-    return _made(frames, run, {"c": "long", "x": "int", "y": "int", "share": "double"})
+    return rows_of_frames(frames, run, {"c": "long", "x": "int", "y": "int", "share": "double"})
 
 
 def normal_equations(frames: DataFrame, threshold: float, window: int = 11) -> DataFrame:
@@ -125,7 +104,7 @@ def normal_equations(frames: DataFrame, threshold: float, window: int = 11) -> D
             sums = _sums(x, y, inside, v * share, (middle[0][part], middle[1][part]), (w / 2, h / 2), True, None)
             yield {"frame": frame[part], "c": c[part], **sums}
 
-    return _made(frames, run, {"c": "long", **{f"m{i}{j}": "double" for i, j in MOMENTS}, **{f"r{i}{j}": "double" for i, j in RIGHTS}})
+    return rows_of_frames(frames, run, {"c": "long", **{f"m{i}{j}": "double" for i, j in MOMENTS}, **{f"r{i}{j}": "double" for i, j in RIGHTS}})
 
 
 def iterate(frames: DataFrame, threshold: float, window: int = 11, unit: float = 5.0) -> DataFrame:
@@ -141,7 +120,7 @@ def iterate(frames: DataFrame, threshold: float, window: int = 11, unit: float =
             rows, found = gaussians(_sums(x, y, inside, v * share, centre, (unit, unit), True, None), centre, unit)
             yield {"frame": frame[part][rows], "c": c[part][rows], **found}
 
-    return _made(frames, run, {"c": "long", **dict.fromkeys(PARAMETERS, "double")})
+    return rows_of_frames(frames, run, {"c": "long", **dict.fromkeys(PARAMETERS, "double")})
 
 
 def fit_multi(frames: DataFrame, threshold: float, rounds: int = 3, delta: int = 3, weighted: bool = True, least: float = 1e-20) -> DataFrame:
@@ -178,4 +157,4 @@ def fit_multi(frames: DataFrame, threshold: float, rounds: int = 3, delta: int =
         frame, c, *found = (np.concatenate([k[name] for k in kept]) for name in ("frame", "c", *PARAMETERS))
         return frame, c, dict(zip(PARAMETERS, found, strict=True))
 
-    return _made(frames, run, {"c": "long", **dict.fromkeys(PARAMETERS, "double")})
+    return rows_of_frames(frames, run, {"c": "long", **dict.fromkeys(PARAMETERS, "double")})
