@@ -35,7 +35,7 @@ def _plan(spark, name):
     return catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["mle_mean_cov", "overlay_segments"])
+@pytest.mark.parametrize("name", ["mle_mean_cov", "ellipse_geometry", "overlay_segments"])
 def test_moments_make_no_rows_of_cells(spark, name):
     plan = _plan(spark, name)
     assert "MapInArrow" in plan and not any(step in plan for step in ("posexplode", "Join", "Window", "Broadcast"))
