@@ -1,8 +1,9 @@
-"""Moment estimates, mixtures and least-squares losses of contacts on a grid."""
+"""Moment estimates, mixtures and least-squares losses of contacts on a grid, in columns; `moments` has moments and mixtures of dense frames in arrays."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -96,19 +97,19 @@ def _of_moments(s: DataFrame) -> DataFrame:
     return s.select("f", "k", mx.alias("mx"), my.alias("my"), (F.col("sxx") / F.col("n") - mx * mx).alias("cxx"), (F.col("sxy") / F.col("n") - mx * my).alias("cxy"), (F.col("syy") / F.col("n") - my * my).alias("cyy"))
 
 
-def mixture_rounds(pixels: DataFrame, params: DataFrame, rounds: int, hard: bool = False, real: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(parameters after the last round, one row per round, f and k with the errors): against the real parameters, or else against the round before. A round is written to the checkpoint folder."""
+def mixture_rounds(pixels, params: DataFrame, rounds: int, hard: bool = False, real: DataFrame | None = None, step: Callable[..., DataFrame] = mixture_step) -> tuple[DataFrame, DataFrame]:
+    """(parameters after the last round, one row per round, f and k with the errors): against the real parameters, or else against the round before. A round is written to the checkpoint folder. step: another form of `mixture_step`, to which the pixels are given as they are."""
     told = None
     for turn in range(1, rounds + 1):
-        new = checkpointed(mixture_step(pixels, params, hard))
+        new = checkpointed(step(pixels, params, hard))
         one = errors(new, params if real is None else real).select(F.lit(turn).alias("round"), "*")
         told, params = one if told is None else told.unionByName(one), new
     return params, told
 
 
 def errors(found: DataFrame, real: DataFrame) -> DataFrame:
-    """Per (f, k): L2 norm of the mean's error and infinity norm (largest row sum) of the covariance's."""
-    d = found.alias("a").join(real.alias("b"), ["f", "k"])
+    """Per (f, k): L2 norm of the mean's error and infinity norm (largest row sum) of the covariance's. The join is by sorting: neither side goes to the driver."""
+    d = found.alias("a").join(real.hint("merge").alias("b"), ["f", "k"])
     e = {n: F.col(f"b.{n}") - F.col(f"a.{n}") for n in ("mx", "my", "cxx", "cxy", "cyy")}
     return d.select("f", "k", F.hypot(e["mx"], e["my"]).alias("mean_error"), F.greatest(F.abs(e["cxx"]) + F.abs(e["cxy"]), F.abs(e["cxy"]) + F.abs(e["cyy"])).alias("cov_error"))
 

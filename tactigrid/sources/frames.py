@@ -100,7 +100,7 @@ def partitions_of(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def splat_dense(contacts: DataFrame, width: int = 72, height: int = 48, sigma: float = 1.5, reach: int = 5, partitions: int | None = None) -> DataFrame:
+def splat_dense(contacts: DataFrame, width: int = 72, height: int = 48, sigma: float = 1.5, reach: int = 5, partitions: int | None = None, own: DataFrame | None = None) -> DataFrame:
     """Sum of Gaussians of the contacts of each frame over its whole grid (f, w, h, px).
 
     Contacts at one place are summed first, so that a frame has at most one for each cell that it or its surroundings have,
@@ -108,6 +108,9 @@ def splat_dense(contacts: DataFrame, width: int = 72, height: int = 48, sigma: f
 
     Contacts are some hundred times smaller than the cells they make, so the number of partitions mustn't follow their size:
     it is given (by default see `partitions_of`) and stays.
+
+    own: f, once each, and further columns of frames, which come along; frames that it doesn't have are left out. It is joined
+    while frames are still contacts: Spark would deal grids again for a join.
     """
     spark = contacts.sparkSession
     ship_package(spark)
@@ -115,7 +118,10 @@ def splat_dense(contacts: DataFrame, width: int = 72, height: int = 48, sigma: f
     places = contacts.groupBy("f", "mx", "my").agg(F.coalesce(F.sum("amplitude").cast("double"), F.lit(0.0)).alias("amplitude")).repartition(partitions or partitions_of(spark), "f")
     place = F.when(near, F.struct(F.col("mx").cast("long").alias("mx"), F.col("my").cast("long").alias("my"), "amplitude"))
     by_frame = places.groupBy("f").agg(F.array_sort(F.collect_list(place)).alias("places"))
-    return by_frame.select("f", F.lit(width).alias("w"), F.lit(height).alias("h"), _splatted(width, height, sigma, reach)("places").alias("px"))
+    if own is not None:
+        by_frame = by_frame.join(own.hint("shuffle_hash"), "f")
+    along = [c for c in by_frame.columns if c not in ("f", "places")]
+    return by_frame.select("f", F.lit(width).alias("w"), F.lit(height).alias("h"), _splatted(width, height, sigma, reach)("places").alias("px"), *along)
 
 
 def splat(contacts: DataFrame, width: int = 72, height: int = 48, sigma: float = 1.5, reach: int = 5, partitions: int | None = None) -> DataFrame:
