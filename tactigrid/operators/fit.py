@@ -26,7 +26,8 @@ RIGHTS = [(i, j) for i in range(3) for j in range(3) if i + j <= 2]
 #: Exponents and factor of the monomials of the fitted quadratic: x^2, 2xy, y^2, x, y, 1.
 _BASIS = [(2, 0, 1), (1, 1, 2), (0, 2, 1), (1, 0, 1), (0, 1, 1), (0, 0, 1)]
 LOG_EPS = 2.0**-52
-PARAMETERS = ("scale", "mx", "my", "pxx", "pxy", "pyy")
+#: Of a fitted Gaussian. A scale beyond a double's exponents is 0 or infinite; log_scale tells it then, too.
+PARAMETERS = ("scale", "mx", "my", "pxx", "pxy", "pyy", "log_scale")
 
 
 def candidates(maxima: DataFrame, window: int = 11) -> DataFrame:
@@ -88,7 +89,7 @@ def normal_equations(shared: DataFrame, weighted: bool = True, least: float | No
 
 
 def gaussians(at: dict[str, np.ndarray], centre: tuple[np.ndarray, ...] = (), unit: float | None = None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """(rows, scale, mx, my, pxx, pxy, pyy) of the systems that have a solution with a regular precision; in pixels, if their unit from the centre is told."""
+    """(rows, PARAMETERS) of the systems that have a solution with a regular precision; in pixels, if their unit from the centre is told."""
     matrix = np.stack([np.stack([s * t * at[f"m{i + k}{j + n}"] for k, n, t in _BASIS], -1) for i, j, s in _BASIS], -2)
     right = np.stack([s * at[f"r{i}{j}"] for i, j, s in _BASIS], -1)
     solved, chi = dense.solved(matrix, right)
@@ -97,16 +98,17 @@ def gaussians(at: dict[str, np.ndarray], centre: tuple[np.ndarray, ...] = (), un
     det = pxx * pyy - pxy * pxy
     with np.errstate(all="ignore"):
         mx, my = (pyy * q[3] - pxy * q[4]) / det, (pxx * q[4] - pxy * q[3]) / det
-        scale = np.exp(q[5] + (pxx * mx * mx + 2 * pxy * mx * my + pyy * my * my) / 2)
-    good = (np.abs(det) > 1e-40) & np.isfinite(scale) & np.isfinite(mx) & np.isfinite(my)
+        log_scale = q[5] + (pxx * mx * mx + 2 * pxy * mx * my + pyy * my * my) / 2
+        scale = np.exp(log_scale)
+    good = (np.abs(det) > 1e-40) & np.isfinite(mx) & np.isfinite(my)
     if unit:
         cx, cy = (c[rows] for c in centre)
         mx, my, pxx, pxy, pyy = cx + unit * mx, cy + unit * my, pxx / unit**2, pxy / unit**2, pyy / unit**2
-    return rows[good], {n: v[good] for n, v in zip(PARAMETERS, (scale, mx, my, pxx, pxy, pyy), strict=True)}
+    return rows[good], {n: v[good] for n, v in zip(PARAMETERS, (scale, mx, my, pxx, pxy, pyy, log_scale), strict=True)}
 
 
 def parameters(equations: DataFrame, unit: float | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """f, c, scale, mx, my, pxx, pxy, pyy from the symmetric 6x6 systems, solved in batches; candidates with a singular system or precision are dropped. Columns named in keep follow.
+    """f, c and PARAMETERS from the symmetric 6x6 systems, solved in batches; candidates with a singular system or precision are dropped. Columns named in keep follow.
 
     In the equations' coordinates, or, if these are in a unit from the centre that the columns cx and cy name, in pixels.
     """
@@ -128,14 +130,14 @@ def parameters(equations: DataFrame, unit: float | None = None, keep: tuple[str,
 def iterate(cands: DataFrame, pixels: DataFrame, unit: float = 5.0) -> DataFrame:
     """One iteration in columns: candidates with their new parameters; failed ones are gone.
 
-    The systems are set up in coordinates from the window's centre: the solution is the same in any, and these keep the
-    systems well conditioned.
+    Those that come with an infinite scale are given up, as they leave no shares to others. The systems are set up in
+    coordinates from the window's centre: the solution is the same in any, and these keep the systems well conditioned.
     """
-    shared = responsibilities(window_pixels(cands, pixels))
+    shared = responsibilities(window_pixels(cands.where(F.abs("scale") < math.inf), pixels))
     shared = shared.withColumn("cx", (F.col("xmin") + F.col("xmax")) / 2).withColumn("cy", (F.col("ymin") + F.col("ymax")) / 2)
     shared = shared.withColumn("sx", (F.col("x") - F.col("cx")) / unit).withColumn("sy", (F.col("y") - F.col("cy")) / unit)
     own = ("w", "h", "xmin", "xmax", "ymin", "ymax")
-    return _rescaled(parameters(normal_equations(shared, keep=("cx", "cy", *own)), unit, own).select("f", "c", *own, "scale", "mx", "my", "pxx", "pxy", "pyy"))
+    return _rescaled(parameters(normal_equations(shared, keep=("cx", "cy", *own)), unit, own).select("f", "c", *own, *PARAMETERS))
 
 
 def _rescaled(cands: DataFrame) -> DataFrame:
@@ -169,7 +171,7 @@ def refit(cands: DataFrame, pixels: DataFrame, delta: int = 2, weighted: bool =
     unit = float(max(1, delta))
     shared = data_maps(cands, pixels, delta).withColumn("cx", F.rint("mx")).withColumn("cy", F.rint("my"))
     moved = shared.withColumn("sx", (F.col("x") - F.col("cx")) / unit).withColumn("sy", (F.col("y") - F.col("cy")) / unit)
-    d = parameters(normal_equations(moved, weighted, least, ("cx", "cy", "w", "h")), unit, ("w", "h")).select("f", "c", "w", "h", "scale", "mx", "my", "pxx", "pxy", "pyy")
+    d = parameters(normal_equations(moved, weighted, least, ("cx", "cy", "w", "h")), unit, ("w", "h")).select("f", "c", "w", "h", *PARAMETERS)
     return d.where((F.col("pxx") * F.col("pyy") - F.col("pxy") * F.col("pxy") > 0) & (F.col("pxx") + F.col("pyy") > 0))
 
 

@@ -108,7 +108,7 @@ def normal_equations(frames: DataFrame, threshold: float, window: int = 11) -> D
 
 
 def iterate(frames: DataFrame, threshold: float, window: int = 11, unit: float = 5.0) -> DataFrame:
-    """One iteration from unit Gaussians at the maxima: f, c, scale, mx, my, pxx, pxy, pyy in pixels; see `fit.iterate`."""
+    """One iteration from unit Gaussians at the maxima: f, c and PARAMETERS in pixels; see `fit.iterate`."""
     half = (window - 1) // 2
 
     def run(stack: np.ndarray) -> Iterator[Columns]:
@@ -124,14 +124,14 @@ def iterate(frames: DataFrame, threshold: float, window: int = 11, unit: float =
 
 
 def fit_multi(frames: DataFrame, threshold: float, rounds: int = 3, delta: int = 3, weighted: bool = True, least: float = 1e-20) -> DataFrame:
-    """Rounds from unit Gaussians at the maxima whose windows follow the means: f, c, scale, mx, my, pxx, pxy, pyy in pixels; see `fit.refit`."""
+    """Rounds from unit Gaussians at the maxima whose windows follow the means: f, c and PARAMETERS in pixels; see `fit.refit`."""
     unit = float(max(1, delta))
 
     def run(stack: np.ndarray) -> Iterator[Columns]:
         _, h, w = stack.shape
         frame, x, y = _maxima(stack, threshold)
         ones, c = np.ones(len(x)), y * w + x
-        own = dict(zip(PARAMETERS, (ones, x.astype(float), y.astype(float), ones, 0 * ones, ones), strict=True))
+        own = dict(zip(PARAMETERS, (ones, x.astype(float), y.astype(float), ones, 0 * ones, ones, 0 * ones), strict=True))
         for _ in range(rounds):
             frame, c, own = _round(stack, frame, c, own)
         yield {"frame": frame, "c": c, **own}
@@ -140,7 +140,7 @@ def fit_multi(frames: DataFrame, threshold: float, rounds: int = 3, delta: int =
         px, py = (np.rint(np.clip(own[k], -_OUT, _OUT)).astype(np.int64) for k in ("mx", "my"))
 
         def density(part: slice, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            mx, my, pxx, pxy, pyy = (own[k][part, None, None] for k in PARAMETERS[1:])
+            mx, my, pxx, pxy, pyy = (own[k][part, None, None] for k in PARAMETERS[1:6])
             dx, dy = x - mx, y - my
             with np.errstate(all="ignore"):
                 return np.sqrt(pxx * pyy - pxy * pxy) / (2 * math.pi) * np.exp(-(pxx * dx * dx + 2 * pxy * dx * dy + pyy * dy * dy) / 2)

@@ -48,6 +48,26 @@ def test_fits_of_dense_frames_are_those_of_columns(dense):
     same(windows.fit_multi(dense, 0.3, 2, 3), fit.fit_multi(fit.starts(peaks), pixels, 2, 3), FIT)
 
 
+def test_fits_whose_scale_no_double_holds_tell_its_logarithm(spark):
+    """One maximum in a corner, with the Gaussian's mean, or a saddle's middle, far outside: scales of e^1250 and e^-1250."""
+    y, x = np.mgrid[:12, :20]
+    made = [np.exp(sign * (1250 - 1e-4 * (x + sign * 5000.0) ** 2 / 2) - 0.2 * y * y / 2) for sign in (1, -1)]
+    stack = spark.createDataFrame([(i, 20, 12, [float(v) for v in a.ravel()]) for i, a in enumerate(made)], "f long, w int, h int, px array<double>")
+    want = [(0, 0, 1250.0, -5000.0, 0.0, 1e-4, 0.0, 0.2), (1, 0, -1250.0, 5000.0, 0.0, -1e-4, 0.0, 0.2)]
+    pixels = frames.to_long(stack)
+    peaks = stencil.local_maxima(pixels, "v", 0.3)
+    one, columns = windows.iterate(stack, 0.3), fit.in_pixels(fit.iterate(fit.candidates(peaks), pixels))
+    told = {r["f"]: r["log_scale"] for r in one.select("f", *catalogue._fit_columns(one)).collect()}
+    assert told.keys() == {0, 1} and np.allclose([told[0], told[1]], [1250, -1250], rtol=1e-4)
+    refits = [made for weighted in (True, False) for made in (windows.fit_multi(stack, 0.3, 1, 3, weighted), fit.refit(fit.starts(peaks), pixels, 3, weighted))]
+    for found, rows in [(one, want), (columns, want), *((made, want[:1]) for made in refits)]:  # a saddle is no refit
+        got = sorted(found.select("f", "c", "log_scale", "mx", "my", "pxx", "pxy", "pyy").collect())
+        assert len(got) == len(rows) and np.allclose(got, rows, rtol=1e-4, atol=1e-4)
+    # The next round goes on without the infinite one.
+    again = fit.iterate(fit.iterate(fit.candidates(peaks), pixels), pixels)
+    assert {r["f"] for r in again.select("f").collect()} <= {1}
+
+
 def test_windows_are_worked_on_so_many_at_a_time(monkeypatch):
     stack = RNG.random((3, 12, 20))
     frame, x, y = windows._maxima(stack, 0.3)
